@@ -126,9 +126,15 @@ def clean_p3(c) -> Column:                              # H16
 
 
 def clean_posts(df: DataFrame, profile: str = "P1", text_col: str = "tweet",
-                remove_tags_and_emoji: bool = True,
+                remove_tags_and_emoji: bool | None = None,
                 min_words: int = MIN_NUM_WORDS) -> DataFrame:
-    """Q1: clean the text column in place and apply C5 (and C6 for P1)."""
+    """Q1: clean the text column in place and apply C5 (and C6 for P1).
+
+    ``remove_tags_and_emoji`` defaults to True for P1 (classifier input) and
+    False for P2 (only LLM topic filtering strips emoji).
+    """
+    if remove_tags_and_emoji is None:
+        remove_tags_and_emoji = profile == "P1"
     if profile == "P1":
         cleaned = clean_p1(text_col, remove_tags_and_emoji)
     elif profile == "P2":

@@ -40,6 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = (builder
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("STANCELAKE_DRIVER_MEM", "16g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -117,8 +117,19 @@ VIEW_ORDER = list(VIEWS)
 EXCLUDED_PARTIES = ("src3", "src7")
 
 
+_REGISTERED: dict[int, str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables and the fixture views as temp views."""
+    """Register the driver tables and the fixture views as temp views.
+
+    Idempotent per session and folder: views are lazy plans, so this costs
+    only file listing, done once.
+    """
+    key = id(spark._jsparkSession)
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("fx_stance_replies"):
+        return
+    _REGISTERED[key] = sf_dir
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name in VIEW_ORDER:
