@@ -57,7 +57,7 @@ def thresholds_list(thresholds=TOPIC_THRESHOLDS) -> str:
 
 
 def counts_cte(src: str, keys, thresholds=TOPIC_THRESHOLDS, w: str = "score_topic",
-               v: str = "score_sentence") -> str:
+               v: str = "score_sentence", grid_src: str | None = None) -> str:
     """CTE body: per keys x threshold counts over ``src`` (naive join form)."""
     k = ", ".join(keys)
     on = " AND ".join(f"l.{c} = g.{c}" for c in keys)
@@ -69,7 +69,8 @@ def counts_cte(src: str, keys, thresholds=TOPIC_THRESHOLDS, w: str = "score_topi
     count(l.w) AS n, sum(l.w) AS sw, sum(l.v * l.w) AS svw, sum(l.l5) AS s5, sum(l.l4) AS s4,
     {c5},
     {c4}
-  FROM (SELECT DISTINCT {k}, unnest({thresholds_list(thresholds)}) AS threshold_topic FROM {src}) g
+  FROM (SELECT DISTINCT {k}, unnest({thresholds_list(thresholds)}) AS threshold_topic
+        FROM {grid_src or src}) g
   LEFT JOIN (SELECT {k}, {w} AS w, {v} AS v, {label5(v)} AS l5, {label4(v)} AS l4 FROM {src}) l
     ON {on} AND l.w >= g.threshold_topic
   GROUP BY ALL"""
@@ -201,3 +202,8 @@ def clean_p2(x, emoji=False):
 
 def clean_p3(x):
     return h14(rep(h8(h5(x)), "\r", " "))
+
+
+def tokens(x: str) -> str:
+    return (f"list_distinct(list_filter(regexp_split_to_array(lower({x}), "
+            f"{lit(r'[^\p{L}\p{N}_]+')}), lambda t: t <> ''))")
