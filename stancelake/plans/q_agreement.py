@@ -15,29 +15,31 @@ OUT = ["election", "screen_name", "topic", "sentence", "algorithm", "threshold_t
        "avg_agreement", "agreement_level", "num_tweets"]
 
 
-def _sweep(spark, sf, algorithms):
+def _sweep(spark, sf, algorithms, thresholds=TOPIC_THRESHOLDS):
     scores = view(spark, sf, "fx_scores")
     statements = view(spark, sf, "fx_statements")
-    out = agree.agreement_sweep(scores, statements, KEYS, TOPIC_THRESHOLDS, algorithms)
+    out = agree.agreement_sweep(scores, statements, KEYS, thresholds, algorithms)
     return out.select(*OUT).withColumn("avg_agreement", F.round("avg_agreement", 6))
 
 
-def _sweep_sql(algorithms) -> str:
-    k = ", ".join(KEYS)
+def sweep_select(algorithms, thresholds=TOPIC_THRESHOLDS) -> str:
+    """Stand-alone DuckDB SELECT of the sweep over fx_scores / fx_statements."""
     unions = "\n  UNION ALL\n  ".join(S.algorithm_select(a, "cnt", KEYS) for a in algorithms)
-    body = f"""
+    return f"""
 WITH known AS ({S.known_topics_cte()}),
 sc AS (SELECT s.* FROM fx_scores s WHERE EXISTS
        (SELECT 1 FROM known k WHERE k.election = s.election AND k.topic = s.topic)),
-cnt AS ({S.counts_cte('sc', KEYS)}),
+cnt AS ({S.counts_cte('sc', KEYS, thresholds)}),
 res AS (
   {unions})
 SELECT r.election, r.screen_name, r.topic, k.sentence, r.algorithm, r.threshold_topic,
   r.avg_agreement, r.agreement_level, r.num_tweets
 FROM res r JOIN known k ON k.election = r.election AND k.topic = r.topic
 """
-    del k
-    return with_views(body, "fx_scores", "fx_statements")
+
+
+def _sweep_sql(algorithms) -> str:
+    return with_views(sweep_select(algorithms), "fx_scores", "fx_statements")
 
 
 @query("q2_agreement_sweep", _sweep_sql(ALGORITHMS))
