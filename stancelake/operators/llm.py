@@ -1,0 +1,199 @@
+"""Language-model steps as Spark jobs.
+
+Model calls are a caller-supplied ``complete(prompts: list[str]) -> list[str]``
+run by ``mapInPandas`` over *distinct* prompts that are not already in the
+replies table (K1), so nothing is asked twice.  Every text aggregation is
+bounded before ``collect_list``: posts are cut per (party, topic) by recency
+(F1) and by the token budget (F2), and the budget itself is applied after a
+partial top-N (``row_number() <= limit``), which Spark pushes below the
+shuffle so a hot party never lands whole in one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import prompts as P
+from ..functions.replies import stance_from_reply, topics_from_reply
+from ..functions.text import WS
+from .joins import small, top_n_per_group
+
+# Context limits in tokens (fixed values of the reference: the model's window
+# minus room for the answer).
+CONTEXT_LIMITS = {"mixtral": 32300, "GPT4": 127488}
+BATCH_CHARS = 10000
+
+# Default token counter (J8): words and single punctuation marks.
+TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS[1:-1]}]"
+
+Completer = Callable[[list[str]], list[str]]
+
+
+def token_count(c) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.size(F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0))
+
+
+def recency_order(time_col: str = "created_at", id_col: str = "tweet_id"):
+    return [F.col(time_col).desc(), F.col(id_col)]
+
+
+def recent_top_n(posts: DataFrame, n: int, group_cols=("election", "party", "topic"),
+                 time_col: str = "created_at", id_col: str = "tweet_id") -> DataFrame:
+    """the n most recent posts per group (ties by id)."""
+    return top_n_per_group(posts, group_cols, recency_order(time_col, id_col), n, "recency_rank")
+
+
+def token_budget(posts: DataFrame, limit: int, overhead: Column,
+                 group_cols=("election", "party", "topic"), text_col: str = "tweet",
+                 time_col: str = "created_at", id_col: str = "tweet_id",
+                 tokens: Callable[[Column], Column] = token_count) -> DataFrame:
+    """the longest most-recent prefix whose prompt fits ``limit`` tokens.
+
+    prompt tokens = overhead + sum(post tokens) + 3 per separator.  A post
+    costs at least one token, so at most ``limit`` posts can fit: that bound
+    is applied first as a partial top-N, then the running sum runs over at
+    most ``limit`` rows per group.
+    """
+    bounded = recent_top_n(posts, limit, group_cols, time_col, id_col)
+    sep = len(token_count_py(P.SEPARATOR))
+    cost = tokens(F.col(text_col)) + F.lit(sep)
+    w = (Window.partitionBy(*group_cols).orderBy(*recency_order(time_col, id_col))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = F.sum(cost).over(w) - F.lit(sep) + overhead
+    return (bounded.withColumn("prompt_tokens", running)
+            .filter(F.col("prompt_tokens") <= limit))
+
+
+def token_count_py(text: str) -> list[str]:
+    import regex
+    return regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", text)
+
+
+def join_posts(posts: DataFrame, group_cols=("election", "party", "topic"), text_col: str = "tweet",
+               time_col: str = "created_at", id_col: str = "tweet_id") -> DataFrame:
+    """Posts of a group joined with '~|~', most recent first.
+
+    Only call on input already bounded by F1/F2 (ordered collect per group).
+    """
+    item = F.struct((-F.unix_micros(F.col(time_col))).alias("t"), F.col(id_col).alias("i"),
+                    F.col(text_col).alias("x"))
+    return (posts.groupBy(*group_cols)
+            .agg(F.array_sort(F.collect_list(item)).alias("items"))
+            .select(*group_cols,
+                    F.array_join(F.transform("items", lambda s: s["x"]), P.SEPARATOR).alias("posts_joined"),
+                    F.size("items").alias("num_posts")))
+
+
+def running_sum(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str,
+                exclusive: bool = True, chunks: int | None = None) -> DataFrame:
+    """Skew-safe prefix sum of ``value_col`` per group in ``order_cols`` order.
+
+    A plain window would put a whole group in one task.  Instead rows are
+    range-partitioned on (group, order) into balanced chunks (a hot group is
+    split across many chunks), the narrow (keys, value, chunk) projection is
+    checkpointed to the shared folder so every branch sees the same chunks,
+    chunk totals give per-chunk offsets, and a window inside each chunk adds
+    the local running sum.
+    """
+    spark = df.sparkSession
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_names = [c for c in order_cols]
+    narrow = (df.select(*group_cols, *order_names, value_col)
+              .repartitionByRange(n, *group_cols, *order_names)
+              .withColumn("__chunk", F.spark_partition_id()))
+    narrow = narrow.checkpoint(eager=True)
+    totals = narrow.groupBy(*group_cols, "__chunk").agg(F.sum(value_col).alias("__tot"))
+    wo = Window.partitionBy(*group_cols).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(wo), F.lit(0))).drop("__tot")
+    wl = (Window.partitionBy(*group_cols, "__chunk").orderBy(*order_names)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = narrow.withColumn("__loc", F.sum(value_col).over(wl))
+    out = local.join(small(offsets), [*group_cols, "__chunk"])
+    total = F.col("__off") + F.col("__loc")
+    if exclusive:
+        total = total - F.col(value_col)
+    return out.select(*group_cols, *order_names, value_col, total.alias(out_col))
+
+
+def char_batches(posts: DataFrame, group_cols=("election", "party"), text_col: str = "tweet",
+                 time_col: str = "created_at", id_col: str = "tweet_id",
+                 batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """batch number of every post when the posts of a group are written
+    one after another (text + '~|~') in time order: floor(chars before / 10,000).
+    Lossless: every post gets a batch."""
+    sized = posts.select(*group_cols, time_col, id_col,
+                         (F.length(text_col) + F.lit(len(P.SEPARATOR))).alias("chars"))
+    cum = running_sum(sized, group_cols, [time_col, id_col], "chars", "chars_before")
+    return cum.withColumn("batch_no", F.floor(F.col("chars_before") / F.lit(batch_chars)).cast("int"))
+
+
+def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str = "prompt",
+                      done: DataFrame | None = None) -> DataFrame:
+    """J6/J7 core: call the model once per distinct prompt not yet answered.
+
+    Returns (prompt_md5, reply).  ``done`` is the replies table of earlier
+    runs (same columns); its prompts are skipped (K1) and its rows kept.
+    """
+    keyed = prompts.select(F.md5(F.col(prompt_col)).alias("prompt_md5"), F.col(prompt_col).alias("prompt"))
+    todo = keyed.dropDuplicates(["prompt_md5"])
+    if done is not None:
+        todo = todo.join(done.select("prompt_md5"), "prompt_md5", "left_anti")
+
+    def run(batches):
+        for pdf in batches:
+            replies = complete(pdf["prompt"].tolist()) if len(pdf) else []
+            yield pd.DataFrame({"prompt_md5": pdf["prompt_md5"], "reply": list(replies)})
+
+    fresh = todo.mapInPandas(run, "prompt_md5 string, reply string")
+    return fresh if done is None else fresh.unionByName(done.select("prompt_md5", "reply"))
+
+
+def llm_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
+               done: DataFrame | None = None) -> DataFrame:
+    """Topic filtering.  posts (election, party, tweet_id, tweet) ->
+    (election, party, topic, tweet_id), one row per topic the reply lists and
+    the statement list knows (C8; duplicates in a reply are kept)."""
+    ordered = (statements.groupBy("election")
+               .agg(F.array_sort(F.collect_list(F.struct("topic_ix", "topic"))).alias("s"))
+               .select("election", P.topic_list_block(F.transform("s", lambda x: x["topic"])).alias("block")))
+    with_prompt = posts.join(small(ordered), "election").withColumn(
+        "prompt", P.topic_prompt(F.col("block"), F.col("tweet")))
+    replies = complete_distinct(with_prompt, complete, done=done)
+    parsed = (with_prompt.select("election", "party", "tweet_id", F.md5("prompt").alias("prompt_md5"))
+              .join(replies, "prompt_md5")
+              .select("election", "party", "tweet_id", F.explode(topics_from_reply("reply")).alias("t")))
+    known = small(statements.select("election", "topic", F.lower("topic").alias("t")).distinct())
+    return parsed.join(known, ["election", "t"]).select("election", "party", "topic", "tweet_id")
+
+
+def llm_stance(filtered_posts: DataFrame, statements: DataFrame, grid: DataFrame, complete: Completer,
+               num_labels: int = 5, variant: str = "B", limit: int = CONTEXT_LIMITS["mixtral"],
+               done: DataFrame | None = None) -> DataFrame:
+    """Stance per (election, party, topic).
+
+    filtered_posts (election, party, topic, tweet_id, tweet, created_at) ->
+    token budget (F2) -> joined posts (E13) -> prompt (H28) -> model ->
+    parse (I8-I12) -> int (H22); grid pairs without posts are neutral (I13).
+    """
+    st = small(statements.select("election", "topic", "sentence"))
+    posts = filtered_posts.join(st, ["election", "topic"])
+    overhead = token_count(P.stance_prompt_overhead(F.col("sentence"), num_labels))
+    fit = token_budget(posts, limit, overhead)
+    joined = join_posts(fit).join(st, ["election", "topic"])
+    prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
+    replies = complete_distinct(prompted, complete, done=done)
+    parsed = (prompted.select("election", "party", "topic", "num_posts", F.md5("prompt").alias("prompt_md5"))
+              .join(replies, "prompt_md5")
+              .withColumn("p", stance_from_reply(F.col("reply"), variant))
+              .select("election", "party", "topic", "num_posts", "p.stance", "p.parse_status"))
+    out = grid.select("election", "party", "topic").distinct().join(parsed, ["election", "party", "topic"], "left")
+    return out.select("election", "party", "topic",
+                      F.coalesce("num_posts", F.lit(0)).alias("num_posts"),
+                      F.when(F.col("parse_status").isNull(), F.lit(3)).otherwise(F.col("stance"))
+                      .cast("int").alias("stance"),
+                      F.coalesce("parse_status", F.lit("no_posts")).alias("parse_status"))

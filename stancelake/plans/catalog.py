@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_agreement, q_eval, q_score, q_text  # noqa: F401
+from . import q_agreement, q_eval, q_llm, q_score, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
