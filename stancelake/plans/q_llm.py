@@ -271,3 +271,111 @@ for _v, _name in (("A", "i8_stance_a"), ("B", "i9_stance_b")):
         lambda spark, sf, _var=_v: view(spark, sf, "fx_stance_replies")
         .select("reply_id", stance_from_reply(F.col("reply"), _var).alias("p"))
         .select("reply_id", "p.stance", "p.parse_status"))
+
+
+# ------------------------------------------------------- model round trips --
+
+_CANON = list(STANCE_TO_INT)          # canonical stance words in scale order
+
+
+def rule_stance_completer(prompts):
+    """Deterministic stand-in for a stance model: the answer depends only on
+    the prompt length (every 7th is a refused call)."""
+    out = []
+    for p in prompts:
+        n = len(p)
+        out.append("Bad Request" if n % 7 == 0 else '{"stance": "%s", "statement": "s"}' % _CANON[n % 5])
+    return out
+
+
+def rule_topic_completer(prompts):
+    """Deterministic stand-in for a topic-filtering model: picks the first
+    and last listed topics (plus an unknown one) by prompt length."""
+    out = []
+    for p in prompts:
+        block = p.split("`\"topics\"`: [\n", 1)[1].split("\n]\n", 1)[0]
+        topics = re.findall(r'^    "(.*)"', block, flags=re.M)
+        n = len(p)
+        if n % 3 == 0 or not topics:
+            out.append("Bad Request")
+        elif n % 3 == 1:
+            out.append('{"text": "x", "selected_topics": ["%s"]}' % topics[0])
+        else:
+            out.append('{"selected_topics": ["%s", "%s", "not a topic"]}' % (topics[0], topics[-1]))
+    return out
+
+
+def _grid(spark, sf):
+    st = small(view(spark, sf, "fx_statements").select("election", "topic"))
+    return (view(spark, sf, "fx_tweets").select("election", F.col("user_screen_name").alias("party"))
+            .distinct().join(st, "election"))
+
+
+_BUDGET = f"""
+c AS (SELECT fp.*, s.sentence, {_tok_sql('fp.tweet')} + 3 AS cost,
+        {_tok_sql(_stance_prompt_sql("''", 's.sentence'))} AS overhead
+      FROM ({_FP}) fp JOIN fx_statements s ON s.election = fp.election AND s.topic = fp.topic),
+r AS (SELECT *, sum(cost) OVER (PARTITION BY election, party, topic ORDER BY created_at DESC, tweet_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 3 + overhead AS prompt_tokens FROM c),
+fit AS (SELECT * FROM r WHERE prompt_tokens <= {LIMIT}),
+j AS (SELECT election, party, topic, any_value(sentence) AS sentence, CAST(count(*) AS INTEGER) AS num_posts,
+        string_agg(tweet, {S.lit(P.SEPARATOR)} ORDER BY created_at DESC, tweet_id) AS posts_joined
+      FROM fit GROUP BY election, party, topic)"""
+
+
+def _j7_sql():
+    prompt = _stance_prompt_sql("j.posts_joined", "j.sentence")
+    words = ", ".join(S.lit(w) for w in _CANON)
+    reply = (f"CASE WHEN length({prompt}) % 7 = 0 THEN 'Bad Request' ELSE "
+             f"concat('{{\"stance\": \"', [{words}][length({prompt}) % 5 + 1], '\", \"statement\": \"s\"}}') END")
+    return with_views(f"""
+WITH {_BUDGET},
+rep AS (SELECT election, party, topic, num_posts, {reply} AS reply FROM j),
+grid AS (SELECT DISTINCT t.election, t.user_screen_name AS party, s.topic FROM fx_tweets t
+         JOIN fx_statements s ON s.election = t.election)
+SELECT g.election, g.party, g.topic, coalesce(r.num_posts, 0) AS num_posts,
+  CASE WHEN r.reply IS NULL THEN 3 WHEN r.reply = 'Bad Request' THEN NULL
+       ELSE CASE regexp_extract(r.reply, '"stance": "([^"]*)"', 1)
+         {' '.join(f"WHEN {S.lit(w)} THEN {v}" for w, v in STANCE_TO_INT.items())} END END AS stance,
+  CASE WHEN r.reply IS NULL THEN 'no_posts' WHEN r.reply = 'Bad Request' THEN 'unparsed' ELSE 'json' END
+    AS parse_status
+FROM grid g LEFT JOIN rep r ON r.election = g.election AND r.party = g.party AND r.topic = g.topic
+""", *_V)
+
+
+@query("j7_llm_stance", _j7_sql())
+def j7_llm_stance(spark, sf):
+    """Token budget -> joined posts -> stance prompt -> model (distinct
+    prompts, mapInPandas) -> reply parsing (variant B) -> stance per
+    (party, statement); pairs without posts are neutral."""
+    fp = _filtered_posts(spark, sf)
+    out = llm.llm_stance(fp, view(spark, sf, "fx_statements"), _grid(spark, sf), rule_stance_completer,
+                         num_labels=5, variant="B", limit=LIMIT)
+    return out.select("election", "party", "topic", F.col("num_posts").cast("int"), "stance", "parse_status")
+
+
+def _j6_sql():
+    prompt = _topic_prompt_sql("b.block", "t.tweet")
+    return with_views(f"""
+WITH b AS ({_topic_block_sql()}),
+ends AS (SELECT election, arg_min(topic, topic_ix) AS first_t, arg_max(topic, topic_ix) AS last_t
+         FROM fx_statements GROUP BY election),
+p AS (SELECT t.election, t.party, t.tweet_id, length({prompt}) % 3 AS m FROM ({_P2E}) t
+      JOIN b ON b.election = t.election),
+picked AS (SELECT p.election, p.party, p.tweet_id, lower(e.first_t) AS t FROM p JOIN ends e ON e.election = p.election
+           WHERE p.m IN (1, 2)
+           UNION ALL
+           SELECT p.election, p.party, p.tweet_id, lower(e.last_t) FROM p JOIN ends e ON e.election = p.election
+           WHERE p.m = 2)
+SELECT k.election, picked.party, k.topic, picked.tweet_id FROM picked
+JOIN fx_statements k ON k.election = picked.election AND lower(k.topic) = picked.t
+""", "fx_tweets", "fx_statements")
+
+
+@query("j6_llm_topics", _j6_sql())
+def j6_llm_topics(spark, sf):
+    """Topic prompt per post -> model (distinct prompts) -> reply parsing
+    -> topics the statement list knows (C8)."""
+    tw = _p2_tweets(spark, sf, emoji=True).select("election", F.col("user_screen_name").alias("party"),
+                                                  "tweet_id", "tweet")
+    return llm.llm_topics(tw, view(spark, sf, "fx_statements"), rule_topic_completer)
