@@ -44,6 +44,7 @@ def band_counts(scores: DataFrame, keys=DEFAULT_KEYS, thresholds=TOPIC_THRESHOLD
     l5 = label5(v)
     l4 = label4(v)
     aggs = [F.count(F.lit(1)).alias("n"),
+            F.count_if(missing(v)).alias("nv"),
             F.sum(w).alias("sw"),
             F.sum(v * w).alias("svw"),
             F.sum(l5).alias("s5"),
@@ -54,7 +55,7 @@ def band_counts(scores: DataFrame, keys=DEFAULT_KEYS, thresholds=TOPIC_THRESHOLD
             .groupBy(*keys, "band").agg(*aggs))
 
 
-STAT_COLS = ["n", "sw", "svw", "s5", "s4"] + [f"c5_{k}" for k in range(1, 6)] + \
+STAT_COLS = ["n", "nv", "sw", "svw", "s5", "s4"] + [f"c5_{k}" for k in range(1, 6)] + \
             [f"c4_{k}" for k in range(1, 5)]
 
 
@@ -98,9 +99,12 @@ def algorithm_columns(name: str) -> tuple[Column, Column]:
     n = F.col("n")
     none = F.lit(None).cast("double")
     if k == 1:
+        # A missing sentence score makes the weighted mean undefined (NaN in
+        # the reference), which buckets to label 1.
+        ok = (n > 0) & (F.col("nv") == 0)
         avg = F.round(F.col("svw") / F.col("sw"), 12)   # summation order cannot flip a label
-        level = label5(avg)
-        return F.when(n > 0, avg).otherwise(none), F.when(n > 0, level).otherwise(NEUTRAL_LEVEL)
+        level = F.when(ok, label5(avg)).when(n > 0, F.lit(1)).otherwise(NEUTRAL_LEVEL)
+        return F.when(ok, avg).otherwise(none), level
     if k == 2:
         level = half_even(F.col("s5") / n)
     elif k == 3:
