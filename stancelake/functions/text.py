@@ -26,6 +26,9 @@ WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 # The emoji class of the reference is the union of its listed ranges, which
 # collapses to these four code points and everything from U+24C2 upwards
 # (so CJK, kana and Hangul text is removed too).
+# The same class as a plain string of characters, for trim().
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
 EMOJI = r"[\x{200D}\x{231A}\x{23CF}\x{23E9}\x{24C2}-\x{10FFFF}]+"
 
 RT_HEADER = rf"^RT (@{WORD}+ ?)+: "
@@ -90,17 +93,25 @@ def strip_emoji(c) -> Column:                           # H13
 
 
 def squeeze_whitespace(c) -> Column:                    # H14
+    """Runs of 2+ blanks -> one blank, then strip both ends.
+
+    (After the first step no line can start with a blank, so stripping at
+    every line start reduces to stripping at the string start.)  ``trim``
+    with the explicit character set is one linear pass, unlike anchored
+    end-of-string regexes.
+    """
     out = F.regexp_replace(_c(c), WS + "{2,}", " ")
-    out = F.regexp_replace(out, "^" + WS + "+", "")
-    return F.regexp_replace(out, WS + r"+\z", "")
+    return F.trim(out, F.lit(WS_CHARS))
 
 
 def rstrip(c) -> Column:                                # H15
-    return F.regexp_replace(_c(c), WS + r"+\z", "")
+    return F.rtrim(_c(c), F.lit(WS_CHARS))
 
 
 def word_count(c) -> Column:                            # H17: split on one blank only
-    return F.size(F.split(_c(c), " "))
+    """len(text.split(' ')) = number of blanks + 1, without building the array."""
+    c = _c(c)
+    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + F.lit(1)
 
 
 def clean_p1(c, remove_tags_and_emoji: bool = True) -> Column:
@@ -125,6 +136,21 @@ def clean_p3(c) -> Column:                              # H16
     return squeeze_whitespace(out)
 
 
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Replace/add column ``name`` = ``expr`` so that it is evaluated once.
+
+    Catalyst pushes a later filter on ``name`` below the projection by
+    inlining ``expr``, so an expensive expression (a dozen regex passes over
+    long texts) would run once for each predicate and again for the output.
+    A single-element ``explode`` is a Generate node, which predicates on its
+    output cannot cross: the filter then reads the computed value.
+    """
+    cols = [F.explode(F.array(expr)).alias(name) if c == name else F.col(c) for c in df.columns]
+    if name not in df.columns:
+        cols.append(F.explode(F.array(expr)).alias(name))
+    return df.select(*cols)
+
+
 def clean_posts(df: DataFrame, profile: str = "P1", text_col: str = "tweet",
                 remove_tags_and_emoji: bool | None = None,
                 min_words: int = MIN_NUM_WORDS) -> DataFrame:
@@ -143,7 +169,7 @@ def clean_posts(df: DataFrame, profile: str = "P1", text_col: str = "tweet",
         return df.withColumn(text_col, clean_p3(text_col))
     else:
         raise ValueError(f"unknown profile {profile}")
-    out = df.withColumn(text_col, cleaned).filter(F.col(text_col) != "")   # C5
+    out = once(df, text_col, cleaned).filter(F.col(text_col) != "")        # C5
     if profile == "P1" and min_words:
         out = out.filter(word_count(text_col) >= min_words)                # C6
     return out

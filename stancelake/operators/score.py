@@ -120,7 +120,10 @@ def score_pairs(posts: DataFrame, statements: DataFrame, scorer: Scorer = lexica
         by_group.setdefault(r[0], []).append((r[1], template.replace("{}", r[2])))
     bc = spark.sparkContext.broadcast(by_group)
 
-    distinct = posts.select(group_col, text_col).distinct()
+    # Texts travel to Python once; results come back keyed by a digest so the
+    # join back does not shuffle the text again for every label.
+    keyed = posts.select(group_col, post_key, text_col, F.sha2(F.col(text_col), 256).alias("__h"))
+    distinct = keyed.select(group_col, "__h", text_col).dropDuplicates([group_col, "__h"])
 
     def run(batches):
         groups = bc.value
@@ -132,15 +135,15 @@ def score_pairs(posts: DataFrame, statements: DataFrame, scorer: Scorer = lexica
                     continue
                 texts = part[text_col].tolist()
                 scores = scorer(texts, [h for _, h in cand])
-                for t, srow in zip(texts, scores):
+                for hsh, srow in zip(part["__h"].tolist(), scores):
                     for (name, _), s in zip(cand, srow):
-                        rows.append((g, t, name, float(s)))
-            yield pd.DataFrame(rows, columns=[group_col, text_col, label_col, "score"])
+                        rows.append((g, hsh, name, float(s)))
+            yield pd.DataFrame(rows, columns=[group_col, "__h", label_col, "score"])
 
-    schema = f"{group_col} string, {text_col} string, {label_col} string, score double"
+    schema = f"{group_col} string, __h string, {label_col} string, score double"
     scored = distinct.mapInPandas(run, schema)
-    return (posts.select(group_col, post_key, text_col)
-            .join(scored, on=[group_col, text_col], how="inner")
+    return (keyed.select(group_col, post_key, "__h")
+            .join(scored, on=[group_col, "__h"], how="inner")
             .select(group_col, post_key, label_col, "score"))
 
 

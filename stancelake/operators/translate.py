@@ -122,32 +122,41 @@ def trigrams(c) -> Column:
     return F.regexp_extract_all(x, F.lit("(?s)(?=(.{3}))"), 1)
 
 
-def language_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def trigram_counts(posts: DataFrame, id_col: str, text_col: str, extra=()) -> DataFrame:
+    """(id, *extra, tri, k): occurrences of each trigram in each post."""
+    return (posts.select(id_col, *extra, F.explode(trigrams(text_col)).alias("tri"))
+            .groupBy(id_col, *extra, "tri").agg(F.count(F.lit(1)).alias("k")))
+
+
+def profile_from_counts(occ: DataFrame, lang_col: str = "lang") -> DataFrame:
     """Per (lang, trigram) log-probability with add-one smoothing, plus the
-    per-language value for an unseen trigram."""
-    counts = (labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(text_col)).alias("tri"))
-              .groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("c")))
-    # Vocabulary size: one number, computed by a distributed distinct count.
+    per-language value of an unseen trigram."""
+    counts = occ.groupBy(F.col(lang_col).alias("lang"), "tri").agg(F.sum("k").alias("c"))
+    counts = counts.persist()
+    # Vocabulary size: one number from a distributed distinct count.
     v = counts.select("tri").distinct().count()
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("n"))
-    denom = totals.select("lang", (F.col("n") + F.lit(v)).alias("d"))
-    prof = counts.join(small(denom), "lang").select(
+    denom = counts.groupBy("lang").agg((F.sum("c") + F.lit(v)).alias("d"))
+    return counts.join(small(denom), "lang").select(
         "lang", "tri", (F.log(F.col("c") + 1) - F.log("d")).alias("lp"), (-F.log("d")).alias("unseen"))
-    return prof
 
 
-def detect_language(posts: DataFrame, profile: DataFrame, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(id, predicted code, name) by the highest summed log-probability.
+def language_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                     id_col: str | None = None) -> DataFrame:
+    occ = (labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(text_col)).alias("tri"))
+           .groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("k")))
+    return profile_from_counts(occ)
+
+
+def detect_from_counts(occ: DataFrame, profile: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """J5 scoring over (id, tri, k) counts.
 
     score(lang) = sum over trigram occurrences of lp(lang, tri), with the
     language's unseen value for trigrams it never saw; languages sharing no
     trigram with the post are not candidates.
     """
-    occ = (posts.select(id_col, F.explode(trigrams(text_col)).alias("tri"))
-           .groupBy(id_col, "tri").agg(F.count(F.lit(1)).alias("k")))
     total = occ.groupBy(id_col).agg(F.sum("k").alias("n_tri"))
-    hits = occ.join(small(profile), "tri")
+    prof = small(profile.persist())
+    hits = occ.select(id_col, "tri", "k").join(prof, "tri")
     per_lang = (hits.groupBy(id_col, "lang", "unseen")
                 .agg(F.sum(F.col("k") * (F.col("lp") - F.col("unseen"))).alias("gain")))
     scored = per_lang.join(total, id_col).select(
@@ -156,3 +165,16 @@ def detect_language(posts: DataFrame, profile: DataFrame, id_col: str = "doc_id"
     return best.select(id_col, F.col("b.lang").alias("predicted_lang"),
                        language_name(F.col("b.lang")).alias("predicted_name"))
 
+
+def detect_language(posts: DataFrame, profile: DataFrame, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(id, predicted code, name) of each post."""
+    return detect_from_counts(trigram_counts(posts, id_col, text_col), profile, id_col)
+
+
+def train_and_detect(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     lang_col: str = "lang") -> DataFrame:
+    """Profile from labelled posts and prediction for the same posts, sharing
+    one trigram pass (persisted; lost blocks are recomputed from lineage)."""
+    occ = trigram_counts(labelled, id_col, text_col, extra=[lang_col]).persist()
+    return detect_from_counts(occ, profile_from_counts(occ, lang_col), id_col)

@@ -232,8 +232,7 @@ def j5_detect_language(spark, sf):
     """Trigram language profiles learned from the labelled documents,
     then every document's most likely language."""
     d = table(spark, sf, "documents")
-    prof = translate.language_profile(d, "text", "lang")
-    pred = translate.detect_language(d, prof, "doc_id", "text")
+    pred = translate.train_and_detect(d, "doc_id", "text", "lang")
     return d.select("doc_id", "lang").join(pred, "doc_id")
 
 
