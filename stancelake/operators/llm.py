@@ -51,17 +51,20 @@ def recent_top_n(posts: DataFrame, n: int, group_cols=("election", "party", "top
 def token_budget(posts: DataFrame, limit: int, overhead: Column,
                  group_cols=("election", "party", "topic"), text_col: str = "tweet",
                  time_col: str = "created_at", id_col: str = "tweet_id",
-                 tokens: Callable[[Column], Column] = token_count) -> DataFrame:
+                 tokens: Callable[[Column], Column] = token_count,
+                 token_col: str | None = None) -> DataFrame:
     """the longest most-recent prefix whose prompt fits ``limit`` tokens.
 
     prompt tokens = overhead + sum(post tokens) + 3 per separator.  A post
     costs at least one token, so at most ``limit`` posts can fit: that bound
     is applied first as a partial top-N, then the running sum runs over at
-    most ``limit`` rows per group.
+    most ``limit`` rows per group.  ``token_col`` names a precomputed token
+    count (count once per post, not once per (post, topic) row).
     """
     bounded = recent_top_n(posts, limit, group_cols, time_col, id_col)
     sep = len(token_count_py(P.SEPARATOR))
-    cost = tokens(F.col(text_col)) + F.lit(sep)
+    n_tok = F.col(token_col) if token_col else tokens(F.col(text_col))
+    cost = n_tok + F.lit(sep)
     w = (Window.partitionBy(*group_cols).orderBy(*recency_order(time_col, id_col))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     running = F.sum(cost).over(w) - F.lit(sep) + overhead
@@ -69,6 +72,15 @@ def token_budget(posts: DataFrame, limit: int, overhead: Column,
             .filter(F.col("prompt_tokens") <= limit))
 
 
+def prompt_overhead(statements: DataFrame, num_labels: int = 5) -> DataFrame:
+    """(election, topic, sentence, overhead): tokens of the stance prompt
+    without posts, computed once per statement (the skeleton is constant and
+    token counts add up across the blank-separated parts)."""
+    return statements.select("election", "topic", "sentence",
+                             token_count(P.stance_prompt_overhead(F.col("sentence"), num_labels))
+                             .alias("overhead"))
+
+
 def token_count_py(text: str) -> list[str]:
     import regex
     return regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", text)
@@ -171,21 +183,30 @@ def llm_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     return parsed.join(known, ["election", "t"]).select("election", "party", "topic", "tweet_id")
 
 
-def llm_stance(filtered_posts: DataFrame, statements: DataFrame, grid: DataFrame, complete: Completer,
-               num_labels: int = 5, variant: str = "B", limit: int = CONTEXT_LIMITS["mixtral"],
-               done: DataFrame | None = None) -> DataFrame:
+def llm_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
+               complete: Completer, num_labels: int = 5, variant: str = "B",
+               limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None) -> DataFrame:
     """Stance per (election, party, topic).
 
-    filtered_posts (election, party, topic, tweet_id, tweet, created_at) ->
-    token budget (F2) -> joined posts (E13) -> prompt (H28) -> model ->
-    parse (I8-I12) -> int (H22); grid pairs without posts are neutral (I13).
+    filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet,
+    created_at) -> token budget (F2, tokens counted once per post, text not
+    carried through the window) -> joined posts (E13) -> prompt (H28) ->
+    model -> parse (I8-I12) -> int (H22); grid pairs without posts are
+    neutral (I13).
     """
-    st = small(statements.select("election", "topic", "sentence"))
-    posts = filtered_posts.join(st, ["election", "topic"])
-    overhead = token_count(P.stance_prompt_overhead(F.col("sentence"), num_labels))
-    fit = token_budget(posts, limit, overhead)
-    joined = join_posts(fit).join(st, ["election", "topic"])
-    prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
+    st = small(prompt_overhead(statements.select("election", "topic", "sentence"), num_labels))
+    tok = posts.select("tweet_id", "created_at", token_count("tweet").alias("n_tok"))
+    cand = filtered.select("election", "party", "topic", "tweet_id").join(tok, "tweet_id") \
+                   .join(st.select("election", "topic", "overhead"), ["election", "topic"])
+    fit = token_budget(cand, limit, F.col("overhead"), token_col="n_tok")
+    texts = fit.select("election", "party", "topic", "tweet_id", "created_at") \
+               .join(posts.select("tweet_id", "tweet"), "tweet_id")
+    joined = join_posts(texts).join(st.select("election", "topic", "sentence"), ["election", "topic"])
+    # One prompt per (party, topic), bounded by the budget: persisted so the
+    # model call and the key mapping read the same prompts (lost blocks are
+    # recomputed from lineage).
+    prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels)) \
+                     .drop("posts_joined").persist()
     replies = complete_distinct(prompted, complete, done=done)
     parsed = (prompted.select("election", "party", "topic", "num_posts", F.md5("prompt").alias("prompt_md5"))
               .join(replies, "prompt_md5")

@@ -93,10 +93,10 @@ FROM r WHERE prompt_tokens <= {LIMIT}
 def f2_token_budget(spark, sf):
     """most-recent prefix of each (party, topic) whose stance prompt fits
     the local model's context (32,300 tokens)."""
-    st = small(view(spark, sf, "fx_statements").select("election", "topic", "sentence"))
-    fp = _filtered_posts(spark, sf).join(st, ["election", "topic"])
-    over = llm.token_count(P.stance_prompt_overhead(F.col("sentence")))
-    r = llm.token_budget(fp, LIMIT, over)
+    st = small(llm.prompt_overhead(view(spark, sf, "fx_statements")).select("election", "topic", "overhead"))
+    tw = _p2_tweets(spark, sf).select("tweet_id", "created_at", llm.token_count("tweet").alias("n_tok"))
+    fp = view(spark, sf, "fx_llm_filtered").join(tw, "tweet_id").join(st, ["election", "topic"])
+    r = llm.token_budget(fp, LIMIT, F.col("overhead"), token_col="n_tok")
     return r.select("election", "party", "topic", "tweet_id", F.col("prompt_tokens").cast("long"))
 
 
@@ -348,9 +348,9 @@ def j7_llm_stance(spark, sf):
     """Token budget -> joined posts -> stance prompt -> model (distinct
     prompts, mapInPandas) -> reply parsing (variant B) -> stance per
     (party, statement); pairs without posts are neutral."""
-    fp = _filtered_posts(spark, sf)
-    out = llm.llm_stance(fp, view(spark, sf, "fx_statements"), _grid(spark, sf), rule_stance_completer,
-                         num_labels=5, variant="B", limit=LIMIT)
+    posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
+    out = llm.llm_stance(view(spark, sf, "fx_llm_filtered"), posts, view(spark, sf, "fx_statements"),
+                         _grid(spark, sf), rule_stance_completer, num_labels=5, variant="B", limit=LIMIT)
     return out.select("election", "party", "topic", F.col("num_posts").cast("int"), "stance", "parse_status")
 
 
