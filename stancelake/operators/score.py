@@ -187,24 +187,38 @@ def rank_labels(long: DataFrame, post_key: str = "tweet_id", k: int = 3) -> Data
 
 # ------------------------------------------------------------------ J3 -----
 
-def prototype_cosine(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                     label_col: str = "label") -> DataFrame:
-    """Cosine of each vector to every label prototype (element-wise mean)."""
-    ex = vectors.select(id_col, label_col, F.posexplode(vec_col).alias("pos", "x"))
-    ex = ex.withColumn("x", F.col("x").cast("double"))
-    proto = ex.groupBy(label_col, "pos").agg(F.avg("x").alias("p"))
-    proto = small(proto.withColumnRenamed(label_col, "proto_label"))
-    pnorm = proto.groupBy("proto_label").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("pn"))
-    vnorm = ex.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("vn"))
-    dots = (ex.select(id_col, "pos", "x").join(proto, "pos")
-            .groupBy(id_col, "proto_label").agg(F.sum(F.col("x") * F.col("p")).alias("dot")))
-    return (dots.join(small(pnorm), "proto_label").join(vnorm, id_col)
-            .select(id_col, "proto_label",
-                    (F.col("dot") / (F.col("vn") * F.col("pn"))).alias("cosine")))
-
-
-def argmax_label(cos: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """Best prototype per vector (highest cosine, ties to the lowest label)."""
-    best = F.max(F.struct(F.col("cosine"), (-F.col("proto_label")).alias("neg")))
-    return (cos.groupBy(id_col).agg(best.alias("b"))
-            .select(id_col, (-F.col("b.neg")).alias("pred_label"), F.col("b.cosine").alias("cosine")))
+def prototypes(vectors: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """Per label, the element-wise mean vector and its norm.
+
+    ``posexplode`` + ``groupBy(label, pos)`` aggregates partially on every
+    task, so only labels x dims partial sums cross the shuffle.
+    """
+    ex = vectors.select(label_col, F.posexplode(vec_col).alias("pos", "x"))
+    per = ex.groupBy(label_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("p"))
+    arr = per.groupBy(label_col).agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("s"))
+    p = F.transform("s", lambda x: x["p"])
+    return arr.select(F.col(label_col).alias("proto_label"), p.alias("p")).withColumn(
+        "pn", F.sqrt(F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x * x)))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def nearest_prototype(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_id",
+                      vec_col: str = "embedding", max_labels: int = 100_000) -> DataFrame:
+    """The prototype with the highest cosine for every vector (ties to the
+    lowest label), map-only: the prototype matrix is a single size-checked row
+    broadcast next to every vector, so no (vector, label) rows are formed."""
+    if protos.limit(max_labels + 1).count() > max_labels:
+        raise ValueError("too many prototypes to broadcast")
+    matrix = (protos.agg(F.collect_list(F.struct("proto_label", "p", "pn")).alias("protos"))
+              .withColumn("__k", F.lit(0)))
+    v = vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).withColumn(
+        "vn", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))).withColumn("__k", F.lit(0))
+    j = v.join(F.broadcast(matrix), "__k")
+    cands = F.transform("protos", lambda q: F.struct(
+        (_dot(F.col("v"), q["p"]) / (F.col("vn") * q["pn"])).alias("cosine"),
+        (-q["proto_label"]).alias("neg")))
+    best = F.array_max(cands)
+    return j.select(id_col, (-best["neg"]).alias("pred_label"), best["cosine"].alias("cosine"))

@@ -59,3 +59,34 @@ def test_resume_run_twice_equals_once(spark):
     todo = resume_todo(inp, done)
     assert todo.count() == 5
     assert resume_todo(inp, done.unionByName(todo)).count() == 0
+
+
+def test_translate_statuses_and_memory(spark):
+    from stancelake.operators import translate as TR
+
+    def translator(texts, lang):
+        if any("boom" in t for t in texts):
+            raise RuntimeError("HTTP 429 too many requests")
+        return [f"<{lang}>{t}" for t in texts]
+
+    posts = spark.createDataFrame(
+        [("1", "en", "hello"), ("2", "fr", "bonjour"), ("3", "fr", "x" * 5000), ("4", "de", ""),
+         ("5", "es", "boom"), ("6", "fr", "salut")], "tweet_id string, lang string, tweet string")
+    memory = spark.createDataFrame([("fr", "salut", "hi")], "lang string, text string, translation string")
+    out, new_mem = TR.translate(posts, translator, memory)
+    got = {r.tweet_id: (r.tweet, r.translation_status) for r in out.collect()}
+    assert got["1"] == ("hello", "copied")
+    assert got["2"] == ("<fr>bonjour", "ok")
+    assert got["3"] == (None, "too_long")
+    assert got["4"] == ("", "empty")
+    assert got["5"] == (None, "rate_limited")
+    assert got["6"] == ("hi", "memory")
+    assert sorted(r.text for r in new_mem.collect()) == ["bonjour"]
+
+
+def test_nearest_prototype(spark):
+    from stancelake.operators import score as SC
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.9, 0.1]), (3, 1, [0.0, 1.0]), (4, 1, [0.2, 0.8])],
+                              "vec_id int, label int, embedding array<double>")
+    best = {r.vec_id: r.pred_label for r in SC.nearest_prototype(v, SC.prototypes(v)).collect()}
+    assert best == {1: 0, 2: 0, 3: 1, 4: 1}
