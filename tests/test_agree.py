@@ -139,3 +139,19 @@ def test_hybrid_null_score_is_label_one(spark):
     out = {r.topic: (r.num_tweets, r.stance) for r in agree.hybrid_agreement(filt, sc, grid).collect()}
     assert out["t"] == (4, 1)      # three nulls -> label 1 majority
     assert out["u"] == (0, 3)
+
+
+def test_sweep_equals_separate_runs(spark):
+    """One pass over five thresholds equals five single-threshold runs."""
+    data = _random_scores(11, 200)
+    df = spark.createDataFrame([(u, t, "E", w, v) for u, t, w, v in data],
+                               "screen_name string, topic string, election string, score_topic double, "
+                               "score_sentence double")
+    keys = ("election", "screen_name", "topic")
+    cols = ["screen_name", "topic", "algorithm", "threshold_topic", "agreement_level", "num_tweets"]
+    once = agree.agreement_sweep(df, keys=keys).select(*cols)
+    parts = None
+    for t in TOPIC_THRESHOLDS:
+        p = agree.agreement_sweep(df, keys=keys, thresholds=[t]).select(*cols)
+        parts = p if parts is None else parts.unionByName(p)
+    assert once.exceptAll(parts).count() == 0 and parts.exceptAll(once).count() == 0
