@@ -35,8 +35,8 @@ def prepare_results(results: DataFrame, num_labels: int) -> DataFrame:
     """E8 + H20/H21: dedupe full rows, then map the stance to the label scale."""
     r = results.select(*RESULT_COLS).dropDuplicates()                        # E8
     if num_labels == 3:
-        return r.withColumn("llm", three_calculated("Stance")).withColumn("llm_three", F.lit(None).cast("int"))
-    return r.withColumn("llm", F.col("Stance").cast("int")).withColumn("llm_three", three_derived("Stance"))
+        return r.withColumn("answer", three_calculated("Stance")).withColumn("answer_three", F.lit(None).cast("int"))
+    return r.withColumn("answer", F.col("Stance").cast("int")).withColumn("answer_three", three_derived("Stance"))
 
 
 def join_golden(results: DataFrame, golden: DataFrame) -> DataFrame:
@@ -51,12 +51,12 @@ def pairs_for_metrics(joined: DataFrame, method: str, num_labels: int) -> DataFr
     m = F.lit(method)
     if num_labels == 5:
         a = joined.select(m.alias("Method"), F.lit("l5").alias("scale"), "VAA",
-                          F.col("golden_label").alias("gold"), F.col("llm").alias("pred"))
+                          F.col("golden_label").alias("gold"), F.col("answer").alias("pred"))
         b = joined.select(m.alias("Method"), F.lit("l3_der").alias("scale"), "VAA",
-                          F.col("golden_label_three").alias("gold"), F.col("llm_three").alias("pred"))
+                          F.col("golden_label_three").alias("gold"), F.col("answer_three").alias("pred"))
         return a.unionByName(b)
     return joined.select(m.alias("Method"), F.lit("l3_cal").alias("scale"), "VAA",
-                         F.col("golden_label_three").alias("gold"), F.col("llm").alias("pred"))
+                         F.col("golden_label_three").alias("gold"), F.col("answer").alias("pred"))
 
 
 def per_election_metrics(pairs: DataFrame) -> DataFrame:

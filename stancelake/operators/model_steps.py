@@ -165,7 +165,7 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
     return fresh if done is None else fresh.unionByName(done.select("prompt_md5", "reply"))
 
 
-def llm_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
+def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
                done: DataFrame | None = None) -> DataFrame:
     """Topic filtering.  posts (election, party, tweet_id, tweet) ->
     (election, party, topic, tweet_id), one row per topic the reply lists and
@@ -183,7 +183,7 @@ def llm_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     return parsed.join(known, ["election", "t"]).select("election", "party", "topic", "tweet_id")
 
 
-def llm_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
+def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
                complete: Completer, num_labels: int = 5, variant: str = "B",
                limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None) -> DataFrame:
     """Stance per (election, party, topic).

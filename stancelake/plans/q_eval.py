@@ -16,7 +16,7 @@ BEST_THRESHOLD = 0.6
 METHODS = (  # (name, kind, algorithm)
     ("T2S algorithm_4 min 3", "t2s", "algorithm_4_min_num_tweets_3"),
     ("T2S algorithm_3", "t2s", "algorithm_3"),
-    ("LLM filtered + T2S stance detector", "hybrid", "algorithm_4_min_num_tweets_3"),
+    ("model-filtered + T2S stance detector", "hybrid", "algorithm_4_min_num_tweets_3"),
 )
 _EXCL = ", ".join(S.lit(p) for p in EXCLUDED_PARTIES)
 
@@ -35,7 +35,7 @@ def hybrid_table(spark, sf):
     st = view(spark, sf, "fx_statements")
     grid = (view(spark, sf, "fx_tweets").select("election", F.col("user_screen_name").alias("party"))
             .distinct().join(small(st.select("election", "topic")), "election"))
-    return agree.hybrid_agreement(view(spark, sf, "fx_llm_filtered"), view(spark, sf, "fx_scores"),
+    return agree.hybrid_agreement(view(spark, sf, "fx_model_filtered"), view(spark, sf, "fx_scores"),
                                   grid, min_posts=3)
 
 
@@ -77,7 +77,7 @@ def _hybrid_select() -> str:
     c4 = ", ".join(f"count(*) FILTER (WHERE l4 = {k}) AS c4_{k}" for k in range(1, 5))
     return f"""
 WITH j AS (SELECT f.election, f.party, f.topic, f.tweet_id, {l4} AS l4
-           FROM fx_llm_filtered f LEFT JOIN fx_scores s
+           FROM fx_model_filtered f LEFT JOIN fx_scores s
              ON s.election = f.election AND s.screen_name = f.party AND s.topic = f.topic
             AND s.tweet_id = f.tweet_id),
 agg AS (SELECT election, party, topic, count(*) AS n, sum(l4) AS s4, {c4} FROM j GROUP BY ALL),
@@ -137,19 +137,19 @@ FROM f1 JOIN mae ON f1.Method = mae.Method AND f1.scale = mae.scale AND f1.VAA =
 """
 
 
-_VIEWS = ("fx_scores", "fx_statements", "fx_llm_filtered", "fx_golden", "fx_tweets")
+_VIEWS = ("fx_scores", "fx_statements", "fx_model_filtered", "fx_golden", "fx_tweets")
 
 
 # --------------------------------------------------------------- queries ---
 
 @query("d4_filtered_left_scores", with_views("""
 SELECT f.election, f.party, f.topic, f.tweet_id, round(s.score_sentence, 6) AS score_sentence
-FROM fx_llm_filtered f LEFT JOIN fx_scores s
+FROM fx_model_filtered f LEFT JOIN fx_scores s
   ON s.election = f.election AND s.screen_name = f.party AND s.topic = f.topic AND s.tweet_id = f.tweet_id
-""", "fx_llm_filtered", "fx_scores"))
+""", "fx_model_filtered", "fx_scores"))
 def d4_filtered_left_scores(spark, sf):
     """Model-filtered posts left-joined to their scores (misses stay, null)."""
-    f = view(spark, sf, "fx_llm_filtered")
+    f = view(spark, sf, "fx_model_filtered")
     s = view(spark, sf, "fx_scores").select("election", F.col("screen_name").alias("party"), "topic",
                                              "tweet_id", "score_sentence")
     j = f.join(s, ["election", "party", "topic", "tweet_id"], "left")

@@ -12,7 +12,7 @@ from ..functions.replies import (ALLOWED_PHRASES_A, ALLOWED_PHRASES_B, FALLBACK_
                                  FALLBACK_WORDS, NEUTRAL_WORDS, CANONICAL_OF, OVERRIDES_A, OVERRIDES_B,
                                  STANCE_WORDS_A, STANCE_WORDS_B, stance_from_reply, topics_from_reply)
 from ..functions.labels import STANCE_TO_INT, NEUTRAL
-from ..operators import llm
+from ..operators import model_steps as ms
 from ..operators.joins import small
 from ..sources.fixtures import view, with_views
 from . import sqlkit as S
@@ -20,7 +20,7 @@ from .registry import query
 
 GROUP = ("election", "party", "topic")
 TOP_N = 10
-LIMIT = llm.CONTEXT_LIMITS["mixtral"]
+LIMIT = ms.CONTEXT_LIMITS["mixtral"]
 
 
 # ------------------------------------------------------------ inputs -------
@@ -32,21 +32,21 @@ def _p2_tweets(spark, sf, emoji=False):
 def _filtered_posts(spark, sf):
     """Model-filtered ids joined to the full (P2-cleaned) posts."""
     tw = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
-    return view(spark, sf, "fx_llm_filtered").join(tw, "tweet_id")
+    return view(spark, sf, "fx_model_filtered").join(tw, "tweet_id")
 
 
 _P2 = (f"SELECT tweet_id, user_screen_name, election, created_at, tweet FROM "
        f"(SELECT tweet_id, user_screen_name, election, created_at, {S.clean_p2('tweet')} AS tweet FROM fx_tweets) "
        f"WHERE tweet <> ''")
 _FP = (f"SELECT f.election, f.party, f.topic, f.tweet_id, t.tweet, t.created_at "
-       f"FROM fx_llm_filtered f JOIN ({_P2}) t ON t.tweet_id = f.tweet_id")
+       f"FROM fx_model_filtered f JOIN ({_P2}) t ON t.tweet_id = f.tweet_id")
 _TOPN = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY election, party, topic "
          f"ORDER BY created_at DESC, tweet_id) AS recency_rank FROM ({_FP})) WHERE recency_rank <= {TOP_N}")
-_V = ("fx_llm_filtered", "fx_tweets", "fx_statements")
+_V = ("fx_model_filtered", "fx_tweets", "fx_statements")
 
 
 def _tok_sql(x: str) -> str:
-    return f"len(regexp_extract_all({x}, {S.lit(llm.TOKEN_PATTERN)}))"
+    return f"len(regexp_extract_all({x}, {S.lit(ms.TOKEN_PATTERN)}))"
 
 
 def _stance_prompt_sql(posts: str, sentence: str, num_labels: int = 5) -> str:
@@ -74,7 +74,7 @@ def d5_filtered_posts_text(spark, sf):
     f"SELECT election, party, topic, tweet_id, CAST(recency_rank AS INTEGER) AS recency_rank FROM ({_TOPN})", *_V))
 def f1_recent_top_n(spark, sf):
     """the 10 most recent filtered posts per (election, party, topic)."""
-    r = llm.recent_top_n(_filtered_posts(spark, sf), TOP_N)
+    r = ms.recent_top_n(_filtered_posts(spark, sf), TOP_N)
     return r.select("election", "party", "topic", "tweet_id", F.col("recency_rank").cast("int"))
 
 
@@ -93,16 +93,16 @@ FROM r WHERE prompt_tokens <= {LIMIT}
 def f2_token_budget(spark, sf):
     """most-recent prefix of each (party, topic) whose stance prompt fits
     the local model's context (32,300 tokens)."""
-    st = small(llm.prompt_overhead(view(spark, sf, "fx_statements")).select("election", "topic", "overhead"))
-    tw = _p2_tweets(spark, sf).select("tweet_id", "created_at", llm.token_count("tweet").alias("n_tok"))
-    fp = view(spark, sf, "fx_llm_filtered").join(tw, "tweet_id").join(st, ["election", "topic"])
-    r = llm.token_budget(fp, LIMIT, F.col("overhead"), token_col="n_tok")
+    st = small(ms.prompt_overhead(view(spark, sf, "fx_statements")).select("election", "topic", "overhead"))
+    tw = _p2_tweets(spark, sf).select("tweet_id", "created_at", ms.token_count("tweet").alias("n_tok"))
+    fp = view(spark, sf, "fx_model_filtered").join(tw, "tweet_id").join(st, ["election", "topic"])
+    r = ms.token_budget(fp, LIMIT, F.col("overhead"), token_col="n_tok")
     return r.select("election", "party", "topic", "tweet_id", F.col("prompt_tokens").cast("long"))
 
 
 @query("f3_char_batches", with_views(f"""
 SELECT tweet_id, CAST(chars_before AS BIGINT) AS chars_before,
-  CAST(floor(chars_before / {llm.BATCH_CHARS}) AS INTEGER) AS batch_no
+  CAST(floor(chars_before / {ms.BATCH_CHARS}) AS INTEGER) AS batch_no
 FROM (SELECT tweet_id, sum(length(tweet) + 3) OVER (PARTITION BY election, user_screen_name
         ORDER BY created_at, tweet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cb0,
         coalesce(cb0, 0) AS chars_before FROM ({_P2}))
@@ -111,7 +111,7 @@ def f3_char_batches(spark, sf):
     """lossless 10,000-character batches of each party's posts in time
     order, via the skew-safe distributed prefix sum."""
     tw = _p2_tweets(spark, sf).withColumnRenamed("user_screen_name", "party")
-    b = llm.char_batches(tw)
+    b = ms.char_batches(tw)
     return b.select("tweet_id", F.col("chars_before").cast("long"), "batch_no")
 
 
@@ -119,7 +119,7 @@ def f3_char_batches(spark, sf):
     f"SELECT election, party, topic, num_posts, md5(posts_joined) AS posts_md5 FROM ({_JOINED})", *_V))
 def e13_join_posts(spark, sf):
     """The (bounded) posts of each group joined with '~|~', newest first."""
-    j = llm.join_posts(llm.recent_top_n(_filtered_posts(spark, sf), TOP_N))
+    j = ms.join_posts(ms.recent_top_n(_filtered_posts(spark, sf), TOP_N))
     return j.select("election", "party", "topic", F.col("num_posts").cast("int"),
                     F.md5("posts_joined").alias("posts_md5"))
 
@@ -127,7 +127,7 @@ def e13_join_posts(spark, sf):
 # ------------------------------------------------------------ prompts ------
 
 def _stance_prompts(spark, sf, num_labels):
-    j = llm.join_posts(llm.recent_top_n(_filtered_posts(spark, sf), TOP_N))
+    j = ms.join_posts(ms.recent_top_n(_filtered_posts(spark, sf), TOP_N))
     st = small(view(spark, sf, "fx_statements").select("election", "topic", "sentence"))
     return j.join(st, ["election", "topic"]).withColumn(
         "prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
@@ -343,13 +343,13 @@ FROM grid g LEFT JOIN rep r ON r.election = g.election AND r.party = g.party AND
 """, *_V)
 
 
-@query("j7_llm_stance", _j7_sql())
-def j7_llm_stance(spark, sf):
+@query("j7_model_stance", _j7_sql())
+def j7_model_stance(spark, sf):
     """Token budget -> joined posts -> stance prompt -> model (distinct
     prompts, mapInPandas) -> reply parsing (variant B) -> stance per
     (party, statement); pairs without posts are neutral."""
     posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
-    out = llm.llm_stance(view(spark, sf, "fx_llm_filtered"), posts, view(spark, sf, "fx_statements"),
+    out = ms.model_stance(view(spark, sf, "fx_model_filtered"), posts, view(spark, sf, "fx_statements"),
                          _grid(spark, sf), rule_stance_completer, num_labels=5, variant="B", limit=LIMIT)
     return out.select("election", "party", "topic", F.col("num_posts").cast("int"), "stance", "parse_status")
 
@@ -372,10 +372,10 @@ JOIN fx_statements k ON k.election = picked.election AND lower(k.topic) = picked
 """, "fx_tweets", "fx_statements")
 
 
-@query("j6_llm_topics", _j6_sql())
-def j6_llm_topics(spark, sf):
+@query("j6_model_topics", _j6_sql())
+def j6_model_topics(spark, sf):
     """Topic prompt per post -> model (distinct prompts) -> reply parsing
     -> topics the statement list knows (C8)."""
     tw = _p2_tweets(spark, sf, emoji=True).select("election", F.col("user_screen_name").alias("party"),
                                                   "tweet_id", "tweet")
-    return llm.llm_topics(tw, view(spark, sf, "fx_statements"), rule_topic_completer)
+    return ms.model_topics(tw, view(spark, sf, "fx_statements"), rule_topic_completer)

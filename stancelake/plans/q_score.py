@@ -64,8 +64,8 @@ FROM res r JOIN known k ON k.election = r.election AND k.topic = r.topic
     return with_views(body, "fx_tweets", "fx_statements")
 
 
-@query("pipeline_text_to_agreement", _pipeline_sql())
-def pipeline_text_to_agreement(spark, sf):
+@query("text_to_agreement", _pipeline_sql())
+def text_to_agreement(spark, sf):
     """Raw posts -> P1 cleaning -> J2 scores per election -> full sweep (dense grid)."""
     tw = _p1_posts(spark, sf)
     st = view(spark, sf, "fx_statements")

@@ -39,12 +39,12 @@ def q3_topic_filter(spark, sf):
 
 
 @query("c2_known_topics", with_views("""
-SELECT f.election, f.party, f.topic, f.tweet_id FROM fx_llm_filtered f
+SELECT f.election, f.party, f.topic, f.tweet_id FROM fx_model_filtered f
 WHERE EXISTS (SELECT 1 FROM fx_statements s WHERE s.election = f.election AND s.topic = f.topic)
-""", "fx_llm_filtered", "fx_statements"))
+""", "fx_model_filtered", "fx_statements"))
 def c2_known_topics(spark, sf):
     """Keep rows whose (election, topic) is in the statement list (semi join)."""
-    return semi(view(spark, sf, "fx_llm_filtered"), view(spark, sf, "fx_statements"), ["election", "topic"])
+    return semi(view(spark, sf, "fx_model_filtered"), view(spark, sf, "fx_statements"), ["election", "topic"])
 
 
 @query("c3_party_filter", with_views(
@@ -79,12 +79,12 @@ def c10_dataset_windows(spark, sf):
 
 
 @query("c9_dropna", with_views("""
-SELECT f.election, f.party, f.topic, f.tweet_id FROM fx_llm_filtered f JOIN fx_scores s
+SELECT f.election, f.party, f.topic, f.tweet_id FROM fx_model_filtered f JOIN fx_scores s
   ON s.election = f.election AND s.screen_name = f.party AND s.topic = f.topic AND s.tweet_id = f.tweet_id
-""", "fx_llm_filtered", "fx_scores"))
+""", "fx_model_filtered", "fx_scores"))
 def c9_dropna(spark, sf):
     """Rows with any null dropped (here: filtered posts without a score)."""
-    f = view(spark, sf, "fx_llm_filtered")
+    f = view(spark, sf, "fx_model_filtered")
     s = view(spark, sf, "fx_scores").select("election", F.col("screen_name").alias("party"), "topic",
                                              "tweet_id", "score_sentence")
     j = f.join(s, ["election", "party", "topic", "tweet_id"], "left").dropna("any")

@@ -12,7 +12,7 @@ non-null inputs to ``concat``, no backslashes in literals, arithmetic only
 * ``fx_scores``: the classifier output in long form (T6) for every post that
   survives the 4-word rule, paired with every statement of its election.
   The two scores are arithmetic stand-ins for model probabilities.
-* ``fx_llm_filtered``: a pseudo-model's topic selection over all posts of an
+* ``fx_model_filtered``: a pseudo-model's topic selection over all posts of an
   election (including the short ones, which have no score row).
 * ``fx_golden``: golden labels for every (party, statement) of an election.
 * ``fx_topic_replies`` / ``fx_stance_replies``: model replies, one per
@@ -63,7 +63,7 @@ FROM fx_tweets t JOIN fx_statements s ON t.election = s.election
 WHERE length(t.tweet) - length(replace(t.tweet, ' ', '')) >= 3
 """
 
-VIEWS["fx_llm_filtered"] = """
+VIEWS["fx_model_filtered"] = """
 SELECT t.election, t.user_screen_name AS party, s.topic, t.tweet_id
 FROM fx_tweets t JOIN fx_statements s ON t.election = s.election
 WHERE ((t.doc_id * 11 + s.topic_ix * 7) % 13) / 13.0e0 >= 0.6e0

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stancelake.operators import llm
+from stancelake.operators import model_steps as ms
 from stancelake.streaming.incremental import resume_todo
 
 
@@ -13,7 +13,7 @@ def test_running_sum_skewed_group(spark):
     # one party holds most rows (hot key), others are small
     rows = [("hot" if rnd.random() < 0.7 else f"p{rnd.randint(0, 5)}", i, rnd.randint(1, 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "party string, t long, v long")
-    got = {(r.party, r.t): r.before for r in llm.running_sum(df, ["party"], ["t"], "v", "before").collect()}
+    got = {(r.party, r.t): r.before for r in ms.running_sum(df, ["party"], ["t"], "v", "before").collect()}
     acc = {}
     for p, t, v in sorted(rows, key=lambda x: (x[0], x[1])):
         assert got[(p, t)] == acc.get(p, 0)
@@ -24,7 +24,7 @@ def test_char_batches_lossless(spark):
     rows = [("E", "p", f"2019-01-{d:02d} 00:00:00", str(d), "x" * 3000) for d in range(1, 21)]
     df = spark.createDataFrame(rows, "election string, party string, created_at string, tweet_id string, tweet string")
     df = df.withColumn("created_at", F.to_timestamp("created_at"))
-    b = {r.tweet_id: r.batch_no for r in llm.char_batches(df).collect()}
+    b = {r.tweet_id: r.batch_no for r in ms.char_batches(df).collect()}
     assert len(b) == 20                                   # nothing lost
     assert b["1"] == 0 and b["4"] == 0 and b["5"] == 1    # 4 * 3003 = 12012 chars before post 5
 
@@ -34,7 +34,7 @@ def test_token_budget_prefix(spark):
     df = spark.createDataFrame(rows, "election string, party string, topic string, tweet_id string, "
                                      "created_at string, tweet string")
     df = df.withColumn("created_at", F.to_timestamp("created_at"))
-    kept = llm.token_budget(df, 40, F.lit(0)).collect()
+    kept = ms.token_budget(df, 40, F.lit(0)).collect()
     # each post: 10 tokens + 3 separator tokens; 3 posts = 36 tokens
     assert sorted(r.tweet_id for r in kept) == ["7", "8", "9"]
 
@@ -47,9 +47,9 @@ def test_complete_distinct_skips_done(spark):
         return [p.upper() for p in prompts]
 
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "prompt string")
-    first = llm.complete_distinct(df, complete).cache()
+    first = ms.complete_distinct(df, complete).cache()
     assert first.count() == 2
-    again = llm.complete_distinct(df, lambda ps: ["x"] * len(ps), done=first)
+    again = ms.complete_distinct(df, lambda ps: ["x"] * len(ps), done=first)
     assert sorted(r.reply for r in again.collect()) == ["A", "B"]
 
 
