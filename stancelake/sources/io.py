@@ -59,8 +59,15 @@ def load_posts(spark: SparkSession, path: str, **partition_filter) -> DataFrame:
 def load_by_topic(spark: SparkSession, path: str) -> DataFrame:
     """A3: a table written partitioned by (..., topic); partition values stay
     strings (ids and topic names are not re-typed)."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.option("basePath", path).parquet(path)
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        df = spark.read.option("basePath", path).parquet(path)   # partitions resolved here
+        df.schema
+    finally:
+        spark.conf.set(key, before)
+    return df
 
 
 def append_results(results: DataFrame, path: str) -> None:
