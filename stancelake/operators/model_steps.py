@@ -48,6 +48,24 @@ def recent_top_n(posts: DataFrame, n: int, group_cols=("election", "party", "top
     return top_n_per_group(posts, group_cols, recency_order(time_col, id_col), n, "recency_rank")
 
 
+def salted_top_n(df: DataFrame, group_cols, order_cols, n: int, id_col: str,
+                 salts: int = 64) -> DataFrame:
+    """Exact top-n per group in two levels, for large n.
+
+    A single ``row_number() <= n`` keeps n rows per group and map task before
+    the shuffle, which for a hot group and many map tasks still sends
+    (tasks x n) rows to one reducer.  Level 1 ranks inside (group, salt) with
+    the salt a hash of the row id, so the hot group is spread over ``salts``
+    reducers; level 2 ranks the at most ``salts x n`` survivors per group.
+    The global top-n is contained in the union of the per-salt top-n.
+    """
+    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts))
+    w1 = Window.partitionBy(*group_cols, salt.alias("__salt")).orderBy(*order_cols)
+    lvl1 = df.withColumn("__r1", F.row_number().over(w1)).filter(F.col("__r1") <= n).drop("__r1")
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return lvl1.withColumn("__r2", F.row_number().over(w2)).filter(F.col("__r2") <= n).drop("__r2")
+
+
 def token_budget(posts: DataFrame, limit: int, overhead: Column,
                  group_cols=("election", "party", "topic"), text_col: str = "tweet",
                  time_col: str = "created_at", id_col: str = "tweet_id",
@@ -56,13 +74,14 @@ def token_budget(posts: DataFrame, limit: int, overhead: Column,
     """the longest most-recent prefix whose prompt fits ``limit`` tokens.
 
     prompt tokens = overhead + sum(post tokens) + 3 per separator.  A post
-    costs at least one token, so at most ``limit`` posts can fit: that bound
-    is applied first as a partial top-N, then the running sum runs over at
-    most ``limit`` rows per group.  ``token_col`` names a precomputed token
+    costs at least one token plus its separator, so at most limit / 4 posts
+    can fit: that bound is applied first as an exact salted top-N (hot groups
+    are split), then the running sum runs over at most that many rows per
+    group.  ``token_col`` names a precomputed token
     count (count once per post, not once per (post, topic) row).
     """
-    bounded = recent_top_n(posts, limit, group_cols, time_col, id_col)
     sep = len(token_count_py(P.SEPARATOR))
+    bounded = salted_top_n(posts, group_cols, recency_order(time_col, id_col), limit // (1 + sep), id_col)
     n_tok = F.col(token_col) if token_col else tokens(F.col(text_col))
     cost = n_tok + F.lit(sep)
     w = (Window.partitionBy(*group_cols).orderBy(*recency_order(time_col, id_col))
