@@ -13,7 +13,8 @@ non-null inputs to ``concat``, no backslashes in literals, arithmetic only
   survives the 4-word rule, paired with every statement of its election.
   The two scores are arithmetic stand-ins for model probabilities.
 * ``fx_model_filtered``: a pseudo-model's topic selection over all posts of an
-  election (including the short ones, which have no score row).
+  election (including the short ones, which have no score row): a pair is
+  selected when the pseudo-model's topic probability reaches 0.6.
 * ``fx_golden``: golden labels for every (party, statement) of an election.
 * ``fx_topic_replies`` / ``fx_stance_replies``: model replies, one per
   conversation turn, covering every parsing branch.
@@ -43,7 +44,7 @@ SELECT cast(doc_id AS varchar(20)) AS tweet_id, doc_id, source AS user_screen_na
   CASE doc_id % 7
     WHEN 0 THEN concat('RT @aa @bb: ', text)
     WHEN 1 THEN concat('@élu @x_y ', text, ' #Été2019 fin')
-    WHEN 2 THEN concat(substr(text, 1, 60), ' https://t.co/ab lost words', chr(10), 'kept next line')
+    WHEN 2 THEN concat(text, ' https://t.co/ab lost words', chr(10), 'kept next line')
     WHEN 3 THEN concat('x &gt; y &lt; z ++ a &amp; b ', text)
     WHEN 4 THEN concat('漢字 🙏 ', text)
     WHEN 5 THEN 'too short'
@@ -64,9 +65,11 @@ WHERE length(t.tweet) - length(replace(t.tweet, ' ', '')) >= 3
 """
 
 VIEWS["fx_model_filtered"] = """
-SELECT t.election, t.user_screen_name AS party, s.topic, t.tweet_id
-FROM fx_tweets t JOIN fx_statements s ON t.election = s.election
-WHERE ((t.doc_id * 11 + s.topic_ix * 7) % 13) / 13.0e0 >= 0.6e0
+SELECT election, party, topic, tweet_id FROM (
+  SELECT t.election, t.user_screen_name AS party, s.topic, t.tweet_id,
+    ((t.doc_id * 11 + s.topic_ix * 7) % 13) / 13.0e0 AS p_topic
+  FROM fx_tweets t JOIN fx_statements s ON t.election = s.election)
+WHERE p_topic >= 0.6e0
 """
 
 VIEWS["fx_golden"] = """
