@@ -122,8 +122,8 @@ EXCLUDED_PARTIES = ("src3", "src7")
 
 _REGISTERED: dict[int, str] = {}
 
-# Tables whose rows carry long texts: per-row work on them is heavy.
-TEXT_TABLES = ("documents", "pages", "conversations")
+# Tables whose rows carry long texts or feed per-row heavy work.
+TEXT_TABLES = ("documents", "pages", "conversations", "fx_tweets", "fx_scores", "fx_model_filtered")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -161,7 +161,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     for name in VIEW_ORDER:
         path = f"{base}/{name}"
         spark.sql(VIEWS[name]).write.mode("overwrite").parquet(path)
-        spark.read.parquet(path).createOrReplaceTempView(name)
+        df = spark.read.parquet(path)
+        (spread(df) if name in TEXT_TABLES else df).createOrReplaceTempView(name)
     _REGISTERED[key] = sf_dir
 
 
