@@ -206,19 +206,27 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def nearest_prototype(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_id",
-                      vec_col: str = "embedding", max_labels: int = 100_000) -> DataFrame:
+                      vec_col: str = "embedding", max_values: int = 1_000_000, keep=()) -> DataFrame:
     """The prototype with the highest cosine for every vector (ties to the
-    lowest label), map-only: the prototype matrix is a single size-checked row
-    broadcast next to every vector, so no (vector, label) rows are formed."""
-    if protos.limit(max_labels + 1).count() > max_labels:
-        raise ValueError("too many prototypes to broadcast")
-    matrix = (protos.agg(F.collect_list(F.struct("proto_label", "p", "pn")).alias("protos"))
-              .withColumn("__k", F.lit(0)))
-    v = vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).withColumn(
-        "vn", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))).withColumn("__k", F.lit(0))
-    j = v.join(F.broadcast(matrix), "__k")
-    cands = F.transform("protos", lambda q: F.struct(
+    lowest label), map-only.
+
+    The prototype matrix (labels x dims, size-checked) becomes one constant
+    column, so every task holds it like a broadcast and each vector computes
+    all its cosines in one array expression: no join, no (vector, label) rows.
+    """
+    import json
+    shape = protos.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("p")).alias("d")).first()
+    if (shape["k"] or 0) * (shape["d"] or 0) > max_values:
+        raise ValueError("prototype matrix too large to ship to every task")
+    rows = [{"proto_label": r["proto_label"], "p": list(r["p"]), "pn": r["pn"]}
+            for r in protos.select("proto_label", "p", "pn").collect()]        # bounded just above
+    lab_type = dict(protos.dtypes)["proto_label"]
+    matrix = F.from_json(F.lit(json.dumps(rows)),
+                         f"array<struct<proto_label:{lab_type},p:array<double>,pn:double>>")
+    v = vectors.select(id_col, *keep, F.col(vec_col).cast("array<double>").alias("v")).withColumn(
+        "vn", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
+    cands = F.transform(matrix, lambda q: F.struct(
         (_dot(F.col("v"), q["p"]) / (F.col("vn") * q["pn"])).alias("cosine"),
         (-q["proto_label"]).alias("neg")))
     best = F.array_max(cands)
-    return j.select(id_col, (-best["neg"]).alias("pred_label"), best["cosine"].alias("cosine"))
+    return v.select(id_col, *keep, (-best["neg"]).alias("pred_label"), best["cosine"].alias("cosine"))

@@ -210,6 +210,5 @@ FROM best b JOIN embeddings e ON e.vec_id = b.vec_id WHERE b.rn = 1
 def j3_prototype_cosine(spark, sf):
     """Nearest label prototype (element-wise mean vector) by cosine."""
     e = table(spark, sf, "embeddings")
-    best = score.nearest_prototype(e.select("vec_id", "label", "embedding"), score.prototypes(e))
-    return (e.select("vec_id", "label").join(best, "vec_id")
-            .select("vec_id", "label", "pred_label", F.round("cosine", 6).alias("cosine")))
+    best = score.nearest_prototype(e, score.prototypes(e), keep=["label"])
+    return best.select("vec_id", "label", "pred_label", F.round("cosine", 6).alias("cosine"))
