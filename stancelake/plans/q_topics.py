@@ -133,10 +133,10 @@ SELECT election, model, regexp_extract(model, '[^/]*$', 0) AS short_model,
   CASE WHEN contains(model, 'DeBERTa') THEN '{{}}' WHEN contains(model, 'bart') THEN 'This text is about {{}}.'
        ELSE 'This example is {{}}.' END AS template,
   dataset, suffix, algorithm, regexp_extract(algorithm, '_4_min_num_tweets_([0-9])', 1) AS min_posts
-FROM (SELECT election, unnest([{models}]) AS model FROM fx_calendar)
-JOIN (SELECT unnest([{ds}]) AS dataset) ON true
-JOIN (SELECT unnest([{sx}]) AS suffix) ON true
-JOIN (SELECT unnest([{al}]) AS algorithm) ON true
+FROM (SELECT election, model, dataset, suffix, unnest([{al}]) AS algorithm FROM
+       (SELECT election, model, dataset, unnest([{sx}]) AS suffix FROM
+         (SELECT election, model, unnest([{ds}]) AS dataset FROM
+           (SELECT election, unnest([{models}]) AS model FROM fx_calendar))))
 WHERE suffix = '' OR contains(model, 'covid')
 """, "fx_calendar")
 
