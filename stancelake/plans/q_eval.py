@@ -13,10 +13,11 @@ from .q_agreement import KEYS, sweep_select
 from .registry import query
 
 BEST_THRESHOLD = 0.6
-METHODS = (  # (name, kind, algorithm)
-    ("T2S algorithm_4 min 3", "t2s", "algorithm_4_min_num_tweets_3"),
-    ("T2S algorithm_3", "t2s", "algorithm_3"),
-    ("model-filtered + T2S stance detector", "hybrid", "algorithm_4_min_num_tweets_3"),
+METHODS = (  # (name, kind, algorithm, number of labels)
+    ("T2S algorithm_4 min 3", "t2s", "algorithm_4_min_num_tweets_3", 5),
+    ("T2S algorithm_3", "t2s", "algorithm_3", 5),
+    ("model-filtered + T2S stance detector", "hybrid", "algorithm_4_min_num_tweets_3", 5),
+    ("T2S filtered + model stance, 3 labels", "stance3", None, 3),
 )
 _EXCL = ", ".join(S.lit(p) for p in EXCLUDED_PARTIES)
 
@@ -48,8 +49,22 @@ def hybrid_results(spark, sf):
                     F.col("stance").alias("Stance")))
 
 
+def stance_results(spark, sf, num_labels):
+    from .q_models import model_stance_table
+    t = model_stance_table(spark, sf, num_labels)
+    lookup = small(first_sentence_per_topic(view(spark, sf, "fx_statements")))
+    return (t.join(lookup, ["election", "topic"])
+            .select(F.col("election").alias("VAA"), F.col("party").alias("Party"),
+                    F.col("topic").alias("Topic"), F.col("sentence").alias("Sentence"),
+                    F.col("stance").alias("Stance")))
+
+
 def method_results(spark, sf, kind, algorithm):
-    return t2s_results(spark, sf, algorithm) if kind == "t2s" else hybrid_results(spark, sf)
+    if kind == "t2s":
+        return t2s_results(spark, sf, algorithm)
+    if kind == "hybrid":
+        return hybrid_results(spark, sf)
+    return stance_results(spark, sf, 3)
 
 
 def golden(spark, sf):
@@ -62,9 +77,9 @@ def golden(spark, sf):
 def all_pairs(spark, sf):
     gold = golden(spark, sf)
     out = None
-    for name, kind, alg in METHODS:
-        r = evaluate.prepare_results(method_results(spark, sf, kind, alg), 5)
-        p = evaluate.pairs_for_metrics(evaluate.join_golden(r, gold), name, 5)
+    for name, kind, alg, k in METHODS:
+        r = evaluate.prepare_results(method_results(spark, sf, kind, alg), k)
+        p = evaluate.pairs_for_metrics(evaluate.join_golden(r, gold), name, k)
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -93,8 +108,10 @@ def _results_select(kind, algorithm) -> str:
     if kind == "t2s":
         return (f"SELECT election AS VAA, screen_name AS Party, topic AS Topic, sentence AS Sentence, "
                 f"agreement_level AS Stance FROM ({sweep_select([algorithm], [BEST_THRESHOLD])})")
+    from .q_models import j7_body
+    inner = _hybrid_select() if kind == "hybrid" else j7_body(3)
     return (f"SELECT h.election AS VAA, h.party AS Party, h.topic AS Topic, k.sentence AS Sentence, "
-            f"h.stance AS Stance FROM ({_hybrid_select()}) h "
+            f"h.stance AS Stance FROM ({inner}) h "
             f"JOIN ({S.known_topics_cte()}) k ON k.election = h.election AND k.topic = h.topic")
 
 
@@ -105,9 +122,14 @@ _GOLD_SQL = (f"SELECT VAA, Party, statement, golden_label, "
 
 def _pairs_sql() -> str:
     parts = []
-    for name, kind, alg in METHODS:
+    for name, kind, alg, k in METHODS:
         r = f"(SELECT DISTINCT * FROM ({_results_select(kind, alg)}))"
         j = (f"{r} r JOIN ({_GOLD_SQL}) g ON g.VAA = r.VAA AND g.Party = r.Party AND g.statement = r.Sentence")
+        if k == 3:
+            cal = "CASE WHEN r.Stance = 4 THEN 3 WHEN r.Stance = 3 THEN 2 WHEN r.Stance = 2 THEN 1 END"
+            parts.append(f"SELECT {S.lit(name)} AS Method, 'l3_cal' AS scale, r.VAA, g.golden_label_three AS gold, "
+                         f"{cal} AS pred FROM {j}")
+            continue
         der = "CASE WHEN r.Stance IN (1, 2) THEN 1 WHEN r.Stance = 3 THEN 2 ELSE 3 END"
         parts.append(f"SELECT {S.lit(name)} AS Method, 'l5' AS scale, r.VAA, g.golden_label AS gold, "
                      f"r.Stance AS pred FROM {j}")

@@ -278,14 +278,26 @@ for _v, _name in (("A", "i8_stance_a"), ("B", "i9_stance_b")):
 _CANON = list(STANCE_TO_INT)          # canonical stance words in scale order
 
 
-def rule_stance_completer(prompts):
+def _words(num_labels: int):
+    return _CANON if num_labels == 5 else ["disagree", NEUTRAL, "agree"]
+
+
+def rule_stance_completer_for(num_labels: int = 5):
     """Deterministic stand-in for a stance model: the answer depends only on
     the prompt length (every 7th is a refused call)."""
-    out = []
-    for p in prompts:
-        n = len(p)
-        out.append("Bad Request" if n % 7 == 0 else '{"stance": "%s", "statement": "s"}' % _CANON[n % 5])
-    return out
+    words = _words(num_labels)
+
+    def complete(prompts):
+        out = []
+        for p in prompts:
+            n = len(p)
+            out.append("Bad Request" if n % 7 == 0 else
+                       '{"stance": "%s", "statement": "s"}' % words[n % len(words)])
+        return out
+    return complete
+
+
+rule_stance_completer = rule_stance_completer_for(5)
 
 
 def rule_topic_completer(prompts):
@@ -311,9 +323,10 @@ def _grid(spark, sf):
             .distinct().join(st, "election"))
 
 
-_BUDGET = f"""
+def _budget(num_labels: int = 5) -> str:
+    return f"""
 c AS (SELECT fp.*, s.sentence, {_tok_sql('fp.tweet')} + 3 AS cost,
-        {_tok_sql(_stance_prompt_sql("''", 's.sentence'))} AS overhead
+        {_tok_sql(_stance_prompt_sql("''", 's.sentence', num_labels))} AS overhead
       FROM ({_FP}) fp JOIN fx_statements s ON s.election = fp.election AND s.topic = fp.topic),
 r AS (SELECT *, sum(cost) OVER (PARTITION BY election, party, topic ORDER BY created_at DESC, tweet_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 3 + overhead AS prompt_tokens FROM c),
@@ -323,13 +336,16 @@ j AS (SELECT election, party, topic, any_value(sentence) AS sentence, CAST(count
       FROM fit GROUP BY election, party, topic)"""
 
 
-def _j7_sql():
-    prompt = _stance_prompt_sql("j.posts_joined", "j.sentence")
-    words = ", ".join(S.lit(w) for w in _CANON)
+def j7_body(num_labels: int = 5) -> str:
+    """DuckDB body (own CTEs, fixture views outside) of the model stance job."""
+    prompt = _stance_prompt_sql("j.posts_joined", "j.sentence", num_labels)
+    words = _words(num_labels)
+    arr = ", ".join(S.lit(w) for w in words)
     reply = (f"CASE WHEN length({prompt}) % 7 = 0 THEN 'Bad Request' ELSE "
-             f"concat('{{\"stance\": \"', [{words}][length({prompt}) % 5 + 1], '\", \"statement\": \"s\"}}') END")
-    return with_views(f"""
-WITH {_BUDGET},
+             f"concat('{{\"stance\": \"', [{arr}][length({prompt}) % {len(words)} + 1], "
+             f"'\", \"statement\": \"s\"}}') END")
+    return f"""
+WITH {_budget(num_labels)},
 rep AS (SELECT election, party, topic, num_posts, {reply} AS reply FROM j),
 grid AS (SELECT DISTINCT t.election, t.user_screen_name AS party, s.topic FROM fx_tweets t
          JOIN fx_statements s ON s.election = t.election)
@@ -340,7 +356,19 @@ SELECT g.election, g.party, g.topic, coalesce(r.num_posts, 0) AS num_posts,
   CASE WHEN r.reply IS NULL THEN 'no_posts' WHEN r.reply = 'Bad Request' THEN 'unparsed' ELSE 'json' END
     AS parse_status
 FROM grid g LEFT JOIN rep r ON r.election = g.election AND r.party = g.party AND r.topic = g.topic
-""", *_V)
+"""
+
+
+def _j7_sql():
+    return with_views(j7_body(5), *_V)
+
+
+def model_stance_table(spark, sf, num_labels: int = 5):
+    posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
+    out = ms.model_stance(view(spark, sf, "fx_model_filtered"), posts, view(spark, sf, "fx_statements"),
+                          _grid(spark, sf), rule_stance_completer_for(num_labels), num_labels=num_labels,
+                          variant="B", limit=LIMIT)
+    return out.select("election", "party", "topic", F.col("num_posts").cast("int"), "stance", "parse_status")
 
 
 @query("j7_model_stance", _j7_sql())
@@ -348,10 +376,7 @@ def j7_model_stance(spark, sf):
     """Token budget -> joined posts -> stance prompt -> model (distinct
     prompts, mapInPandas) -> reply parsing (variant B) -> stance per
     (party, statement); pairs without posts are neutral."""
-    posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
-    out = ms.model_stance(view(spark, sf, "fx_model_filtered"), posts, view(spark, sf, "fx_statements"),
-                         _grid(spark, sf), rule_stance_completer, num_labels=5, variant="B", limit=LIMIT)
-    return out.select("election", "party", "topic", F.col("num_posts").cast("int"), "stance", "parse_status")
+    return model_stance_table(spark, sf, 5)
 
 
 def _j6_sql():
