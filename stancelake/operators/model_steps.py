@@ -167,9 +167,13 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
                       done: DataFrame | None = None) -> DataFrame:
     """J6/J7 core: call the model once per distinct prompt not yet answered.
 
-    Returns (prompt_md5, reply).  ``done`` is the replies table of earlier
-    runs (same columns); its prompts are skipped (K1) and its rows kept.
+    Returns (prompt_md5, reply, seconds).  ``done`` is the replies table of
+    earlier runs (same columns); its prompts are skipped (K1) and its rows
+    kept.  ``seconds`` is the model time per prompt (batch time / batch size)
+    for the progress report (E17, see ``call_stats``).
     """
+    import time
+
     keyed = prompts.select(F.md5(F.col(prompt_col)).alias("prompt_md5"), F.col(prompt_col).alias("prompt"))
     todo = keyed.dropDuplicates(["prompt_md5"])
     if done is not None:
@@ -177,11 +181,25 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
 
     def run(batches):
         for pdf in batches:
+            t0 = time.perf_counter()
             replies = complete(pdf["prompt"].tolist()) if len(pdf) else []
-            yield pd.DataFrame({"prompt_md5": pdf["prompt_md5"], "reply": list(replies)})
-
-    fresh = todo.mapInPandas(run, "prompt_md5 string, reply string")
-    return fresh if done is None else fresh.unionByName(done.select("prompt_md5", "reply"))
+            per = (time.perf_counter() - t0) / max(len(pdf), 1)
+            yield pd.DataFrame({"prompt_md5": pdf["prompt_md5"], "reply": list(replies),
+                                "seconds": [per] * len(pdf)})
+
+    fresh = todo.mapInPandas(run, "prompt_md5 string, reply string, seconds double")
+    if done is None:
+        return fresh
+    old = done.select("prompt_md5", "reply",
+                      (F.col("seconds") if "seconds" in done.columns else F.lit(None).cast("double")).alias("seconds"))
+    return fresh.unionByName(old)
+
+
+def call_stats(replies: DataFrame) -> DataFrame:
+    """Number of model calls, refused calls and mean seconds per call."""
+    return replies.agg(F.count(F.lit(1)).alias("calls"),
+                       F.count_if(F.col("reply") == "Bad Request").alias("refused"),
+                       F.avg("seconds").alias("avg_seconds"))
 
 
 def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,

@@ -90,3 +90,10 @@ def test_nearest_prototype(spark):
                               "vec_id int, label int, embedding array<double>")
     best = {r.vec_id: r.pred_label for r in SC.nearest_prototype(v, SC.prototypes(v)).collect()}
     assert best == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_call_stats(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "prompt string")
+    rep = ms.complete_distinct(df, lambda ps: ["Bad Request" if p == "a" else "ok" for p in ps])
+    st = ms.call_stats(rep).first()
+    assert st.calls == 3 and st.refused == 1 and st.avg_seconds >= 0
