@@ -45,12 +45,15 @@ def status_of_error(err) -> Column:
 
 
 def translate(posts: DataFrame, translator: Translator, memory: DataFrame | None = None,
-              text_col: str = "tweet", lang_col: str = "lang", target: str = "en") -> tuple[DataFrame, DataFrame]:
+              text_col: str = "tweet", lang_col: str = "lang", target: str = "en",
+              retries: int = 10, retry_sleep_s: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """J4.  Returns (translated posts, new memory rows).
 
     Output columns: the input columns with ``tweet`` replaced by the English
     text, ``original_tweet`` (B1) and ``translation_status`` in
-    {copied, empty, too_long, memory, ok, error, rate_limited}.
+    {copied, empty, too_long, memory, ok, error, rate_limited}.  A failing
+    text is retried ``retries`` more times (11 attempts by default) before it
+    gets an error status; the run goes on either way.
     """
     if target not in LANGUAGES:
         raise ValueError(f"unknown target language {target}")
@@ -74,7 +77,16 @@ def translate(posts: DataFrame, translator: Translator, memory: DataFrame | None
             return list(translator(texts, lang)), [None] * len(texts)
         except Exception as e:  # noqa: BLE001 - status column instead of aborting
             if len(texts) == 1:
-                return [None], [str(e)[:500]]
+                import time
+                err = str(e)[:500]
+                for _ in range(retries):
+                    if retry_sleep_s:
+                        time.sleep(retry_sleep_s)
+                    try:
+                        return list(translator(texts, lang)), [None]
+                    except Exception as e2:  # noqa: BLE001
+                        err = str(e2)[:500]
+                return [None], [err]
             outs, errs = [], []
             for t1 in texts:                     # isolate the failing text
                 o, er = one([t1], lang)
