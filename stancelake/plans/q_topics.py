@@ -260,3 +260,13 @@ def k1_resume_anti(spark, sf):
     p = T.clean_posts(view(spark, sf, "fx_tweets"), "P1")
     done = p.filter(F.col("created_at") < F.lit("2019-04-01 00:00:00").cast("timestamp")).select("tweet_id")
     return anti(p, done, ["tweet_id"]).select("tweet_id")
+
+
+@query("b5_normalize_topic", with_views("""
+SELECT topic, replace(concat(topic, ' or ', election), ' or ', '/') AS normalized FROM fx_statements
+""", "fx_statements"))
+def b5_normalize_topic(spark, sf):
+    """A path-safe topic name ('a or b', as stored by file-per-topic
+    writers) mapped back to the statement topic ('a/b')."""
+    st = view(spark, sf, "fx_statements")
+    return st.select("topic", topics.normalize_topic(F.concat("topic", F.lit(" or "), "election")).alias("normalized"))
