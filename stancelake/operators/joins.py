@@ -38,16 +38,10 @@ def anti(df: DataFrame, keys_df: DataFrame, on) -> DataFrame:
 
 
 def exclude_parties(df: DataFrame, parties, col: str = "party") -> DataFrame:
-    """C4 on a fixed exclusion list (broadcast literal table)."""
-    spark = df.sparkSession
-    excl = spark.createDataFrame([(p,) for p in parties], f"{col} string")
-    return df.join(F.broadcast(excl), on=col, how="left_anti")
-
-
-def dense_grid(keys_df: DataFrame, thresholds) -> DataFrame:
-    """Every key row once per threshold (explode of a literal array)."""
-    arr = F.array(*[F.lit(float(t)) for t in thresholds])
-    return keys_df.withColumn("threshold_topic", F.explode(arr))
+    """C4 on a fixed exclusion list: a NOT IN predicate (pushed to the scan)
+    with anti-join semantics for null keys (kept)."""
+    c = F.col(col)
+    return df.filter(c.isNull() | ~c.isin(*parties))
 
 
 def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int,

@@ -42,3 +42,24 @@ def test_nan_scores_become_null(spark):
     df = spark.createDataFrame([(float("nan"), 0.5)], "score_topic double, score_sentence double")
     r = io.nan_to_null(df, ["score_topic"]).first()
     assert r.score_topic is None and r.score_sentence == 0.5
+
+
+def test_scores_partition_filter(spark):
+    d = tempfile.mkdtemp(prefix="scores-")
+    df = spark.createDataFrame([("GB19", "m", "D3", "1", 0.5, float("nan")), ("CA19", "m", "D3", "2", 0.7, 0.1)],
+                               "election string, model string, dataset string, tweet_id string, "
+                               "score_topic double, score_sentence double")
+    io.write_table(df, d + "/s", partition_cols=("election", "model", "dataset"))
+    got = io.load_scores(spark, d + "/s", election="GB19", dataset="D3").collect()
+    assert len(got) == 1 and got[0].tweet_id == "1" and got[0].score_sentence is None
+
+
+def test_detect_language_separate_profile(spark):
+    from stancelake.operators import translate as TR
+    from stancelake.sources.fixtures import table
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    prof = TR.language_profile(docs, "text", "lang")
+    pred = TR.detect_language(docs, prof, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    n = pred.count()
+    hit = pred.filter(F.col("predicted_lang") == F.col("lang")).count()
+    assert n == docs.count() and hit / n > 0.95
