@@ -58,7 +58,7 @@ def c3_party_filter(spark, sf):
     f"SELECT tweet_id, user_screen_name AS party FROM fx_tweets WHERE user_screen_name NOT IN ({_EXCL})",
     "fx_tweets"))
 def c4_exclude_parties(spark, sf):
-    """C4: drop the excluded parties (anti join on a broadcast list)."""
+    """C4: drop the excluded parties (NOT IN predicate pushed to the scan)."""
     t = view(spark, sf, "fx_tweets").select("tweet_id", F.col("user_screen_name").alias("party"))
     return exclude_parties(t, EXCLUDED_PARTIES, col="party")
 
