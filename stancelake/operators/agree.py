@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import (ALGORITHMS, TOPIC_THRESHOLDS, half_even, label4,
-                                label5, missing, parse_algorithm,
-                                remap_algorithm4)
+from ..functions.labels import (ALGORITHMS, FINAL_THRESHOLDS_5, TOPIC_THRESHOLDS, label4,
+                                label5, missing, parse_algorithm)
 from .joins import first_sentence_per_topic, small
 
 DEFAULT_KEYS = ("election", "screen_name", "topic")
@@ -70,8 +69,7 @@ def threshold_counts(scores: DataFrame, keys=DEFAULT_KEYS, thresholds=TOPIC_THRE
     bands = band_counts(scores, keys, ts, **cols)
     ix = F.explode(F.sequence(F.lit(1), F.lit(len(ts)))).alias("ix")
     per = bands.select(*keys, "band", *STAT_COLS, ix)
-    reached = F.col("ix") <= F.col("band")
-    sums = [F.sum(F.when(reached, F.col(c)).otherwise(F.lit(0))).alias(c) for c in STAT_COLS]
+    sums = [F.expr(f"sum(CASE WHEN ix <= band THEN {c} ELSE 0 END)").alias(c) for c in STAT_COLS]
     totals = per.groupBy(*keys, "ix").agg(*sums)
     thr = F.element_at(F.array(*[F.lit(t) for t in ts]), F.col("ix"))
     totals = totals.withColumn("threshold_topic", thr).drop("ix")
@@ -83,47 +81,56 @@ def threshold_counts(scores: DataFrame, keys=DEFAULT_KEYS, thresholds=TOPIC_THRE
     return totals
 
 
-def _majority(prefix: str, labels: range, s: str) -> Column:
+# The per-algorithm projections are written as SQL expression text: one
+# JVM call per algorithm instead of hundreds of small Column calls.
+
+def _bucket_sql(x: str, thresholds) -> str:
+    parts = " ".join(f"WHEN {x} >= {float(t)!r}D THEN {i + 2}"
+                     for i, t in reversed(list(enumerate(sorted(thresholds)))))
+    return f"CAST(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 {parts} ELSE 1 END AS INT)"
+
+
+def _majority_sql(prefix: str, labels, s: str) -> str:
     """The single most frequent label, else half-even mean of all labels."""
-    counts = [F.col(f"{prefix}{k}") for k in labels]
-    top = F.greatest(*counts)
-    n_top = sum((F.when(c == top, 1).otherwise(0) for c in counts), F.lit(0))
-    winner = F.coalesce(*[F.when(F.col(f"{prefix}{k}") == top, F.lit(k)) for k in labels])
-    mean = half_even(F.col(s) / F.col("n"))
-    return F.when(n_top == 1, winner).otherwise(mean).cast("int")
+    counts = [f"{prefix}{k}" for k in labels]
+    top = f"greatest({', '.join(counts)})"
+    n_top = " + ".join(f"CAST({c} = {top} AS INT)" for c in counts)
+    winner = "CASE " + " ".join(f"WHEN {c} = {top} THEN {k}" for k, c in zip(labels, counts)) + " END"
+    return f"CAST(CASE WHEN {n_top} = 1 THEN {winner} ELSE bround({s} / n, 0) END AS INT)"
 
 
-def algorithm_columns(name: str) -> tuple[Column, Column]:
-    """(avg_agreement, agreement_level) of one algorithm over the totals."""
+def algorithm_sql(name: str) -> tuple[str, str]:
+    """(avg_agreement, agreement_level) SQL of one algorithm over the totals."""
     k, min_posts = parse_algorithm(name)
-    n = F.col("n")
-    none = F.lit(None).cast("double")
     if k == 1:
         # A missing sentence score makes the weighted mean undefined (NaN in
-        # the reference), which buckets to label 1.
-        ok = (n > 0) & (F.col("nv") == 0)
-        avg = F.round(F.col("svw") / F.col("sw"), 12)   # summation order cannot flip a label
-        level = F.when(ok, label5(avg)).when(n > 0, F.lit(1)).otherwise(NEUTRAL_LEVEL)
-        return F.when(ok, avg).otherwise(none), level
+        # the reference), which buckets to label 1.  Rounded to 12 digits so
+        # summation order cannot flip a label.
+        avg = "round(svw / sw, 12)"
+        ok = "n > 0 AND nv = 0"
+        level = (f"CASE WHEN {ok} THEN {_bucket_sql(avg, FINAL_THRESHOLDS_5)} "
+                 f"WHEN n > 0 THEN 1 ELSE {NEUTRAL_LEVEL} END")
+        return f"CASE WHEN {ok} THEN {avg} END", level
     if k == 2:
-        level = half_even(F.col("s5") / n)
+        level = "CAST(bround(s5 / n, 0) AS INT)"
     elif k == 3:
-        level = _majority("c5_", range(1, 6), "s5")
+        level = _majority_sql("c5_", range(1, 6), "s5")
     else:
-        level = remap_algorithm4(_majority("c4_", range(1, 5), "s4"))
-        level = F.when(n < min_posts, F.lit(NEUTRAL_LEVEL)).otherwise(level)
-    return none, F.when(n > 0, level).otherwise(NEUTRAL_LEVEL).cast("int")
+        m = _majority_sql("c4_", range(1, 5), "s4")
+        level = (f"CASE WHEN n < {min_posts} THEN {NEUTRAL_LEVEL} "
+                 f"ELSE (CASE WHEN {m} = 3 THEN 4 WHEN {m} = 4 THEN 5 ELSE {m} END) END")
+    return "CAST(NULL AS DOUBLE)", f"CASE WHEN n > 0 THEN {level} ELSE {NEUTRAL_LEVEL} END"
 
 
 def apply_algorithms(totals: DataFrame, keys, algorithms=ALGORITHMS) -> DataFrame:
     """Step 3: one row per algorithm; pure projection, no shuffle."""
-    rows = []
+    structs = []
     for name in algorithms:
-        avg, level = algorithm_columns(name)
-        rows.append(F.struct(F.lit(name).alias("algorithm"), avg.alias("avg_agreement"),
-                             level.cast("int").alias("agreement_level")))
+        avg, level = algorithm_sql(name)
+        structs.append(f"named_struct('algorithm', '{name}', 'avg_agreement', CAST({avg} AS DOUBLE), "
+                       f"'agreement_level', CAST({level} AS INT))")
     out = totals.select(*keys, "threshold_topic", F.col("n").alias("num_tweets"),
-                        F.explode(F.array(*rows)).alias("r"))
+                        F.explode(F.expr(f"array({', '.join(structs)})")).alias("r"))
     return out.select(*keys, "r.algorithm", "threshold_topic", "r.avg_agreement",
                       "r.agreement_level", "num_tweets")
 
@@ -178,8 +185,9 @@ def hybrid_agreement(filtered: DataFrame, scores: DataFrame, grid: DataFrame,
     agg = (joined.groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("n"), F.sum(l4).alias("s4"),
                 *[F.count_if(l4 == k).alias(f"c4_{k}") for k in range(1, 5)]))
-    level = remap_algorithm4(_majority("c4_", range(1, 5), "s4"))
-    level = F.when(F.col("n") < min_posts, F.lit(NEUTRAL_LEVEL)).otherwise(level)
+    m = _majority_sql("c4_", range(1, 5), "s4")
+    level = F.expr(f"CASE WHEN n < {int(min_posts)} THEN {NEUTRAL_LEVEL} "
+                   f"ELSE (CASE WHEN {m} = 3 THEN 4 WHEN {m} = 4 THEN 5 ELSE {m} END) END")
     res = agg.select(*keys, F.col("n").alias("num_tweets"), level.alias("stance"))
     out = grid.select(*keys).distinct().join(res, on=list(keys), how="left")
     return out.select(*keys, F.coalesce("num_tweets", F.lit(0)).alias("num_tweets"),
