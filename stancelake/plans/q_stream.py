@@ -39,3 +39,28 @@ def k3_stream_counts(spark, sf):
     loc = _landed(spark, sf, "k3")
     K.run_party_counts(spark, loc["landing"], loc["out"], loc["checkpoint"])
     return spark.read.parquet(loc["out"]).select("election", "party", "num_posts")
+
+
+def _scores_sql():
+    return with_views(f"""
+WITH tw AS (SELECT election, user_screen_name AS screen_name, tweet_id, tweet FROM
+            (SELECT election, user_screen_name, tweet_id, {S.clean_p1('tweet')} AS tweet FROM fx_tweets)
+            WHERE tweet <> '' AND {S.h17('tweet')} >= 4),
+l AS (SELECT election, topic, len(tk) AS n, unnest(tk) AS token
+      FROM (SELECT election, topic, {S.tokens('sentence')} AS tk FROM fx_statements)),
+p AS (SELECT election, screen_name, tweet_id, unnest({S.tokens('tweet')}) AS token FROM tw)
+SELECT p.election, p.screen_name, p.tweet_id, l.topic, round(count(*) / any_value(l.n), 6) AS score
+FROM p JOIN l ON p.election = l.election AND p.token = l.token
+GROUP BY p.election, p.screen_name, p.tweet_id, l.topic
+""", "fx_tweets", "fx_statements")
+
+
+@query("k2_stream_scores", _scores_sql())
+def k2_stream_scores(spark, sf):
+    """K2 with scoring per micro-batch (idempotent batch outputs): the
+    streamed scores equal the batch lexical scores of the cleaned posts."""
+    loc = _landed(spark, sf, "k2s")
+    labels = view(spark, sf, "fx_statements").select("election", "topic", F.col("sentence").alias("label_text"))
+    K.run_score_stream(spark, loc["landing"], labels, loc["out"], loc["checkpoint"])
+    s = spark.read.parquet(loc["out"])
+    return s.select("election", "screen_name", "tweet_id", "topic", F.round("score", 6).alias("score"))

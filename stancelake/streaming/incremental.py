@@ -51,6 +51,25 @@ def run_clean_stream(spark: SparkSession, landing: str, out: str, checkpoint: st
     return {"batches": len(q.recentProgress), "observed": progress.get("observedMetrics", {})}
 
 
+def run_score_stream(spark: SparkSession, landing: str, labels: DataFrame, out: str, checkpoint: str,
+                     profile: str = "P1") -> None:
+    """K2 with scoring: each micro-batch of cleaned, de-duplicated posts is
+    scored against the statements of its election (J2) and written under
+    ``out/batch=<id>`` with overwrite, so a replayed batch after a failure
+    replaces its own output (idempotent sink)."""
+    from ..operators.score import lexical_scores
+
+    def score_batch(batch: DataFrame, epoch: int) -> None:
+        posts = batch.select("election", F.col("user_screen_name").alias("screen_name"), "tweet_id", "tweet")
+        sc = lexical_scores(posts, labels, ["screen_name", "tweet_id"], ["topic"], post_text="tweet",
+                            on=["election"])
+        sc.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    q = (cleaned_post_stream(spark, landing, profile=profile).writeStream.foreachBatch(score_batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def run_party_counts(spark: SparkSession, landing: str, out: str, checkpoint: str,
                      profile: str = "P1") -> None:
     """K3: posts per (election, party), kept current as files arrive."""
