@@ -34,8 +34,9 @@ Completer = Callable[[list[str]], list[str]]
 
 
 def token_count(c) -> Column:
+    """J8 default: number of word / punctuation tokens (counted, not materialized)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.size(F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0))
+    return F.regexp_count(c, F.lit(TOKEN_PATTERN))
 
 
 def recency_order(time_col: str = "created_at", id_col: str = "tweet_id"):

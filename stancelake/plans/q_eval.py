@@ -76,9 +76,19 @@ def golden(spark, sf):
 
 def all_pairs(spark, sf):
     gold = golden(spark, sf)
+    # Work sharing: every classifier-based method comes out of one sweep.
+    t2s_algs = [alg for _, kind, alg, _ in METHODS if kind == "t2s"]
+    shared = agree.agreement_sweep(view(spark, sf, "fx_scores"), view(spark, sf, "fx_statements"),
+                                   KEYS, [BEST_THRESHOLD], t2s_algs)
     out = None
     for name, kind, alg, k in METHODS:
-        r = evaluate.prepare_results(method_results(spark, sf, kind, alg), k)
+        if kind == "t2s":
+            res = shared.filter(F.col("algorithm") == alg).select(
+                F.col("election").alias("VAA"), F.col("screen_name").alias("Party"), F.col("topic").alias("Topic"),
+                F.col("sentence").alias("Sentence"), F.col("agreement_level").alias("Stance"))
+        else:
+            res = method_results(spark, sf, kind, alg)
+        r = evaluate.prepare_results(res, k)
         p = evaluate.pairs_for_metrics(evaluate.join_golden(r, gold), name, k)
         out = p if out is None else out.unionByName(p)
     return out
