@@ -14,17 +14,17 @@ from .registry import query
 
 BEST_THRESHOLD = 0.6
 METHODS = (  # (name, kind, algorithm, number of labels)
-    ("T2S algorithm_4 min 3", "t2s", "algorithm_4_min_num_tweets_3", 5),
-    ("T2S algorithm_3", "t2s", "algorithm_3", 5),
-    ("model-filtered + T2S stance detector", "hybrid", "algorithm_4_min_num_tweets_3", 5),
-    ("T2S filtered + model stance, 3 labels", "stance3", None, 3),
+    ("sweep algorithm_4 min 3", "sweep", "algorithm_4_min_num_tweets_3", 5),
+    ("sweep algorithm_3", "sweep", "algorithm_3", 5),
+    ("model-filtered + sweep stance detector", "hybrid", "algorithm_4_min_num_tweets_3", 5),
+    ("score-filtered + model stance, 3 labels", "stance3", None, 3),
 )
 _EXCL = ", ".join(S.lit(p) for p in EXCLUDED_PARTIES)
 
 
 # ------------------------------------------------------------ Spark side ---
 
-def t2s_results(spark, sf, algorithm, threshold=BEST_THRESHOLD):
+def sweep_results(spark, sf, algorithm, threshold=BEST_THRESHOLD):
     out = agree.agreement_sweep(view(spark, sf, "fx_scores"), view(spark, sf, "fx_statements"),
                                 KEYS, [threshold], [algorithm])
     return out.select(F.col("election").alias("VAA"), F.col("screen_name").alias("Party"),
@@ -60,8 +60,8 @@ def stance_results(spark, sf, num_labels):
 
 
 def method_results(spark, sf, kind, algorithm):
-    if kind == "t2s":
-        return t2s_results(spark, sf, algorithm)
+    if kind == "sweep":
+        return sweep_results(spark, sf, algorithm)
     if kind == "hybrid":
         return hybrid_results(spark, sf)
     return stance_results(spark, sf, 3)
@@ -77,12 +77,12 @@ def golden(spark, sf):
 def all_pairs(spark, sf):
     gold = golden(spark, sf)
     # Work sharing: every classifier-based method comes out of one sweep.
-    t2s_algs = [alg for _, kind, alg, _ in METHODS if kind == "t2s"]
+    sweep_algs = [alg for _, kind, alg, _ in METHODS if kind == "sweep"]
     shared = agree.agreement_sweep(view(spark, sf, "fx_scores"), view(spark, sf, "fx_statements"),
-                                   KEYS, [BEST_THRESHOLD], t2s_algs)
+                                   KEYS, [BEST_THRESHOLD], sweep_algs)
     out = None
     for name, kind, alg, k in METHODS:
-        if kind == "t2s":
+        if kind == "sweep":
             res = shared.filter(F.col("algorithm") == alg).select(
                 F.col("election").alias("VAA"), F.col("screen_name").alias("Party"), F.col("topic").alias("Topic"),
                 F.col("sentence").alias("Sentence"), F.col("agreement_level").alias("Stance"))
@@ -115,7 +115,7 @@ FROM grid g LEFT JOIN agg a ON a.election = g.election AND a.party = g.party AND
 
 
 def _results_select(kind, algorithm) -> str:
-    if kind == "t2s":
+    if kind == "sweep":
         return (f"SELECT election AS VAA, screen_name AS Party, topic AS Topic, sentence AS Sentence, "
                 f"agreement_level AS Stance FROM ({sweep_select([algorithm], [BEST_THRESHOLD])})")
     from .q_models import j7_body
@@ -205,38 +205,38 @@ def a4_golden_explode(spark, sf):
 SELECT VAA, Party, Topic, Stance,
   CAST(CASE WHEN Stance IN (1, 2) THEN 1 WHEN Stance = 3 THEN 2 ELSE 3 END AS INTEGER) AS three_derived,
   CAST(CASE WHEN Stance = 4 THEN 3 WHEN Stance = 3 THEN 2 WHEN Stance = 2 THEN 1 END AS INTEGER) AS three_calculated
-FROM ({_results_select('t2s', METHODS[0][2])})
+FROM ({_results_select('sweep', METHODS[0][2])})
 """, *_VIEWS))
 def h20_h21_label_maps(spark, sf):
     """H20 (5 -> 3 derived) and H21 (3-label answer -> 1..3, else null)."""
-    r = t2s_results(spark, sf, METHODS[0][2])
+    r = sweep_results(spark, sf, METHODS[0][2])
     return r.select("VAA", "Party", "Topic", "Stance", three_derived("Stance").alias("three_derived"),
                     three_calculated("Stance").alias("three_calculated"))
 
 
 @query("d3_results_golden", with_views(f"""
 SELECT r.VAA, r.Party, r.Sentence, r.Stance, g.golden_label, g.golden_label_three
-FROM (SELECT DISTINCT * FROM ({_results_select('t2s', METHODS[0][2])})) r
+FROM (SELECT DISTINCT * FROM ({_results_select('sweep', METHODS[0][2])})) r
 JOIN ({_GOLD_SQL}) g ON g.VAA = r.VAA AND g.Party = r.Party AND g.statement = r.Sentence
 """, *_VIEWS))
 def d3_results_golden(spark, sf):
     """D3: results joined with golden labels on (VAA, Party, Sentence)."""
-    r = evaluate.prepare_results(t2s_results(spark, sf, METHODS[0][2]), 5)
+    r = evaluate.prepare_results(sweep_results(spark, sf, METHODS[0][2]), 5)
     j = evaluate.join_golden(r, golden(spark, sf))
     return j.select("VAA", "Party", "Sentence", "Stance", "golden_label", "golden_label_three")
 
 
 @query("e8_dedupe", with_views(f"""
 SELECT DISTINCT * FROM (
-  SELECT * FROM ({_results_select('t2s', METHODS[0][2])})
-  UNION ALL SELECT * FROM ({_results_select('t2s', METHODS[0][2])})
-  UNION ALL SELECT * FROM ({_results_select('t2s', METHODS[1][2])}))
+  SELECT * FROM ({_results_select('sweep', METHODS[0][2])})
+  UNION ALL SELECT * FROM ({_results_select('sweep', METHODS[0][2])})
+  UNION ALL SELECT * FROM ({_results_select('sweep', METHODS[1][2])}))
 """, *_VIEWS))
 def e8_dedupe(spark, sf):
     """A result file appended twice plus a second run: exact duplicates go,
     rows that differ in stance stay."""
-    a = t2s_results(spark, sf, METHODS[0][2])
-    b = t2s_results(spark, sf, METHODS[1][2])
+    a = sweep_results(spark, sf, METHODS[0][2])
+    b = sweep_results(spark, sf, METHODS[1][2])
     return a.unionByName(a).unionByName(b).dropDuplicates()
 
 
@@ -282,7 +282,7 @@ SELECT Method, {', '.join(cols)} FROM (
   SELECT Method, scale, avg(f1_weighted) AS a_f1_weighted, avg(mae) AS a_mae
   FROM ({_metrics_sql()}) GROUP BY Method, scale) GROUP BY Method
 UNION ALL
-SELECT 'T2S', 0.29e0, 0.53e0, CAST(NULL AS DOUBLE), 1.56e0, 0.85e0, CAST(NULL AS DOUBLE)
+SELECT 'classifier only (published)', 0.29e0, 0.53e0, CAST(NULL AS DOUBLE), 1.56e0, 0.85e0, CAST(NULL AS DOUBLE)
 """
     return with_views(body, *_VIEWS)
 

@@ -41,5 +41,5 @@ def test_method_table_has_baseline(spark):
     means = spark.createDataFrame([("m", "l5", 0.5, 1.0, 3)], "Method string, scale string, avg_f1 double, "
                                                               "avg_mae double, n_elections long")
     t = {r.Method: r for r in evaluate.method_table(means).collect()}
-    assert t["T2S"].avg_F1_l5 == 0.29 and t["T2S"].avg_F1_l3_cal is None
+    assert t["classifier only (published)"].avg_F1_l5 == 0.29 and t["classifier only (published)"].avg_F1_l3_cal is None
     assert t["m"].avg_F1_l5 == 0.5 and t["m"].avg_F1_l3_der is None
