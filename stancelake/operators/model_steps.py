@@ -24,7 +24,7 @@ from .joins import small, top_n_per_group
 
 # Context limits in tokens (fixed values of the reference: the model's window
 # minus room for the answer).
-CONTEXT_LIMITS = {"mixtral": 32300, "GPT4": 127488}
+CONTEXT_LIMITS = {"local_model": 32300, "hosted_model": 127488}
 BATCH_CHARS = 10000
 
 # Default token counter (J8): words and single punctuation marks.
@@ -223,7 +223,7 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
 
 def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
                complete: Completer, num_labels: int = 5, variant: str = "B",
-               limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None) -> DataFrame:
+               limit: int = CONTEXT_LIMITS["local_model"], done: DataFrame | None = None) -> DataFrame:
     """Stance per (election, party, topic).
 
     filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet,

@@ -20,7 +20,7 @@ from .registry import query
 
 GROUP = ("election", "party", "topic")
 TOP_N = 10
-LIMIT = ms.CONTEXT_LIMITS["mixtral"]
+LIMIT = ms.CONTEXT_LIMITS["local_model"]
 
 
 # ------------------------------------------------------------ inputs -------
