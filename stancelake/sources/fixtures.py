@@ -142,6 +142,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+_WRITTEN: dict[tuple[int, str], str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Register the driver tables and the fixture tables as temp views.
 
@@ -149,7 +152,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     parquet table under the shared checkpoint folder (a stage output, like
     the scored-posts table of a real run), then read back: every query scans
     narrow columns of a materialized table instead of re-deriving it, and
-    the lineage is cut.  Idempotent per session and folder.
+    the lineage is cut.  Idempotent per session and folder; switching back
+    to a folder seen before reuses its tables.
     """
     from ..session import shared_path
     key = id(spark._jsparkSession)
@@ -157,12 +161,17 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         return
     for name in BASE_TABLES:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-    base = shared_path(spark, "fixtures")
+    base = _WRITTEN.get((key, sf_dir))
+    fresh = base is None
+    if fresh:
+        base = shared_path(spark, "fixtures")
     for name in VIEW_ORDER:
         path = f"{base}/{name}"
-        spark.sql(VIEWS[name]).write.mode("overwrite").parquet(path)
+        if fresh:
+            spark.sql(VIEWS[name]).write.mode("overwrite").parquet(path)
         df = spark.read.parquet(path)
         (spread(df) if name in TEXT_TABLES else df).createOrReplaceTempView(name)
+    _WRITTEN[(key, sf_dir)] = base
     _REGISTERED[key] = sf_dir
 
 
