@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import q_chat, q_mixing, q_search, q_warc  # noqa: F401
+from . import q_chat, q_langid, q_mixing, q_packing, q_search, q_tokens, q_warc  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
