@@ -71,6 +71,27 @@ def _boundaries(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select(*kept, (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
+def _hash(id_col: str, text_col: str):
+    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text_col)))
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long")
+
+
+def mixing_plan(docs: DataFrame, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(sizes, plan): (doc_id, source, size, h) of every document, and one row per source with its target and threshold."""
+    narrow = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                                word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h")), "mix-sizes")
+    targets = staged(source_targets(narrow, max_repeats), "mix-targets")
+    return narrow, staged(_boundaries(narrow, targets), "mix-thresholds")
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h, ...) with source_size, target and taken."""
+    out = rows.join(plan.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")))
+    taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("threshold")).cast("long"))
+    return out.select(*rows.columns, "source_size", "target", taken.alias("taken"))
+
+
 def mix_to_weights(docs: DataFrame, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text",
                    source_col: str = "source") -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
@@ -81,12 +102,20 @@ def mix_to_weights(docs: DataFrame, max_repeats: int = 3, id_col: str = "doc_id"
     documents are all empty has target 0.  An empty table gives an empty
     result.  Other columns are ignored.
     """
-    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text_col)))
-    narrow = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                word_count(F.col(text_col)).alias("size"),
-                                F.conv(F.substring(key, 1, 13), 16, 10).cast("long").alias("h")), "mix-sizes")
-    targets = staged(source_targets(narrow, max_repeats), "mix-targets")
-    plan = staged(_boundaries(narrow, targets), "mix-thresholds").withColumnRenamed("source", "s")
-    out = narrow.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target",
-                      (F.col("size") * (F.col("copies") + (F.col("h") < F.col("threshold")).cast("long"))).alias("taken"))
+    narrow, plan = mixing_plan(docs, max_repeats, id_col, text_col, source_col)
+    return _taken(narrow, plan).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source") -> DataFrame:
+    """The mix itself: every taken document once or as often as it is repeated, with the columns of ``docs``.
+
+    Documents without words are not part of a mix.  Texts are not shuffled: the
+    plan has one row per source and meets them where they are.
+    """
+    _, plan = mixing_plan(docs, max_repeats, id_col, text_col, source_col)
+    whole = F.struct(*docs.columns).alias("whole")
+    rows = docs.select(whole, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h"))
+    taken = _taken(rows, plan).filter("size > 0 and taken > 0")
+    times = F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))
+    return taken.withColumn("time_", F.explode(times)).select("whole.*")
