@@ -13,12 +13,14 @@ each set in any order that all sets share; rare tokens come first here.
    first tokens the union holds, which bounds the overlap with any member:
    overlap <= count + ceil(t |q|) - 1.  Groups whose bound or sizes rule out a
    link stay closed.
-3. Qualifying groups are opened: the query is verified against the members whose
-   size allows a link.  Links of both steps together give the components.
-
-No pair of documents that are in different groups and could link goes unverified,
-so components are exact.  Texts travel compressed and only if they share a first
-token with another text; equal texts are one document throughout.
+3. Qualifying groups are opened layer by layer (8 members, then 8 times as many,
+   and so on), until a link makes two groups one or all members were compared.
+   Links of both steps together give the components.
+
+A pair is passed over only if it cannot link (sizes, parity signatures) or if its
+groups are already linked, so components are exact.  Texts travel compressed and
+only if they share a first token with another text; equal texts are one document
+throughout.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ BITS = 22                       # of the frequency table: 4 MB, whatever the dat
 SEGMENT = 2_000_000             # shingles among which repeats are counted
 HOT_LEVEL = 12                  # lists of tokens from 2^12 counted repeats on are split
 BITMAP_BITS = 24
+MARK_BITS = 1024
+CHUNK = 512                     # members, and queries, that one task compares at once
+LAYER = 8                       # members of a group that are tried first; then 8 times as many, and so on
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 PLACES = 64
@@ -92,7 +97,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def measure(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, n) of every row, and (bucket, repeats) of tokens repeated within a segment of a task."""
+    """(doc_id, node, n, signature) of every row, and (bucket, repeats) of tokens repeated within a segment of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = np.zeros(1 << BITS, dtype=np.int64)
         held, seen, size = [], set(), 0
@@ -103,10 +108,11 @@ def measure(rows: DataFrame, words: int) -> DataFrame:
             np.add.at(repeats, (u & np.uint64((1 << BITS) - 1)).astype(np.int64), c)
 
         for b in batches:
-            sizes = []
+            sizes, marks = [], []
             for node, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 s = shingle_set(text.encode(), words)
                 sizes.append(len(s))
+                marks.append(signature(s))
                 if node not in seen and len(s):
                     seen.add(node)
                     held.append(s)
@@ -115,15 +121,23 @@ def measure(rows: DataFrame, words: int) -> DataFrame:
                     note()
                     held, seen, size = [], set(), 0
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), none, none], names=names)
+            mark = pa.array(marks, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), mark, none, none], names=names)
         if held:
             note()
         at = np.flatnonzero(repeats)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(repeats[at])], names=names)
+        mark = pa.nulls(len(at), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([none, none, none, mark, pa.array(at), pa.array(repeats[at])], names=names)
+
+    names = ["doc_id", "node", "n", "signature", "bucket", "repeats"]
+    return rows.mapInArrow(run, "doc_id long, node long, n long, signature array<long>, bucket long, repeats long")
 
-    names = ["doc_id", "node", "n", "bucket", "repeats"]
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's tokens by bucket: where two signatures differ, so do the sets."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def levels(measured: DataFrame) -> np.ndarray:
@@ -215,6 +229,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             keep = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays(keep.columns[:2], names=["a", "b"])
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts.join(ends, "node", "left_semi")
     own = texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     other = texts.select(F.col("node").alias("a"), F.col("packed").alias("x"))
     rows = pairs.select("a", "b").join(own, "b").join(other, "a")
@@ -241,40 +257,64 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     lists = (tokens.withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
              .filter("low < high or part >= 0"))
     lists = staged(lists.select("token", "part", "node", "n", "low"), "jaccard-lists")
-    sizes = measured.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
+    nodes = staged(measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"),
+                                                               F.first("signature").alias("signature")), "jaccard-nodes")
     # parts of a split list hang on the list's smallest node
     heads = lists.filter("part >= 0").select("token", "low").distinct()
     top = heads.groupBy("token").agg(F.min("low").alias("a"))
     hung = (lists.select(F.col("low").alias("a"), F.col("node").alias("b"))
             .unionByName(heads.join(top, "token").select("a", F.col("low").alias("b"))).filter("a <> b").distinct())
-    first = staged(_sized(hung, sizes, percent), "jaccard-pairs")
+    first = staged(possible(hung, nodes, percent), "jaccard-pairs")
     texts = staged(texts_of(rows, lists.select("node").distinct()), "jaccard-texts")
     links = staged(verified(first, texts, words, percent), "jaccard-links")
     group = components(links, "jaccard-groups")
 
     # token-group matrix: a document without links is a group of its own
-    members = staged(lists.select("node", "n").distinct().join(group, "node", "left")
-                     .select("node", "n", F.coalesce("component", "node").alias("group")), "jaccard-members")
-    placed = lists.select("token", "node").join(members, "node")
-    shared_tokens = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
-    placed = staged(placed.join(shared_tokens, "token").distinct(), "jaccard-placed")
+    members = lists.select("node", "n").distinct().join(group, "node", "left").select("node", "n", F.coalesce("component", "node").alias("group"))
+    members = staged(members, "jaccard-members")
+    counts = members.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    counts = counts.withColumn("depth", _layer(F.col("members") - 1))
+    place = F.floor(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) / (1 << 20) * F.col("members"))
+    members = staged(members.join(counts, "group").withColumn("layer", _layer(place)), "jaccard-layers")
+    placed = lists.select("token", "node").join(members.select("node", "n", "group", "layer"), "node")
+    split = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
+    placed = staged(placed.join(split, "token").distinct(), "jaccard-placed")
     matrix = placed.select("token", F.col("group").alias("other")).distinct()
-    bounds = members.groupBy(F.col("group").alias("other")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    overlap = (placed.join(matrix, "token").filter("group > other").groupBy("node", "n", "other").agg(F.count(F.lit(1)).alias("found")))
-    need = F.ceil(F.col("n") * percent / 100)
-    qualifying = (overlap.filter(F.col("found") + need - 1 >= need).join(bounds, "other")
-                  .filter((F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least_n") * percent)))
-    inside = members.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("other"))
-    opened = (qualifying.select(F.col("node").alias("b"), "n", "other").join(inside, "other")
-              .filter(sizes_allow(F.col("n"), F.col("a_n"), percent)).select("a", "b"))
+    overlap = placed.join(matrix, "token").filter("group > other").groupBy("node", "n", "group", "layer", "other").agg(F.count(F.lit(1)).alias("found"))
+    bounds = counts.select(F.col("group").alias("other"), "least_n", "most_n", "depth")
+    # found > 0, so the bound on the overlap, found + ceil(t |q|) - 1, is met; sizes may still rule a group out
+    left = (overlap.join(bounds, "other")
+            .filter((F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least_n") * percent))
+            .select(F.col("node").alias("b"), "n", "group", F.col("layer").alias("layer_b"), "other", F.greatest("layer", "depth").alias("depth")))
+    left = staged(left, "jaccard-open-0")
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = staged(opened.join(tried, ["a", "b"], "left_anti"), "jaccard-opened")
-    more = staged(verified(second, texts, words, percent), "jaccard-more-links")
-    joined = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-components")
-
-    per_node = (measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-                .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    per_node = staged(per_node, "jaccard-nodes")
+    inside = (members.join(left.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
+              .join(nodes.select("node", "signature"), "node")
+              .withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK))))
+    inside = staged(inside.groupBy(F.col("group").alias("other"), F.col("layer").alias("layer_a"), "chunk")
+                    .agg(F.collect_list(F.struct("node", "n", "signature")).alias("members")), "jaccard-inside")
+    more, layer = [], 0
+    while not left.isEmpty():
+        # open groups layer by layer: once a member of each of two groups is linked, the groups are one
+        asked = left.filter(F.col("layer_b") <= layer)
+        many = asked.groupBy("other").agg(F.count(F.lit(1)).alias("queries"))
+        asked = (asked.join(many, "other").join(nodes.select(F.col("node").alias("b"), "signature"), "b")
+                 .withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("queries") / CHUNK)))
+                 .groupBy("other", "layer_b", "part").agg(F.collect_list(F.struct("b", "n", "signature", "group")).alias("queries")))
+        opened = (asked.join(inside.filter(F.col("layer_a") <= layer), "other").filter(F.greatest("layer_a", "layer_b") == layer)
+                  .select("other", "queries", "members").mapInArrow(_compare(percent), "a long, b long, group long, other long"))
+        opened = staged(opened.join(tried, ["a", "b"], "left_anti"), "jaccard-opened")
+        more.append(staged(verified(opened, texts, words, percent), "jaccard-more-links"))
+        done = opened.join(more[-1], ["a", "b"]).select("group", "other").distinct()
+        layer += 1
+        left = staged(left.filter(F.col("depth") >= layer).join(done, ["group", "other"], "left_anti"), "jaccard-left")
+    known_links = group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for found in more:
+        known_links = known_links.unionByName(found)
+    joined = components(known_links, "jaccard-components")
+
+    per_node = nodes.select("node", "low").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per_node = staged(per_node, "jaccard-classes")
     # a group's document: that of the smallest id, null ids last
     best = F.min(F.struct(F.col("low").isNull().alias("last"), "low", "node")).alias("best")
     lowest = per_node.groupBy("component").agg(best)
@@ -297,7 +337,38 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     return once.select("whole.*").unionByName(rows.filter("not words_").select("whole.*"))
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow a link."""
-    a, b = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(sizes_allow(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+def _compare(percent: int):
+    """Queries against members of a group: (a, b, group, other) of the pairs that sizes and signatures allow; as ``possible``."""
+    def columns(rows: pa.Scalar) -> list:
+        ids, n, mark, *rest = rows.values.flatten()
+        return [np.asarray(ids), np.asarray(n), np.asarray(mark.flatten()).reshape(len(ids), -1), *map(np.asarray, rest)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for other, queries, members in zip(*batch.columns):
+                b, n, mark, group = columns(queries)
+                a, size, marks = columns(members)
+                found = []
+                for i in range(len(b)):
+                    apart = np.bitwise_count(marks ^ mark[i]).sum(axis=1, dtype=np.int64)
+                    ok = (apart * (100 + percent) <= (size + n[i]) * (100 - percent)) & (
+                        np.minimum(size, n[i]) * 100 >= np.maximum(size, n[i]) * percent)
+                    found.append(np.flatnonzero(ok))
+                at = np.repeat(np.arange(len(b)), [len(f) for f in found])
+                to = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+                cols = [a[to], b[at], group[at], np.full(len(at), other.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "group", "other"])
+    return run
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and signatures allow: sets at the similarity differ by at most (1 - t) / (1 + t) of their sizes' sum."""
+    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"signature_{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return pairs.join(a, "a").join(b, "b").filter(sizes_allow(F.col("n_a"), F.col("n_b"), percent) & near).select("a", "b")
+
+
+def _layer(place: Column) -> Column:
+    """Layer of a member by its place: below LAYER 0, then one for each power."""
+    return F.when(place < LAYER, 0).otherwise(F.floor(F.log(place / LAYER) / F.log(F.lit(LAYER))) + 1).cast("int")
