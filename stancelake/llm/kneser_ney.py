@@ -109,7 +109,9 @@ def packed(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_table(batch)
-    return zstandard.compress(sink.getvalue(), 3)
+    # repeats far apart in a block are found too
+    far = zstandard.ZstdCompressionParameters.from_level(6, window_log=25, enable_ldm=True)
+    return zstandard.ZstdCompressor(compression_params=far).compress(sink.getvalue())
 
 
 def unpacked(blob: bytes) -> pa.Table:
@@ -151,7 +153,7 @@ def make_blocks(docs: DataFrame, text_col: str) -> DataFrame:
         kind = pa.list_(pa.struct([("shard", pa.int32()), ("grams", pa.binary())]))
         cols = [pa.array([block], pa.int64()), pa.array([packed(t.drop_columns(["role_"]))], pa.binary()),
                 pa.array([packed(calibration) if calibration.num_rows else None], pa.binary()),
-                pa.array([trained.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([requests], kind)]
+                pa.array([squeeze(trained)], pa.binary()), pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary()), pa.array([requests], kind)]
         return pa.RecordBatch.from_arrays(cols, names=["block", "blob", "calibration", "train_grams", "train_counts", "requests"])
 
     return docs.mapInArrow(run, BLOCKS)
@@ -164,7 +166,7 @@ def count_ngrams(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueeze(g)), pa.array(np.frombuffer(zstandard.decompress(n), np.int64))], names=["gram", "n"])
 
     rows = blocks.select("train_grams", "train_counts").mapInArrow(run, "gram long, n long")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"))
@@ -308,10 +310,10 @@ def scored(blocks: DataFrame, answers: DataFrame, column: str, schema, text_col:
     return rows.select("blob", "requests", "answers").mapInArrow(run, out)
 
 
-def trusted_sample(labels: DataFrame, trusted: Column, limit: int = MAX_TRUSTED, id_col: str = "doc_id") -> DataFrame:
+def trusted_sample(labels: DataFrame, trusted: Column | str, limit: int = MAX_TRUSTED, id_col: str = "doc_id") -> DataFrame:
     """(id_, role_): at most ``limit`` trusted ids by hash, one in four for calibration."""
     h = F.xxhash64("id_")
-    ids = labels.filter(trusted & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_")).distinct()
+    ids = labels.filter(trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_")).distinct()
     return ids.orderBy(h, "id_").limit(limit).select("id_", F.when(F.pmod(h, F.lit(4)) == 3, "calibrate").otherwise("train").alias("role_"))
 
 
@@ -323,7 +325,7 @@ def adjusted(entropy: Column, n_bytes: Column) -> Column:
 SPREAD = 2.0
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: Column, quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED,
+def classify(docs: DataFrame, labels: DataFrame, trusted: Column | str, quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with perplexity (per byte), threshold (of the row's language and length) and accepted.
 

@@ -341,7 +341,7 @@ def _compare(percent: int):
     """Queries against members of a group: (a, b, group, other) of the pairs that sizes and signatures allow; as ``possible``."""
     def columns(rows: pa.Scalar) -> list:
         ids, n, mark, *rest = rows.values.flatten()
-        return [np.asarray(ids), np.asarray(n), np.asarray(mark.flatten()).reshape(len(ids), -1), *map(np.asarray, rest)]
+        return [np.asarray(ids), np.asarray(n), np.asarray(mark.flatten()).view(np.uint64).reshape(len(ids), -1), *map(np.asarray, rest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .kneser_ney import classify
 from .registry import query, table
 
-TRUSTED = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+TRUSTED = "quality = 1 and coalesce(toxic, 0) = 0"
 
 
 @query("op4_quality")
