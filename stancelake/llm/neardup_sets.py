@@ -5,9 +5,9 @@ above the similarity must share a token among the first |x| - ceil(t |x|) + 1 of
 each set in any order that all sets share; rare tokens come first here.
 
 1. Documents are partitioned into groups of similar ones: each token's list of
-   documents is hung on one of them, these pairs are verified, and verified
-   links make groups.  A crowd of near copies becomes one group for about one
-   pair per member, not all pairs.
+   documents is hung on three of them, these pairs are verified, and verified
+   links make groups.  A crowd of near copies becomes one group for a few
+   pairs per member, not all pairs.
 2. The matrix stores each group's token union: distinct (token, group).  For
    each query document and other group it is counted how many of the query's
    first tokens the union holds, which bounds the overlap with any member:
@@ -252,17 +252,18 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     rows = keyed(docs, id_col, text_col)
     measured = staged(measure(rows, words), "jaccard-sizes")
     tokens = token_rows(rows, levels(measured), words, percent)
-    # each list hangs on its smallest node; lists of one are of no use
+    # each list hangs on three of its nodes, so that near copies find one they link with; lists of one are of no use
     by_list = Window.partitionBy("token", "part")
     lists = (tokens.withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
+             .withColumn("third", F.min(F.struct(F.xxhash64("node"), "node")).over(by_list).getField("node"))
              .filter("low < high or part >= 0"))
-    lists = staged(lists.select("token", "part", "node", "n", "low"), "jaccard-lists")
+    lists = staged(lists.select("token", "part", "node", "n", "low", "high", "third"), "jaccard-lists")
     nodes = staged(measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"),
                                                                F.first("signature").alias("signature")), "jaccard-nodes")
     # parts of a split list hang on the list's smallest node
     heads = lists.filter("part >= 0").select("token", "low").distinct()
     top = heads.groupBy("token").agg(F.min("low").alias("a"))
-    hung = (lists.select(F.col("low").alias("a"), F.col("node").alias("b"))
+    hung = (lists.select(F.explode(F.array_distinct(F.array("low", "high", "third"))).alias("a"), F.col("node").alias("b"))
             .unionByName(heads.join(top, "token").select("a", F.col("low").alias("b"))).filter("a <> b").distinct())
     first = staged(possible(hung, nodes, percent), "jaccard-pairs")
     texts = staged(texts_of(rows, lists.select("node").distinct()), "jaccard-texts")
