@@ -20,9 +20,7 @@ def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
 def first_sentence_per_topic(statements: DataFrame,
                              keys=("election", "topic"),
                              order_col: str = "topic_ix") -> DataFrame:
-    """One sentence per topic; on duplicates the first listed wins."""
-    if order_col not in statements.columns:
-        return statements.select(*keys, "sentence").dropDuplicates(list(keys))
+    """One sentence per topic; on duplicates the first listed (by ``order_col``) wins."""
     return (statements.groupBy(*keys)
             .agg(F.min_by("sentence", order_col).alias("sentence")))
 

@@ -226,7 +226,7 @@ def nearest_prototype(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_
     v = vectors.select(id_col, *keep, F.col(vec_col).cast("array<double>").alias("v")).withColumn(
         "vn", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
     cands = F.transform(matrix, lambda q: F.struct(
-        (_dot(F.col("v"), q["p"]) / (F.col("vn") * q["pn"])).alias("cosine"),
+        F.try_divide(_dot(F.col("v"), q["p"]), F.col("vn") * q["pn"]).alias("cosine"),
         (-q["proto_label"]).alias("neg")))
     best = F.array_max(cands)
     return v.select(id_col, *keep, (-best["neg"]).alias("pred_label"), best["cosine"].alias("cosine"))

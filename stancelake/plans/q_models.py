@@ -20,7 +20,7 @@ from .registry import query
 
 GROUP = ("election", "party", "topic")
 TOP_N = 10
-LIMIT = ms.CONTEXT_LIMITS["local_model"]
+LIMIT = ms.CONTEXT_LIMITS["mixtral"]
 
 
 # ------------------------------------------------------------ inputs -------
@@ -57,7 +57,7 @@ def _stance_prompt_sql(posts: str, sentence: str, num_labels: int = 5) -> str:
 
 
 _JOINED = (f"SELECT election, party, topic, string_agg(tweet, {S.lit(P.SEPARATOR)} ORDER BY created_at DESC, "
-           f"tweet_id) AS posts_joined, CAST(count(*) AS INTEGER) AS num_posts FROM ({_TOPN}) GROUP BY ALL")
+           f"tweet_id) AS posts_joined, CAST(count(*) AS INTEGER) AS num_posts FROM ({_FP}) GROUP BY ALL")
 
 
 # ------------------------------------------------------------ windows ------
@@ -118,8 +118,8 @@ def f3_char_batches(spark, sf):
 @query("e13_join_posts", with_views(
     f"SELECT election, party, topic, num_posts, md5(posts_joined) AS posts_md5 FROM ({_JOINED})", *_V))
 def e13_join_posts(spark, sf):
-    """The (bounded) posts of each group joined with '~|~', newest first."""
-    j = ms.join_posts(ms.recent_top_n(_filtered_posts(spark, sf), TOP_N))
+    """All posts of each group joined with '~|~', newest first."""
+    j = ms.join_posts(_filtered_posts(spark, sf))
     return j.select("election", "party", "topic", F.col("num_posts").cast("int"),
                     F.md5("posts_joined").alias("posts_md5"))
 
@@ -127,7 +127,7 @@ def e13_join_posts(spark, sf):
 # ------------------------------------------------------------ prompts ------
 
 def _stance_prompts(spark, sf, num_labels):
-    j = ms.join_posts(ms.recent_top_n(_filtered_posts(spark, sf), TOP_N))
+    j = ms.join_posts(_filtered_posts(spark, sf))
     st = small(view(spark, sf, "fx_statements").select("election", "topic", "sentence"))
     return j.join(st, ["election", "topic"]).withColumn(
         "prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))

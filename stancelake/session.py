@@ -2,13 +2,14 @@
 
 The engine never invents storage locations on a cluster: intermediate tables
 and streaming checkpoints go under ``spark.checkpoint.dir``, which the cluster
-is expected to set to a shared folder.  Only when it is unset (local tests) do
-we pick a scratch folder ourselves.
+is expected to set to a shared folder.  Only a single-process session where it
+is unset (local tests) gets a scratch folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -56,13 +57,20 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: the session's setting, else the context's folder.
+
+    Only a session that runs in one process, as in tests, gets a scratch folder
+    if both are unset; on a cluster that would be another folder on every machine,
+    so there it is an error.
+    """
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="stancelake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current
 
 
