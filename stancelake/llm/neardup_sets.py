@@ -5,8 +5,9 @@ above the similarity must share a token among the first |x| - ceil(t |x|) + 1 of
 each set in any order that all sets share; rare tokens come first here.
 
 1. Documents are partitioned into groups of similar ones: each token's list of
-   documents is hung on three of them, these pairs are verified, and verified
-   links make groups.  A crowd of near copies becomes one group for a few
+   documents is hung on its most central one (of the highest mean frequency
+   class: the copy with the fewest changes) and on its smallest, these pairs
+   are verified, and verified links make groups.  A crowd of near copies becomes one group for a few
    pairs per member, not all pairs.
 2. The matrix stores each group's token union: distinct (token, group).  For
    each query document and other group it is counted how many of the query's
@@ -150,13 +151,16 @@ def levels(measured: DataFrame) -> np.ndarray:
 
 
 def token_rows(rows: DataFrame, frequency: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, part, node, n) for the first tokens of every distinct text; ``part`` splits the lists of frequent tokens."""
+    """(token, part, node, n, central) for the first tokens of every distinct text.
+
+    ``part`` splits the lists of frequent tokens; ``central`` is the mean frequency class of the whole set, in hundredths.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for b in batches:
-            tokens, parts, nodes, sizes = [], [], [], []
+            tokens, parts, nodes, sizes, central = [], [], [], [], []
             for node, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if node in seen:
                     continue
@@ -172,11 +176,12 @@ def token_rows(rows: DataFrame, frequency: np.ndarray, words: int, percent: int)
                 parts.append(np.where(spread > 1, node % spread, -1))
                 nodes.append(np.full(len(order), node))
                 sizes.append(np.full(len(order), len(s)))
+                central.append(np.full(len(order), 100 * level.sum(dtype=np.int64) // len(s)))
             if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), *(np.concatenate(x).astype(np.int64) for x in (parts, nodes, sizes))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "part", "node", "n"])
+                cols = [np.concatenate(tokens).view(np.int64), *(np.concatenate(x).astype(np.int64) for x in (parts, nodes, sizes)), np.concatenate(central).astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "part", "node", "n", "central"])
 
-    return rows.mapInArrow(run, "token long, part long, node long, n long")
+    return rows.mapInArrow(run, "token long, part long, node long, n long, central short")
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -252,18 +257,18 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     rows = keyed(docs, id_col, text_col)
     measured = staged(measure(rows, words), "jaccard-sizes")
     tokens = token_rows(rows, levels(measured), words, percent)
-    # each list hangs on three of its nodes, so that near copies find one they link with; lists of one are of no use
+    # each list hangs on its smallest and its most central node, with which near copies link most; lists of one are of no use
     by_list = Window.partitionBy("token", "part")
     lists = (tokens.withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
-             .withColumn("third", F.min(F.struct(F.xxhash64("node"), "node")).over(by_list).getField("node"))
+             .withColumn("hub", F.max(F.struct("central", "node")).over(by_list).getField("node"))
              .filter("low < high or part >= 0"))
-    lists = staged(lists.select("token", "part", "node", "n", "low", "high", "third"), "jaccard-lists")
+    lists = staged(lists.select("token", "part", "node", "n", "low", "hub"), "jaccard-lists")
     nodes = staged(measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"),
                                                                F.first("signature").alias("signature")), "jaccard-nodes")
     # parts of a split list hang on the list's smallest node
     heads = lists.filter("part >= 0").select("token", "low").distinct()
     top = heads.groupBy("token").agg(F.min("low").alias("a"))
-    hung = (lists.select(F.explode(F.array_distinct(F.array("low", "high", "third"))).alias("a"), F.col("node").alias("b"))
+    hung = (lists.select(F.explode(F.array_distinct(F.array("low", "hub"))).alias("a"), F.col("node").alias("b"))
             .unionByName(heads.join(top, "token").select("a", F.col("low").alias("b"))).filter("a <> b").distinct())
     first = staged(possible(hung, nodes, percent), "jaccard-pairs")
     texts = staged(texts_of(rows, lists.select("node").distinct()), "jaccard-texts")
