@@ -6,8 +6,9 @@ each set in any order that all sets share; rare tokens come first here.
 
 1. Documents are partitioned into groups of similar ones: each token's list of
    documents is hung on its most central one (of the highest mean frequency
-   class: the copy with the fewest changes) and on its smallest, these pairs
-   are verified, and verified links make groups.  A crowd of near copies becomes one group for a few
+   class: the copy with the fewest changes), these pairs are verified, and
+   verified links make groups.  A document meets the one it shares most lists
+   with first, and others only where that did not make them one group.  A crowd of near copies becomes one group for a few
    pairs per member, not all pairs.
 2. The matrix stores each group's token union: distinct (token, group).  For
    each query document and other group it is counted how many of the query's
@@ -257,22 +258,30 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     rows = keyed(docs, id_col, text_col)
     measured = staged(measure(rows, words), "jaccard-sizes")
     tokens = token_rows(rows, levels(measured), words, percent)
-    # each list hangs on its smallest and its most central node, with which near copies link most; lists of one are of no use
+    # each list hangs on its most central node, with which near copies link most; lists of one are of no use
     by_list = Window.partitionBy("token", "part")
     lists = (tokens.withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
              .withColumn("hub", F.max(F.struct("central", "node")).over(by_list).getField("node"))
              .filter("low < high or part >= 0"))
-    lists = staged(lists.select("token", "part", "node", "n", "low", "hub"), "jaccard-lists")
+    lists = staged(lists.select("token", "part", "node", "n", "hub"), "jaccard-lists")
     nodes = staged(measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"),
                                                                F.first("signature").alias("signature")), "jaccard-nodes")
-    # parts of a split list hang on the list's smallest node
-    heads = lists.filter("part >= 0").select("token", "low").distinct()
-    top = heads.groupBy("token").agg(F.min("low").alias("a"))
-    hung = (lists.select(F.explode(F.array_distinct(F.array("low", "hub"))).alias("a"), F.col("node").alias("b"))
-            .unionByName(heads.join(top, "token").select("a", F.col("low").alias("b"))).filter("a <> b").distinct())
-    first = staged(possible(hung, nodes, percent), "jaccard-pairs")
+    # parts of a split list hang on one of their hubs
+    heads = lists.filter("part >= 0").select("token", "hub").distinct()
+    top = heads.groupBy("token").agg(F.min("hub").alias("a"))
+    hung = (lists.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+            .unionByName(heads.join(top, "token").select("a", F.col("hub").alias("b")))
+            .filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    best = F.max(F.struct("shared", "a")).over(Window.partitionBy("b")).getField("a")
+    first = staged(possible(hung, nodes, percent).withColumn("nearest", F.col("a") == best), "jaccard-pairs")
     texts = staged(texts_of(rows, lists.select("node").distinct()), "jaccard-texts")
-    links = staged(verified(first, texts, words, percent), "jaccard-links")
+    links = staged(verified(first.filter("nearest"), texts, words, percent), "jaccard-links")
+    group = components(links, "jaccard-groups")
+    of_a, of_b = (group.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab")
+    apart = ~F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False))
+    rest = first.filter("not nearest").join(of_a, "a", "left").join(of_b, "b", "left").filter(apart)
+    rest = staged(rest.select("a", "b"), "jaccard-pairs-apart")
+    links = group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(rest, texts, words, percent))
     group = components(links, "jaccard-groups")
 
     # token-group matrix: a document without links is a group of its own
@@ -372,7 +381,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"signature_{c}")) for c in "ab")
     apart = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    return pairs.join(a, "a").join(b, "b").filter(sizes_allow(F.col("n_a"), F.col("n_b"), percent) & near).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(sizes_allow(F.col("n_a"), F.col("n_b"), percent) & near).select(*pairs.columns)
 
 
 def _layer(place: Column) -> Column:
