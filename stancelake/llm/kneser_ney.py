@@ -36,7 +36,7 @@ ORDER = 5
 SHARDS = 64
 BLOCK_BYTES = 24 << 20
 PART_BYTES = 2 << 20            # n-grams of so many bytes at once
-MAX_TRUSTED = 20_000            # trusted documents the model is fitted on (of these, one in four calibrates)
+BROADCAST_IDS = 2_000_000       # more trusted ids than these are joined by a shuffle
 QUANTILE = 0.995
 LOW_ORDERS = 1 << 16
 
@@ -310,11 +310,11 @@ def scored(blocks: DataFrame, answers: DataFrame, column: str, schema, text_col:
     return rows.select("blob", "requests", "answers").mapInArrow(run, out)
 
 
-def trusted_sample(labels: DataFrame, trusted: Column | str, limit: int = MAX_TRUSTED, id_col: str = "doc_id") -> DataFrame:
-    """(id_, role_): at most ``limit`` trusted ids by hash, one in four for calibration."""
+def trusted_sample(labels: DataFrame, trusted: Column | str, id_col: str = "doc_id") -> DataFrame:
+    """(id_, role_): every trusted id; by hash, one in four for calibration."""
     h = F.xxhash64("id_")
     ids = labels.filter(trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_")).distinct()
-    return ids.orderBy(h, "id_").limit(limit).select("id_", F.when(F.pmod(h, F.lit(4)) == 3, "calibrate").otherwise("train").alias("role_"))
+    return ids.select("id_", F.when(F.pmod(h, F.lit(4)) == 3, "calibrate").otherwise("train").alias("role_"))
 
 
 def adjusted(entropy: Column, n_bytes: Column) -> Column:
@@ -325,29 +325,36 @@ def adjusted(entropy: Column, n_bytes: Column) -> Column:
 SPREAD = 2.0
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: Column | str, quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED,
+def classify(docs: DataFrame, labels: DataFrame, trusted: Column | str, quantile: float = QUANTILE,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with perplexity (per byte), threshold (of the row's language and length) and accepted.
 
-    A row is accepted if its perplexity is at most its threshold.  The threshold
-    is the ``quantile`` of calibration documents of the same language; a language
-    without calibration documents (null included) takes that of all languages; a
-    short text is allowed what chance adds to it.  A null or empty text has no
+    A row is accepted if its perplexity is at most its threshold.  The model is
+    fitted on all trusted documents but one in four, which calibrate.  The
+    threshold is the ``quantile`` of all calibration documents of the same
+    language (to five decimals of entropy); a language with fewer of them than
+    the quantile needs for one document above it (null included) takes that of
+    all languages; a short text is allowed what chance adds to it.  A null or empty text has no
     perplexity and is not accepted.  Without any trusted document nothing can be
     told, and every non-empty text is accepted, with a null threshold.  Rows keep
     their columns; a column called perplexity, threshold or accepted is replaced.
     An empty table gives an empty result.
     """
     kept = docs.drop("role_", "id_", "perplexity", "threshold", "accepted", "n_bytes_", "entropy_", "limit_", "lang_")
-    sample = F.broadcast(trusted_sample(labels, trusted, max_trusted, id_col))       # at most max_trusted ids
+    sample = staged(trusted_sample(labels, trusted, id_col), "quality-roles")
+    if sample.count() <= BROADCAST_IDS:
+        sample = F.broadcast(sample)
     tagged = kept.join(sample, kept[id_col] == F.col("id_"), "left").drop("id_")
     blocks = staged(make_blocks(tagged, text_col), "quality-blocks")
     counts = staged(count_ngrams(blocks), "quality-counts")
     answers = staged(answer(blocks, counts, Model(counts)), "quality-answers")
     calibration = scored(blocks, answers, "calibration", kept.schema, text_col).filter("entropy_ is not null")
-    value = F.percentile(adjusted(F.col("entropy_"), F.col("n_bytes_")), F.lit(quantile)).alias("limit_")
+    # rounded, so that the aggregate holds a bounded number of distinct values
+    value = F.percentile(F.round(adjusted(F.col("entropy_"), F.col("n_bytes_")), 5), F.lit(quantile)).alias("limit_")
+    least = round(1 / (1 - quantile)) if quantile < 1 else 1
     calibration = staged(calibration.select(F.col(lang_col).alias("lang_"), "entropy_", "n_bytes_"), "quality-calibration")
-    by_lang = calibration.filter("lang_ is not null").groupBy("lang_").agg(value)     # at most max_trusted rows
+    by_lang = calibration.filter("lang_ is not null").groupBy("lang_").agg(value, F.count(F.lit(1)).alias("n_"))
+    by_lang = by_lang.filter(F.col("n_") >= least).drop("n_")
     every = calibration.agg(value).first()["limit_"]
     out = scored(blocks, answers, "blob", kept.schema, text_col)
     out = out.join(F.broadcast(by_lang), F.col(lang_col) == F.col("lang_"), "left")

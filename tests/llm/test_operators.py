@@ -305,6 +305,28 @@ def test_quality_against_brute_force(spark):
     assert kneser_ney.classify(df.limit(0), labels, trusted).count() == 0
 
 
+def test_quality_uses_every_trusted_document(spark, monkeypatch):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    roles = dict(kneser_ney.trusted_sample(labels, F.col("quality") == 1).groupBy("role_").count().collect())
+    assert sum(roles.values()) == 30_000
+    assert roles["calibrate"] == pytest.approx(7_500, rel=0.05)
+    # few calibration documents of a language tell no quantile: it takes that of all
+    rows = [(i, f"the number {i * 7919 % 1000} is or was here", "en", "s") for i in range(1200)]
+    rows += [(2000 + i, f"un deux {i}", "fr", "s") for i in range(40)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    run = lambda: kneser_ney.classify(docs_of(spark, rows), labels, F.col("quality") == 1).collect()
+    got = run()
+    bare = {lang: {round(math.log(r.threshold) - kneser_ney.SPREAD / math.sqrt(len(r.text.encode())), 9) for r in got if r.lang == lang} for lang in ("en", "fr")}
+    assert len(bare["en"]) == len(bare["fr"]) == 1 and bare["en"] != bare["fr"]
+    by_id = {r.id_: r.role_ for r in kneser_ney.trusted_sample(labels, F.col("quality") == 1).collect()}
+    values = [math.log(r.perplexity) - kneser_ney.SPREAD / math.sqrt(len(r.text.encode())) for r in got if by_id[r.doc_id] == "calibrate"]
+    assert bare["fr"].pop() == pytest.approx(np.quantile(values, kneser_ney.QUANTILE), abs=1e-4)
+    monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", 10)
+    key = lambda r: (r.doc_id, r.perplexity, r.threshold, r.accepted)
+    again = {r.doc_id: key(r) for r in run()}
+    assert all(again[r.doc_id] == pytest.approx(key(r)) for r in got)
+
+
 # ---- near duplicates -------------------------------------------------------
 
 def components_of(ids, links):
