@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stancelake.llm.common import staged
 from stancelake.llm.kneser_ney import classify
-from stancelake.llm.langid import UNKNOWN, identify
+from stancelake.llm.langid import in_learned_language
 from stancelake.llm.mixing import mixed_documents
 from stancelake.llm.neardup_sets import one_of_each
 from stancelake.llm.packing import pack_documents
@@ -30,11 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with a score of LEAST_SCORE or more; if no document has a language, all."""
+    """Keeps documents whose language is told with a score of LEAST_SCORE or more and fits its n-grams; if no document has a language, all."""
     if docs.filter("lang is not null and text is not null").isEmpty():
         return docs
-    found = identify(docs, F.col("lang").isNotNull())
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return in_learned_language(docs, F.col("lang").isNotNull(), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

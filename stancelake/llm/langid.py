@@ -10,6 +10,7 @@ adds up its log probabilities in numpy, language by language.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,11 @@ LANGS_PER_BLOCK = 128
 BATCH_CHARS = 400_000
 MIX = np.uint32(0x9E3779B1)     # an odd multiplier; any would do
 UNKNOWN = "und"
+DIGITS = re.compile(r"\S*\d\S*")
+PLAIN = re.compile(r"[\W_]+")
+FIT_QUANTILE = 0.005            # of the fit of a language's labelled documents
+FIT_MARGIN = 1.0                # nats an n-gram below that quantile from which a text is of no learned language
+FIT_SPREAD = 2.0                # what chance takes from the fit of a text, times the root of its characters
 
 
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -111,11 +117,29 @@ def _scores(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fits(texts: list[str], matrix: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    """Mean log probability of an n-gram of each text in its language ``pred``, plus what chance takes from a short text.
+
+    Numbers, addresses and marks tell no language: only words without digits
+    count, if there are any.
+    """
+    words = [PLAIN.sub(" ", DIGITS.sub(" ", t)).strip() or t for t in texts]
+    out = np.zeros(len(texts))
+    for k in np.unique(pred):
+        at = np.flatnonzero(pred == k)
+        total = _scores([words[i] for i in at], matrix[[k]])[:, 0] - matrix[k, -1]
+        chars = np.array([len(words[i].lower()) for i in at], dtype=np.float64)
+        n = sum(np.maximum(chars - j, 0) for j in range(ORDERS))
+        out[at] = total / n + FIT_SPREAD / np.sqrt(chars)
+    return out
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             fit_col: str | None = None) -> DataFrame:
     """All of ``docs`` with lang_pred and score (posterior probability of lang_pred, 0 to 1).
 
     The model is learned from the text and non-null language of rows where
@@ -123,14 +147,16 @@ def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_
     is null or has no letter, or any text if nothing could be learned, is ``und``
     with score 0.  Ties go to the language first in order of code points.  Rows
     and columns of ``docs`` are kept as they are and two are added; a column of
-    theirs called lang_pred or score is replaced.
+    theirs called lang_pred or score is replaced.  ``fit_col`` names one more
+    column: how well the text's words fit lang_pred (``_fits``), null for
+    ``und``; unlike the score it doesn't grow with the text's length.
     """
     spark = docs.sparkSession
     counts = train(docs.filter(is_training), text_col, lang_col)
     counts = staged(counts, "langid-counts")
     totals = counts.filter("bucket = -1").select("lang", "n").toArrow()
     langs, documents = sorted(totals["lang"].to_pylist()), sum(totals["n"].to_pylist())
-    out = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "best_": F.lit(float("-inf")), "lse_": F.lit(float("-inf"))})
+    out = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "best_": F.lit(float("-inf")), "lse_": F.lit(float("-inf")), "fit_": F.lit(None).cast("double")})
     fields, schema = out.columns, out.schema
     for first in range(0, len(langs), LANGS_PER_BLOCK):
         block = langs[first:first + LANGS_PER_BLOCK]
@@ -141,19 +167,42 @@ def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_
             for b in batches:
                 texts = [t or "" for t in b.column(fields.index(text_col)).to_pylist()]
                 at = np.array([i for i, t in enumerate(texts) if has_letter(t)], dtype=np.int64)
-                pred, old, lse = (np.array(b.column(fields.index(c)).to_pylist(), dtype=kind) for c, kind in
-                                  (("lang_pred", object), ("best_", np.float64), ("lse_", np.float64)))
+                pred, old, lse, fit = (np.array(b.column(fields.index(c)).to_pylist(), dtype=kind) for c, kind in
+                                       (("lang_pred", object), ("best_", np.float64), ("lse_", np.float64), ("fit_", np.float64)))
                 if len(at):
                     s = _scores([texts[i] for i in at], matrix)
                     top = s.argmax(axis=1)
                     best = s[np.arange(len(at)), top]
                     better = best > old[at]
                     pred[at[better]] = np.array(names, dtype=object)[top[better]]
+                    if fit_col:
+                        fit[at[better]] = _fits([texts[i] for i in at[better]], matrix, top[better])
                     lse[at] = np.logaddexp(lse[at], np.logaddexp.reduce(s, axis=1))
                     old[at] = np.maximum(old[at], best)
-                added = {"lang_pred": pa.array(pred.tolist(), pa.string()), "best_": pa.array(old), "lse_": pa.array(lse)}
+                added = {"lang_pred": pa.array(pred.tolist(), pa.string()), "best_": pa.array(old), "lse_": pa.array(lse),
+                         "fit_": pa.array(fit, from_pandas=True)}
                 yield pa.RecordBatch.from_arrays([added.get(c, b.column(i)) for i, c in enumerate(fields)], names=fields)
 
         out = out.mapInArrow(run, schema)
     score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(F.least(F.exp(F.col("best_") - F.col("lse_")), F.lit(1.0)))
-    return out.withColumn("score", score).drop("best_", "lse_")
+    if fit_col:
+        out = out.withColumn(fit_col, F.col("fit_"))
+    return out.withColumn("score", score).drop("best_", "lse_", *(["fit_"] if fit_col != "fit_" else []))
+
+
+def in_learned_language(docs: DataFrame, is_training: Column, least_score: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of ``docs`` whose language is told with ``least_score`` or more and whose text fits it.
+
+    The posterior only compares the learned languages; a text of none of them,
+    or junk, gets one too, near 1.  So the fit of its words has to come within
+    FIT_MARGIN of what all but FIT_QUANTILE of the language's labelled documents
+    reach (all, if they are too few for that quantile).
+    """
+    found = identify(docs, is_training, text_col=text_col, lang_col=lang_col, fit_col="fit_")
+    value = F.round("fit_", 4)                          # a bounded number of distinct values
+    same = found.filter(is_training & (F.col("lang_pred") == F.col(lang_col)))
+    limit = F.when(F.count(F.lit(1)) < round(1 / FIT_QUANTILE), F.min(value)).otherwise(F.percentile(value, F.lit(FIT_QUANTILE)))
+    limits = same.groupBy(F.col("lang_pred").alias("lang_")).agg((limit - FIT_MARGIN).alias("limit_"))
+    told = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    told = told.join(F.broadcast(limits), F.col("lang_pred") == F.col("lang_"), "left")
+    return told.filter(F.coalesce(F.col("fit_") >= F.col("limit_"), F.lit(True))).select(*docs.columns)

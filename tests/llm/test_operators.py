@@ -249,6 +249,24 @@ def test_language_scores_against_brute_force():
 
 # ---- quality ---------------------------------------------------------------
 
+def test_only_learned_languages_stay(spark):
+    rng = random.Random(5)
+    words = {"en": "the of and to in is that for it was on are with his they".split(), "de": "der die und das ist nicht ein zu mit sich auf von dem wird".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(5, 80))), lang, "s") for i in range(900) for lang in [("en", "de")[i % 2]]]
+    rows += [(1000, "the that was in", None, "s"), (1001, " ".join(words["de"]), None, "s")]
+    junk = [(2000, "мы не знаем почему это так и никто не скажет", None, "s"), (2001, "我们不知道为什么会这样没有人会说", None, "s"),
+            (2002, "hogy nem tudjuk miért van így és senki sem mondja meg", None, "s"), (2003, "xqzv kjw pqx zzkv wqj xvk " * 40, None, "s"),
+            (2004, "1234 !!", None, "s"), (2005, None, None, "s")]
+    df = docs_of(spark, rows + junk)
+    kept = langid.in_learned_language(df, F.col("lang").isNotNull(), 0.5)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert not ids & {r[0] for r in junk}
+    assert {1000, 1001} <= ids and len(ids) >= 890
+    few = docs_of(spark, rows[:20] + junk)              # too few for a quantile: all that are labelled stay
+    assert {r.doc_id for r in langid.in_learned_language(few, F.col("lang").isNotNull(), 0.5).collect()} == {r[0] for r in rows[:20]}
+
+
 def brute_kneser_ney(train):
     """Log probability of a byte after four, by the textbook recursion."""
     counts = collections.Counter()
