@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions.replies import stance_from_reply, topics_from_reply
 from ..functions.text import WS
+from ..session import shared_path
 from .joins import small, top_n_per_group
 
 # Context limits in tokens (fixed values of the reference: the model's window
@@ -221,35 +222,94 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     return parsed.join(known, ["election", "t"]).select("election", "party", "topic", "tweet_id")
 
 
+def split_posts(posts: DataFrame, most: int) -> DataFrame:
+    """(tweet_id, created_at, piece, tweet, n_tok): posts of more than ``most`` tokens cut into pieces of at most so many."""
+    spark = posts.sparkSession
+    sized = posts.select("tweet_id", "created_at", F.lit(0).alias("piece"), "tweet", token_count("tweet").alias("n_tok"))
+    path = shared_path(spark, "sized-posts")            # read more than once, cleaned once
+    sized.write.parquet(path)
+    sized = spark.read.schema(sized.schema).parquet(path)
+
+    def cut(batches):
+        import regex
+        token = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                starts = [m.start() for m in token.finditer(r.tweet)][::most] or [0]
+                for k, lo in enumerate(starts):
+                    hi = starts[k + 1] if k + 1 < len(starts) else len(r.tweet)
+                    rows.append((r.tweet_id, r.created_at, k, r.tweet[0 if k == 0 else lo:hi].strip()))
+            yield pd.DataFrame(rows, columns=["tweet_id", "created_at", "piece", "tweet"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("tweet_id", "created_at", "piece", "tweet"))
+    pieces = sized.filter(F.col("n_tok") > most).drop("n_tok").mapInPandas(cut, schema)
+    return sized.filter(F.coalesce(F.col("n_tok") <= most, F.lit(True))).unionByName(
+        pieces.withColumn("n_tok", token_count("tweet")))
+
+
+def prompt_batches(cand: DataFrame, limit: int, group_cols=("election", "party", "topic")) -> DataFrame:
+    """``cand`` (group, overhead, tweet_id, created_at, piece, n_tok) dealt into
+    prompts of at most ``limit`` tokens: adds ``batch_no`` and ``num_posts``
+    (posts of the group).  A group that fits is one batch; else a batch holds
+    the pieces that start in its stretch of the group's running sum, and the
+    stretch leaves room for the group's longest piece.  Nothing is left out."""
+    sep = len(token_count_py(P.SEPARATOR))
+    group_cols = list(group_cols)
+    keyed = cand.withColumns({"cost": F.col("n_tok") + F.lit(sep),
+                              "age": F.coalesce(-F.unix_micros(F.col("created_at")), F.lit(2**63 - 1))})
+    totals = keyed.groupBy(*group_cols).agg(F.sum("cost").alias("total"), F.max("cost").alias("longest"),
+                                            F.max("overhead").alias("overhead"),
+                                            F.count_if(F.col("piece") == 0).alias("num_posts"))
+    before = running_sum(keyed, group_cols, ["age", "tweet_id", "piece"], "cost", "before")
+    room = F.lit(limit + sep) - F.col("overhead")
+    batch = F.when(F.col("total") <= room, F.lit(0)).otherwise(
+        F.floor(F.col("before") / F.greatest(room - F.col("longest"), F.lit(1))))
+    return before.join(small(totals), group_cols).select(
+        *group_cols, "tweet_id", "piece", batch.cast("int").alias("batch_no"), "num_posts")
+
+
 def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
                complete: Completer, num_labels: int = 5, variant: str = "B",
                limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None) -> DataFrame:
     """Stance per (election, party, topic).
 
     filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet,
-    created_at) -> token budget (F2, tokens counted once per post, text not
-    carried through the window) -> joined posts (E13) -> prompt (H28) ->
-    model -> parse (I8-I12) -> int (H22); grid pairs without posts are
-    neutral (I13).
+    created_at) -> prompts of at most ``limit`` tokens that hold all posts
+    (tokens counted once per post, text not carried through the running sum)
+    -> joined posts (E13) -> prompt (H28) -> model -> parse (I8-I12) -> int
+    (H22); the stance of a group with several prompts is the mean of the
+    parsed ones by posts, half-even; grid pairs without posts are neutral (I13).
     """
     st = small(prompt_overhead(statements.select("election", "topic", "sentence"), num_labels))
-    tok = posts.select("tweet_id", "created_at", token_count("tweet").alias("n_tok"))
-    cand = filtered.select("election", "party", "topic", "tweet_id").join(tok, "tweet_id") \
+    overhead = st.agg(F.max("overhead")).first()[0] or 0
+    sep = len(token_count_py(P.SEPARATOR))
+    pieces = split_posts(posts, max(1, (limit + sep - overhead) // 2 - sep))
+    cand = filtered.select("election", "party", "topic", "tweet_id") \
+                   .join(pieces.select("tweet_id", "created_at", "piece", "n_tok"), "tweet_id") \
                    .join(st.select("election", "topic", "overhead"), ["election", "topic"])
-    fit = token_budget(cand, limit, F.col("overhead"), token_col="n_tok")
-    texts = fit.select("election", "party", "topic", "tweet_id", "created_at") \
-               .join(posts.select("tweet_id", "tweet"), "tweet_id")
-    joined = join_posts(texts).join(st.select("election", "topic", "sentence"), ["election", "topic"])
-    # One prompt per (party, topic), bounded by the budget: persisted so the
+    texts = prompt_batches(cand, limit).join(pieces.select("tweet_id", "created_at", "piece", "tweet"), ["tweet_id", "piece"]) \
+                                       .withColumn("pid", F.struct("tweet_id", "piece"))
+    batch_cols = ["election", "party", "topic", "batch_no", F.col("num_posts").alias("group_posts")]
+    joined = join_posts(texts.select(*batch_cols, "pid", "created_at", "tweet"),
+                        ["election", "party", "topic", "batch_no", "group_posts"], id_col="pid") \
+        .join(st.select("election", "topic", "sentence"), ["election", "topic"])
+    # Prompts of (party, topic), bounded by the limit: persisted so the
     # model call and the key mapping read the same prompts (lost blocks are
     # recomputed from lineage).
     prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels)) \
                      .drop("posts_joined").persist()
     replies = complete_distinct(prompted, complete, done=done)
-    parsed = (prompted.select("election", "party", "topic", "num_posts", F.md5("prompt").alias("prompt_md5"))
+    told = F.col("p.stance").isNotNull()
+    weight = F.when(told, F.col("num_posts"))
+    parsed = (prompted.select("election", "party", "topic", "group_posts", "num_posts", F.md5("prompt").alias("prompt_md5"))
               .join(replies, "prompt_md5")
               .withColumn("p", stance_from_reply(F.col("reply"), variant))
-              .select("election", "party", "topic", "num_posts", "p.stance", "p.parse_status"))
+              .groupBy("election", "party", "topic")
+              .agg(F.max("group_posts").alias("num_posts"),
+                   F.bround(F.sum(F.col("p.stance") * weight) / F.sum(weight)).alias("stance"),
+                   F.coalesce(F.min(F.when(told, F.col("p.parse_status"))), F.min("p.parse_status")).alias("parse_status")))
     out = grid.select("election", "party", "topic").distinct().join(parsed, ["election", "party", "topic"], "left")
     return out.select("election", "party", "topic",
                       F.coalesce("num_posts", F.lit(0)).alias("num_posts"),

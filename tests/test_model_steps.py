@@ -39,6 +39,32 @@ def test_token_budget_prefix(spark):
     assert sorted(r.tweet_id for r in kept) == ["7", "8", "9"]
 
 
+def test_model_stance_reads_every_post(spark):
+    posts = spark.createDataFrame([(str(i), f"2019-01-{i + 1:02d}", f"post{i} " * 40) for i in range(20)] +
+                                  [("big", "2019-02-01", " ".join(f"word{i}" for i in range(1000))), ("one", "2019-02-02", "hello")],
+                                  "tweet_id string, created_at string, tweet string").withColumn("created_at", F.to_timestamp("created_at"))
+    party = lambda i: "a" if len(i) < 3 else i
+    filtered = spark.createDataFrame([("E", party(r.tweet_id), "t", r.tweet_id) for r in posts.collect()],
+                                     "election string, party string, topic string, tweet_id string")
+    statements = spark.createDataFrame([("E", "t", "we want it")], "election string, topic string, sentence string")
+    grid = spark.createDataFrame([("E", p, "t") for p in ("a", "big", "one", "none")], "election string, party string, topic string")
+    overhead = ms.prompt_overhead(statements).first().overhead
+    limit = overhead + 200
+    seen = spark.sparkContext.accumulator(0)
+
+    def complete(prompts):
+        for p in prompts:
+            assert len(ms.token_count_py(p)) <= limit
+            seen.add(sum(f"post{i} " in p for i in range(20)) + 1000 * sum(f"word{i} " in p + " " for i in (0, 500, 998)))
+        return ['{"stance": "agree", "statement": "s"}'] * len(prompts)
+
+    got = {r.party: r for r in ms.model_stance(filtered, posts, statements, grid, complete, limit=limit).collect()}
+    assert seen.value == 3020
+    assert {p: r.num_posts for p, r in got.items()} == {"a": 20, "big": 1, "one": 1, "none": 0}
+    assert {p: r.parse_status for p, r in got.items()} == {"a": "json", "big": "json", "one": "json", "none": "no_posts"}
+    assert got["a"].stance == got["big"].stance == got["one"].stance != 3
+
+
 def test_complete_distinct_skips_done(spark):
     calls = []
 
