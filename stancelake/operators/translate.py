@@ -23,6 +23,7 @@ from ..sources.languages import LANGUAGES
 from .joins import small
 
 MAX_CHARS = 5000          # C12: texts this long are not sent (fixed value of the reference)
+NO_LANGUAGE = "none"      # J5: of a post that shares no trigram with any profile
 Translator = Callable[[list[str], str], list[str]]
 
 

@@ -230,10 +230,14 @@ FROM best b JOIN documents d ON d.doc_id = b.doc_id WHERE b.rn = 1
 """)
 def j5_detect_language(spark, sf):
     """Trigram language profiles learned from the labelled documents,
-    then every document's most likely language."""
+    then every document's most likely language; 'none' for a document that
+    shares no trigram with any profile."""
     d = table(spark, sf, "documents")
     pred = translate.train_and_detect(d, "doc_id", "text", "lang")
-    return d.select("doc_id", "lang").join(pred, "doc_id")
+    code = F.coalesce("predicted_lang", F.lit(translate.NO_LANGUAGE))
+    name = F.coalesce("predicted_name", translate.language_name(F.lit(translate.NO_LANGUAGE)))
+    return (d.select("doc_id", "lang").join(pred, "doc_id", "left")
+            .withColumns({"predicted_lang": code, "predicted_name": name}))
 
 
 @query("h31_translation_join", f"""

@@ -123,3 +123,11 @@ def test_call_stats(spark):
     rep = ms.complete_distinct(df, lambda ps: ["Bad Request" if p == "a" else "ok" for p in ps])
     st = ms.call_stats(rep).first()
     assert st.calls == 3 and st.refused == 1 and st.avg_seconds >= 0
+
+
+def test_detect_language_keeps_every_document(spark, tmp_path):
+    from stancelake.plans.catalog import QUERIES
+    rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, "hi", "en"), (4, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.predicted_lang, r.predicted_name) for r in QUERIES["j5_detect_language"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("en", "english"), 2: ("de", "german"), 3: ("none", "auto"), 4: ("none", "auto")}
