@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.labels import ALGORITHMS, TOPIC_THRESHOLDS
-from ..operators import agree, score
+from ..operators import agree, score, textjoin
 from ..operators.joins import small
 from ..sources.fixtures import table, view, with_views
 from . import sqlkit as S
@@ -66,12 +66,13 @@ FROM res r JOIN known k ON k.election = r.election AND k.topic = r.topic
 
 @query("text_to_agreement", _pipeline_sql())
 def text_to_agreement(spark, sf):
-    """Raw posts -> P1 cleaning -> J2 scores per election -> full sweep (dense grid)."""
+    """Raw posts -> P1 cleaning -> scores that reach the lowest threshold, by the rare-token join ->
+    full sweep (dense grid)."""
     tw = _p1_posts(spark, sf)
     st = view(spark, sf, "fx_statements")
     labels = st.select("election", "topic", F.col("sentence").alias("label_text"))
-    sc = score.lexical_scores(tw, labels, ["screen_name", "tweet_id"], ["topic"],
-                              post_text="tweet", on=["election"])
+    sc = textjoin.contained_labels(tw, labels, min(TOPIC_THRESHOLDS), ["screen_name", "tweet_id"], ["topic"],
+                                   post_text="tweet", on=["election"])
     scores = sc.select("election", "screen_name", "topic", "tweet_id",
                        F.col("score").alias("score_topic"), F.col("score").alias("score_sentence"))
     grid = tw.select("election", "screen_name").distinct().join(

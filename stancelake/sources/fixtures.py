@@ -7,6 +7,8 @@ non-null inputs to ``concat``, no backslashes in literals, arithmetic only
 
 * ``fx_statements``: every ``benchmark`` passage is a statement; its topic is
   ``topic_<item_id>`` and it belongs to election ``E<item_id mod 9>``.
+* ``fx_topic_labels``: the statements with a topic text that can be scored, the
+  passage's first four words.
 * ``fx_tweets``: every ``documents`` row, decorated so that all cleaning
   rules fire (retweet headers, mentions, hashtags, URLs, entities, CJK/emoji).
 * ``fx_scores``: the classifier output in long form (T6) for every post that
@@ -36,6 +38,11 @@ SELECT item_id AS topic_ix, concat('topic_', item_id) AS topic, text AS sentence
 FROM benchmark
 """
 
+VIEWS["fx_topic_labels"] = """
+SELECT election, topic, topic_ix, regexp_extract(sentence, '^([^ ]+ ?){1,4}', 0) AS topic_label, sentence
+FROM fx_statements
+"""
+
 VIEWS["fx_tweets"] = """
 SELECT cast(doc_id AS varchar(20)) AS tweet_id, doc_id, source AS user_screen_name,
   concat('u', substr(source, 4)) AS user_id,
