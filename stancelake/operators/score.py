@@ -4,21 +4,25 @@
   Computed as an equi-join on token against the (size-checked, broadcast)
   label vocabulary, so only overlapping (post, label) pairs are produced and
   no post text is ever paired with a label text.
-* J1 (pluggable): a caller-supplied batch scorer runs in ``mapInPandas`` over
-  distinct post texts, with the candidate labels of each election shipped as a
-  size-checked broadcast variable; model state loads once per Python worker.
-* J3: cosine to per-label prototype vectors, via ``posexplode`` and an
-  equi-join on the vector position.
+* J1 (pluggable): a caller-supplied batch scorer runs over cells of distinct post
+  texts and labels of an election, cogrouped as Arrow tables; model state loads
+  once per Python worker.
+* J3: cosine to label prototypes (means of labelled vectors, or encoded label
+  texts), a blocked matrix product over cells of vectors and prototypes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from .cells import cell_join
 from .joins import BROADCAST_MAX_ROWS, small
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
@@ -82,71 +86,72 @@ def lexical_scores(posts: DataFrame, labels: DataFrame, post_keys, label_keys,
 
 # ---------------------------------------------------------------- J1 -------
 
-Scorer = Callable[[list[str], list[str]], list[list[float]]]
+Scorer = Callable[[list[str], list[str]], list[list[float]] | np.ndarray]
 
 
 def lexical_scorer(texts: list[str], labels: list[str]) -> list[list[float]]:
-    """Pandas-side twin of J2 (default scorer for J1)."""
+    """Twin of J2 in Python (default scorer for J1): per cell, each label token lists its labels, so a text
+    only meets the labels that share a token with it."""
     import regex
     split = regex.compile(r"[^\p{L}\p{N}_]+")
 
     def toks(s):
         return {t for t in split.split(s.lower()) if t}
 
-    lab = [toks(x) for x in labels]
-    out = []
-    for t in texts:
-        tt = toks(t)
-        out.append([len(tt & lt) / len(lt) if lt else 0.0 for lt in lab])
-    return out
+    sizes, holding = np.zeros(len(labels)), {}
+    for k, x in enumerate(labels):
+        found = toks(x)
+        sizes[k] = max(len(found), 1)
+        for t in found:
+            holding.setdefault(t, []).append(k)
+    out = np.zeros((len(texts), len(labels)))
+    for i, x in enumerate(texts):
+        for t in toks(x):
+            if t in holding:
+                out[i, holding[t]] += 1
+    return out / sizes
 
 
 def score_pairs(posts: DataFrame, statements: DataFrame, scorer: Scorer = lexical_scorer,
                 post_key: str = "tweet_id", text_col: str = "tweet",
                 label_col: str = "topic", label_text_col: str = "sentence",
                 template: str = "{}", group_col: str = "election",
-                max_labels: int = 100_000) -> DataFrame:
+                texts_per_cell: int = 1024, labels_per_cell: int = 256) -> DataFrame:
     """Score each post against every label of its group with ``scorer``.
 
-    Returns (group, post_key, label, score).  Texts are de-duplicated before
-    scoring, so each distinct (group, text) is scored once.
+    Returns (group, post_key, label, score).  Each distinct (group, text) is
+    scored once against each label, in cells of at most about ``texts_per_cell``
+    texts and ``labels_per_cell`` labels; neither side is collected, and there is no limit on
+    either.  A null text or label text is not scored; a label listed twice is scored twice.
     """
-    spark = posts.sparkSession
-    lab = statements.select(group_col, label_col, label_text_col)
-    if lab.limit(max_labels + 1).count() > max_labels:
-        raise ValueError("label table too large to ship to executors")
-    by_group: dict[str, list[tuple[str, str]]] = {}
-    for r in lab.orderBy(group_col, label_col).collect():   # bounded just above
-        by_group.setdefault(r[0], []).append((r[1], template.replace("{}", r[2])))
-    bc = spark.sparkContext.broadcast(by_group)
-
-    # Texts travel to Python once; results come back keyed by a digest so the
-    # join back does not shuffle the text again for every label.
-    keyed = posts.select(group_col, post_key, text_col, F.sha2(F.col(text_col), 256).alias("__h"))
-    distinct = keyed.select(group_col, "__h", text_col).dropDuplicates([group_col, "__h"])
-
-    def run(batches):
-        groups = bc.value
-        for pdf in batches:
-            rows = []
-            for g, part in pdf.groupby(group_col, sort=False):
-                cand = groups.get(g, [])
-                if not cand:
-                    continue
-                texts = part[text_col].tolist()
-                scores = scorer(texts, [h for _, h in cand])
-                for hsh, srow in zip(part["__h"].tolist(), scores):
-                    for (name, _), s in zip(cand, srow):
-                        rows.append((g, hsh, name, float(s)))
-            yield pd.DataFrame(rows, columns=[group_col, "__h", label_col, "score"])
-
-    schema = f"{group_col} string, __h string, {label_col} string, score double"
-    scored = distinct.mapInPandas(run, schema)
-    return (keyed.select(group_col, post_key, "__h")
-            .join(scored, on=[group_col, "__h"], how="inner")
+    # Texts travel to Python once a block of labels; results come back keyed by a
+    # digest, so the join back does not shuffle the text again.
+    keyed = posts.filter(F.col(text_col).isNotNull()).select(group_col, post_key, text_col, F.sha2(F.col(text_col), 256).alias("digest_"))
+    texts = keyed.groupBy(group_col, "digest_").agg(F.any_value(text_col).alias("text_"))
+    labels = statements.filter(F.col(label_text_col).isNotNull()).select(
+        group_col, F.col(label_col).alias("label_"), hypothesis(F.lit(template), F.col(label_text_col)).alias("hypothesis_"))
+    types = dict(posts.dtypes) | dict(statements.dtypes)
+    out = pa.schema([(group_col, _arrow(types[group_col])), ("digest_", pa.string()), (label_col, _arrow(types[label_col])), ("score", pa.float64())])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        n, m = x.num_rows, y.num_rows
+        if not n or not m:
+            return out.empty_table()
+        scores = np.asarray(scorer(x.column("text_").to_pylist(), y.column("hypothesis_").to_pylist()), dtype=np.float64)
+        of_text, of_label = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        return pa.table([x.column(group_col).take(of_text), x.column("digest_").take(of_text), y.column("label_").take(of_label),
+                         pa.array(scores.reshape(-1))], schema=out)
+
+    schema = f"{group_col} {types[group_col]}, digest_ string, {label_col} {types[label_col]}, score double"
+    scored = cell_join(texts, labels, [group_col], "digest_", "label_", run, schema, texts_per_cell, labels_per_cell)
+    return (keyed.select(group_col, post_key, "digest_").join(scored, [group_col, "digest_"])
             .select(group_col, post_key, label_col, "score"))
 
 
+def _arrow(kind: str) -> pa.DataType:
+    return to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
+
+
 # ------------------------------------------------------------- wide form ---
 
 def to_wide(scores_long: DataFrame, post_key="tweet_id") -> DataFrame:
@@ -201,32 +206,61 @@ def prototypes(vectors: DataFrame, vec_col: str = "embedding", label_col: str =
         "pn", F.sqrt(F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x * x)))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def label_vectors(labels: DataFrame, encode: Callable[[list[str]], list[list[float]]], label_col: str, text_col: str) -> DataFrame:
+    """Prototypes of text labels: (proto_label, p) by a caller's text encoder, run by Spark over the label table."""
+    kind = dict(labels.dtypes)[label_col]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[float(x) for x in v] for v in encode(b.column(1).to_pylist())], pa.list_(pa.float64()))],
+                                             names=["proto_label", "p"])
+
+    rows = labels.filter(F.col(text_col).isNotNull()).select(F.col(label_col).alias("proto_label"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"proto_label {kind}, p array<double>")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of numbers; short rows are 0 beyond their end."""
+    flat = column.combine_chunks()
+    sizes = np.diff(flat.offsets.to_numpy())
+    out = np.zeros((len(flat), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
-def nearest_prototype(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_id",
-                      vec_col: str = "embedding", max_values: int = 1_000_000, keep=()) -> DataFrame:
-    """The prototype with the highest cosine for every vector (ties to the
-    lowest label), map-only.
+def cosine_scores(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+                  vectors_per_cell: int = 4096, protos_per_cell: int = 512) -> DataFrame:
+    """(id, proto_label, score) for every vector and every prototype: their cosine, null where a norm is 0.
 
-    The prototype matrix (labels x dims, size-checked) becomes one constant
-    column, so every task holds it like a broadcast and each vector computes
-    all its cosines in one array expression: no join, no (vector, label) rows.
+    A blocked matrix product: a cell holds a block of vectors and one of prototypes.
+    Null vectors take no part; vectors of fewer values than a prototype (or more) are 0 beyond their end.
+    """
+    one = F.lit(0).alias("all_")
+    a = vectors.filter(F.col(vec_col).isNotNull()).select(one, F.col(id_col).alias("id_"), F.col(vec_col).cast("array<double>").alias("v_"))
+    b = protos.filter(F.col("p").isNotNull()).select(one, F.col("proto_label"), F.col("p").cast("array<double>").alias("p_"))
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        v, p = (_matrix(t.column(c)) if t.num_rows else np.zeros((0, 0)) for t, c in ((x, "v_"), (y, "p_")))
+        dims = max(v.shape[1], p.shape[1])
+        v, p = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (v, p))
+        norms = np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((p * p).sum(axis=1))[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = np.where(norms > 0, (v @ p.T) / norms, np.nan)
+        of_v, of_p = np.repeat(np.arange(len(v)), len(p)), np.tile(np.arange(len(p)), len(v))
+        return pa.table({id_col: x.column("id_").take(of_v), "proto_label": y.column("proto_label").take(of_p), "score": pa.array(s.reshape(-1), from_pandas=True)})
+
+    schema = f"{id_col} {kinds['id_']}, proto_label {kinds['proto_label']}, score double"
+    return cell_join(a, b, ["all_"], "id_", "proto_label", run, schema, vectors_per_cell, protos_per_cell)
+
+
+def nearest_prototype(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", keep=()) -> DataFrame:
+    """The prototype with the highest cosine for every vector (ties to the lowest label; none: null).
+
+    Scores come from ``cosine_scores`` and are reduced with map-side combine; neither
+    the prototypes nor the vectors are collected, whatever their number.
     """
-    import json
-    shape = protos.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("p")).alias("d")).first()
-    if (shape["k"] or 0) * (shape["d"] or 0) > max_values:
-        raise ValueError("prototype matrix too large to ship to every task")
-    rows = [{"proto_label": r["proto_label"], "p": list(r["p"]), "pn": r["pn"]}
-            for r in protos.select("proto_label", "p", "pn").collect()]        # bounded just above
-    lab_type = dict(protos.dtypes)["proto_label"]
-    matrix = F.from_json(F.lit(json.dumps(rows)),
-                         f"array<struct<proto_label:{lab_type},p:array<double>,pn:double>>")
-    v = vectors.select(id_col, *keep, F.col(vec_col).cast("array<double>").alias("v")).withColumn(
-        "vn", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
-    cands = F.transform(matrix, lambda q: F.struct(
-        F.try_divide(_dot(F.col("v"), q["p"]), F.col("vn") * q["pn"]).alias("cosine"),
-        (-q["proto_label"]).alias("neg")))
-    best = F.array_max(cands)
-    return v.select(id_col, *keep, (-best["neg"]).alias("pred_label"), best["cosine"].alias("cosine"))
+    scores = cosine_scores(vectors, protos.select("proto_label", "p"), id_col, vec_col)
+    best = scores.groupBy(id_col).agg(F.max("score").alias("cosine"),
+                                      F.min_by("proto_label", F.struct(-F.coalesce("score", F.lit(-2.0)), "proto_label")).alias("pred_label"))
+    return vectors.select(id_col, *keep).join(best, id_col, "left").select(id_col, *keep, "pred_label", "cosine")

@@ -91,7 +91,7 @@ SELECT tw.election, tw.tweet_id, s.topic,
 FROM tw JOIN fx_statements s ON tw.election = s.election
 """, "fx_tweets", "fx_statements"))
 def j1_scorer_pairs(spark, sf):
-    """Pluggable batch scorer in mapInPandas (default: lexical twin of J2)."""
+    """Pluggable batch scorer over cells of texts and labels (default: lexical twin of J2)."""
     out = score.score_pairs(_p1_posts(spark, sf), view(spark, sf, "fx_statements"),
                             score.lexical_scorer)
     return out.withColumn("score", F.round("score", 6))
@@ -213,3 +213,45 @@ def j3_prototype_cosine(spark, sf):
     e = table(spark, sf, "embeddings")
     best = score.nearest_prototype(e, score.prototypes(e), keep=["label"])
     return best.select("vec_id", "label", "pred_label", F.round("cosine", 6).alias("cosine"))
+
+
+_COS_SQL = """
+ex AS (SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+proto AS (SELECT label AS proto_label, pos, avg(x) AS p FROM ex GROUP BY ALL),
+pn AS (SELECT proto_label, sqrt(sum(p * p)) AS pn FROM proto GROUP BY ALL),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS vn FROM ex GROUP BY ALL),
+dots AS (SELECT ex.vec_id, proto.proto_label, sum(x * p) AS dot FROM ex JOIN proto ON ex.pos = proto.pos GROUP BY ALL)
+SELECT d.vec_id, d.proto_label, round(CASE WHEN vn > 0 AND pn > 0 THEN dot / (vn * pn) END, 6) AS score
+FROM dots d JOIN pn ON d.proto_label = pn.proto_label JOIN vn ON d.vec_id = vn.vec_id
+"""
+
+
+@query("j3_label_scores", f"WITH {_COS_SQL}")
+def j3_label_scores(spark, sf):
+    """J3 as a label scorer: the cosine of every vector and every label prototype."""
+    e = table(spark, sf, "embeddings")
+    out = score.cosine_scores(e, score.prototypes(e))
+    return out.withColumn("score", F.round("score", 6))
+
+
+def _hashed_words(texts):
+    """Deterministic stand-in for a text encoder: word counts in 32 cells by first letter."""
+    return [[float(sum(ord(w[0].lower()) % 32 == k for w in t.split() if w)) for k in range(32)] for t in texts]
+
+
+@query("j3_text_labels", with_views("""
+WITH w AS (SELECT topic, unnest(string_split_regex(sentence, '[ \t\n\x0b\x0c\r]+')) AS w FROM fx_statements),
+lv AS (SELECT topic, ord(lower(w)) % 32 AS k, count(*) AS p FROM w WHERE w <> '' GROUP BY ALL),
+ln AS (SELECT topic, sqrt(sum(p * p)) AS pn FROM lv GROUP BY ALL),
+ex AS (SELECT vec_id, unnest(generate_series(0, 31)) AS k, CAST(unnest(embedding[1:32]) AS DOUBLE) AS x FROM embeddings),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS vn FROM ex GROUP BY ALL)
+SELECT e.vec_id, t.topic, round(coalesce(d.dot, 0) / (vn.vn * ln.pn), 6) AS score
+FROM embeddings e CROSS JOIN (SELECT topic FROM fx_statements) t JOIN vn ON vn.vec_id = e.vec_id JOIN ln ON ln.topic = t.topic
+LEFT JOIN (SELECT ex.vec_id, lv.topic, sum(ex.x * lv.p) AS dot FROM ex JOIN lv ON lv.k = ex.k GROUP BY ALL) d ON d.vec_id = e.vec_id AND d.topic = t.topic
+""", "fx_statements"))
+def j3_text_labels(spark, sf):
+    """J3 with text labels: statements encoded by a plugged encoder, then scored against every vector (its first 32 values)."""
+    protos = score.label_vectors(view(spark, sf, "fx_statements"), _hashed_words, "topic", "sentence")
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
+    out = score.cosine_scores(e, protos)
+    return out.select("vec_id", F.col("proto_label").alias("topic"), F.round("score", 6).alias("score"))

@@ -31,8 +31,8 @@ SCALE_CONF = {
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # Top-k per group is pushed below the shuffle (partial group limit).
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
-    # Streaming de-duplication keeps one key per post inside the watermark:
-    # RocksDB keeps that state off the JVM heap and checkpoints it incrementally.
+    # Streaming de-duplication keeps one key per post: RocksDB keeps that state
+    # off the JVM heap and checkpoints it incrementally.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
