@@ -125,10 +125,13 @@ def statement_block(statements_sorted: Column) -> Column:             # H29
     return F.concat(F.lit(STATEMENTS_OPEN), F.array_join(items, ","), F.lit("]"))
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    from .text import WS
+    return F.regexp_replace(F.regexp_replace(text, "^" + WS + "+", ""), WS + r"+\z", "")
+
+
 def translation_join(parts: Column) -> Column:                        # H31
     """Sentences of a translation, each stripped, joined with one blank (the
     reference leaves one trailing blank, removed again by H15)."""
-    from .text import WS
-    stripped = F.transform(parts, lambda p: F.regexp_replace(
-        F.regexp_replace(p, "^" + WS + "+", ""), WS + r"+\z", ""))
-    return F.array_join(stripped, " ")
+    return F.array_join(F.transform(parts, stripped), " ")

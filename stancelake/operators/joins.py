@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side we are willing to ship to every executor, in rows.  Statement
-# lists, parameter grids, exclusion lists and label profiles are far below it;
-# anything above falls back to a shuffle join (with AQE skew splitting).
+# Largest side we are willing to ship to every executor.  Statement lists,
+# parameter grids and label profiles are far below it; anything above falls
+# back to a shuffle join (with AQE skew splitting).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count is bounded."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after measuring that the rows and their bytes (as JSON text) are bounded."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + 16
+    n, n_bytes = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (n_bytes or 0) <= max_bytes else df
 
 
 def first_sentence_per_topic(statements: DataFrame,

@@ -2,11 +2,10 @@
 
 Model calls are a caller-supplied ``complete(prompts: list[str]) -> list[str]``
 run by ``mapInPandas`` over *distinct* prompts that are not already in the
-replies table (K1), so nothing is asked twice.  Every text aggregation is
-bounded before ``collect_list``: posts are cut per (party, topic) by recency
-(F1) and by the token budget (F2), and the budget itself is applied after a
-partial top-N (``row_number() <= limit``), which Spark pushes below the
-shuffle so a hot party never lands whole in one task.
+replies ledger (K1, G2): replies are committed in batches before anything reads
+them, so no prompt is asked twice, by several readers or by a run started again.
+Every text aggregation is bounded before ``collect_list``: the posts of a group are
+dealt into prompts that fit the context, by a prefix sum that splits hot groups.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from ..functions import prompts as P
 from ..functions.replies import stance_from_reply, topics_from_reply
 from ..functions.text import WS
 from ..session import shared_path
+from ..sources.ledger import Ledger
 from .joins import small, top_n_per_group
 
 # Context limits in tokens (fixed values of the reference: the model's window
@@ -50,47 +50,69 @@ def recent_top_n(posts: DataFrame, n: int, group_cols=("election", "party", "top
     return top_n_per_group(posts, group_cols, recency_order(time_col, id_col), n, "recency_rank")
 
 
-def salted_top_n(df: DataFrame, group_cols, order_cols, n: int, id_col: str,
-                 salts: int = 64) -> DataFrame:
-    """Exact top-n per group in two levels, for large n.
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A single ``row_number() <= n`` keeps n rows per group and map task before
-    the shuffle, which for a hot group and many map tasks still sends
-    (tasks x n) rows to one reducer.  Level 1 ranks inside (group, salt) with
-    the salt a hash of the row id, so the hot group is spread over ``salts``
-    reducers; level 2 ranks the at most ``salts x n`` survivors per group.
-    The global top-n is contained in the union of the per-salt top-n.
+
+AGE_BITS = 64           # of the age of a post, in microseconds
+STEP_BITS = 16          # a round tells 65,536 stretches apart
+
+
+def budget_cutoff(costed: DataFrame, group_cols, limit_col: str) -> DataFrame:
+    """(group, from_age, spent): the first age that does not fit whole, and the cost of all younger posts.
+
+    ``costed`` is (group, age, cost, limit): ages from 0, young ones first.  A round sums the cost of
+    each group's undecided stretch by 2^STEP_BITS parts with map-side combine, and goes on
+    with the part in which the budget ends; after AGE_BITS / STEP_BITS rounds that is
+    one age.  A group of any size is at most 65,536 sums a round; no group is
+    sorted or sent to one task.  Groups that fit whole have no row.
     """
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts))
-    w1 = Window.partitionBy(*group_cols, salt.alias("__salt")).orderBy(*order_cols)
-    lvl1 = df.withColumn("__r1", F.row_number().over(w1)).filter(F.col("__r1") <= n).drop("__r1")
-    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return lvl1.withColumn("__r2", F.row_number().over(w2)).filter(F.col("__r2") <= n).drop("__r2")
+    group = list(group_cols)
+    edge = (costed.groupBy(*group).agg(F.sum("cost").alias("total"), F.max(limit_col).alias("budget"))
+            .filter("total > budget").select(*group, "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("spent")))
+    edge = _stored(edge, "budget-edge")
+    if edge.isEmpty():
+        return edge.select(*group, F.col("prefix").alias("from_age"), "spent", "budget")
+    for shift in range(AGE_BITS - STEP_BITS, -1, -STEP_BITS):
+        part = F.shiftrightunsigned("age", shift)
+        inside = costed.join(edge, group).filter(F.shiftrightunsigned("age", min(shift + STEP_BITS, 63)) == F.col("prefix") if shift + STEP_BITS < AGE_BITS else F.lit(True))
+        sums = inside.groupBy(*group, "budget", "spent", part.alias("part")).agg(F.sum("cost").alias("cost"))
+        w = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        upto = sums.withColumn("before", F.col("spent") + F.coalesce(F.sum("cost").over(w), F.lit(0)))
+        first = upto.filter(F.col("before") + F.col("cost") > F.col("budget")).groupBy(*group, "budget").agg(F.min(F.struct("part", "before")).alias("x"))
+        edge = _stored(first.select(*group, "budget", F.col("x.part").alias("prefix"), F.col("x.before").alias("spent")), "budget-edge")
+    return edge.select(*group, F.col("prefix").alias("from_age"), "spent", "budget")
 
 
 def token_budget(posts: DataFrame, limit: int, overhead: Column,
                  group_cols=("election", "party", "topic"), text_col: str = "tweet",
                  time_col: str = "created_at", id_col: str = "tweet_id",
                  tokens: Callable[[Column], Column] = token_count,
-                 token_col: str | None = None) -> DataFrame:
+                 token_col: str | None = None, separator_cost: int | None = None) -> DataFrame:
     """the longest most-recent prefix whose prompt fits ``limit`` tokens.
 
-    prompt tokens = overhead + sum(post tokens) + 3 per separator.  A post
-    costs at least one token plus its separator, so at most limit / 4 posts
-    can fit: that bound is applied first as an exact salted top-N (hot groups
-    are split), then the running sum runs over at most that many rows per
-    group.  ``token_col`` names a precomputed token
-    count (count once per post, not once per (post, topic) row).
+    prompt tokens = overhead + sum(post tokens) + ``separator_cost`` per separator (by
+    default the separator's own tokens; 0 if the caller's tokenizer has it free, and
+    a post may be free too).  The cut-off of each group is found by ``budget_cutoff``; what is
+    ordered afterwards is the posts that fit and those of the one age at the edge.
+    ``token_col`` names a precomputed token count.  A null text counts 0 tokens, a null
+    time as the oldest; a post listed twice in a group counts once.
     """
-    sep = len(token_count_py(P.SEPARATOR))
-    bounded = salted_top_n(posts, group_cols, recency_order(time_col, id_col), limit // (1 + sep), id_col)
-    n_tok = F.col(token_col) if token_col else tokens(F.col(text_col))
-    cost = n_tok + F.lit(sep)
-    w = (Window.partitionBy(*group_cols).orderBy(*recency_order(time_col, id_col))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = F.sum(cost).over(w) - F.lit(sep) + overhead
-    return (bounded.withColumn("prompt_tokens", running)
-            .filter(F.col("prompt_tokens") <= limit))
+    group = list(group_cols)
+    sep = len(token_count_py(P.SEPARATOR)) if separator_cost is None else separator_cost
+    n_tok = F.coalesce(F.col(token_col) if token_col else tokens(F.col(text_col)), F.lit(0))
+    age = F.coalesce(F.lit(2**62) - F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(2**63 - 1))
+    costed = posts.withColumns({"age__": age, "cost__": (n_tok + F.lit(sep)).cast("long"), "room__": (F.lit(limit + sep) - overhead).cast("long")})
+    thin = costed.select(*group, id_col, F.col("age__").alias("age"), F.col("cost__").alias("cost"), F.col("room__").alias("room"))
+    thin = _stored(thin.dropDuplicates([*group, id_col]), "budget-costs")
+    edge = budget_cutoff(thin, group, "room")
+    near = thin.join(edge, group, "left").filter(F.col("from_age").isNull() | (F.col("age") <= F.col("from_age")))
+    kept = running_sum(near.select(*group, "age", id_col, "cost", "room"), group, ["age", id_col], "cost", "upto", exclusive=False)
+    room = thin.groupBy(*group).agg(F.max("room").alias("room"))
+    fits = kept.join(room, group).filter("upto <= room").select(*group, id_col, (F.col("upto") - F.col("room") + F.lit(limit)).alias("prompt_tokens"))
+    return posts.join(fits, [*group, id_col])
 
 
 def prompt_overhead(statements: DataFrame, num_labels: int = 5) -> DataFrame:
@@ -111,7 +133,7 @@ def join_posts(posts: DataFrame, group_cols=("election", "party", "topic"), text
                time_col: str = "created_at", id_col: str = "tweet_id") -> DataFrame:
     """Posts of a group joined with '~|~', most recent first.
 
-    Only call on input already bounded by F1/F2 (ordered collect per group).
+    Only call on input already bounded by F1/F2 or dealt into batches (ordered collect per group).
     """
     item = F.struct((-F.unix_micros(F.col(time_col))).alias("t"), F.col(id_col).alias("i"),
                     F.col(text_col).alias("x"))
@@ -161,40 +183,49 @@ def char_batches(posts: DataFrame, group_cols=("election", "party"), text_col: s
     Lossless: every post gets a batch."""
     sized = posts.select(*group_cols, time_col, id_col,
                          (F.length(text_col) + F.lit(len(P.SEPARATOR))).alias("chars"))
-    cum = running_sum(sized, group_cols, [time_col, id_col], "chars", "chars_before")
+    cum = running_sum(_stored(sized, "sized-chars"), group_cols, [time_col, id_col], "chars", "chars_before")
     return cum.withColumn("batch_no", F.floor(F.col("chars_before") / F.lit(batch_chars)).cast("int"))
 
 
+REPLIES_SCHEMA = "prompt_md5 string, reply string, seconds double"
+
+
+def replies_ledger(spark, path: str | None = None) -> Ledger:
+    """The table of replies by prompt; without a path, one for this run in the shared folder."""
+    return Ledger(spark, path or shared_path(spark, "replies"), REPLIES_SCHEMA, ["prompt_md5"])
+
+
 def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str = "prompt",
-                      done: DataFrame | None = None) -> DataFrame:
+                      done: DataFrame | None = None, ledger: Ledger | None = None, batches: int = 4) -> DataFrame:
     """J6/J7 core: call the model once per distinct prompt not yet answered.
 
-    Returns (prompt_md5, reply, seconds).  ``done`` is the replies table of
-    earlier runs (same columns); its prompts are skipped (K1) and its rows
-    kept.  ``seconds`` is the model time per prompt (batch time / batch size)
-    for the progress report (E17, see ``call_stats``).
+    Returns (prompt_md5, reply, seconds).  Replies are committed to ``ledger`` batch by batch
+    and read from it; a ledger of earlier runs skips what it holds (K1), so does ``done``, a
+    table of replies from elsewhere, whose rows are kept.  A null prompt is not asked.  ``seconds`` is
+    the model time per prompt (batch time / batch size) for the progress report (E17, see ``call_stats``).
     """
     import time
-
-    keyed = prompts.select(F.md5(F.col(prompt_col)).alias("prompt_md5"), F.col(prompt_col).alias("prompt"))
+    ledger = ledger or replies_ledger(prompts.sparkSession)
+    keyed = prompts.filter(F.col(prompt_col).isNotNull()).select(F.md5(F.col(prompt_col)).alias("prompt_md5"), F.col(prompt_col).alias("prompt"))
     todo = keyed.dropDuplicates(["prompt_md5"])
     if done is not None:
         todo = todo.join(done.select("prompt_md5"), "prompt_md5", "left_anti")
 
-    def run(batches):
-        for pdf in batches:
+    def run(parts):
+        for pdf in parts:
             t0 = time.perf_counter()
             replies = complete(pdf["prompt"].tolist()) if len(pdf) else []
             per = (time.perf_counter() - t0) / max(len(pdf), 1)
             yield pd.DataFrame({"prompt_md5": pdf["prompt_md5"], "reply": list(replies),
                                 "seconds": [per] * len(pdf)})
 
-    fresh = todo.mapInPandas(run, "prompt_md5 string, reply string, seconds double")
+    ledger.advance(todo, lambda part: part.mapInPandas(run, REPLIES_SCHEMA), batches)
+    told = ledger.read().join(keyed.select("prompt_md5").distinct(), "prompt_md5", "left_semi").select("prompt_md5", "reply", "seconds")
     if done is None:
-        return fresh
+        return told
     old = done.select("prompt_md5", "reply",
                       (F.col("seconds") if "seconds" in done.columns else F.lit(None).cast("double")).alias("seconds"))
-    return fresh.unionByName(old)
+    return told.unionByName(old)
 
 
 def call_stats(replies: DataFrame) -> DataFrame:
@@ -205,7 +236,7 @@ def call_stats(replies: DataFrame) -> DataFrame:
 
 
 def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
-               done: DataFrame | None = None) -> DataFrame:
+               done: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Topic filtering.  posts (election, party, tweet_id, tweet) ->
     (election, party, topic, tweet_id), one row per topic the reply lists and
     the statement list knows (C8; duplicates in a reply are kept)."""
@@ -214,8 +245,10 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
                .select("election", P.topic_list_block(F.transform("s", lambda x: x["topic"])).alias("block")))
     with_prompt = posts.join(small(ordered), "election").withColumn(
         "prompt", P.topic_prompt(F.col("block"), F.col("tweet")))
-    replies = complete_distinct(with_prompt, complete, done=done)
-    parsed = (with_prompt.select("election", "party", "tweet_id", F.md5("prompt").alias("prompt_md5"))
+    # cleaned, built and hashed once, for the model and for the way back
+    prompted = _stored(with_prompt.select("election", "party", "tweet_id", "prompt", F.md5("prompt").alias("prompt_md5")), "topic-prompts")
+    replies = complete_distinct(prompted, complete, done=done, ledger=ledger)
+    parsed = (prompted.select("election", "party", "tweet_id", "prompt_md5")
               .join(replies, "prompt_md5")
               .select("election", "party", "tweet_id", F.explode(topics_from_reply("reply")).alias("t")))
     known = small(statements.select("election", "topic", F.lower("topic").alias("t")).distinct())
@@ -223,12 +256,9 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
 
 
 def split_posts(posts: DataFrame, most: int) -> DataFrame:
-    """(tweet_id, created_at, piece, tweet, n_tok): posts of more than ``most`` tokens cut into pieces of at most so many."""
-    spark = posts.sparkSession
-    sized = posts.select("tweet_id", "created_at", F.lit(0).alias("piece"), "tweet", token_count("tweet").alias("n_tok"))
-    path = shared_path(spark, "sized-posts")            # read more than once, cleaned once
-    sized.write.parquet(path)
-    sized = spark.read.schema(sized.schema).parquet(path)
+    """(tweet_id, created_at, piece, tweet, n_tok): posts of more than ``most`` tokens cut into pieces of at most so many; a null text is no post."""
+    sized = posts.filter(F.col("tweet").isNotNull()).select("tweet_id", "created_at", F.lit(0).alias("piece"), "tweet", token_count("tweet").alias("n_tok"))
+    sized = _stored(sized, "sized-posts")               # read more than once, cleaned once
 
     def cut(batches):
         import regex
@@ -270,17 +300,13 @@ def prompt_batches(cand: DataFrame, limit: int, group_cols=("election", "party",
         *group_cols, "tweet_id", "piece", batch.cast("int").alias("batch_no"), "num_posts")
 
 
-def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
-               complete: Completer, num_labels: int = 5, variant: str = "B",
-               limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None) -> DataFrame:
-    """Stance per (election, party, topic).
+def joined_batches(filtered: DataFrame, posts: DataFrame, statements: DataFrame, limit: int = CONTEXT_LIMITS["mixtral"],
+                   num_labels: int = 5) -> DataFrame:
+    """E13 for prompts: (election, party, topic, batch_no, group_posts, num_posts, posts_joined, sentence).
 
-    filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet,
-    created_at) -> prompts of at most ``limit`` tokens that hold all posts
-    (tokens counted once per post, text not carried through the running sum)
-    -> joined posts (E13) -> prompt (H28) -> model -> parse (I8-I12) -> int
-    (H22); the stance of a group with several prompts is the mean of the
-    parsed ones by posts, half-even; grid pairs without posts are neutral (I13).
+    filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet, created_at): every post of a group
+    is in one of its batches, and a batch is at most a prompt of ``limit`` tokens, so
+    a row is bounded whatever the group.  Tokens are counted once per post, and no text is carried through the prefix sum.
     """
     st = small(prompt_overhead(statements.select("election", "topic", "sentence"), num_labels))
     overhead = st.agg(F.max("overhead")).first()[0] or 0
@@ -289,22 +315,34 @@ def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, g
     cand = filtered.select("election", "party", "topic", "tweet_id") \
                    .join(pieces.select("tweet_id", "created_at", "piece", "n_tok"), "tweet_id") \
                    .join(st.select("election", "topic", "overhead"), ["election", "topic"])
+    cand = _stored(cand, "prompt-candidates")
     texts = prompt_batches(cand, limit).join(pieces.select("tweet_id", "created_at", "piece", "tweet"), ["tweet_id", "piece"]) \
                                        .withColumn("pid", F.struct("tweet_id", "piece"))
     batch_cols = ["election", "party", "topic", "batch_no", F.col("num_posts").alias("group_posts")]
-    joined = join_posts(texts.select(*batch_cols, "pid", "created_at", "tweet"),
-                        ["election", "party", "topic", "batch_no", "group_posts"], id_col="pid") \
+    return join_posts(texts.select(*batch_cols, "pid", "created_at", "tweet"),
+                      ["election", "party", "topic", "batch_no", "group_posts"], id_col="pid") \
         .join(st.select("election", "topic", "sentence"), ["election", "topic"])
-    # Prompts of (party, topic), bounded by the limit: persisted so the
-    # model call and the key mapping read the same prompts (lost blocks are
-    # recomputed from lineage).
-    prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels)) \
-                     .drop("posts_joined").persist()
-    replies = complete_distinct(prompted, complete, done=done)
+
+
+def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
+               complete: Completer, num_labels: int = 5, variant: str = "B",
+               limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """Stance per (election, party, topic).
+
+    filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet,
+    created_at) -> prompts of at most ``limit`` tokens that hold all posts (``joined_batches``)
+    -> prompt (H28) -> model, once a prompt (replies in ``ledger``) -> parse (I8-I12, ``variant``) -> int
+    (H22); the stance of a group with several prompts is the mean of the
+    parsed ones by posts, half-even; grid pairs without posts are neutral (I13).
+    """
+    joined = joined_batches(filtered, posts, statements, limit, num_labels)
+    prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
+    # written, so the model call and the way back read the same prompts
+    prompted = _stored(prompted.select("election", "party", "topic", "group_posts", "num_posts", "prompt", F.md5("prompt").alias("prompt_md5")), "stance-prompts")
+    replies = complete_distinct(prompted, complete, done=done, ledger=ledger)
     told = F.col("p.stance").isNotNull()
     weight = F.when(told, F.col("num_posts"))
-    parsed = (prompted.select("election", "party", "topic", "group_posts", "num_posts", F.md5("prompt").alias("prompt_md5"))
-              .join(replies, "prompt_md5")
+    parsed = (prompted.drop("prompt").join(replies, "prompt_md5")
               .withColumn("p", stance_from_reply(F.col("reply"), variant))
               .groupBy("election", "party", "topic")
               .agg(F.max("group_posts").alias("num_posts"),

@@ -76,3 +76,10 @@ def write_by_topic(filtered: DataFrame, path: str, mode: str = "overwrite",
     spread = cols + (["tweet_id"] if "tweet_id" in filtered.columns else [])
     n = int(filtered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (filtered.repartitionByRange(n, *spread).write.mode(mode).partitionBy(*cols).parquet(path))
+
+
+def read_by_topic(stored: DataFrame, grid: DataFrame, keys=("election", "screen_name", "topic")) -> DataFrame:
+    """A6 + D7 on read: posts per key for every key of ``grid``, 0 where nothing was stored."""
+    counts = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_posts"))
+    return (grid.select(*keys).distinct().join(counts, list(keys), "left")
+            .select(*keys, F.coalesce("num_posts", F.lit(0)).alias("num_posts")))

@@ -1,28 +1,34 @@
 """Translation memory and language detection.
 
-J4: English posts are copied; the rest is looked up in a translation-memory
-table keyed by (lang, text); only misses go to the caller's translator, run
-by ``mapInPandas`` over *distinct* (lang, text) pairs, and the new rows can
-be appended to the memory so nothing is translated twice.  Every post gets a
-status instead of aborting the run.
-
-J5: a character-trigram language profile learned by ``groupBy`` from
-labelled posts; a post's language is the profile with the highest summed
-log-probability, found by an equi-join on trigram and ``max`` per post.
+J4: English posts are copied.  A post of MAX_CHARS characters or more is split
+into its sentences, so that no request exceeds the service's limit, and its translations
+are rejoined in order (H31).  Pieces are looked up in a content-addressed memory, a ledger
+keyed by the digest of language and text; only misses go to the caller's translator,
+each distinct piece once, and are committed before anything reads them, so a second run
+calls the translator for nothing.  Joins run on digests, not on texts.  Every post gets a status instead of aborting the run.
+
+J5: a character-trigram language profile learned from labelled posts.  A post's score is one
+vector, a value per language, summed in the stage that reads the text: what is
+shuffled is a row per post and task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
+from ..session import shared_path
 from ..sources.languages import LANGUAGES
-from .joins import small
+from ..sources.ledger import Ledger
 
-MAX_CHARS = 5000          # C12: texts this long are not sent (fixed value of the reference)
+MAX_CHARS = 5000          # C12: texts this long are not sent whole (fixed value of the reference)
+SENTENCE = r"[^.!?\n]+[.!?]*|[.!?]+"
+MEMORY_SCHEMA = "digest string, lang string, text string, translation string, error string"
 NO_LANGUAGE = "none"      # J5: of a post that shares no trigram with any profile
 Translator = Callable[[list[str], str], list[str]]
 
@@ -45,33 +51,60 @@ def status_of_error(err) -> Column:
     return F.when(e.contains("429"), F.lit("rate_limited")).otherwise(F.lit("error"))
 
 
-def translate(posts: DataFrame, translator: Translator, memory: DataFrame | None = None,
+def translation_pieces(text) -> Column:
+    """A text the service takes is one piece; a longer one its sentences, and a longer sentence slices."""
+    t = F.col(text) if isinstance(text, str) else text
+    most = MAX_CHARS - 1
+    sentences = F.filter(F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), 0), P.stripped), lambda x: x != "")
+    slices = F.flatten(F.transform(sentences, lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(x) - 1) / F.lit(most)).cast("int")), lambda i: F.substring(x, i * most + 1, F.lit(most)))))
+    return F.when(F.length(t) < MAX_CHARS, F.array(t)).otherwise(slices)
+
+
+def piece_digest(lang, text) -> Column:
+    """Content address of a piece in the memory."""
+    return F.sha2(F.concat_ws("\u001f", lang, text), 256)
+
+
+def translation_memory(spark: SparkSession, path: str | None = None) -> Ledger:
+    """The memory under ``path`` (without one, a memory of this run in the shared folder); pieces with an error are tried again."""
+    return Ledger(spark, path or shared_path(spark, "translation-memory"), MEMORY_SCHEMA, ["digest"], finished="error IS NULL")
+
+
+def remember(memory: Ledger, rows: DataFrame) -> None:
+    """Commit known translations (lang, text, translation)."""
+    memory.commit(rows.select(piece_digest("lang", "text").alias("digest"), "lang", "text", "translation", F.lit(None).cast("string").alias("error")))
+
+
+def translate(posts: DataFrame, translator: Translator, memory: Ledger | None = None,
               text_col: str = "tweet", lang_col: str = "lang", target: str = "en",
-              retries: int = 10, retry_sleep_s: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """J4.  Returns (translated posts, new memory rows).
+              retries: int = 10, retry_sleep_s: float = 0.0, batches: int = 4) -> tuple[DataFrame, Ledger]:
+    """J4.  Returns (translated posts, memory).
 
     Output columns: the input columns with ``tweet`` replaced by the English
     text, ``original_tweet`` (B1) and ``translation_status`` in
-    {copied, empty, too_long, memory, ok, error, rate_limited}.  A failing
-    text is retried ``retries`` more times (11 attempts by default) before it
-    gets an error status; the run goes on either way.
+    {copied, empty, memory, ok, error, rate_limited}: memory if every piece was known before,
+    an error if any piece failed (the text is then null).  A failing
+    piece is retried ``retries`` more times (11 attempts by default) before it
+    gets an error; the run goes on either way, and a later run asks for it again.
+    A null text stays null and counts as empty; a null language goes to the translator as null.
     """
     if target not in LANGUAGES:
         raise ValueError(f"unknown target language {target}")
-    t = F.col(text_col)
-    src = F.col(lang_col)
+    memory = memory or translation_memory(posts.sparkSession)
+    t, src = F.col(text_col), F.col(lang_col)
     route = (F.when(src == target, F.lit("copied"))                      # C7
-             .when(F.length(t) == 0, F.lit("empty"))                      # C12
-             .when(F.length(t) >= MAX_CHARS, F.lit("too_long"))
+             .when(F.length(F.coalesce(t, F.lit(""))) == 0, F.lit("empty"))                      # C12
              .otherwise(F.lit("translate")))
-    routed = posts.withColumn("__route", route)
-    need = routed.filter(F.col("__route") == "translate").select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).distinct()
-    if memory is not None:
-        mem = memory.select("lang", "text", "translation")
-        need = need.join(mem.select("lang", "text"), ["lang", "text"], "left_anti")
-    else:
-        mem = None
+    cut = posts.withColumn("route_", route).withColumn("pieces_", F.when(F.col("route_") == "translate", translation_pieces(t)))
+    digests = F.transform("pieces_", lambda x: piece_digest(src, x))
+    path = shared_path(posts.sparkSession, "translation-pieces")
+    cut = cut.withColumn("digests_", digests).withColumn("row_", F.monotonically_increasing_id())
+    cut.write.parquet(path)
+    cut = posts.sparkSession.read.schema(cut.schema).parquet(path)
+    pieces = cut.select(F.col(lang_col).alias("lang"), F.inline(F.arrays_zip(F.col("digests_").alias("digest"), F.col("pieces_").alias("text"))))
+    before = memory.batches().select("batch")
+    known = [r.batch for r in before.toLocalIterator()]                 # a row a committed batch
 
     def one(texts, lang):
         try:
@@ -79,14 +112,14 @@ def translate(posts: DataFrame, translator: Translator, memory: DataFrame | None
         except Exception as e:  # noqa: BLE001 - status column instead of aborting
             if len(texts) == 1:
                 import time
-                err = str(e)[:500]
+                err = str(e)
                 for _ in range(retries):
                     if retry_sleep_s:
                         time.sleep(retry_sleep_s)
                     try:
                         return list(translator(texts, lang)), [None]
                     except Exception as e2:  # noqa: BLE001
-                        err = str(e2)[:500]
+                        err = str(e2)
                 return [None], [err]
             outs, errs = [], []
             for t1 in texts:                     # isolate the failing text
@@ -95,34 +128,34 @@ def translate(posts: DataFrame, translator: Translator, memory: DataFrame | None
                 errs += er
             return outs, errs
 
-    def run(batches):
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang", sort=False):
+    def run(parts):
+        for pdf in parts:
+            for lang, part in pdf.groupby("lang", sort=False, dropna=False):
                 texts = part["text"].tolist()
                 outs, errs = one(texts, lang)
-                yield pd.DataFrame({"lang": lang, "text": texts, "translation": outs, "error": errs})
-
-    fresh = need.mapInPandas(run, "lang string, text string, translation string, error string")
-    found = fresh.withColumn("__from", F.lit("ok"))
-    if mem is not None:
-        found = found.unionByName(mem.withColumn("error", F.lit(None).cast("string"))
-                                  .withColumn("__from", F.lit("memory")))
-    lk = found.select(F.col("lang").alias("__l"), F.col("text").alias("__t"), "translation", "error", "__from")
-    joined = routed.join(lk, (routed[lang_col] == lk["__l"]) & (routed[text_col] == lk["__t"])
-                         & (routed["__route"] == F.lit("translate")), "left")
-    status = (F.when(F.col("__route") != "translate", F.col("__route"))
+                yield pd.DataFrame({"digest": part["digest"].tolist(), "lang": lang, "text": texts, "translation": outs, "error": errs})
+
+    memory.advance(pieces.dropDuplicates(["digest"]), lambda part: part.select("digest", "lang", "text").mapInPandas(run, MEMORY_SCHEMA), batches)
+    old = F.col("batch").isin(*known) if known else F.lit(False)
+    told = (memory.rows().groupBy("digest")
+            .agg(F.max("translation").alias("translation"), F.max(F.when(F.col("translation").isNull(), F.col("error"))).alias("error"),
+                 F.max((old & F.col("error").isNull()).cast("int")).alias("old")))
+    wanted = cut.filter("route_ = 'translate'").select("row_", F.posexplode("digests_").alias("pos", "digest")).join(told, "digest", "left")
+    # a post's pieces, in their order: bounded by its own text
+    whole = wanted.groupBy("row_").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "translation"))).alias("parts"),
+        F.max(F.when(F.col("translation").isNull(), F.coalesce("error", F.lit("no translation")))).alias("error"), F.min("old").alias("old"))
+    joined = cut.join(whole, "row_", "left")
+    status = (F.when(F.col("route_") != "translate", F.col("route_"))
               .when(F.col("error").isNotNull(), status_of_error("error"))
-              .otherwise(F.col("__from")))
-    english = (F.when(F.col("__route") == "copied", t)
-               .when(F.col("__route") == "empty", F.lit(""))
-               .when(F.col("__route") == "too_long", F.lit(None).cast("string"))
-               .otherwise(F.col("translation")))
-    out = (joined.withColumn("original_tweet", t)
-           .withColumn("translation_status", status)
-           .withColumn(text_col, english)
-           .drop("__route", "__l", "__t", "translation", "error", "__from"))
-    new_memory = fresh.filter(F.col("error").isNull()).select("lang", "text", "translation")
-    return out, new_memory
+              .when(F.col("old") == 1, F.lit("memory")).otherwise(F.lit("ok")))
+    english = (F.when(F.col("route_") == "copied", t)
+               .when(F.col("route_") == "empty", F.lit(""))
+               .when(F.col("error").isNotNull(), F.lit(None).cast("string"))
+               .otherwise(P.translation_join(F.transform(F.coalesce("parts", F.array()), lambda x: x["translation"]))))
+    out = joined.select(*(english.alias(c) if c == text_col else F.col(c) for c in posts.columns),
+                        t.alias("original_tweet"), status.alias("translation_status"))
+    return out, memory
 
 
 # ------------------------------------------------------------------ J5 -----
@@ -135,59 +168,55 @@ def trigrams(c) -> Column:
     return F.regexp_extract_all(x, F.lit("(?s)(?=(.{3}))"), 1)
 
 
-def trigram_counts(posts: DataFrame, id_col: str, text_col: str, extra=()) -> DataFrame:
-    """(id, *extra, tri, k): occurrences of each trigram in each post."""
-    return (posts.select(id_col, *extra, F.explode(trigrams(text_col)).alias("tri"))
-            .groupBy(id_col, *extra, "tri").agg(F.count(F.lit(1)).alias("k")))
-
-
-def profile_from_counts(occ: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Per (lang, trigram) log-probability with add-one smoothing, plus the
-    per-language value of an unseen trigram."""
-    counts = occ.groupBy(F.col(lang_col).alias("lang"), "tri").agg(F.sum("k").alias("c"))
-    counts = counts.persist()
-    # Vocabulary size: one number from a distributed distinct count.
-    v = counts.select("tri").distinct().count()
-    denom = counts.groupBy("lang").agg((F.sum("c") + F.lit(v)).alias("d"))
-    return counts.join(small(denom), "lang").select(
-        "lang", "tri", (F.log(F.col("c") + 1) - F.log("d")).alias("lp"), (-F.log("d")).alias("unseen"))
+class LanguageProfile:
+    """Trigram profile: ``table`` (tri, gains array<double>), with a value per language of ``languages``.
 
+    A gain is how much more the log-probability of the trigram in the language is than
+    that of an unseen one (0 if the language never saw it); ``unseen`` is the latter.
+    """
 
-def language_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                     id_col: str | None = None) -> DataFrame:
-    occ = (labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(text_col)).alias("tri"))
-           .groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("k")))
-    return profile_from_counts(occ)
+    def __init__(self, table: DataFrame, languages: list[str], unseen: list[float]):
+        self.table, self.languages, self.unseen = table, languages, unseen
 
 
-def detect_from_counts(occ: DataFrame, profile: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """J5 scoring over (id, tri, k) counts.
+def language_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageProfile:
+    """Profile with add-one smoothing; posts without a text or a language teach nothing.
 
-    score(lang) = sum over trigram occurrences of lp(lang, tri), with the
-    language's unseen value for trigrams it never saw; languages sharing no
-    trigram with the post are not candidates.
+    Counts are summed per task before they are shuffled, and written once; the driver
+    gets a row per language, of which there are as many as LANGUAGES names, or few more.
     """
-    total = occ.groupBy(id_col).agg(F.sum("k").alias("n_tri"))
-    prof = small(profile.persist())
-    hits = occ.select(id_col, "tri", "k").join(prof, "tri")
-    per_lang = (hits.groupBy(id_col, "lang", "unseen")
-                .agg(F.sum(F.col("k") * (F.col("lp") - F.col("unseen"))).alias("gain")))
-    scored = per_lang.join(total, id_col).select(
-        id_col, "lang", (F.col("gain") + F.col("n_tri") * F.col("unseen")).alias("score"))
-    best = scored.groupBy(id_col).agg(F.max(F.struct("score", F.col("lang"))).alias("b"))
-    return best.select(id_col, F.col("b.lang").alias("predicted_lang"),
-                       language_name(F.col("b.lang")).alias("predicted_name"))
-
-
-def detect_language(posts: DataFrame, profile: DataFrame, id_col: str = "doc_id",
+    spark = labelled.sparkSession
+    occ = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(trigrams(text_col)).alias("tri"))
+    path = shared_path(spark, "trigram-counts")
+    occ.groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("c")).write.parquet(path)
+    counts = spark.read.schema("lang string, tri string, c long").parquet(path)
+    v = counts.agg(F.count_distinct("tri")).first()[0]
+    totals = {r.lang: r.c for r in counts.groupBy("lang").agg(F.sum("c").alias("c")).collect()}     # a row a language
+    languages = sorted(totals)
+    gains = [F.log(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("c"))), F.lit(0)) + 1) for x in languages]
+    path = shared_path(spark, "trigram-profile")
+    counts.groupBy("tri").agg(F.array(*gains).alias("gains") if gains else F.array().cast("array<double>").alias("gains")).write.parquet(path)
+    table = spark.read.schema("tri string, gains array<double>").parquet(path)
+    return LanguageProfile(table, languages, [-math.log(totals[x] + v) for x in languages])
+
+
+def detect_language(posts: DataFrame, profile: LanguageProfile, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, predicted code, name) of each post."""
-    return detect_from_counts(trigram_counts(posts, id_col, text_col), profile, id_col)
-
+    """(id, predicted_lang, predicted_name) of each post.
 
-def train_and_detect(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     lang_col: str = "lang") -> DataFrame:
-    """Profile from labelled posts and prediction for the same posts, sharing
-    one trigram pass (persisted; lost blocks are recomputed from lineage)."""
-    occ = trigram_counts(labelled, id_col, text_col, extra=[lang_col]).persist()
-    return detect_from_counts(occ, profile_from_counts(occ, lang_col), id_col)
+    score(lang) = sum over trigram occurrences of their log-probability, an unseen one
+    counting ``unseen``; languages that share no trigram with the post are no candidates, and
+    a post without a candidate is NO_LANGUAGE.  Ties go to the language last by code.
+    """
+    occ = posts.select(id_col, F.explode_outer(trigrams(text_col)).alias("tri"))
+    hits = occ.join(profile.table, "tri", "left")
+    n = len(profile.languages)
+    sums = [F.sum(F.coalesce(F.get("gains", F.lit(i)), F.lit(0.0))).alias(f"gain_{i}") for i in range(n)]
+    per_post = hits.groupBy(id_col).agg(F.count("tri").alias("n_tri"), *sums)
+    scored = [F.struct((F.col(f"gain_{i}") + F.col("n_tri") * F.lit(profile.unseen[i])).alias("score"), F.lit(profile.languages[i]).alias("lang"),
+                       (F.col(f"gain_{i}") > 0).alias("shares")) for i in range(n)]
+    if not scored:
+        return per_post.select(id_col, F.lit(NO_LANGUAGE).alias("predicted_lang"), language_name(F.lit(NO_LANGUAGE)).alias("predicted_name"))
+    best = F.array_max(F.filter(F.array(*scored), lambda x: x["shares"]))
+    lang = F.coalesce(best["lang"], F.lit(NO_LANGUAGE))
+    return per_post.select(id_col, lang.alias("predicted_lang"), language_name(lang).alias("predicted_name"))

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from ..functions.labels import three_calculated, three_derived
 from ..operators import agree, evaluate
 from ..operators.joins import first_sentence_per_topic, small
+from ..session import shared_path
 from ..sources.fixtures import EXCLUDED_PARTIES, view, with_views
+from ..sources.ledger import Ledger
 from . import sqlkit as S
 from .q_agreement import KEYS, sweep_select
 from .registry import query
 
 BEST_THRESHOLD = 0.6
-METHODS = (  # (name, kind, algorithm, number of labels)
-    ("sweep algorithm_4 min 3", "sweep", "algorithm_4_min_num_tweets_3", 5),
-    ("sweep algorithm_3", "sweep", "algorithm_3", 5),
-    ("model-filtered + sweep stance detector", "hybrid", "algorithm_4_min_num_tweets_3", 5),
-    ("score-filtered + model stance, 3 labels", "stance3", None, 3),
+METHODS = (  # (name, kind, algorithm or parsing variant, numbers of labels)
+    ("sweep algorithm_4 min 3", "sweep", "algorithm_4_min_num_tweets_3", (5,)),
+    ("sweep algorithm_3", "sweep", "algorithm_3", (5,)),
+    ("model-filtered + sweep stance detector", "hybrid", "algorithm_4_min_num_tweets_3", (5,)),
+    ("score-filtered + model stance", "model", "B", (5, 3)),
+    ("model-filtered + model stance", "model", "A", (5, 3)),
 )
 _EXCL = ", ".join(S.lit(p) for p in EXCLUDED_PARTIES)
 
@@ -49,9 +52,10 @@ def hybrid_results(spark, sf):
                     F.col("stance").alias("Stance")))
 
 
-def stance_results(spark, sf, num_labels):
-    from .q_models import model_stance_table
-    t = model_stance_table(spark, sf, num_labels)
+def stance_results(spark, sf, num_labels, variant):
+    from .q_models import j6_model_topics, model_stance_table, score_pairs
+    filtered = score_pairs(spark, sf) if variant == "B" else j6_model_topics(spark, sf)
+    t = model_stance_table(spark, sf, num_labels, variant, filtered)
     lookup = small(first_sentence_per_topic(view(spark, sf, "fx_statements")))
     return (t.join(lookup, ["election", "topic"])
             .select(F.col("election").alias("VAA"), F.col("party").alias("Party"),
@@ -59,12 +63,31 @@ def stance_results(spark, sf, num_labels):
                     F.col("stance").alias("Stance")))
 
 
-def method_results(spark, sf, kind, algorithm):
-    if kind == "sweep":
-        return sweep_results(spark, sf, algorithm)
-    if kind == "hybrid":
-        return hybrid_results(spark, sf)
-    return stance_results(spark, sf, 3)
+RESULTS_LEDGER = "Method string, num_labels int, VAA string, Party string, Topic string, Sentence string, Stance int"
+_LEDGERS: dict[tuple[str, str], str] = {}
+
+
+def results_ledger(spark, sf) -> Ledger:
+    """The stance results of every method, each appended once and read by every evaluation of the session.
+
+    Sweep methods come out of one sweep; a model is asked once per distinct prompt, whatever reads its results."""
+    key = (spark.sparkContext.applicationId, sf)
+    path = _LEDGERS.setdefault(key, shared_path(spark, "results"))
+    ledger = Ledger(spark, path, RESULTS_LEDGER, ["Method", "num_labels", "VAA", "Party", "Topic"])
+    named = lambda df, name, k: df.withColumns({"Method": F.lit(name), "num_labels": F.lit(k)})
+    if not ledger.committed("sweep"):
+        algorithms = [how for _, kind, how, _ in METHODS if kind == "sweep"]
+        out = agree.agreement_sweep(view(spark, sf, "fx_scores"), view(spark, sf, "fx_statements"), KEYS, [BEST_THRESHOLD], algorithms)
+        name = F.create_map(*(F.lit(x) for m in METHODS if m[1] == "sweep" for x in (m[2], m[0])))
+        ledger.commit(out.select(F.element_at(name, F.col("algorithm")).alias("Method"), F.lit(5).alias("num_labels"), F.col("election").alias("VAA"),
+                                 F.col("screen_name").alias("Party"), F.col("topic").alias("Topic"), F.col("sentence").alias("Sentence"),
+                                 F.col("agreement_level").alias("Stance")), "sweep")
+    for name, kind, how, labels in METHODS:
+        for k in labels if kind != "sweep" else ():
+            batch = f"{kind}-{how}-{k}"
+            if not ledger.committed(batch):
+                ledger.commit(named(hybrid_results(spark, sf) if kind == "hybrid" else stance_results(spark, sf, k, how), name, k), batch)
+    return ledger
 
 
 def golden(spark, sf):
@@ -75,23 +98,7 @@ def golden(spark, sf):
 
 
 def all_pairs(spark, sf):
-    gold = golden(spark, sf)
-    # Work sharing: every classifier-based method comes out of one sweep.
-    sweep_algs = [alg for _, kind, alg, _ in METHODS if kind == "sweep"]
-    shared = agree.agreement_sweep(view(spark, sf, "fx_scores"), view(spark, sf, "fx_statements"),
-                                   KEYS, [BEST_THRESHOLD], sweep_algs)
-    out = None
-    for name, kind, alg, k in METHODS:
-        if kind == "sweep":
-            res = shared.filter(F.col("algorithm") == alg).select(
-                F.col("election").alias("VAA"), F.col("screen_name").alias("Party"), F.col("topic").alias("Topic"),
-                F.col("sentence").alias("Sentence"), F.col("agreement_level").alias("Stance"))
-        else:
-            res = method_results(spark, sf, kind, alg)
-        r = evaluate.prepare_results(res, k)
-        p = evaluate.pairs_for_metrics(evaluate.join_golden(r, gold), name, k)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return evaluate.scored_pairs(results_ledger(spark, sf).read(), golden(spark, sf))
 
 
 # ------------------------------------------------------------- SQL side ----
@@ -114,12 +121,12 @@ FROM grid g LEFT JOIN agg a ON a.election = g.election AND a.party = g.party AND
 """
 
 
-def _results_select(kind, algorithm) -> str:
+def _results_select(kind, how, num_labels=5) -> str:
     if kind == "sweep":
         return (f"SELECT election AS VAA, screen_name AS Party, topic AS Topic, sentence AS Sentence, "
-                f"agreement_level AS Stance FROM ({sweep_select([algorithm], [BEST_THRESHOLD])})")
-    from .q_models import j7_body
-    inner = _hybrid_select() if kind == "hybrid" else j7_body(3)
+                f"agreement_level AS Stance FROM ({sweep_select([how], [BEST_THRESHOLD])})")
+    from .q_models import _SCORE_PAIRS, j6_body, j7_body
+    inner = _hybrid_select() if kind == "hybrid" else j7_body(num_labels, how, _SCORE_PAIRS if how == "B" else j6_body())
     return (f"SELECT h.election AS VAA, h.party AS Party, h.topic AS Topic, k.sentence AS Sentence, "
             f"h.stance AS Stance FROM ({inner}) h "
             f"JOIN ({S.known_topics_cte()}) k ON k.election = h.election AND k.topic = h.topic")
@@ -130,27 +137,27 @@ _GOLD_SQL = (f"SELECT VAA, Party, statement, golden_label, "
              f" AS golden_label_three FROM fx_golden WHERE Party NOT IN ({_EXCL})")
 
 
+def _all_results_sql() -> str:
+    return "\nUNION ALL\n".join(f"SELECT {S.lit(name)} AS Method, {k} AS num_labels, * FROM ({_results_select(kind, how, k)})"
+                                for name, kind, how, labels in METHODS for k in labels)
+
+
 def _pairs_sql() -> str:
-    parts = []
-    for name, kind, alg, k in METHODS:
-        r = f"(SELECT DISTINCT * FROM ({_results_select(kind, alg)}))"
-        j = (f"{r} r JOIN ({_GOLD_SQL}) g ON g.VAA = r.VAA AND g.Party = r.Party AND g.statement = r.Sentence")
-        if k == 3:
-            cal = "CASE WHEN r.Stance = 4 THEN 3 WHEN r.Stance = 3 THEN 2 WHEN r.Stance = 2 THEN 1 END"
-            parts.append(f"SELECT {S.lit(name)} AS Method, 'l3_cal' AS scale, r.VAA, g.golden_label_three AS gold, "
-                         f"{cal} AS pred FROM {j}")
-            continue
-        der = "CASE WHEN r.Stance IN (1, 2) THEN 1 WHEN r.Stance = 3 THEN 2 ELSE 3 END"
-        parts.append(f"SELECT {S.lit(name)} AS Method, 'l5' AS scale, r.VAA, g.golden_label AS gold, "
-                     f"r.Stance AS pred FROM {j}")
-        parts.append(f"SELECT {S.lit(name)} AS Method, 'l3_der' AS scale, r.VAA, g.golden_label_three AS gold, "
-                     f"{der} AS pred FROM {j}")
-    return "\nUNION ALL\n".join(parts)
+    cal = "CASE WHEN r.Stance = 4 THEN 3 WHEN r.Stance = 3 THEN 2 WHEN r.Stance = 2 THEN 1 END"
+    der = "CASE WHEN r.Stance IS NULL THEN NULL WHEN r.Stance IN (1, 2) THEN 1 WHEN r.Stance = 3 THEN 2 ELSE 3 END"
+    j = (f"(SELECT DISTINCT * FROM ({_all_results_sql()})) r JOIN ({_GOLD_SQL}) g "
+         f"ON g.VAA = r.VAA AND g.Party = r.Party AND g.statement = r.Sentence")
+    return f"""
+SELECT r.Method, unnest(CASE WHEN r.num_labels = 3 THEN [
+    {{'scale': 'l3_cal', 'gold': g.golden_label_three, 'pred': {cal}}}] ELSE [
+    {{'scale': 'l5', 'gold': g.golden_label, 'pred': r.Stance}},
+    {{'scale': 'l3_der', 'gold': g.golden_label_three, 'pred': {der}}}] END) AS x, r.VAA FROM {j}
+"""
 
 
 def _metrics_sql() -> str:
     return f"""
-WITH pairs AS ({_pairs_sql()}),
+WITH pairs AS (SELECT Method, x.scale AS scale, VAA, x.gold AS gold, x.pred AS pred FROM ({_pairs_sql()})),
 valid AS (SELECT * FROM pairs WHERE pred IS NOT NULL),
 cls AS (SELECT DISTINCT Method, scale, VAA, gold AS k FROM valid
         UNION SELECT DISTINCT Method, scale, VAA, pred AS k FROM valid),
@@ -163,9 +170,9 @@ st AS (SELECT c.Method, c.scale, c.VAA, c.k,
 f1 AS (SELECT Method, scale, VAA,
          sum(CASE WHEN sup + prd > 0 THEN 2.0 * tp / (sup + prd) ELSE 0 END * sup) / sum(sup) AS f1_weighted
        FROM st GROUP BY ALL),
-mae AS (SELECT Method, scale, VAA, avg(abs(gold - pred)) AS mae, count(*) AS n FROM valid GROUP BY ALL)
-SELECT f1.Method, f1.scale, f1.VAA, f1.f1_weighted, mae.mae, mae.n
-FROM f1 JOIN mae ON f1.Method = mae.Method AND f1.scale = mae.scale AND f1.VAA = mae.VAA
+mae AS (SELECT Method, scale, VAA, avg(abs(gold - pred)) AS mae, count(pred) AS n, count(*) - count(pred) AS n_invalid FROM pairs GROUP BY ALL)
+SELECT mae.Method, mae.scale, mae.VAA, f1.f1_weighted, mae.mae, mae.n, mae.n_invalid
+FROM mae LEFT JOIN f1 ON f1.Method = mae.Method AND f1.scale = mae.scale AND f1.VAA = mae.VAA
 """
 
 
@@ -253,15 +260,35 @@ def e9_weighted_f1(spark, sf):
 
 
 @query("e10_mae", with_views(
-    f"SELECT Method, scale, VAA, round(mae, 6) AS mae, CAST(n AS BIGINT) AS n FROM ({_metrics_sql()})", *_VIEWS))
+    f"SELECT Method, scale, VAA, round(mae, 6) AS mae, CAST(n AS BIGINT) AS n, CAST(n_invalid AS BIGINT) AS n_invalid FROM ({_metrics_sql()})", *_VIEWS))
 def e10_mae(spark, sf):
-    """Mean absolute error per method, label scale and election."""
-    return _metrics(spark, sf).select("Method", "scale", "VAA", F.round("mae", 6).alias("mae"), "n")
+    """Mean absolute error per method, label scale and election, and what could not be scored."""
+    return _metrics(spark, sf).select("Method", "scale", "VAA", F.round("mae", 6).alias("mae"), "n", "n_invalid")
+
+
+@query("e9_e11_grouping_sets", with_views(f"""
+WITH m AS ({_metrics_sql()})
+SELECT Method, scale, VAA, round(f1_weighted, 6) AS f1_weighted, round(mae, 6) AS mae, CAST(n AS BIGINT) AS n,
+  CAST(n_invalid AS BIGINT) AS n_invalid, 0 AS is_mean FROM m
+UNION ALL
+SELECT Method, scale, NULL, round(avg(f1_weighted), 6), round(avg(mae), 6), CAST(sum(n) AS BIGINT), CAST(sum(n_invalid) AS BIGINT), 1
+FROM m GROUP BY Method, scale
+""", *_VIEWS))
+def e9_e11_grouping_sets(spark, sf):
+    """E9-E11 together: metrics per election and their means over elections, from one aggregate with grouping sets."""
+    out = evaluate.metrics_and_means(all_pairs(spark, sf))
+    return out.select("Method", "scale", "VAA", F.round("f1_weighted", 6).alias("f1_weighted"), F.round("mae", 6).alias("mae"), "n", "n_invalid", "is_mean")
+
+
+@query("a7_stance_results", with_views(f"SELECT * FROM ({_all_results_sql()})", *_VIEWS))
+def a7_stance_results(spark, sf):
+    """The results of all methods as stored: appended in committed batches, read back from the ledger."""
+    return results_ledger(spark, sf).read()
 
 
 @query("e11_mean_over_elections", with_views(f"""
 SELECT Method, scale, round(avg(f1_weighted), 6) AS avg_f1, round(avg(mae), 6) AS avg_mae,
-  CAST(count(*) AS BIGINT) AS n_elections
+  CAST(count(f1_weighted) AS BIGINT) AS n_elections
 FROM ({_metrics_sql()}) GROUP BY Method, scale
 """, *_VIEWS))
 def e11_mean_over_elections(spark, sf):

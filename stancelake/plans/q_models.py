@@ -13,6 +13,7 @@ from ..functions.replies import (ALLOWED_PHRASES_A, ALLOWED_PHRASES_B, FALLBACK_
                                  STANCE_WORDS_A, STANCE_WORDS_B, stance_from_reply, topics_from_reply)
 from ..functions.labels import STANCE_TO_INT, NEUTRAL
 from ..operators import model_steps as ms
+from ..operators import topics
 from ..operators.joins import small
 from ..sources.fixtures import view, with_views
 from . import sqlkit as S
@@ -56,8 +57,26 @@ def _stance_prompt_sql(posts: str, sentence: str, num_labels: int = 5) -> str:
             f"{S.lit(P.STANCE_PROMPT_TAIL)})")
 
 
-_JOINED = (f"SELECT election, party, topic, string_agg(tweet, {S.lit(P.SEPARATOR)} ORDER BY created_at DESC, "
-           f"tweet_id) AS posts_joined, CAST(count(*) AS INTEGER) AS num_posts FROM ({_FP}) GROUP BY ALL")
+_GROUP_WINDOW = "PARTITION BY election, party, topic"
+
+
+def _joined_sql(num_labels: int = 5, pairs: str = "fx_model_filtered") -> str:
+    """(election, party, topic, batch_no, sentence, num_posts, posts_joined): every group dealt into prompts that fit.
+
+    Equal to the Spark side where no post alone exceeds half the context (there it is cut into pieces)."""
+    room = f"({LIMIT + 3} - overhead)"
+    return f"""
+SELECT election, party, topic, CAST(batch_no AS INTEGER) AS batch_no, any_value(sentence) AS sentence,
+  CAST(count(*) AS INTEGER) AS num_posts, string_agg(tweet, {S.lit(P.SEPARATOR)} ORDER BY created_at DESC, tweet_id) AS posts_joined
+FROM (SELECT *, CASE WHEN sum(cost) OVER ({_GROUP_WINDOW}) <= {room} THEN 0 ELSE
+        floor(coalesce(sum(cost) OVER ({_GROUP_WINDOW} ORDER BY created_at DESC, tweet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              / greatest({room} - max(cost) OVER ({_GROUP_WINDOW}), 1)) END AS batch_no
+      FROM (SELECT f.election, f.party, f.topic, f.tweet_id, t.tweet, t.created_at, s.sentence, {_tok_sql('t.tweet')} + 3 AS cost,
+              {_tok_sql(_stance_prompt_sql("''", 's.sentence', num_labels))} AS overhead
+            FROM ({pairs}) f JOIN ({_P2}) t ON t.tweet_id = f.tweet_id
+            JOIN fx_statements s ON s.election = f.election AND s.topic = f.topic))
+GROUP BY ALL
+"""
 
 
 # ------------------------------------------------------------ windows ------
@@ -115,37 +134,39 @@ def f3_char_batches(spark, sf):
     return b.select("tweet_id", F.col("chars_before").cast("long"), "batch_no")
 
 
+def _batches(spark, sf, num_labels: int = 5):
+    posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
+    return ms.joined_batches(view(spark, sf, "fx_model_filtered"), posts, view(spark, sf, "fx_statements"), LIMIT, num_labels)
+
+
 @query("e13_join_posts", with_views(
-    f"SELECT election, party, topic, num_posts, md5(posts_joined) AS posts_md5 FROM ({_JOINED})", *_V))
+    f"SELECT election, party, topic, batch_no, num_posts, md5(posts_joined) AS posts_md5 FROM ({_joined_sql()})", *_V))
 def e13_join_posts(spark, sf):
-    """All posts of each group joined with '~|~', newest first."""
-    j = ms.join_posts(_filtered_posts(spark, sf))
-    return j.select("election", "party", "topic", F.col("num_posts").cast("int"),
+    """All posts of each group joined with '~|~', newest first, in batches that fit the context."""
+    j = _batches(spark, sf)
+    return j.select("election", "party", "topic", "batch_no", F.col("num_posts").cast("int"),
                     F.md5("posts_joined").alias("posts_md5"))
 
 
 # ------------------------------------------------------------ prompts ------
 
 def _stance_prompts(spark, sf, num_labels):
-    j = ms.join_posts(_filtered_posts(spark, sf))
-    st = small(view(spark, sf, "fx_statements").select("election", "topic", "sentence"))
-    return j.join(st, ["election", "topic"]).withColumn(
-        "prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
+    return _batches(spark, sf, num_labels).withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
 
 
 def _stance_prompt_query_sql(num_labels):
     return with_views(f"""
-SELECT j.election, j.party, j.topic, md5({_stance_prompt_sql('j.posts_joined', 's.sentence', num_labels)}) AS prompt_md5,
-  md5(concat({S.lit(P.INSTRUCTION_OPEN)}, {_stance_prompt_sql('j.posts_joined', 's.sentence', num_labels)},
+SELECT j.election, j.party, j.topic, j.batch_no, md5({_stance_prompt_sql('j.posts_joined', 'j.sentence', num_labels)}) AS prompt_md5,
+  md5(concat({S.lit(P.INSTRUCTION_OPEN)}, {_stance_prompt_sql('j.posts_joined', 'j.sentence', num_labels)},
              {S.lit(P.INSTRUCTION_CLOSE)})) AS wrapped_md5
-FROM ({_JOINED}) j JOIN fx_statements s ON s.election = j.election AND s.topic = j.topic
+FROM ({_joined_sql(num_labels)}) j
 """, *_V)
 
 
 for _k in (5, 3):
     query(f"h28_stance_prompt_{_k}", _stance_prompt_query_sql(_k))(
         lambda spark, sf, _n=_k: _stance_prompts(spark, sf, _n).select(
-            "election", "party", "topic", F.md5("prompt").alias("prompt_md5"),
+            "election", "party", "topic", "batch_no", F.md5("prompt").alias("prompt_md5"),
             F.md5(P.instruction_wrap("prompt")).alias("wrapped_md5")))
 
 
@@ -284,15 +305,16 @@ def _words(num_labels: int):
 
 def rule_stance_completer_for(num_labels: int = 5):
     """Deterministic stand-in for a stance model: the answer depends only on
-    the prompt length (every 7th is a refused call)."""
+    the prompt length (every 7th is a refused call, every 11th a phrase that
+    variant A reads as disagree and variant B as neutral)."""
     words = _words(num_labels)
 
     def complete(prompts):
         out = []
         for p in prompts:
             n = len(p)
-            out.append("Bad Request" if n % 7 == 0 else
-                       '{"stance": "%s", "statement": "s"}' % words[n % len(words)])
+            word = "indirectly disagree" if n % 11 == 0 else words[n % len(words)]
+            out.append("Bad Request" if n % 7 == 0 else '{"stance": "%s", "statement": "s"}' % word)
         return out
     return complete
 
@@ -323,65 +345,56 @@ def _grid(spark, sf):
             .distinct().join(st, "election"))
 
 
-def _budget(num_labels: int = 5) -> str:
-    return f"""
-c AS (SELECT fp.*, s.sentence, {_tok_sql('fp.tweet')} + 3 AS cost,
-        {_tok_sql(_stance_prompt_sql("''", 's.sentence', num_labels))} AS overhead
-      FROM ({_FP}) fp JOIN fx_statements s ON s.election = fp.election AND s.topic = fp.topic),
-r AS (SELECT *, sum(cost) OVER (PARTITION BY election, party, topic ORDER BY created_at DESC, tweet_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 3 + overhead AS prompt_tokens FROM c),
-fit AS (SELECT * FROM r WHERE prompt_tokens <= {LIMIT}),
-j AS (SELECT election, party, topic, any_value(sentence) AS sentence, CAST(count(*) AS INTEGER) AS num_posts,
-        string_agg(tweet, {S.lit(P.SEPARATOR)} ORDER BY created_at DESC, tweet_id) AS posts_joined
-      FROM fit GROUP BY election, party, topic)"""
-
-
-def j7_body(num_labels: int = 5) -> str:
-    """DuckDB body (own CTEs, fixture views outside) of the model stance job."""
-    prompt = _stance_prompt_sql("j.posts_joined", "j.sentence", num_labels)
+# Which posts a stance model reads: those a score filter keeps, or those a topic model picked.
+SCORE_THRESHOLD = 0.6
+_SCORE_PAIRS = f"SELECT election, screen_name AS party, topic, tweet_id FROM fx_scores WHERE score_topic >= {S.dbl(SCORE_THRESHOLD)}"
+
+
+def score_pairs(spark, sf):
+    """Q3: posts whose topic score reaches the threshold."""
+    kept = topics.topic_filter(view(spark, sf, "fx_scores"), SCORE_THRESHOLD)
+    return kept.select("election", F.col("screen_name").alias("party"), "topic", "tweet_id")
+
+
+def j7_body(num_labels: int = 5, variant: str = "B", pairs: str = "fx_model_filtered") -> str:
+    """DuckDB body (fixture views outside) of the model stance job: every post of every group is read."""
+    prompt = _stance_prompt_sql("posts_joined", "sentence", num_labels)
     words = _words(num_labels)
-    arr = ", ".join(S.lit(w) for w in words)
-    reply = (f"CASE WHEN length({prompt}) % 7 = 0 THEN 'Bad Request' ELSE "
-             f"concat('{{\"stance\": \"', [{arr}][length({prompt}) % {len(words)} + 1], "
-             f"'\", \"statement\": \"s\"}}') END")
+    ints = ", ".join(str(STANCE_TO_INT[w]) for w in words)
     return f"""
-WITH {_budget(num_labels)},
-rep AS (SELECT election, party, topic, num_posts, {reply} AS reply FROM j),
-grid AS (SELECT DISTINCT t.election, t.user_screen_name AS party, s.topic FROM fx_tweets t
-         JOIN fx_statements s ON s.election = t.election)
 SELECT g.election, g.party, g.topic, coalesce(r.num_posts, 0) AS num_posts,
-  CASE WHEN r.reply IS NULL THEN 3 WHEN r.reply = 'Bad Request' THEN NULL
-       ELSE CASE regexp_extract(r.reply, '"stance": "([^"]*)"', 1)
-         {' '.join(f"WHEN {S.lit(w)} THEN {v}" for w, v in STANCE_TO_INT.items())} END END AS stance,
-  CASE WHEN r.reply IS NULL THEN 'no_posts' WHEN r.reply = 'Bad Request' THEN 'unparsed' ELSE 'json' END
-    AS parse_status
-FROM grid g LEFT JOIN rep r ON r.election = g.election AND r.party = g.party AND r.topic = g.topic
+  CASE WHEN r.num_posts IS NULL THEN 3 ELSE r.stance END AS stance,
+  CASE WHEN r.num_posts IS NULL THEN 'no_posts' WHEN r.stance IS NULL THEN 'unparsed' ELSE 'json' END AS parse_status
+FROM (SELECT DISTINCT t.election, t.user_screen_name AS party, s.topic FROM fx_tweets t JOIN fx_statements s ON s.election = t.election) g
+LEFT JOIN (SELECT election, party, topic, CAST(sum(num_posts) AS INTEGER) AS num_posts,
+             CAST(round_even(sum(s * num_posts) / sum(CASE WHEN s IS NOT NULL THEN num_posts END), 0) AS INTEGER) AS stance
+           FROM (SELECT *, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 11 = 0 THEN {2 if variant == 'A' else 3}
+                             ELSE [{ints}][n % {len(words)} + 1] END AS s
+                 FROM (SELECT *, length({prompt}) AS n FROM ({_joined_sql(num_labels, pairs)})))
+           GROUP BY election, party, topic) r
+  ON r.election = g.election AND r.party = g.party AND r.topic = g.topic
 """
 
 
-def _j7_sql():
-    return with_views(j7_body(5), *_V)
-
-
-def model_stance_table(spark, sf, num_labels: int = 5):
+def model_stance_table(spark, sf, num_labels: int = 5, variant: str = "B", filtered=None, ledger=None):
     posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
-    out = ms.model_stance(view(spark, sf, "fx_model_filtered"), posts, view(spark, sf, "fx_statements"),
+    filtered = view(spark, sf, "fx_model_filtered") if filtered is None else filtered
+    out = ms.model_stance(filtered, posts, view(spark, sf, "fx_statements"),
                           _grid(spark, sf), rule_stance_completer_for(num_labels), num_labels=num_labels,
-                          variant="B", limit=LIMIT)
+                          variant=variant, limit=LIMIT, ledger=ledger)
     return out.select("election", "party", "topic", F.col("num_posts").cast("int"), "stance", "parse_status")
 
 
-@query("j7_model_stance", _j7_sql())
+@query("j7_model_stance", with_views(j7_body(5, "B", _SCORE_PAIRS), *_V, "fx_scores"))
 def j7_model_stance(spark, sf):
-    """Token budget -> joined posts -> stance prompt -> model (distinct
-    prompts, mapInPandas) -> reply parsing (variant B) -> stance per
-    (party, statement); pairs without posts are neutral."""
-    return model_stance_table(spark, sf, 5)
+    """J7, variant B: score-filtered posts -> prompts that fit -> stance model (once a distinct
+    prompt) -> reply parsing -> stance per (party, statement); pairs without posts are neutral."""
+    return model_stance_table(spark, sf, 5, "B", score_pairs(spark, sf))
 
 
-def _j6_sql():
+def j6_body() -> str:
     prompt = _topic_prompt_sql("b.block", "t.tweet")
-    return with_views(f"""
+    return f"""
 WITH b AS ({_topic_block_sql()}),
 ends AS (SELECT election, arg_min(topic, topic_ix) AS first_t, arg_max(topic, topic_ix) AS last_t
          FROM fx_statements GROUP BY election),
@@ -394,13 +407,52 @@ picked AS (SELECT p.election, p.party, p.tweet_id, lower(e.first_t) AS t FROM p
            WHERE p.m = 2)
 SELECT k.election, picked.party, k.topic, picked.tweet_id FROM picked
 JOIN fx_statements k ON k.election = picked.election AND lower(k.topic) = picked.t
-""", "fx_tweets", "fx_statements")
+"""
 
 
-@query("j6_model_topics", _j6_sql())
+@query("j6_model_topics", with_views(j6_body(), "fx_tweets", "fx_statements"))
 def j6_model_topics(spark, sf):
     """Topic prompt per post -> model (distinct prompts) -> reply parsing
     -> topics the statement list knows (C8)."""
     tw = _p2_tweets(spark, sf, emoji=True).select("election", F.col("user_screen_name").alias("party"),
                                                   "tweet_id", "tweet")
     return ms.model_topics(tw, view(spark, sf, "fx_statements"), rule_topic_completer)
+
+
+@query("j7_model_stance_a", with_views(j7_body(5, "A", j6_body()), "fx_tweets", "fx_statements"))
+def j7_model_stance_a(spark, sf):
+    """J6 into J7, variant A: the posts a topic model picked -> stance model -> stance per (party, statement)."""
+    return model_stance_table(spark, sf, 5, "A", j6_model_topics(spark, sf))
+
+
+@query("g2_replies", with_views(f"""
+SELECT md5(p) AS prompt_md5, CASE WHEN length(p) % 3 = 0 THEN 1 ELSE 0 END AS refused, CAST(1 AS BIGINT) AS asked,
+  max(CASE WHEN early THEN 1 ELSE 0 END) AS first_run
+FROM (SELECT {_topic_prompt_sql('b.block', 't.tweet')} AS p, CAST(t.tweet_id AS BIGINT) % 2 = 0 AS early
+      FROM ({_P2E}) t JOIN ({_topic_block_sql()}) b ON b.election = t.election)
+GROUP BY p
+""", "fx_tweets", "fx_statements"))
+def g2_replies(spark, sf):
+    """Replies of the topic model in a ledger; a first run over the posts with an even id, then one over
+    all posts, which asks only for prompts without a reply: every prompt was asked once."""
+    ledger = ms.replies_ledger(spark)
+    posts = _p2_tweets(spark, sf, emoji=True).select("election", F.col("user_screen_name").alias("party"), "tweet_id", "tweet")
+    statements = view(spark, sf, "fx_statements")
+    ms.model_topics(posts.filter(F.col("tweet_id").cast("long") % 2 == 0), statements, rule_topic_completer, ledger=ledger)
+    first = [r.batch for r in ledger.batches().select("batch").collect()]       # a row a batch
+    ms.model_topics(posts, statements, rule_topic_completer, ledger=ledger)
+    return (ledger.rows().groupBy("prompt_md5")
+            .agg(F.max((F.col("reply") == "Bad Request").cast("int")).alias("refused"), F.count(F.lit(1)).alias("asked"),
+                 F.max(F.col("batch").isin(*first).cast("int")).alias("first_run")))
+
+
+@query("e17_call_stats", with_views(f"""
+SELECT CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE length(p) % 3 = 0) AS BIGINT) AS refused
+FROM (SELECT DISTINCT {_topic_prompt_sql('b.block', 't.tweet')} AS p FROM ({_P2E}) t JOIN ({_topic_block_sql()}) b ON b.election = t.election)
+""", "fx_tweets", "fx_statements"))
+def e17_call_stats(spark, sf):
+    """Model calls and refused calls of a topic-filtering run, from its replies ledger."""
+    ledger = ms.replies_ledger(spark)
+    posts = _p2_tweets(spark, sf, emoji=True).select("election", F.col("user_screen_name").alias("party"), "tweet_id", "tweet")
+    ms.model_topics(posts, view(spark, sf, "fx_statements"), rule_topic_completer, ledger=ledger)
+    return ms.call_stats(ledger.read()).select("calls", "refused")

@@ -171,27 +171,35 @@ _P2 = (f"SELECT tweet_id, lang, tweet FROM (SELECT tweet_id, lang, {S.clean_p2('
        f"WHERE tweet <> ''")
 
 
+def _pieces_sql() -> str:
+    strip = lambda x: S.h15(S.rx1(x, "^" + S.WS + "+"))
+    most = translate.MAX_CHARS - 1
+    return f"""CASE WHEN length(tweet) <= {most} THEN [tweet] ELSE
+  flatten(list_transform(list_filter(list_transform(regexp_extract_all(tweet, '[^.!?' || chr(10) || ']+[.!?]*|[.!?]+'), lambda x: {strip('x')}), lambda x: x <> ''),
+    lambda x: list_transform(range(0, CAST(floor((length(x) - 1) / {most}) AS BIGINT) + 1), lambda i: substr(x, CAST(i * {most} + 1 AS BIGINT), {most})))) END"""
+
+
 @query("j4_translate_memory", with_views(f"""
 WITH p AS ({_P2}),
-mem AS (SELECT DISTINCT lang, tweet AS text, concat('[', lang, '>en] ', tweet) AS translation
-        FROM p WHERE lang <> 'en' AND length(tweet) < 2000)
+mem AS (SELECT DISTINCT lang, tweet AS text FROM p WHERE lang <> 'en' AND length(tweet) < 2000),
+pc AS (SELECT tweet_id, lang, piece, pos FROM (SELECT tweet_id, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos
+       FROM (SELECT tweet_id, lang, {_pieces_sql()} AS ps FROM p WHERE lang IS DISTINCT FROM 'en' AND length(tweet) > 0))),
+j AS (SELECT tweet_id, string_agg(concat('[', lang, '>en] ', piece), ' ' ORDER BY pos) AS english,
+        bool_and(EXISTS (SELECT 1 FROM mem m WHERE m.lang = pc.lang AND m.text = pc.piece)) AS known
+      FROM pc GROUP BY tweet_id)
 SELECT p.tweet_id, p.tweet AS original_tweet,
-  CASE WHEN p.lang = 'en' THEN p.tweet WHEN length(p.tweet) = 0 THEN '' WHEN length(p.tweet) >= 5000 THEN NULL
-       ELSE concat('[', p.lang, '>en] ', p.tweet) END AS tweet,
-  CASE WHEN p.lang = 'en' THEN 'copied' WHEN length(p.tweet) = 0 THEN 'empty'
-       WHEN length(p.tweet) >= 5000 THEN 'too_long'
-       WHEN EXISTS (SELECT 1 FROM mem m WHERE m.lang = p.lang AND m.text = p.tweet) THEN 'memory'
-       ELSE 'ok' END AS translation_status
-FROM p
+  CASE WHEN p.lang = 'en' THEN p.tweet ELSE coalesce(j.english, '') END AS tweet,
+  CASE WHEN p.lang = 'en' THEN 'copied' WHEN j.tweet_id IS NULL THEN 'empty' WHEN j.known THEN 'memory' ELSE 'ok' END AS translation_status
+FROM p LEFT JOIN j ON j.tweet_id = p.tweet_id
 """, "fx_tweets"))
 def j4_translate_memory(spark, sf):
-    """J4 + C7 + C12 + B1: English copied, long texts flagged, short texts
-    served from a translation memory built earlier, the rest translated."""
+    """J4 + C7 + C12 + H31 + B1: English copied, long texts translated sentence by sentence and
+    rejoined, short texts served from a memory built earlier, the rest translated."""
     p = T.clean_posts(view(spark, sf, "fx_tweets"), "P2").select("tweet_id", "lang", "tweet")
-    memory = (p.filter((F.col("lang") != "en") & (F.length("tweet") < 2000))
-              .select("lang", F.col("tweet").alias("text")).distinct()
-              .withColumn("translation", F.concat(F.lit("["), F.col("lang"), F.lit(">en] "), F.col("text"))))
-    out, _new = translate.translate(p, rule_translator, memory)
+    memory = translate.translation_memory(spark)
+    known = p.filter((F.col("lang") != "en") & (F.length("tweet") < 2000)).select("lang", F.col("tweet").alias("text")).distinct()
+    translate.remember(memory, known.withColumn("translation", F.concat(F.lit("["), F.col("lang"), F.lit(">en] "), F.col("text"))))
+    out, _memory = translate.translate(p, rule_translator, memory)
     return out.select("tweet_id", "original_tweet", "tweet", "translation_status")
 
 
@@ -216,7 +224,7 @@ def _tri_sql(src, idc, textc, extra=""):
 
 @query("j5_detect_language", f"""
 WITH occ0 AS ({_tri_sql('documents', 'doc_id', 'text', ', lang')}),
-counts AS (SELECT lang, tri, count(*) AS c FROM occ0 GROUP BY ALL),
+counts AS (SELECT lang, tri, count(*) AS c FROM occ0 WHERE doc_id % 2 = 1 AND lang IS NOT NULL GROUP BY ALL),
 v AS (SELECT count(DISTINCT tri) AS v FROM counts),
 den AS (SELECT lang, sum(c) + (SELECT v FROM v) AS d FROM counts GROUP BY lang),
 prof AS (SELECT c.lang, c.tri, ln(c.c + 1) - ln(d.d) AS lp, -ln(d.d) AS unseen FROM counts c JOIN den d ON d.lang = c.lang),
@@ -225,19 +233,16 @@ tot AS (SELECT doc_id, sum(k) AS n_tri FROM occ GROUP BY ALL),
 pl AS (SELECT o.doc_id, p.lang, p.unseen, sum(o.k * (p.lp - p.unseen)) AS gain FROM occ o JOIN prof p ON p.tri = o.tri GROUP BY ALL),
 sc AS (SELECT pl.doc_id, pl.lang, gain + n_tri * unseen AS score FROM pl JOIN tot ON tot.doc_id = pl.doc_id),
 best AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rn FROM sc)
-SELECT d.doc_id, d.lang, b.lang AS predicted_lang, {_lang_case('b.lang')} AS predicted_name
-FROM best b JOIN documents d ON d.doc_id = b.doc_id WHERE b.rn = 1
+SELECT d.doc_id, d.lang, d.doc_id % 2 = 0 AS held_out, coalesce(b.lang, 'none') AS predicted_lang, {_lang_case("coalesce(b.lang, 'none')")} AS predicted_name
+FROM documents d LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON b.doc_id = d.doc_id
 """)
 def j5_detect_language(spark, sf):
-    """Trigram language profiles learned from the labelled documents,
-    then every document's most likely language; 'none' for a document that
-    shares no trigram with any profile."""
+    """Trigram language profiles learned from the documents with an odd id, then every
+    document's most likely language ('none' without a known trigram); those with an even id are held out."""
     d = table(spark, sf, "documents")
-    pred = translate.train_and_detect(d, "doc_id", "text", "lang")
-    code = F.coalesce("predicted_lang", F.lit(translate.NO_LANGUAGE))
-    name = F.coalesce("predicted_name", translate.language_name(F.lit(translate.NO_LANGUAGE)))
-    return (d.select("doc_id", "lang").join(pred, "doc_id", "left")
-            .withColumns({"predicted_lang": code, "predicted_name": name}))
+    profile = translate.language_profile(d.filter(F.col("doc_id") % 2 == 1), "text", "lang")
+    pred = translate.detect_language(d, profile, "doc_id", "text")
+    return d.select("doc_id", "lang", (F.col("doc_id") % 2 == 0).alias("held_out")).join(pred, "doc_id")
 
 
 @query("h31_translation_join", f"""

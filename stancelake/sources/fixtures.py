@@ -120,6 +120,33 @@ SELECT concat(conv_id, '-', turn) AS reply_id,
 FROM conversations
 """
 
+# Posts and replies on which rules fire that the other fixtures never reach:
+# direction marks, runs of white space, nothing left after cleaning, event time as
+# text or object, the misspelt word in a reply.
+VIEWS["fx_odd_tweets"] = """
+SELECT cast(doc_id AS varchar(20)) AS tweet_id, doc_id, source AS user_screen_name,
+  CASE doc_id % 6
+    WHEN 0 THEN concat('\u2066', text, '\u2069 end\u2066')
+    WHEN 1 THEN concat('  lead ', chr(9), chr(9), text, '  ', chr(10), '   next line \u00a0')
+    WHEN 2 THEN concat(text, '   ', chr(9))
+    WHEN 3 THEN 'https://t.co/only gone'
+    WHEN 4 THEN '@aa @bb #tag'
+    ELSE text END AS tweet,
+  concat('2019-0', cast(1 + doc_id % 9 AS varchar(2)), '-1', cast(doc_id % 10 AS varchar(2)), 'T08:00:0',
+    cast(doc_id % 7 AS varchar(2)), '.000000Z') AS created_text,
+  CASE WHEN doc_id % 3 = 0 THEN timestamp '2018-12-31 12:00:00' + (doc_id % 50) * interval '1' day END AS date_obj
+FROM documents
+"""
+
+VIEWS["fx_odd_replies"] = """
+SELECT concat(conv_id, '-', turn) AS reply_id,
+  CASE (conv_id + turn) % 3
+    WHEN 0 THEN '["detention centers", "topic_2"]'
+    WHEN 1 THEN concat('["topic_3",', chr(10), ' "Detention Centers"]')
+    ELSE '["detention centres"]' END AS reply
+FROM conversations
+"""
+
 # Creation order: each view may use the ones before it.
 VIEW_ORDER = list(VIEWS)
 
@@ -127,10 +154,10 @@ VIEW_ORDER = list(VIEWS)
 EXCLUDED_PARTIES = ("src3", "src7")
 
 
-_REGISTERED: dict[int, str] = {}
+_REGISTERED: dict[str, str] = {}
 
 # Tables whose rows carry long texts or feed per-row heavy work.
-TEXT_TABLES = ("documents", "pages", "conversations", "fx_tweets", "fx_scores", "fx_model_filtered")
+TEXT_TABLES = ("documents", "pages", "conversations", "fx_tweets", "fx_odd_tweets", "fx_scores", "fx_model_filtered")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -149,7 +176,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-_WRITTEN: dict[tuple[int, str], str] = {}
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
@@ -163,8 +190,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     to a folder seen before reuses its tables.
     """
     from ..session import shared_path
-    key = id(spark._jsparkSession)
-    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("fx_stance_replies"):
+    key = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("fx_odd_replies"):
         return
     for name in BASE_TABLES:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -19,19 +19,30 @@ RESULTS_SCHEMA = "VAA string, Party string, Topic string, Sentence string, Stanc
 
 
 def load_statements_csv(spark: SparkSession, path: str, election: str | None = None) -> DataFrame:
-    """A1 + C9: statement CSV (UTF-8 with BOM, quoted commas, header), rows
-    with any null dropped; list position kept as ``topic_ix``.  Trailing
-    blanks in a topic are kept."""
+    """A1 + C9: statement CSV (UTF-8 with BOM, quoted commas, header), a file or a folder
+    of them, rows with any null dropped.  Trailing blanks in a topic are kept.
+
+    ``topic_ix`` is the list position (file, row): files by path, rows as they stand.  A file of
+    quoted line breaks is read by one task, in order, so the row number grows with
+    the position in it; files are read side by side and no task sees them all.
+    """
     df = (spark.read.schema(STATEMENTS_SCHEMA).option("header", True).option("escape", '"')
           .option("multiLine", True).option("encoding", "UTF-8")
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(path))
-    df = df.dropna("any").withColumn("topic_ix", F.monotonically_increasing_id())
+    position = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    df = df.select("topic", "sentence", position.alias("topic_ix")).dropna("any", subset=["topic", "sentence"])
     if election is not None:
         df = df.withColumn("election", F.lit(election))
     return df
 
 
+def write_list_csv(df: DataFrame, path: str, order_col: str, files: int | None = None) -> None:
+    """A list as CSV files whose path order, and the order of rows in them, is that of ``order_col``; no task sees them all."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_table(df.repartitionByRange(n, order_col).sortWithinPartitions(order_col).drop(order_col), path, fmt="csv")
+
+
 def nan_to_null(df: DataFrame, cols) -> DataFrame:
     """NaN scores become null at the source (NaN >= t is true in Spark)."""
     for c in cols:

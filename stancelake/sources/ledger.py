@@ -26,9 +26,11 @@ MANIFEST = "batch string, n_rows long, committed_at timestamp"
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: Sequence[str]):
-        """A ledger of rows of ``schema``, each identified by ``keys``, under ``path`` (made when first written)."""
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: Sequence[str], finished: str = "true"):
+        """A ledger of rows of ``schema``, each identified by ``keys``, under ``path`` (made when first written).
+
+        ``finished`` is a condition: keys are done only by rows that fulfil it (so failures are tried again)."""
+        self.spark, self.path, self.keys, self.finished = spark, path.rstrip("/"), list(keys), finished
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def _read(self, name: str, schema: StructType) -> DataFrame:
@@ -73,8 +75,8 @@ class Ledger:
         return batch
 
     def todo(self, inputs: DataFrame) -> DataFrame:
-        """Inputs whose keys no committed row has (a null key is never finished)."""
-        return inputs.join(self.rows().select(*self.keys).distinct(), self.keys, "left_anti")
+        """Inputs whose keys no finished row has (a null key is never finished)."""
+        return inputs.join(self.rows().filter(self.finished).select(*self.keys).distinct(), self.keys, "left_anti")
 
     def advance(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int = 8) -> None:
         """Apply ``work`` to the unfinished inputs, a committed batch at a time.
