@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,13 +129,17 @@ def translate(posts: DataFrame, translator: Translator, memory: Ledger | None =
             return outs, errs
 
     def run(parts):
-        for pdf in parts:
-            for lang, part in pdf.groupby("lang", sort=False, dropna=False):
-                texts = part["text"].tolist()
-                outs, errs = one(texts, lang)
-                yield pd.DataFrame({"digest": part["digest"].tolist(), "lang": lang, "text": texts, "translation": outs, "error": errs})
-
-    memory.advance(pieces.dropDuplicates(["digest"]), lambda part: part.select("digest", "lang", "text").mapInPandas(run, MEMORY_SCHEMA), batches)
+        for b in parts:
+            langs, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            outs, errs = [None] * len(texts), [None] * len(texts)
+            for lang in dict.fromkeys(langs):
+                at = [i for i, x in enumerate(langs) if x == lang]
+                for i, o, e in zip(at, *one([texts[i] for i in at], lang)):
+                    outs[i], errs[i] = o, e
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(outs, pa.string()), pa.array(errs, pa.string())],
+                                             names=["digest", "lang", "text", "translation", "error"])
+
+    memory.advance(pieces.dropDuplicates(["digest"]), lambda part: part.select("digest", "lang", "text").mapInArrow(run, MEMORY_SCHEMA), batches)
     old = F.col("batch").isin(*known) if known else F.lit(False)
     told = (memory.rows().groupBy("digest")
             .agg(F.max("translation").alias("translation"), F.max(F.when(F.col("translation").isNull(), F.col("error"))).alias("error"),

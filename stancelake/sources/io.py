@@ -94,6 +94,8 @@ def write_table(df: DataFrame, path: str, partition_cols=(), fmt: str = "parquet
     if partition_cols:
         w = w.partitionBy(*partition_cols)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # as load_statements_csv reads
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)

@@ -37,6 +37,26 @@ def test_metrics_match_python(spark):
     assert got["E1"].n_invalid == 1
 
 
+def test_election_without_a_valid_prediction_stays(spark):
+    rows = [("m", "l5", "E1", 1, 1), ("m", "l5", "E1", 2, 3), ("m", "l5", "bad", 3, None), ("m", "l5", "bad", 4, None)]
+    df = spark.createDataFrame(rows, "Method string, scale string, VAA string, gold int, pred int")
+    got = {(r.VAA, r.is_mean): r for r in evaluate.metrics_and_means(df).collect()}
+    assert set(got) == {("E1", 0), ("bad", 0), (None, 1)}
+    bad, mean = got["bad", 0], got[None, 1]
+    assert (bad.f1_weighted, bad.mae, bad.n, bad.n_invalid) == (None, None, 0, 2)
+    assert mean.f1_weighted == got["E1", 0].f1_weighted and mean.n_elections == 1 and mean.n_invalid == 2 and mean.mae == 0.5
+
+
+def test_all_scales_from_one_scan(spark):
+    results = spark.createDataFrame([("m", 5, "E", "p", "t", "s", 4), ("m", 5, "E", "p", "t", "s", 4), ("m", 3, "E", "p", "t", "s", 2), ("m", 3, "E", "q", "t", "s", 5),
+                                     ("m", 5, "E", "q", "t", "s", None)], "Method string, num_labels int, VAA string, Party string, Topic string, Sentence string, Stance int")
+    golden = spark.createDataFrame([("E", "p", "s", 5, 3), ("E", "q", "s", 1, 1)], "VAA string, Party string, statement string, golden_label int, golden_label_three int")
+    pairs = evaluate.scored_pairs(results, golden)
+    assert sorted((r.scale, r.gold, r.pred) for r in pairs.collect() if r.pred is not None) == [("l3_cal", 3, 1), ("l3_der", 3, 3), ("l5", 5, 4)]
+    assert sorted(r.scale for r in pairs.collect() if r.pred is None) == ["l3_cal", "l3_der", "l5"]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
 def test_method_table_has_baseline(spark):
     means = spark.createDataFrame([("m", "l5", 0.5, 1.0, 3)], "Method string, scale string, avg_f1 double, "
                                                               "avg_mae double, n_elections long")

@@ -22,6 +22,16 @@ def test_statements_csv_bom_quotes_trailing_blank(spark):
     assert df[0].sentence == "the UK should leave, now"
 
 
+def test_list_of_many_files_keeps_its_order(spark):
+    d = tempfile.mkdtemp(prefix="stmts-")
+    st = spark.createDataFrame([(i, f"t{i}", f'say "{i}", twice\nor more ') for i in range(200)], "n long, topic string, sentence string").repartition(9)
+    io.write_list_csv(st, d + "/list", "n", files=6)
+    assert len([f for f in os.listdir(d + "/list") if f.endswith(".csv")]) == 6
+    back = io.load_statements_csv(spark, d + "/list")
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    assert [(r.topic, r.sentence) for r in back.orderBy("topic_ix").collect()] == [(f"t{i}", f'say "{i}", twice\nor more ') for i in range(200)]
+
+
 def test_topic_partitions_roundtrip_and_append(spark):
     d = tempfile.mkdtemp(prefix="topics-")
     df = spark.createDataFrame([("D3", "E", "p", "t/x", "0012", 0.9, 0.5), ("D3", "E", "p", "t2", "7", 0.8, 0.1)],
