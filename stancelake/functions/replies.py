@@ -21,14 +21,21 @@ STANCE_WORDS_A = [
 ]
 # Variant B (score-filtered posts) lists more words and ends with ".+", so any
 # value matches; only the five canonical words survive, the rest is neutral.
-STANCE_WORDS_B = STANCE_WORDS_A + [
+STANCE_WORDS_B = [
+    "completely disagree", "disagree", "neither disagree nor agree", "agree", "completely agree",
+    "neutral", "none", "unknown", "neither_disagree_nor_agree", "indirectly disagree",
+    "insufficient_information", "neutral leaning towards agree", "undetermined", "indeterminable",
     "no stance provided based on the tweets", "lean agree",
     "cannot be determined from the tweets provided", "cannot be determined from the given tweets",
     "not mentioned", "undefined", "not applicable", "not available",
     "cannot be determined from the provided tweets", "not determinable from the given information",
 ]
 # Words accepted by the free-text fallback regex (both variants).
-FALLBACK_WORDS = STANCE_WORDS_A[:12]
+FALLBACK_WORDS = [
+    "completely disagree", "disagree", "neither disagree nor agree", "agree", "completely agree",
+    "neutral", "none", "unknown", "neither_disagree_nor_agree", "indirectly disagree",
+    "insufficient_information", "neutral leaning towards agree",
+]
 # Lead-ins of the fallback regex.
 FALLBACK_LEAD_A = ["Based on the provided tweets, the"]
 FALLBACK_LEAD_B = ["Based on the provided tweets", "based solely on the information provided in the tweets",
