@@ -2,16 +2,24 @@
 
 The model is an n-gram model over UTF-8 bytes (order 5), so an n-gram is an
 exact 40-bit number and no word is out of vocabulary.  It is trained on trusted
-documents.  Scoring is a join, not a broadcast model:
+documents, each distinct text once; one in four calibrates instead.  The side of
+a text hangs on the smallest hash of its shingles, so that copies, and most near
+copies, of a training text never calibrate.
+
+Scoring is a join, not a broadcast model:
 
 1. Documents are packed into blocks of about ``BLOCK_BYTES`` of text.  A block
    asks for each of its distinct n-grams once, in one request per shard; shards
    are chosen by the third and fourth byte, so that every count a probability
    needs (orders 5, 4, 3: the n-gram, its contexts, their continuations) lies in
    the same shard.  Orders 2 and 1 are at most 65,536 numbers and go everywhere.
-2. Requests are joined with the count shards, which answer with log
-   probabilities; answers are joined with their blocks.
-3. A block looks its n-grams up and sums them by document.
+   The number of shards follows the number of distinct n-grams; two bytes fixed, a
+   shard's pairs have at most 2^24 n-grams each.
+2. Requests and counts are cogrouped by shard; where a shard has more than
+   ``GROUP_GRAMS`` requested n-grams it is answered by several groups, each with the
+   shard's counts.  A group reads its counts once.
+3. Answers and blocks are cogrouped by block: a block looks its n-grams up and
+   sums them by document.
 
 What is shuffled is the compressed text once, and distinct n-grams by block.
 """
@@ -33,11 +41,14 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .common import staged
 
 ORDER = 5
-SHARDS = 64
-BLOCK_BYTES = 24 << 20
+SHARD_GRAMS = 1 << 19           # distinct n-grams of the model in a shard
+GROUP_GRAMS = 1 << 23           # requested n-grams that one group answers
+BLOCK_BYTES = 12 << 20
 PART_BYTES = 2 << 20            # n-grams of so many bytes at once
-BROADCAST_IDS = 2_000_000       # more trusted ids than these are joined by a shuffle
+SHINGLE = 40                    # bytes of a shingle of the split between training and calibration
+CALIBRATION_FOLDS = 4           # one of so many calibrates
 QUANTILE = 0.995
+LEAST_DISCOUNT = 0.02
 LOW_ORDERS = 1 << 16
 
 
@@ -88,8 +99,8 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams, n
 
 
-def shard_of(grams: np.ndarray) -> np.ndarray:
-    return (((grams >> 8) & 0xFFFF) * 40503 & 0xFFFF) * SHARDS >> 16
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    return (((grams >> 8) & 0xFFFF) * 40503 & 0xFFFF) * shards >> 16
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -110,7 +121,7 @@ def packed(batch: pa.Table) -> bytes:
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_table(batch)
     # repeats far apart in a block are found too
-    far = zstandard.ZstdCompressionParameters.from_level(6, window_log=25, enable_ldm=True)
+    far = zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True)
     return zstandard.ZstdCompressor(compression_params=far).compress(sink.getvalue())
 
 
@@ -118,58 +129,61 @@ def unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
 
 
-BLOCKS = "block long, blob binary, calibration binary, train_grams binary, train_counts binary, requests array<struct<shard:int,grams:binary>>"
+BLOCKS = "block long, blob binary, n_grams long, requests array<struct<shard:int,grams:binary>>"
+
+
+def held_texts(batches: Iterator[pa.RecordBatch], text_of) -> Iterator[pa.Table]:
+    """Rows of a task gathered until they hold BLOCK_BYTES of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(text_of(b)), 0))
+        first = 0
+        while first < b.num_rows:       # a block ends at the first row that fills it
+            fits = int(np.searchsorted(np.cumsum(lengths[first:]), max(1, BLOCK_BYTES - size))) + 1
+            part = b.slice(first, fits)
+            held.append(part)
+            size += int(lengths[first:first + fits].sum())
+            first += part.num_rows
+            if size >= BLOCK_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def text_in(whole, text_col: str):
+    """The text column of a column of whole rows; of chunks or one array."""
+    return pc.struct_field(whole, text_col)
 
 
-def make_blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    """Blocks of ``docs`` (with a column ``role_``: train, calibrate or null)."""
+def make_blocks(rows: DataFrame, text_col: str, shards: int) -> DataFrame:
+    """Blocks of a one-column table of whole rows (structs)."""
+    kind = pa.list_(pa.struct([("shard", pa.int32()), ("grams", pa.binary())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = n = 0
         task = TaskContext.get().partitionId()
-        for b in batches:
-            lengths = np.asarray(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text_col))), 0))
-            first = 0
-            while first < b.num_rows:       # a block ends at the first row that fills it
-                fits = int(np.searchsorted(np.cumsum(lengths[first:]), max(1, BLOCK_BYTES - size))) + 1
-                part = b.slice(first, fits)
-                held.append(part)
-                size += int(lengths[first:first + fits].sum())
-                first += part.num_rows
-                if size >= BLOCK_BYTES:
-                    yield one(pa.Table.from_batches(held), (task << 32) + n)
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield one(pa.Table.from_batches(held), (task << 32) + n)
-
-    def one(t: pa.Table, block: int) -> pa.RecordBatch:
-        texts = [x or "" for x in t.column(text_col).to_pylist()]
-        role = t.column("role_").to_pylist()
-        grams = distinct(texts)
-        shard = shard_of(grams)
-        requests = [{"shard": int(s), "grams": squeeze(grams[shard == s])} for s in np.unique(shard)]
-        trained, counts = counted([x for x, r in zip(texts, role) if r == "train"])
-        calibration = t.filter(pa.array([r == "calibrate" for r in role], pa.bool_()))
-        kind = pa.list_(pa.struct([("shard", pa.int32()), ("grams", pa.binary())]))
-        cols = [pa.array([block], pa.int64()), pa.array([packed(t.drop_columns(["role_"]))], pa.binary()),
-                pa.array([packed(calibration) if calibration.num_rows else None], pa.binary()),
-                pa.array([squeeze(trained)], pa.binary()), pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary()), pa.array([requests], kind)]
-        return pa.RecordBatch.from_arrays(cols, names=["block", "blob", "calibration", "train_grams", "train_counts", "requests"])
-
-    return docs.mapInArrow(run, BLOCKS)
+        for n, t in enumerate(held_texts(batches, lambda b: text_in(b.column(0), text_col))):
+            grams = distinct([x or "" for x in text_in(t.column(0), text_col).to_pylist()])
+            shard = shard_of(grams, shards)
+            requests = [{"shard": int(s), "grams": squeeze(grams[shard == s])} for s in np.unique(shard)]
+            cols = [pa.array([(task << 32) + n], pa.int64()), pa.array([packed(t)], pa.binary()), pa.array([len(grams)], pa.int64()), pa.array([requests], kind)]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "blob", "n_grams", "requests"])
+
+    return rows.mapInArrow(run, BLOCKS)
 
 
 # ---- model -----------------------------------------------------------------
 
-def count_ngrams(blocks: DataFrame) -> DataFrame:
-    """(gram, n) of the trusted training text."""
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """(gram, n) of a one-column table of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(unsqueeze(g)), pa.array(np.frombuffer(zstandard.decompress(n), np.int64))], names=["gram", "n"])
+        for t in held_texts(batches, lambda b: b.column(0)):
+            g, n = counted([x or "" for x in t.column(0).to_pylist()])
+            for a in range(0, len(g), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(g[a:a + (1 << 17)]), pa.array(n[a:a + (1 << 17)])], names=["gram", "n"])
 
-    rows = blocks.select("train_grams", "train_counts").mapInArrow(run, "gram long, n long")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def continuations(counts: DataFrame, order: int) -> DataFrame:
@@ -178,10 +192,10 @@ def continuations(counts: DataFrame, order: int) -> DataFrame:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more, held between 0 and the count."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more, held between a little and the count: no byte gets probability 0."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     d = [0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y]
-    return np.clip(d, 0.0, [0.0, 1.0, 2.0, 3.0])
+    return np.clip(d, [0.0, LEAST_DISCOUNT, LEAST_DISCOUNT, LEAST_DISCOUNT], [0.0, 1.0, 2.0, 3.0])
 
 
 class Level:
@@ -246,75 +260,110 @@ class Model:
         return np.log(p)
 
 
-def answer(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """(block, answers): the sharded join of requests and counts."""
-    def shards(key, t):
-        g = t.column("gram").to_numpy()
+def answer(blocks: DataFrame, counts: DataFrame, model: Model, shards: int) -> DataFrame:
+    """(block, shard, log_p): log probabilities of the n-grams of each request, in their order."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    asked = blocks.agg(F.sum("n_grams")).first()[0] or 0
+    salts = max(1, -(-asked // (shards * GROUP_GRAMS)))
+
+    def run(requests: pa.Table, known: pa.Table) -> pa.Table:
+        g, n = known.column("gram").to_numpy(), known.column("n").to_numpy()
         by = np.argsort(g)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts_grams": pa.array([g[by].tobytes()], pa.binary()),
-                         "counts_n": pa.array([t.column("n").to_numpy()[by].tobytes()], pa.binary())})
+        g, n = g[by], n[by]
+        out = [shared.value.log_probabilities(g, n, unsqueeze(x.as_py())).astype("<f4").tobytes() for x in requests.column("grams")]
+        return pa.table({"block": requests.column("block"), "shard": requests.column("shard"), "log_p": pa.array(out, pa.binary())})
 
     middle = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    shard = F.shiftright((middle * 40503).bitwiseAND(0xFFFF) * SHARDS, 16).cast("int")
-    model_rows = counts.withColumn("shard", shard).groupBy("shard").applyInArrow(shards, "shard int, counts_grams binary, counts_n binary")
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                g, n = (np.frombuffer(r[c] or b"", np.int64) for c in ("counts_grams", "counts_n"))
-                out.append(shared.value.log_probabilities(g, n, unsqueeze(r["grams"])).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["block", "shard", "log_p"])
-
-    requests = blocks.select("block", F.inline("requests"))
-    answered = (requests.join(model_rows, "shard", "left").select("block", "shard", "grams", "counts_grams", "counts_n")
-                .mapInArrow(run, "block long, shard int, log_p binary"))
-    return answered.groupBy("block").agg(F.collect_list(F.struct("shard", "log_p")).alias("answers"))
-
-
-def score_rows(texts: list[str], requests: list[dict], answers: list[dict]) -> np.ndarray:
-    """Cross entropy (nats a byte) of each text; an empty text has none (NaN)."""
-    by_shard = {a["shard"]: a["log_p"] for a in answers}
-    grams = np.concatenate([unsqueeze(r["grams"]) for r in requests]) if requests else np.zeros(0, dtype=np.int64)
-    log_p = np.concatenate([np.frombuffer(by_shard[r["shard"]], "<f4") for r in requests]).astype(np.float64) if requests else np.zeros(0)
-    order = np.argsort(grams)
-    grams, log_p = grams[order], log_p[order]
-    out = np.full(len(texts), np.nan)
+    shard = F.shiftright((middle * 40503).bitwiseAND(0xFFFF) * shards, 16).cast("int")
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
+    requests = blocks.select("block", salt.alias("salt"), F.inline("requests")).groupBy("shard", "salt")
+    known = counts.select("gram", "n", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).groupBy("shard", "salt")
+    return requests.cogroup(known).applyInArrow(run, "block long, shard int, log_p binary")
+
+
+def score_rows(texts: list[str], shards: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(cross entropy in nats a byte, bytes) of each text; an empty text has none (NaN)."""
+    grams = distinct(texts)
+    shard = shard_of(grams, shards)
+    log_p = np.zeros(len(grams))
+    for s in np.unique(shard):
+        log_p[shard == s] = np.frombuffer(answers[int(s)], "<f4")
+    out, n_bytes = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
     for a, b in parts(texts):
         g, sizes = ngrams(texts[a:b])
         sums = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, g)])])
         ends = np.cumsum(sizes)
         with np.errstate(invalid="ignore", divide="ignore"):
             out[a:b] = -(sums[ends] - sums[ends - sizes]) / sizes
-    return out
+        n_bytes[a:b] = sizes
+    return out, n_bytes
 
 
-def scored(blocks: DataFrame, answers: DataFrame, column: str, schema, text_col: str) -> DataFrame:
-    """Rows of the blocks' ``column`` with n_bytes_ and entropy_."""
-    names = [f.name for f in schema.fields] + ["n_bytes_", "entropy_"]
+class Scorer:
+    """The counts of a model, staged, and how to score rows with them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                t = unpacked(r["blob"])
-                texts = [x or "" for x in t.column(text_col).to_pylist()]
-                e = score_rows(texts, r["requests"], r["answers"] or [])
-                sizes = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
-                entropy = pa.array([None if np.isnan(x) else x for x in e.tolist()], pa.float64())
-                t = t.select(names[:-2]).append_column("n_bytes_", sizes).append_column("entropy_", entropy)
-                yield from t.to_batches(max_chunksize=2_000)
+    def __init__(self, texts: DataFrame):
+        self.counts = staged(count_ngrams(texts), "quality-counts")
+        self.shards = min(LOW_ORDERS, max(1, -(-self.counts.count() // SHARD_GRAMS)))
+        self.model = Model(self.counts)
+
+    def scored(self, rows: DataFrame, text_col: str) -> DataFrame:
+        """(whole, n_bytes, entropy) of a one-column table of whole rows."""
+        shards = self.shards
+        blocks = staged(make_blocks(rows, text_col, shards), "quality-blocks")
+        answers = answer(blocks, self.counts, self.model, shards)
+
+        def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+            t = unpacked(block.column("blob")[0].as_py())
+            texts = [x or "" for x in text_in(t.column(0), text_col).to_pylist()]
+            entropy, n_bytes = score_rows(texts, shards, dict(zip(answered.column("shard").to_pylist(), answered.column("log_p").to_pylist())))
+            return pa.table({"whole": t.column(0), "n_bytes": pa.array(n_bytes), "entropy": pa.array(entropy, from_pandas=True)})
+
+        out = StructType([*rows.schema.fields, StructField("n_bytes", LongType()), StructField("entropy", DoubleType())])
+        return blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, out)
 
-    rows = blocks.filter(F.col(column).isNotNull()).select("block", F.col(column).alias("blob"), "requests").join(answers, "block", "left")
-    out = StructType([*schema.fields, StructField("n_bytes_", LongType()), StructField("entropy_", DoubleType())])
-    return rows.select("blob", "requests", "answers").mapInArrow(run, out)
 
+# ---- classifier --------------------------------------------------------------
 
-def trusted_sample(labels: DataFrame, trusted: Column | str, id_col: str = "doc_id") -> DataFrame:
-    """(id_, role_): every trusted id; by hash, one in four for calibration."""
-    h = F.xxhash64("id_")
-    ids = labels.filter(trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_")).distinct()
-    return ids.select("id_", F.when(F.pmod(h, F.lit(4)) == 3, "calibrate").otherwise("train").alias("role_"))
+def stirred(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def smallest_shingle(raw: bytes) -> int:
+    """Smallest hash of the text's SHINGLE-byte shingles (of the padded text, if it is shorter)."""
+    a = np.frombuffer(raw.ljust(SHINGLE, b"\0"), dtype=np.uint8)
+    low = np.uint64(2**64 - 1)
+    for first in range(0, len(a) - SHINGLE + 1, PART_BYTES):
+        part = a[first:first + PART_BYTES + SHINGLE - 1]
+        w = np.zeros(len(part) - 7, dtype=np.uint64)
+        for i in range(8):
+            w |= part[i:i + len(w)].astype(np.uint64) << np.uint64(8 * i)
+        n = len(part) - SHINGLE + 1
+        h = np.full(n, 7, dtype=np.uint64)
+        for at in range(0, SHINGLE, 8):
+            h = stirred(h, w[at:at + n])
+        low = min(low, stirred(h, np.uint64(SHINGLE)).min())
+    return int(low)
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame, trusted: Column | str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text, calibrates) of every distinct trusted text that is not empty; of its languages, the first.
+
+    The ids are staged, so Spark knows their bytes and broadcasts them if they are few;
+    only trusted texts are shuffled, copies of a task combined before.
+    """
+    ids = staged(labels.filter(trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "quality-ids")
+    texts = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    once = texts.join(ids, "id").groupBy(F.xxhash64("text").alias("mark")).agg(F.min("lang").alias("lang"), F.any_value("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side = [smallest_shingle(x.as_py()) % CALIBRATION_FOLDS == 0 for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(side, pa.bool_())], names=["lang", "text", "calibrates"])
+
+    return once.select("lang", "text").mapInArrow(run, "lang string, text string, calibrates boolean")
 
 
 def adjusted(entropy: Column, n_bytes: Column) -> Column:
@@ -325,40 +374,50 @@ def adjusted(entropy: Column, n_bytes: Column) -> Column:
 SPREAD = 2.0
 
 
+def judged(docs: DataFrame, labels: DataFrame, trusted: Column | str, quantile: float = QUANTILE,
+           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(whole, perplexity, threshold, accepted) of every row, whole being the row itself; see ``classify``."""
+    known = staged(trusted_texts(docs, labels, trusted, id_col, text_col, lang_col), "quality-trusted")
+    scorer = Scorer(known.filter("not calibrates").select("text"))
+    calibration = scorer.scored(known.filter("calibrates").select(F.struct("lang", "text").alias("whole")), "text")
+    calibration = staged(calibration.select(F.col("whole.lang").alias("lang"), "entropy", "n_bytes"), "quality-calibration")
+    # rounded, so that the aggregate holds a bounded number of distinct values
+    value = F.percentile(F.round(adjusted(F.col("entropy"), F.col("n_bytes")), 5), F.lit(quantile)).alias("limit")
+    least = round(1 / (1 - quantile)) if quantile < 1 else 1
+    by_lang = calibration.filter("lang is not null").groupBy("lang").agg(value, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
+    by_lang = staged(by_lang, "quality-limits")             # a row a language: Spark knows its bytes, and broadcasts it
+    every = calibration.agg(value).first()["limit"]
+    out = scorer.scored(docs.select(F.struct(*docs.columns).alias("whole")), text_col)
+    out = out.join(by_lang, F.col("whole").getField(lang_col) == F.col("lang"), "left")
+    limit = F.coalesce("limit", F.lit(every).cast("double")) + F.lit(SPREAD) / F.sqrt(F.col("n_bytes").cast("double"))
+    entropy = F.col("entropy")
+    ok = F.when(entropy.isNull(), False).otherwise(F.coalesce(entropy <= limit, F.lit(True)))
+    return out.select("whole", F.exp("entropy").alias("perplexity"), F.exp(F.when(entropy.isNotNull(), limit)).alias("threshold"), ok.alias("accepted"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, trusted: Column | str, quantile: float = QUANTILE,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with perplexity (per byte), threshold (of the row's language and length) and accepted.
 
     A row is accepted if its perplexity is at most its threshold.  The model is
-    fitted on all trusted documents but one in four, which calibrate.  The
-    threshold is the ``quantile`` of all calibration documents of the same
+    fitted on the distinct texts of trusted documents but one in four, which calibrate.  The
+    threshold is the ``quantile`` of all calibration texts of the same
     language (to five decimals of entropy); a language with fewer of them than
     the quantile needs for one document above it (null included) takes that of
-    all languages; a short text is allowed what chance adds to it.  A null or empty text has no
-    perplexity and is not accepted.  Without any trusted document nothing can be
-    told, and every non-empty text is accepted, with a null threshold.  Rows keep
-    their columns; a column called perplexity, threshold or accepted is replaced.
-    An empty table gives an empty result.
+    all languages; a short text is allowed what chance adds to it.  A text given
+    many times counts once in the model and in the quantile, so its copies change
+    no decision.  A null or empty text has no perplexity and is not accepted; very long
+    texts are scored whole, a block each.  Without any calibration text nothing can be
+    told, and every non-empty text is accepted, with a null threshold.  Repeated rows are
+    judged each.  Rows keep their columns; one called perplexity, threshold or accepted is
+    replaced (``accepted_documents`` keeps them).  An empty table gives an empty result.
     """
-    kept = docs.drop("role_", "id_", "perplexity", "threshold", "accepted", "n_bytes_", "entropy_", "limit_", "lang_")
-    sample = staged(trusted_sample(labels, trusted, id_col), "quality-roles")
-    if sample.count() <= BROADCAST_IDS:
-        sample = F.broadcast(sample)
-    tagged = kept.join(sample, kept[id_col] == F.col("id_"), "left").drop("id_")
-    blocks = staged(make_blocks(tagged, text_col), "quality-blocks")
-    counts = staged(count_ngrams(blocks), "quality-counts")
-    answers = staged(answer(blocks, counts, Model(counts)), "quality-answers")
-    calibration = scored(blocks, answers, "calibration", kept.schema, text_col).filter("entropy_ is not null")
-    # rounded, so that the aggregate holds a bounded number of distinct values
-    value = F.percentile(F.round(adjusted(F.col("entropy_"), F.col("n_bytes_")), 5), F.lit(quantile)).alias("limit_")
-    least = round(1 / (1 - quantile)) if quantile < 1 else 1
-    calibration = staged(calibration.select(F.col(lang_col).alias("lang_"), "entropy_", "n_bytes_"), "quality-calibration")
-    by_lang = calibration.filter("lang_ is not null").groupBy("lang_").agg(value, F.count(F.lit(1)).alias("n_"))
-    by_lang = by_lang.filter(F.col("n_") >= least).drop("n_")
-    every = calibration.agg(value).first()["limit_"]
-    out = scored(blocks, answers, "blob", kept.schema, text_col)
-    out = out.join(F.broadcast(by_lang), F.col(lang_col) == F.col("lang_"), "left")
-    limit = F.coalesce("limit_", F.lit(every).cast("double")) + F.lit(SPREAD) / F.sqrt(F.col("n_bytes_").cast("double"))
-    entropy = F.col("entropy_")
-    ok = F.when(entropy.isNull(), False).otherwise(F.coalesce(entropy <= limit, F.lit(True)))
-    return out.select(*kept.columns, F.exp("entropy_").alias("perplexity"), F.exp(F.when(entropy.isNotNull(), limit)).alias("threshold"), ok.alias("accepted"))
+    out = judged(docs, labels, trusted, quantile, id_col, text_col, lang_col)
+    kept = [F.col("whole").getField(c).alias(c) for c in docs.columns if c not in ("perplexity", "threshold", "accepted")]
+    return out.select(*kept, "perplexity", "threshold", "accepted")
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, trusted: Column | str, **options) -> DataFrame:
+    """The accepted rows of ``docs`` as they are, whatever their columns are called."""
+    out = judged(docs, labels, trusted, **options).filter("accepted")
+    return out.select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
