@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,71 +139,84 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             fit_col: str | None = None) -> DataFrame:
-    """All of ``docs`` with lang_pred and score (posterior probability of lang_pred, 0 to 1).
+class Model:
+    """Log probabilities of the learned languages, in blocks small enough for every task."""
+
+    def __init__(self, training: DataFrame, text_col: str = "text", lang_col: str = "lang"):
+        counts = staged(train(training, text_col, lang_col), "langid-counts")
+        totals = counts.filter("bucket = -1").select("lang", "n").toArrow()
+        langs, documents = sorted(totals["lang"].to_pylist()), sum(totals["n"].to_pylist())
+        blocks = [langs[a:a + LANGS_PER_BLOCK] for a in range(0, len(langs), LANGS_PER_BLOCK)]
+        context = training.sparkSession.sparkContext
+        self.shared = [context.broadcast((block, _matrix(counts, block, documents))) for block in blocks]
 
-    The model is learned from the text and non-null language of rows where
-    ``is_training`` holds; nothing but the text enters a prediction.  A text that
-    is null or has no letter, or any text if nothing could be learned, is ``und``
-    with score 0.  Ties go to the language first in order of code points.  Rows
-    and columns of ``docs`` are kept as they are and two are added; a column of
-    theirs called lang_pred or score is replaced.  ``fit_col`` names one more
-    column: how well the text's words fit lang_pred (``_fits``), null for
-    ``und``; unlike the score it doesn't grow with the text's length.
-    """
-    spark = docs.sparkSession
-    counts = train(docs.filter(is_training), text_col, lang_col)
-    counts = staged(counts, "langid-counts")
-    totals = counts.filter("bucket = -1").select("lang", "n").toArrow()
-    langs, documents = sorted(totals["lang"].to_pylist()), sum(totals["n"].to_pylist())
-    out = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "best_": F.lit(float("-inf")), "lse_": F.lit(float("-inf")), "fit_": F.lit(None).cast("double")})
-    fields, schema = out.columns, out.schema
-    for first in range(0, len(langs), LANGS_PER_BLOCK):
-        block = langs[first:first + LANGS_PER_BLOCK]
-        shared = spark.sparkContext.broadcast((block, _matrix(counts, block, documents)))
+
+def told(docs: DataFrame, model: Model, text_col: str = "text", with_fit: bool = False) -> DataFrame:
+    """(whole, lang_pred, score, fit) of every row, whole being the row itself; see ``identify``."""
+    low = F.lit(float("-inf"))
+    out = docs.select(F.struct(*docs.columns).alias("whole"), F.lit(UNKNOWN).alias("lang_pred"), low.alias("best"), low.alias("lse"),
+                      F.lit(None).cast("double").alias("fit"))
+    names, schema = out.columns, out.schema
+    for shared in model.shared:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
+            known, matrix = shared.value
             for b in batches:
-                texts = [t or "" for t in b.column(fields.index(text_col)).to_pylist()]
+                texts = [t or "" for t in pc.struct_field(b.column(0), text_col).to_pylist()]
                 at = np.array([i for i, t in enumerate(texts) if has_letter(t)], dtype=np.int64)
-                pred, old, lse, fit = (np.array(b.column(fields.index(c)).to_pylist(), dtype=kind) for c, kind in
-                                       (("lang_pred", object), ("best_", np.float64), ("lse_", np.float64), ("fit_", np.float64)))
+                pred, old, lse, fit = (np.array(b.column(i).to_pylist(), dtype=kind) for i, kind in enumerate((object, np.float64, np.float64, np.float64), 1))
                 if len(at):
                     s = _scores([texts[i] for i in at], matrix)
                     top = s.argmax(axis=1)
                     best = s[np.arange(len(at)), top]
                     better = best > old[at]
-                    pred[at[better]] = np.array(names, dtype=object)[top[better]]
-                    if fit_col:
+                    pred[at[better]] = np.array(known, dtype=object)[top[better]]
+                    if with_fit:
                         fit[at[better]] = _fits([texts[i] for i in at[better]], matrix, top[better])
                     lse[at] = np.logaddexp(lse[at], np.logaddexp.reduce(s, axis=1))
                     old[at] = np.maximum(old[at], best)
-                added = {"lang_pred": pa.array(pred.tolist(), pa.string()), "best_": pa.array(old), "lse_": pa.array(lse),
-                         "fit_": pa.array(fit, from_pandas=True)}
-                yield pa.RecordBatch.from_arrays([added.get(c, b.column(i)) for i, c in enumerate(fields)], names=fields)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred.tolist(), pa.string()), pa.array(old), pa.array(lse),
+                                                  pa.array(fit, from_pandas=True)], names=names)
 
         out = out.mapInArrow(run, schema)
-    score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(F.least(F.exp(F.col("best_") - F.col("lse_")), F.lit(1.0)))
-    if fit_col:
-        out = out.withColumn(fit_col, F.col("fit_"))
-    return out.withColumn("score", score).drop("best_", "lse_", *(["fit_"] if fit_col != "fit_" else []))
+    score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(F.least(F.exp(F.col("best") - F.col("lse")), F.lit(1.0)))
+    return out.select("whole", "lang_pred", score.alias("score"), "fit")
+
+
+def identify(docs: DataFrame, is_training: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All of ``docs`` with lang_pred and score (posterior probability of lang_pred, 0 to 1).
+
+    The model is learned from the text and non-null language of rows where
+    ``is_training`` holds; nothing but the text enters a prediction.  A text that
+    is null or has no letter, or any text if nothing could be learned, is ``und``
+    with score 0.  Ties go to the language first in order of code points.  Very long
+    texts are read whole.  Repeated rows are told each, and count as often in training.
+    Rows and columns of ``docs`` are kept as they are and two are added; a column of
+    theirs called lang_pred or score is replaced.  An empty table gives an empty result.
+    """
+    out = told(docs, Model(docs.filter(is_training), text_col, lang_col), text_col)
+    kept = [F.col("whole").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return out.select(*kept, "lang_pred", "score")
 
 
 def in_learned_language(docs: DataFrame, is_training: Column, least_score: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` whose language is told with ``least_score`` or more and whose text fits it.
+    """Rows of ``docs`` whose language is told with ``least_score`` or more and whose text fits it, whatever their columns are called.
 
     The posterior only compares the learned languages; a text of none of them,
     or junk, gets one too, near 1.  So the fit of its words has to come within
     FIT_MARGIN of what all but FIT_QUANTILE of the language's labelled documents
-    reach (all, if they are too few for that quantile).
+    reach (all, if they are too few for that quantile).  Unlike the score, the fit
+    doesn't grow with the text's length.  A null text or one without a letter goes.
     """
-    found = identify(docs, is_training, text_col=text_col, lang_col=lang_col, fit_col="fit_")
-    value = F.round("fit_", 4)                          # a bounded number of distinct values
-    same = found.filter(is_training & (F.col("lang_pred") == F.col(lang_col)))
+    # texts are scored twice, the labelled ones for the limits and all for the filter: that costs less than to
+    # write all texts once more
+    model = Model(docs.filter(is_training), text_col, lang_col)
+    whole = lambda c: F.col("whole").getField(c).alias(c)
+    value = F.round("fit", 4)                          # a bounded number of distinct values
+    labelled = told(docs.filter(is_training).select(text_col, lang_col), model, text_col, with_fit=True)
+    same = labelled.select("lang_pred", "fit", whole(lang_col)).filter(F.col("lang_pred") == F.col(lang_col))
     limit = F.when(F.count(F.lit(1)) < round(1 / FIT_QUANTILE), F.min(value)).otherwise(F.percentile(value, F.lit(FIT_QUANTILE)))
-    limits = same.groupBy(F.col("lang_pred").alias("lang_")).agg((limit - FIT_MARGIN).alias("limit_"))
-    told = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    told = told.join(F.broadcast(limits), F.col("lang_pred") == F.col("lang_"), "left")
-    return told.filter(F.coalesce(F.col("fit_") >= F.col("limit_"), F.lit(True))).select(*docs.columns)
+    limits = staged(same.groupBy(F.col("lang_pred").alias("known")).agg((limit - FIT_MARGIN).alias("least")), "langid-limits")
+    kept = told(docs, model, text_col, with_fit=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    kept = kept.join(limits, F.col("lang_pred") == F.col("known"), "left")
+    return kept.filter(F.coalesce(F.col("fit") >= F.col("least"), F.lit(True))).select(*(whole(c) for c in docs.columns))
