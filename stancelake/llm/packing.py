@@ -25,7 +25,6 @@ from .encode import encoder
 
 END_ID = 2
 SHARD = 32_768
-MAX_PAIRS = 4_096               # pairs of a donor's documents tried at once; the rest follow in later steps
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024,
@@ -125,26 +124,24 @@ def _give(sizes: np.ndarray, bins: list[list[int]], fill: np.ndarray, a: int, ot
             _exchange(sizes, bins, fill, a, int(others[room.argmin()]), [i], [])
             others = others[fill[others] < capacity]
             continue
-        # an exchange of one or two documents for a smaller one: the one that fills most
+        # an exchange of one or two documents for a smaller one: the one that fills most.  Of all pairs only
+        # their sums matter, and of all documents of a size only the one whose bin has most room
         theirs = np.array([j for b in others.tolist() for j in bins[b]], dtype=np.int64)
         owner = np.repeat(np.arange(len(others)), [len(bins[b]) for b in others.tolist()])
-        y, room = sizes[theirs], gap[owner]
-        best, what = 0, None
-        gives = [[int(i)] for i in mine] + [[int(mine[i]), int(mine[j])] for i in range(len(mine)) for j in range(i)][:MAX_PAIRS]
-        tried = set()
-        for g in gives:
-            size = int(sizes[g].sum())
-            if size in tried:
-                continue
-            tried.add(size)
-            d = size - y
-            d = np.where((d > 0) & (d <= room), d, 0)
-            k = int(d.argmax())
-            if d[k] > best:
-                best, what = int(d[k]), (g, int(theirs[k]), int(others[owner[k]]))
-        if what is None:
+        most = np.lexsort((-gap[owner], sizes[theirs]))
+        y, first = np.unique(sizes[theirs][most], return_index=True)
+        most = most[first]
+        room = gap[owner[most]]
+        i, j = np.tril_indices(len(mine), -1)
+        sums, which = np.unique(np.concatenate([x, x[i] + x[j]]), return_index=True)
+        d = sums[:, None] - y[None, :]
+        d[(d <= 0) | (d > room[None, :])] = 0
+        at, k = np.unravel_index(int(d.argmax()), d.shape) if d.size else (0, 0)
+        if not d.size or d[at, k] == 0:
             return False
-        _exchange(sizes, bins, fill, a, what[2], what[0], [what[1]])
+        pair = which[at] - len(mine)
+        give = [int(mine[which[at]])] if pair < 0 else [int(mine[i[pair]]), int(mine[j[pair]])]
+        _exchange(sizes, bins, fill, a, int(others[owner[most[k]]]), give, [int(theirs[most[k]])])
         others = others[(fill[others] < capacity) & (fill[others] >= fill[a])]
     return not bins[a]
 
@@ -165,25 +162,26 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD) ->
     documents spread; an empty table gives an empty result.
     """
     pieces = staged(pieces, "packing-pieces")
-    shards = max(1, math.ceil(pieces.filter(F.col("length") < capacity).count() / shard))
-    dealt = pieces.withColumn("shard_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    number = F.monotonically_increasing_id()
+    partial = pieces.filter(F.col("length") < capacity)
+    shards = max(1, math.ceil(partial.count() / shard))
+    dealt = partial.withColumn("shard_", F.pmod(F.xxhash64(number), F.lit(shards)).cast("int"))
     fields = [f for f in pieces.columns]
 
     def run(key, batch):
         sizes = batch.column("length").to_numpy().astype(np.int64)
-        full = np.flatnonzero(sizes >= capacity).tolist()
-        part = np.flatnonzero(sizes < capacity)
-        packed = local_search(sizes, [part[b].tolist() for b in best_fit(sizes[part], capacity)], capacity)
         sequence, offset = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
         base = key[0].as_py() << 32
-        for n, b in enumerate([[i] for i in full] + packed):
+        for n, b in enumerate(local_search(sizes, best_fit(sizes, capacity), capacity)):
             sequence[b] = base + n
             offset[b] = np.cumsum(sizes[b]) - sizes[b]
         out = batch.select(fields)
         return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return dealt.groupBy("shard_").applyInArrow(run, schema)
+    # a full piece is a sequence of its own, numbered below 0 where it stands
+    full = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - number, "offset": F.lit(0).cast("long")})
+    return dealt.groupBy("shard_").applyInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024,
