@@ -20,10 +20,12 @@ compiled when first reached and kept for the life of the worker.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 # White space of the tokenizer's patterns (code points).
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -41,18 +43,27 @@ class Splitter:
 
     SPACE, NUMBER, OTHER, LETTER = range(4)
 
-    def __init__(self, contractions=CONTRACTIONS):
+    def __init__(self, contractions=CONTRACTIONS, ask=None):
+        """``ask`` tells the kinds of characters about which Unicode versions disagree."""
         tails = [c[1:] for c in contractions]
         own = sorted(set("".join(tails)))                # letters that a contraction may hold have classes of their own
         letter = {ch: 5 + i for i, ch in enumerate(own)}
         self.quote, classes = 4, 5 + len(own)
         table = np.full(0x110000, self.OTHER, dtype=np.uint8)
+        points = "".join(chr(cp) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000)
+        newer = np.full(0x110000, self.OTHER, dtype=np.uint8)
+        for pattern, kind in ((r"\p{L}+", self.LETTER), (r"\p{N}+", self.NUMBER)):
+            for run in regex.finditer(pattern, points):
+                newer[ord(run[0][0]):ord(run[0][-1]) + 1] = kind
         for cp in range(0x110000):
             kind = unicodedata.category(chr(cp))[0]
-            if kind == "L":
-                table[cp] = self.LETTER
-            elif kind == "N":
-                table[cp] = self.NUMBER
+            table[cp] = self.LETTER if kind == "L" else self.NUMBER if kind == "N" else self.OTHER
+        # where two Unicode versions disagree, the library itself is asked
+        doubtful = [cp for cp in np.flatnonzero(table != newer).tolist() if not 0xD800 <= cp < 0xE000]
+        self.doubtful = [chr(cp) for cp in doubtful]
+        if ask is not None:
+            for cp, kind in zip(doubtful, ask(self.doubtful)):
+                table[cp] = kind
         table[SPACES] = self.SPACE
         for ch, c in letter.items():
             table[ord(ch)] = c
@@ -279,6 +290,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def library_kinds(path: str, characters: list[str]) -> list[int]:
+    """LETTER, NUMBER or OTHER by the word splitter of the library: what runs on after a letter, after a mark, or stands alone."""
+    from tokenizers import Tokenizer
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    runs_on = lambda before, c: len(split(before + c)) == 1
+    return [Splitter.LETTER if runs_on("a", c) else Splitter.OTHER if runs_on("!", c) else Splitter.NUMBER for c in characters]
+
+
+def library_folds(path: str, characters: list[str]) -> dict[str, str]:
+    """Of ``characters``, those the library's normaliser changes, and to what."""
+    from tokenizers import Tokenizer
+    normal = Tokenizer.from_file(path).normalizer.normalize_str
+    return {c: n for c in characters if (n := normal(c)) != c}
+
+
 class TokenCounter:
     """Counts tokens of texts under a compiled tokenizer file."""
 
@@ -288,7 +314,10 @@ class TokenCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         model = spec["model"]
         self.words = WordCounter(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.splitter = Splitter()
+        self.splitter = Splitter(ask=lambda characters: library_kinds(path, characters))
+        # letters of newer Unicode versions that the library turns into small ones
+        self.newer = library_folds(path, self.splitter.doubtful)
+        self.has_newer = re.compile("[" + "".join(map(re.escape, self.newer)) + "]").search if self.newer else None
         self.memo: dict[str, int] = {}
 
     def segments(self, text: str) -> tuple[list[str], int]:
@@ -303,9 +332,10 @@ class TokenCounter:
             parts[-1:] = [tail[:i], tail[i + len(s):]]
             n += 1
 
-    @staticmethod
-    def normal(text: str) -> str:
+    def normal(self, text: str) -> str:
         """Composed form in lower case, letter by letter."""
+        if self.has_newer and self.has_newer(text):
+            text = text.translate({ord(c): to for c, to in self.newer.items()})
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def count_batch(self, texts: list[str | None]) -> list[int]:
