@@ -141,52 +141,91 @@ def unescape(s: str) -> str:
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+MARKS = re.compile(r"\\.|### |</turn>\n", re.S)           # an escaped character, or the begin or end of a turn
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """Digests of each conversation, read back from its formatted pieces.
+class Reader:
+    """Reads a conversation's formatted text, given in any pieces, by its marks alone.
 
-    Pieces of a conversation are sorted within a task and hashed as a stream: the
-    state is two hash objects, however long a conversation is.
+    A turn begins with an unescaped ``### `` and ends with an unescaped ``</turn>`` and line break; its first
+    line is the role.  Every unescaped mark is searched for, so a text that held one
+    unescaped would be read as more turns.  State: the open turn and two hashes.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_id, state = None, None
 
-        def close():
-            n, turns, chars, loss, size = state
-            return (open_id[0], n, turns.hexdigest(), chars, loss.hexdigest(), size)
+    def __init__(self):
+        self.n, self.turns, self.chars, self.loss, self.size = 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+        self.held = ""
+
+    def feed(self, text: str) -> None:
+        self.size += len(text)
+        self.held += text
+        while True:
+            begun, end = None, None
+            for m in MARKS.finditer(self.held):
+                if m[0] == "### ":
+                    if begun is not None:
+                        raise ValueError("a turn begins inside a turn")
+                    begun = m.end()
+                elif not m[0].startswith("\\"):
+                    end = m
+                    break
+            if end is None:
+                return
+            if begun is None:
+                raise ValueError("a turn ends that has not begun")
+            head, _, body = self.held[begun:end.start()].partition("\n")
+            role, said = unescape(head), unescape(body)
+            self.n += 1
+            self.turns.update(f"{role}\n{said}\n".encode())
+            if role == "assistant":             # what lies under the loss mask
+                self.chars += len(said)
+                self.loss.update(said.encode())
+            self.held = self.held[end.end():]
+
+    def result(self) -> tuple:
+        if self.held:
+            raise ValueError("text after the last turn")
+        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
+
 
+def read_back(pieces: DataFrame) -> DataFrame:
+    """Digests of each conversation, read back from its formatted text by the marks in it (``Reader``).
+
+    Pieces of a conversation are sorted within a task and read as one text, as a stream: the
+    state is two hash objects and the open turn, however long a conversation is.
+    The loss mask is checked too: ``loss_start`` and ``loss_length`` must lie on the text of an assistant's turn.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_id, reader = None, None
+        masked = (0, None)
         for b in batches:
             done = []
             for conv, piece, start, length in b.itertuples(index=False):
                 key = (None if pd.isna(conv) else int(conv),)
                 if key != open_id:
-                    if state is not None:
-                        done.append(close())
-                    open_id, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse_turn(piece)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if length:
-                    under = unescape(piece[start:start + length])
-                    state[2] += len(under)
-                    state[3].update(under.encode())
-                state[4] += len(piece)
+                    if reader is not None:
+                        done.append(_closed(open_id[0], reader, masked))
+                    open_id, reader, masked = key, Reader(), (0, hashlib.sha256())
+                reader.feed(piece)
+                under = unescape(piece[start:start + length])
+                masked[1].update(under.encode())
+                masked = (masked[0] + len(under), masked[1])
             yield _read_frame(done)
-        if state is not None:
-            yield _read_frame([close()])
+        if reader is not None:
+            yield _read_frame([_closed(open_id[0], reader, masked)])
 
     cols = ["conv_id", "piece", "loss_start", "loss_length"]
     return (pieces.select(*cols, "seq", "part").repartition("conv_id")
             .sortWithinPartitions("conv_id", "seq", "part", "piece").select(*cols).mapInPandas(run, READ))
 
 
+def _closed(conv, reader: Reader, masked: tuple) -> tuple:
+    n, turns, chars, loss, size = reader.result()
+    if (chars, loss) != (masked[0], masked[1].hexdigest()):
+        raise ValueError("the loss mask does not lie on the assistant's texts")
+    return conv, n, turns, chars, loss, size
+
+
 def _read_frame(rows) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
                                        "formatted_chars"]).astype({"conv_id": "Int64"})
-
-
-def parse_turn(piece: str) -> tuple[str, str]:
-    """(role, text) of one piece."""
-    head, _, rest = piece[len("### "):].partition("\n")
-    return unescape(head), unescape(rest[:-len("</turn>\n")])
