@@ -1,8 +1,9 @@
 """Query of the revisit resolution.
 
 ``pages`` holds one page per row; the crawl log derived from it has, for each
-page, a full response and a later revisit (for one page in 17 an earlier one),
-with validators that agree, differ or are missing by page.
+page, two full responses and two revisits (for one page in 17 early ones),
+with validators that agree with one response or the other, differ or are missing by page.  A third of all
+captures is of one URL, so the latest earlier response is one of many and the URL spans chunks.
 """
 
 from __future__ import annotations
@@ -14,23 +15,23 @@ from .warc import resolve_revisits
 
 WARC_SQL = r"""
 WITH p AS (
-  SELECT page_id, url, page_id * 37 AS ts, '"' || substr(md5(html), 1, 16) || '"' AS tag, length(html)::VARCHAR AS size,
-         regexp_replace(trim(url), '#.*$', '') AS u0
-  FROM pages WHERE page_id IS NOT NULL),
-k AS (SELECT *, regexp_replace(u0, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM p),
+  SELECT page_id, k, page_id * 37 + k * 4000 AS ts, '"' || substr(md5(html), 1 + 16 * k, 16) || '"' AS tag, length(html)::VARCHAR AS size,
+         regexp_replace(trim(CASE WHEN page_id % 3 = 0 THEN 'https://WWW.hot.example.com:443/start/?b=2&a=1#top' ELSE url END), '#.*$', '') AS u0
+  FROM pages, (SELECT unnest([0, 1]) AS k) WHERE page_id IS NOT NULL),
+n AS (SELECT *, regexp_replace(u0, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM p),
 q AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-         array_to_string(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')), '&') AS par FROM k),
+         array_to_string(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')), '&') AS par FROM n),
 c AS (SELECT *, host || path || CASE WHEN par <> '' THEN '?' || par ELSE '' END AS canonical_url FROM q),
 f AS (
-  SELECT 2 * page_id AS record_id, canonical_url, ts, CASE WHEN page_id % 5 <> 0 THEN tag END AS etag,
-         CASE WHEN page_id % 7 <> 0 THEN 'm' || page_id END AS lm, size FROM c),
+  SELECT 10 * page_id + k AS record_id, canonical_url, ts, CASE WHEN page_id % 5 <> 0 THEN tag END AS etag,
+         CASE WHEN page_id % 7 <> 0 THEN 'm' || page_id || '-' || k END AS lm, size FROM c),
 r AS (
-  SELECT 2 * page_id + 1 AS record_id, page_id, canonical_url,
+  SELECT 10 * page_id + 5 + k AS record_id, page_id, canonical_url,
          CASE WHEN page_id % 17 = 0 THEN ts - 10 ELSE ts + 1 + (page_id % 11) * 1000 END AS ts,
          CASE WHEN page_id % 13 = 0 THEN '"changed"' WHEN page_id % 3 <> 0 THEN 'W/' || tag END AS etag,
-         CASE WHEN page_id % 7 <> 0 THEN 'm' || page_id END AS lm FROM c),
+         CASE WHEN page_id % 7 <> 0 THEN 'm' || page_id || '-' || k END AS lm FROM c),
 a AS (
   SELECT r.*, (SELECT max(struct_pack(ts := f.ts, record_id := f.record_id, etag := f.etag, lm := f.lm, size := f.size))
                FROM f WHERE f.canonical_url = r.canonical_url AND f.ts < r.ts) AS o
@@ -54,25 +55,33 @@ FROM s
 """
 
 
+HOT_URL = "https://WWW.hot.example.com:443/start/?b=2&a=1#top"
+
+
 def crawl_log(pages):
     """Captures (record_id, url, ts, status, headers) derived from ``pages``."""
-    p = pages.filter("page_id is not null").withColumn("tag", F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"')))
-    p = p.select("page_id", "url", "tag", F.length("html").cast("string").alias("size"), (F.col("page_id") * 37).alias("at"))
-    known = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("m"), F.col("page_id")))
+    p = pages.filter("page_id is not null").select(
+        "page_id", F.when(F.col("page_id") % 3 == 0, F.lit(HOT_URL)).otherwise(F.col("url")).alias("url"),
+        F.md5("html").alias("mark"), F.length("html").cast("string").alias("size"))
 
     def headers(*pairs):
         given = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in pairs))
         return F.map_from_entries(F.filter(given, lambda e: e.value.isNotNull()))
 
-    later = F.when(F.col("page_id") % 17 == 0, F.col("at") - 10).otherwise(F.col("at") + 1 + F.col("page_id") % 11 * 1000)
-    full = F.struct((F.col("page_id") * 2).alias("record_id"), F.col("at").alias("ts"), F.lit(200).alias("status"), headers(
-        ("Content-Type", F.lit("text/html")), ("Content-Length", F.col("size")), ("Cache-Control", F.lit("max-age=60")),
-        ("Date", F.col("at")), ("ETag", F.when(F.col("page_id") % 5 != 0, F.col("tag"))), ("Last-Modified", known)).alias("headers"))
-    again = F.struct((F.col("page_id") * 2 + 1).alias("record_id"), later.alias("ts"), F.lit(304).alias("status"), headers(
-        ("content-length", F.lit("0")), ("cache-control", F.lit("max-age=120")), ("date", later),
-        ("etag", F.when(F.col("page_id") % 13 == 0, F.lit('"changed"')).when(F.col("page_id") % 3 != 0, F.concat(F.lit("W/"), F.col("tag")))),
-        ("last-modified", known)).alias("headers"))
-    return p.select("url", F.inline(F.array(full, again)))
+    captures = []
+    for k in (0, 1):
+        at = F.col("page_id") * 37 + k * 4000
+        tag = F.concat(F.lit('"'), F.substring("mark", 1 + 16 * k, 16), F.lit('"'))
+        known = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("m"), F.col("page_id"), F.lit(f"-{k}")))
+        later = F.when(F.col("page_id") % 17 == 0, at - 10).otherwise(at + 1 + F.col("page_id") % 11 * 1000)
+        captures.append(F.struct((F.col("page_id") * 10 + k).alias("record_id"), at.alias("ts"), F.lit(200).alias("status"), headers(
+            ("Content-Type", F.lit("text/html")), ("Content-Length", F.col("size")), ("Cache-Control", F.lit("max-age=60")),
+            ("Date", at), ("ETag", F.when(F.col("page_id") % 5 != 0, tag)), ("Last-Modified", known)).alias("headers")))
+        captures.append(F.struct((F.col("page_id") * 10 + 5 + k).alias("record_id"), later.alias("ts"), F.lit(304).alias("status"), headers(
+            ("content-length", F.lit("0")), ("cache-control", F.lit("max-age=120")), ("date", later),
+            ("etag", F.when(F.col("page_id") % 13 == 0, F.lit('"changed"')).when(F.col("page_id") % 3 != 0, F.concat(F.lit("W/"), tag))),
+            ("last-modified", known)).alias("headers")))
+    return p.select("url", F.inline(F.array(*captures)))
 
 
 @query("op1_warc_revisits", WARC_SQL)
