@@ -26,9 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +45,14 @@ CONTEXT_WORDS = 2048    # context words with a vector of their own
 PLACES = 3              # words before the target
 WIDTH = 32              # values of a vector
 NOISE = 64              # noise classes per batch
-BATCH = 2048            # tokens of a training step
+FIRST_BATCH = 512       # tokens of a task's first training steps; then twice as many after every
+LAST_BATCH = 2048       # DOUBLING steps, up to these: coarse steps first, smooth ones later
+DOUBLING = 64
 RATE = 0.08
 FIRST_SHARE = 8         # one in so many training texts makes the first round
 PIECE = 1 << 22         # bytes of a text tokenised at once
+SLICE_BYTES = 1 << 22   # bytes of texts trained on or scored at once: contexts they share are summed once
+COUNTED_BYTES = 1 << 24
 LONG_WORD = 40
 END = b""
 
@@ -71,16 +74,84 @@ def pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[first:]
 
 
-def words(piece: bytes) -> list[bytes]:
-    """Keys of the words of a piece, A-Z lower-cased; a very long word is its digest, which is no valid text."""
-    out = piece.lower().split()
-    if len(piece) > LONG_WORD and max(map(len, out), default=0) > LONG_WORD:
-        out = [w if len(w) <= LONG_WORD else b"\xff" + hashlib.sha256(w).digest() for w in out]
-    return out
+def key_of(word: bytes) -> bytes:
+    """A word, or the digest of a very long one, which is no valid text."""
+    return word if len(word) <= LONG_WORD else b"\xff" + hashlib.sha256(word).digest()
 
 
 def tail_of(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % TAILS
+    return crc32(word[-2:]) % TAILS
+
+
+TAIL_OF_TWO = np.array([crc32(bytes([a, b])) % TAILS for a in range(256) for b in range(256)])
+TAIL_OF_ONE = np.array([crc32(bytes([a])) % TAILS for a in range(256)])
+
+
+def tails_of(keys: pa.Array) -> np.ndarray:
+    """``tail_of`` of every key of an array of binaries that are not empty, and of the empty one."""
+    ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset:keys.offset + len(keys) + 1].astype(np.int64)
+    data = np.frombuffer(keys.buffers()[2] or b"\0", np.uint8)
+    sizes, last = np.diff(ends), ends[1:] - 1
+    one = data[np.maximum(last, 0)]
+    out = np.where(sizes > 1, TAIL_OF_TWO[data[np.maximum(last - 1, 0)].astype(np.int64) * 256 + one], TAIL_OF_ONE[one])
+    return np.where(sizes == 0, tail_of(END), out)
+
+
+class Slice:
+    """Tokens of some pieces of texts: ``keys`` of the distinct words, the word ``code`` of every token (the
+    last code is the end of a text), and the ``piece`` it stands in."""
+
+    def __init__(self, parts: pa.Array, rows: np.ndarray, begins: np.ndarray, finishes: np.ndarray):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(parts))      # A-Z; blank and the five controls after tab
+        flat = split.flatten()
+        told = np.asarray(pc.greater(pc.binary_length(flat), 0))
+        piece = np.repeat(np.arange(len(parts)), np.diff(split.offsets.to_numpy()))[told]
+        found = flat.filter(pa.array(told)).dictionary_encode()
+        keys = found.dictionary.cast(pa.binary())
+        if len(keys) and pc.max(pc.binary_length(keys)).as_py() > LONG_WORD:
+            keys = pa.array([key_of(w) for w in keys.to_pylist()], pa.binary())
+        self.keys = pa.concat_arrays([keys, pa.array([END], pa.binary())])
+        sizes = np.bincount(piece, minlength=len(parts))
+        ends = np.cumsum(sizes)
+        self.code = np.insert(found.indices.to_numpy().astype(np.int64), ends[finishes], len(keys))
+        self.piece = np.insert(piece, ends[finishes], np.flatnonzero(finishes))
+        self.rows, self.begins = rows, begins
+
+    def before(self, contexts: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """tokens x PLACES: context ids before each token; ``lead`` are those before the slice."""
+        n = len(self.code)
+        first = np.searchsorted(self.piece, np.flatnonzero(self.begins))          # where texts begin
+        start = np.full(n, -PLACES)
+        start[first[first < n]] = first[first < n]
+        start = np.maximum.accumulate(start) if n else start
+        row = np.concatenate([lead, contexts])
+        at = np.arange(n)
+        out = np.empty((n, PLACES), dtype=np.int64)
+        for j in range(1, PLACES + 1):
+            out[:, j - 1] = np.where(at - j >= start, row[at + PLACES - j], BEFORE)
+        return out
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[Slice]:
+    """Slices of about ``size`` bytes of a column of texts; null is empty; a text longer than PIECE is cut between words."""
+    parts, rows, begins, finishes, held = [], [], [], [], 0
+
+    def made() -> Slice:
+        return Slice(pa.array(parts, pa.binary()).cast(pa.string()), np.array(rows), np.array(begins, bool), np.array(finishes, bool))
+
+    for i, x in enumerate(texts.cast(pa.binary())):
+        cut = list(pieces(x.as_py() or b""))
+        for k, part in enumerate(cut):
+            parts.append(part)
+            rows.append(i)
+            begins.append(k == 0)
+            finishes.append(k == len(cut) - 1)
+            held += len(part)
+            if held >= size:
+                yield made()
+                parts, rows, begins, finishes, held = [], [], [], [], 0
+    if parts:
+        yield made()
 
 
 def held_out(id_col: Column | str, folds: int = 5, fold: int = 1) -> Column:
@@ -90,24 +161,14 @@ def held_out(id_col: Column | str, folds: int = 5, fold: int = 1) -> Column:
 
 # ---- counts ------------------------------------------------------------------
 
-def count_words(texts: DataFrame, flush: int = 400_000) -> DataFrame:
+def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, n long) of a one-column table of texts; the end of a text is the empty word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
         for b in batches:
-            for raw in b.column(0).cast(pa.binary()):
-                for piece in pieces(raw.as_py() or b""):
-                    held.update(words(piece))
-                    if len(held) > flush:
-                        yield out()
-                        held.clear()
-                held[END] += 1
-        if held:
-            yield out()
+            for t in slices(b.column(0), COUNTED_BYTES):
+                n = np.bincount(t.code, minlength=len(t.keys))
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([t.keys.take(pa.array(seen)), pa.array(n[seen])], names=["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -123,7 +184,7 @@ class Vocabulary:
         ended = counts.filter(F.col("word") == F.lit(END)).first()
         self.words = [END, *(w for w, _ in pairs)]
         self.counts = np.array([ended.n if ended else 0, *(n for _, n in pairs)], dtype=np.float64)
-        self.index = {w: i for i, w in enumerate(self.words)}
+        self.word_array = pa.array(self.words, pa.binary())
         tails = np.array([tail_of(w) for w in self.words])
         self.own = min(OWN, len(self.words))
         # mass of the tail classes: all their words but those with a class of their own, and half a count for the unseen
@@ -149,12 +210,6 @@ CONTEXTS = CONTEXT_WORDS + TAILS + 1        # the last one: before the text
 BEFORE = CONTEXTS - 1
 
 
-def places(contexts: np.ndarray, lead: np.ndarray) -> list[np.ndarray]:
-    """Context ids 1, 2, 3... places before each token; ``lead`` are those before the first."""
-    row = np.concatenate([lead, contexts])
-    return [row[PLACES - j:len(row) - j] for j in range(1, PLACES + 1)]
-
-
 # ---- model -------------------------------------------------------------------
 
 class LogBilinear:
@@ -184,6 +239,7 @@ class LogBilinear:
         self.cut = np.cumsum(unigram)
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
         self.squares = LogBilinear(np.full(len(self.values), 1e-4))
+        self.done = 0
 
     def _move(self, name: str, at, gradient: np.ndarray) -> None:
         """A step against the gradient, shorter where squares have grown (at: rows, or all)."""
@@ -192,70 +248,115 @@ class LogBilinear:
         p[at] -= RATE * gradient / np.sqrt(s[at])
 
     @staticmethod
-    def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
+    def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, distinct rows, where each starts in that order)."""
+        order = np.argsort(rows.astype(np.uint16), kind="stable")       # ids are below 2^16: a radix sort
         ids = rows[order]
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        return ids[starts], np.add.reduceat(values[order], starts, axis=0)
+        return order, ids[starts], starts
+
+    def _by_row(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, ids, starts = self._sorted(rows)
+        return ids, np.add.reduceat(values.take(order, axis=0), starts, axis=0)
 
-    def step(self, before: list[np.ndarray], target: np.ndarray) -> None:
-        """One batch of noise-contrastive estimation."""
+    def step(self, before: np.ndarray, target: np.ndarray) -> None:
+        """One batch of noise-contrastive estimation; ``before`` is tokens x PLACES.
+
+        Products with the matrix of a place are made once for each distinct word there.
+        """
         n = len(target)
-        r = [self.r[x] for x in before]
-        h = sum(x @ self.c[j] for j, x in enumerate(r))
+        places, h = [], np.zeros((n, WIDTH), dtype=np.float32)
+        for j in range(PLACES):
+            order, ids, starts = self._sorted(before[:, j])
+            r = self.r.take(ids, axis=0)
+            of = np.empty(n, dtype=np.int64)
+            of[order] = np.repeat(np.arange(len(ids)), np.diff(np.append(starts, n)))
+            h += (r @ self.c[j]).take(of, axis=0)
+            places.append((order, ids, starts, r))
         noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), CLASSES - 1)
-        q_target, q_noise = self.q[target], self.q[noise]
+        q_target, q_noise = self.q.take(target, axis=0), self.q.take(noise, axis=0)
+        # loss: -log s(up) - sum of log(1 - s(down)), s the logistic function
         up = np.einsum("ij,ij->i", h, q_target) + self.b[target] - self.log_noise[target]
-        down = h @ q_noise.T + (self.b[noise] - self.log_noise[noise])
-        d_up = -1 / (1 + np.exp(np.clip(up, -30, 30)))              # loss: -log s(up) - sum of log(1 - s(down))
-        d_down = 1 / (1 + np.exp(np.clip(-down, -30, 30)))
-        d_up, d_down = (d_up / n).astype(np.float32), (d_down / n).astype(np.float32)
-        dh = d_up[:, None] * q_target + d_down @ q_noise
-        rows, dq = self._by_row(np.concatenate([target, noise]), np.concatenate([np.c_[d_up[:, None] * h, d_up], np.c_[d_down.T @ h, d_down.sum(axis=0)]]))
-        gr = self._by_row(np.concatenate(before), np.concatenate([dh @ self.c[j].T for j in range(PLACES)]))
-        gc = np.stack([x.T @ dh for x in r])
+        d_up = (-1 / (n * (1 + np.exp(np.clip(up, -30, 30))))).astype(np.float32)
+        d_down = h @ q_noise.T
+        d_down += self.b[noise] - self.log_noise[noise]
+        np.maximum(d_down, -30, out=d_down)
+        np.negative(d_down, out=d_down)
+        np.exp(d_down, out=d_down)
+        d_down += 1
+        np.reciprocal(d_down, out=d_down)
+        d_down *= np.float32(1 / n)
+        dh = d_down @ q_noise
+        q_target *= d_up[:, None]
+        dh += q_target
+        dq = np.empty((n, WIDTH + 1), dtype=np.float32)
+        np.multiply(h, d_up[:, None], out=dq[:, :-1])
+        dq[:, -1] = d_up
+        seen, dq = self._by_row(target, dq)
+        rows, dq = self._by_row(np.concatenate([seen, noise]), np.vstack([dq, np.column_stack([d_down.T @ h, d_down.sum(axis=0)])]))
+        sums = [np.add.reduceat(dh.take(order, axis=0), starts, axis=0) for order, _, starts, _ in places]
+        gr = self._by_row(np.concatenate([ids for _, ids, _, _ in places]), np.vstack([v @ self.c[j].T for j, v in enumerate(sums)]))
+        gc = np.stack([r.T @ v for (_, _, _, r), v in zip(places, sums)])
         self._move("q", rows, dq[:, :-1])
         self._move("b", rows, dq[:, -1])
         self._move("r", *gr)
         self._move("c", slice(None), gc)
 
-    def steps(self, before: list[np.ndarray], target: np.ndarray) -> None:
-        for a in range(0, len(target), BATCH):
-            self.step([x[a:a + BATCH] for x in before], target[a:a + BATCH])
+    def steps(self, before: np.ndarray, target: np.ndarray) -> None:
+        a = 0
+        while a < len(target):
+            size = min(FIRST_BATCH << min(self.done // DOUBLING, 16), LAST_BATCH)
+            self.step(before[a:a + size], target[a:a + size])
+            self.done += 1
+            a += size
 
     def scorer(self) -> None:
-        self.tables = [np.ascontiguousarray(self.r @ self.c[j]) for j in range(PLACES)]
-        self.all_q = np.ascontiguousarray(self.q.T)
+        """Tables of context vectors, with a last value of 1 in all that meets the bias in one product."""
+        self.tables = [np.column_stack([self.r @ self.c[j], np.full(CONTEXTS, j == 0)]).astype(np.float32) for j in range(PLACES)]
+        self.all_q = np.ascontiguousarray(np.vstack([self.q.T, self.b]))
+        self.ones = np.ones(CLASSES, dtype=np.float32)
         self.longest = float(np.sqrt((self.q.astype(np.float64) ** 2).sum(axis=1).max()))
 
-    def log10_all(self, before: list[np.ndarray], target: np.ndarray, size: int = 4096) -> np.ndarray:
-        """log10 of the normalised probability of each target class."""
+    def log10_all(self, before: np.ndarray, target: np.ndarray, size: int = 512) -> np.ndarray:
+        """log10 of the normalised probability of each target class.
+
+        Classes are summed once for each distinct context, in batches of ``size`` that stay in the cache.
+        """
+        key = before[:, 0]
+        for j in range(1, PLACES):
+            key = key * CONTEXTS + before[:, j]
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        before = np.ascontiguousarray(before[first].T)
+        logs, context = np.empty(len(first)), np.empty((len(first), WIDTH + 1), dtype=np.float32)
+        s = np.empty((size, CLASSES), dtype=np.float32)
+        for a in range(0, len(first), size):
+            h = context[a:a + size]
+            h[:] = self.tables[0].take(before[0][a:a + size], axis=0)
+            for j in range(1, PLACES):
+                h += self.tables[j].take(before[j][a:a + size], axis=0)
+            part = np.dot(h, self.all_q, out=s[:len(h)])
+            top = 0.0
+            if math.sqrt(float(np.einsum("ij,ij->i", h, h).max())) * self.longest > 40:     # may leave the range of exp
+                top = part.max(axis=1).astype(np.float64)
+                part -= top[:, None].astype(np.float32)
+            np.exp(part, out=part)
+            logs[a:a + size] = np.log((part @ self.ones).astype(np.float64)) + top
         out = np.empty(len(target))
-        for a in range(0, len(target), size):
-            h = sum(t[x[a:a + size]] for t, x in zip(self.tables, before))
-            s = h @ self.all_q + self.b
-            t = target[a:a + size]
-            wanted = s[np.arange(len(t)), t].astype(np.float64)
-            if float(np.sqrt((h * h).sum(axis=1).max())) * self.longest > 40:     # may leave the range of exp
-                top = s.max(axis=1, keepdims=True)
-                s -= top
-                wanted -= top[:, 0]
-            np.exp(s, out=s)
-            out[a:a + size] = wanted - np.log(s.sum(axis=1, dtype=np.float64))
+        rows = np.ascontiguousarray(self.all_q.T)
+        for a in range(0, len(target), 1 << 15):
+            at = of[a:a + (1 << 15)]
+            out[a:a + (1 << 15)] = np.einsum("ij,ij->i", context.take(at, axis=0), rows.take(target[a:a + (1 << 15)], axis=0)) - logs[at]
         return out / math.log(10)
 
 
-def encoded(vocabulary: Vocabulary, piece: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, dictionary ids or -1, classes, contexts) of a piece."""
-    ws = words(piece)
-    get = vocabulary.index.get
-    ids = np.fromiter((get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
-    classes, contexts = vocabulary.classes[ids], vocabulary.contexts[ids]
+def encoded(known: Vocabulary, t: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dictionary ids or -1, classes, contexts) of a slice's distinct words."""
+    ids = np.asarray(pc.fill_null(pc.index_in(t.keys, value_set=known.word_array), -1)).astype(np.int64)
+    classes, contexts = known.classes.take(ids), known.contexts.take(ids)       # -1 takes the last, put right below
     rare = np.flatnonzero(ids < 0)
-    if len(rare):
-        tails = np.fromiter((tail_of(ws[i]) for i in rare), dtype=np.int64, count=len(rare))
-        classes[rare], contexts[rare] = OWN + tails, CONTEXT_WORDS + tails
-    return ws, ids, classes, contexts
+    tails = tails_of(t.keys)[rare]
+    classes[rare], contexts[rare] = OWN + tails, CONTEXT_WORDS + tails
+    return ids, classes, contexts
 
 
 def train_round(texts: DataFrame, vocabulary, values: np.ndarray, round_: int) -> np.ndarray:
@@ -267,29 +368,14 @@ def train_round(texts: DataFrame, vocabulary, values: np.ndarray, round_: int) -
         known, task = vocabulary.value, TaskContext.get().partitionId()
         model = LogBilinear(start.value.copy())
         model.trainer(known.unigram, seed=1_000_003 * round_ + task)
-        seen, held, size = 0, [], 0
-        nothing = np.full(PLACES, BEFORE)
-
-        def flush() -> None:
-            rows = [np.concatenate(x) for x in zip(*held)]
-            model.steps(rows[:-1], rows[-1])
-
+        seen, lead = 0, np.full(PLACES, BEFORE)
         for b in batches:
-            for raw in b.column(0).cast(pa.binary()):
-                lead = nothing
-                for piece in pieces(raw.as_py() or b""):
-                    _, _, classes, contexts = encoded(known, piece)
-                    held.append((*places(contexts, lead), classes))
-                    lead = np.concatenate([lead, contexts])[-PLACES:]
-                    size += len(classes)
-                    if size >= 32 * BATCH:
-                        flush()
-                        seen, held, size = seen + size, [], 0
-                held.append((*(x[:1] for x in places(np.zeros(1, np.int64), lead)), np.zeros(1, np.int64)))
-                size += 1
-        if held:
-            flush()
-            seen += size
+            for t in slices(b.column(0), SLICE_BYTES):
+                _, classes, contexts = encoded(known, t)
+                row = contexts[t.code]
+                model.steps(t.before(row, lead), classes[t.code])
+                seen += len(row)
+                lead = np.concatenate([lead, row])[-PLACES:]
         if seen:
             moved = (model.values.astype(np.float64) * seen).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([float(seen)]), pa.array([moved], pa.binary())], names=["task", "seen", "moved"])
@@ -323,65 +409,37 @@ def scored_lines(docs: DataFrame, vocabulary, values: np.ndarray) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task, row = vocabulary.value, TaskContext.get().partitionId(), 0
+        known, task, done = vocabulary.value, TaskContext.get().partitionId(), 0
         net = LogBilinear(model.value.copy())
         net.scorer()
-        nothing, end = np.full(PLACES, BEFORE), np.zeros(1, np.int64)
-        out: list[tuple] = []
-
-        def lines() -> pa.RecordBatch:
-            types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-            names = [c.strip().split()[0] for c in LINES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
+        names = [c.strip().split()[0] for c in LINES.split(", ")]
         for b in batches:
-            id_type = b.schema.field("doc_id").type
-            ids_, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
-            # short texts share matrix products: contexts and targets of many texts in a row
-            waiting: list[tuple] = []
-            size = 0
-
-            def settle() -> Iterator[pa.RecordBatch]:
-                nonlocal out
-                before = [np.concatenate(x) for x in zip(*(w[1] for w in waiting))]
-                target = np.concatenate([w[2] for w in waiting])
-                p = net.log10_all(before, target)
-                ends = np.cumsum([len(w[2]) for w in waiting])
-                for (sums, _, t, last), e in zip(waiting, ends):
-                    sums["log_classes"] += float(p[e - len(t):e].sum())
-                    if last:
-                        out.append((sums["row"], sums["doc_id"], sums["held_out"], sums["n_tokens"], sums["n_known"], sums["log_counts"], sums["log_classes"], sums["log_inner"], None, None))
-                waiting.clear()
-                if len(out) > 20_000:
-                    yield lines()
-                    out = []
-
-            for i, raw in enumerate(b.column("text").cast(pa.binary())):
-                sums = {"row": (task << 40) + row, "doc_id": ids_[i], "held_out": held[i], "n_tokens": 1, "n_known": int(known.counts[0] > 0),
-                        "log_counts": float(known.log_counts[0]), "log_classes": 0.0, "log_inner": 0.0}
-                row += 1
-                lead = nothing
-                for piece in pieces(raw.as_py() or b""):
-                    ws, ids, classes, contexts = encoded(known, piece)
-                    told = ids >= 0
-                    inner = classes >= OWN
-                    sums["n_tokens"] += len(ws)
-                    sums["n_known"] += int(told.sum())
-                    sums["log_counts"] += float(known.log_counts[ids[told]].sum())
-                    sums["log_inner"] += float(known.log_counts[ids[told & inner]].sum() - known.log_mass[classes[inner] - OWN].sum())
-                    for w, n in Counter(ws[j] for j in np.flatnonzero(~told)).items():
-                        out.append((sums["row"], None, None, None, None, None, None, None, w, n))
-                    waiting.append((sums, places(contexts, lead), classes, False))
-                    lead = np.concatenate([lead, contexts])[-PLACES:]
-                    size += len(ws)
-                    if size >= 1 << 16:
-                        yield from settle()
-                        size = 0
-                waiting.append((sums, [x[:1] for x in places(end, lead)], end, True))
-            if waiting:
-                yield from settle()
-        if out:
-            yield lines()
+            n, lead = b.num_rows, np.full(PLACES, BEFORE)
+            sums = {c: np.zeros(n) for c in ("n_tokens", "n_known", "log_counts", "log_classes", "log_inner")}
+            row = (task << 40) + done + np.arange(n)
+            done += n
+            kinds = [pa.int64(), b.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+            for t in slices(b.column("text"), SLICE_BYTES):
+                ids, classes, contexts = encoded(known, t)
+                at = t.rows[t.piece]
+                told, inner = ids >= 0, classes >= OWN
+                log_counts = np.where(told, known.log_counts.take(ids), 0.0)
+                log_inner = np.where(inner, log_counts - known.log_mass[np.maximum(classes - OWN, 0)], 0.0)
+                seen = contexts[t.code]
+                p = net.log10_all(t.before(seen, lead), classes[t.code])
+                lead = np.concatenate([lead, seen])[-PLACES:]
+                has = told & (known.counts.take(ids) > 0)
+                for name, of_token in (("n_tokens", None), ("n_known", has[t.code].astype(float)), ("log_counts", log_counts[t.code]),
+                                       ("log_classes", p), ("log_inner", log_inner[t.code])):
+                    sums[name] += np.bincount(at, weights=of_token, minlength=n)
+                rare = ~told[t.code]
+                if rare.any():
+                    pair, times = np.unique(at[rare] * len(t.keys) + t.code[rare], return_counts=True)
+                    words = t.keys.take(pa.array(pair % len(t.keys)))
+                    yield pa.RecordBatch.from_arrays([pa.array(row[pair // len(t.keys)]), *(pa.nulls(len(pair), k) for k in kinds[1:8]), words, pa.array(times)], names=names)
+            counts = [pa.array(sums[c].astype(np.int64)) for c in ("n_tokens", "n_known")]
+            logs = [pa.array(sums[c]) for c in ("log_counts", "log_classes", "log_inner")]
+            yield pa.RecordBatch.from_arrays([pa.array(row), b.column("doc_id"), b.column("held_out"), *counts, *logs, *(pa.nulls(n, k) for k in kinds[8:])], names=names)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
