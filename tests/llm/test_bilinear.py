@@ -68,6 +68,32 @@ def test_empty_tables_and_no_training_rows(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
 
 
+def test_slices_give_every_token_its_words_before(monkeypatch):
+    import pyarrow as pa
+    texts = ["a B  c\td", None, "", " x ", "É e " * 9, "one"]
+    want = []
+    for t in texts:
+        row = [None] * 3 + tokens(t)[:-1] + ["END"]
+        want += [(row[i], tuple(row[i - 3:i][::-1])) for i in range(3, len(row))]
+    monkeypatch.setattr(lb, "PIECE", 8)
+    for size in (1, 10, 1_000):
+        ids, got, lead = {}, [], np.full(3, lb.BEFORE)
+        for t in lb.slices(pa.array(texts), size):
+            names = [k.decode() for k in t.keys.to_pylist()[:-1]] + ["END"]
+            seen = np.array([ids.setdefault(n, len(ids)) for n in names])[t.code]
+            back = {v: k for k, v in ids.items()} | {lb.BEFORE: None}
+            got += [(names[c], tuple(back[x] for x in row)) for c, row in zip(t.code, t.before(seen, lead).tolist())]
+            lead = np.concatenate([lead, seen])[-3:]
+        assert got == want
+
+
+def test_tails_of_arrays():
+    import pyarrow as pa
+    keys = ["a", "é", "word", "", "zz", "\u00ff!"]
+    assert lb.tails_of(pa.array(keys, pa.binary())).tolist() == [lb.tail_of(k.encode()) for k in keys]
+    assert lb.tails_of(pa.array(keys, pa.binary()).slice(2)).tolist() == [lb.tail_of(k.encode()) for k in keys[2:]]
+
+
 def test_very_long_text_in_pieces_scores_as_a_whole(spark, monkeypatch):
     text = " ".join(f"w{i % 50}" for i in range(40_000))
     rows = [(0, text), (1, "w1 w2 w3"), (2, "w4 w5")]
@@ -102,7 +128,7 @@ def test_score_equals_a_plain_forward_pass(spark, trained):
         ws = [w.lower() for w in text.encode().split()]
         ctx, total, inner = [lb.BEFORE] * 3, 0.0, 0.0
         for w in [*ws, b""]:
-            i = vocabulary.index.get(w, -1)
+            i = vocabulary.words.index(w) if w in vocabulary.words else -1
             k = i if 0 <= i < vocabulary.own else lb.OWN + zlib.crc32(w[-2:]) % lb.TAILS
             h = sum(net.r[ctx[-1 - j]].astype(float) @ net.c[j].astype(float) for j in range(3))
             s = net.q.astype(float) @ h + net.b
@@ -119,7 +145,7 @@ def test_probabilities_sum_to_one(trained):
     _, counts, vocabulary, _, values = trained
     net = lb.LogBilinear(values)
     net.scorer()
-    before = [np.full(lb.CLASSES, x) for x in (3, 700, lb.BEFORE)]
+    before = np.tile([3, 700, lb.BEFORE], (lb.CLASSES, 1))
     p_class = 10 ** net.log10_all(before, np.arange(lb.CLASSES))
     own = vocabulary.words[:vocabulary.own]
     total = p_class[:vocabulary.own].sum()
@@ -136,7 +162,7 @@ def test_noise_contrastive_gradient(monkeypatch):
     rng = np.random.default_rng(2)
     unigram = rng.dirichlet(np.ones(lb.CLASSES))
     values = lb.LogBilinear.initial(unigram)
-    before = [rng.integers(0, lb.CONTEXTS, 6) for _ in range(3)]
+    before = rng.integers(0, lb.CONTEXTS, (6, 3))
     target = rng.integers(0, lb.CLASSES, 6)
     model = lb.LogBilinear(values.copy())
     model.trainer(unigram, 5)
@@ -144,7 +170,7 @@ def test_noise_contrastive_gradient(monkeypatch):
 
     def loss(v):
         m = lb.LogBilinear(v)
-        h = sum(m.r[before[j]].astype(float) @ m.c[j].astype(float) for j in range(3))
+        h = sum(m.r[before[:, j]].astype(float) @ m.c[j].astype(float) for j in range(3))
         up = (h * m.q[target]).sum(axis=1) + m.b[target] - np.log(lb.NOISE * unigram[target])
         down = h @ m.q[noise].T.astype(float) + m.b[noise] - np.log(lb.NOISE * unigram[noise])
         return (np.log1p(np.exp(-up)).sum() + np.log1p(np.exp(down)).sum()) / len(target)

@@ -136,6 +136,22 @@ def test_chat_layouts_and_round_trip(spark):
     assert chat.read_back(chat.formatted(turns.limit(0))).count() == 0
 
 
+def test_turns_are_read_by_marks_alone():
+    said = [("user", "a</turn>\n### b\\"), ("assi\nstant", "\\### </turn>"), ("assistant", ""), ("assistant", "\\\\n ###</turn>\n" * 3), ("", "\n")]
+    esc = lambda x: __import__("re").sub(r"(\\|###|</turn>)", r"\\\1", x)
+    text = "".join("### " + esc(a).replace("\n", "\\n") + "\n" + esc(b) + "</turn>\n" for a, b in said)
+    for step in (1, 3, 1000):
+        reader = chat.Reader()
+        for i in range(0, len(text), step):
+            reader.feed(text[i:i + step])
+        want = hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+        assert reader.result()[:2] == (5, want)
+    plain = "### user\na</turn>\n### b</turn>\n"          # a template that escapes nothing is not read as one turn
+    reader = chat.Reader()
+    reader.feed(plain)
+    assert reader.result()[0] == 2
+
+
 def test_fingerprint_ignores_order_and_list_length():
     a = chat.field_paths({"messages": [{"role": 1, "content": 2}]})
     b = chat.field_paths({"messages": [{"content": 2}, {"role": 1, "content": 3}]})
@@ -165,6 +181,15 @@ def test_token_counts_equal_the_library(spark):
     assert tokencount.token_counts(df.limit(0), path).count() == 0
 
 
+def test_letters_of_newer_unicode_versions_count_as_the_library_says():
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    library, own = Tokenizer.from_file(path), transducer.TokenCounter(path)
+    points = [0xA7CB, 0xA7DC, 0x13808, 0x1385C, 0x13988, 0x558, 0x88F, 0x10940, 0x1F600, 0x660]
+    texts = [f"{a}{chr(cp)}{b}" for cp in points for a in ("", "a", "1", "!", " ") for b in ("", "b", "2", ".", " x")]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.count_batch(texts) == want
+
+
 def test_chunk_maps_compose_like_a_run():
     s = transducer.Splitter()
     rng = np.random.default_rng(0)
@@ -204,6 +229,24 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(df.limit(0), **files).count() == 0
 
 
+def test_local_search_tries_every_pair():
+    """A bin of many small documents: no exchange is left that fills another bin more."""
+    rng = np.random.default_rng(9)
+    sizes = np.concatenate([rng.integers(1, 4, 140), rng.integers(30, 90, 60)]).astype(np.int64)
+    bins = packing.local_search(sizes, [list(range(100)), *([i] for i in range(140, 200)), list(range(100, 140))], 256)
+    fill = [int(sizes[b].sum()) for b in bins]
+    assert sorted(i for b in bins for i in b) == list(range(200)) and max(fill) <= 256
+    assert len(bins) == math.ceil(sizes.sum() / 256)
+
+
+def test_full_pieces_need_no_shard(spark):
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.lit(5)).otherwise(F.lit(64)).cast("long").alias("length"))
+    rows = packing.pack_pieces(df, 64, shard=8).collect()
+    full = [r for r in rows if r.length == 64]
+    assert len(rows) == 2_000 and len({r.sequence_id for r in full}) == len(full) == 1_980 and all(r.offset == 0 for r in full)
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in rows if r.length < 64}
+
+
 def test_local_search_empties_bins():
     sizes = np.array([6, 6, 4, 4, 5, 5, 5, 5, 10, 3, 3, 4])
     start = [[0], [1], [2], [3], [4], [5], [6], [7], [8], [9], [10], [11]]
@@ -232,6 +275,37 @@ def test_language_id(spark):
     assert langid.identify(odd.limit(0), F.lit(True)).count() == 0
 
 
+def brute_buckets(text):
+    """Buckets of all n-grams of 1 to 3 characters, one by one."""
+    m, out = 0x9E3779B1, []
+    codes = [ord(c) for c in text.lower()]
+    for order in range(1, 4):
+        for i in range(len(codes) - order + 1):
+            h = codes[i] * m % 2**32
+            for c in codes[i + 1:i + order]:
+                h = ((h ^ h >> 15) * m + c) % 2**32
+            out.append(((h ^ order) * m % 2**32) >> 17)
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    """Training counts, priors, smoothing and posterior, from the texts alone."""
+    rng = random.Random(2)
+    vocabulary = {"en": "the of and to", "fr": "le de et à", "de": "der von und zu"}
+    rows = [(i, " ".join(rng.choice(vocabulary[k].split()) for _ in range(rng.randint(1, 4))), k, "s") for i in range(60) for k in [rng.choice(sorted(vocabulary))]]
+    rows += [(100, "le of zu", None, "s"), (101, "é" * 40_000, "fr", "s"), rows[0], (None, "und", "de", "s")]
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    got = langid.identify(docs_of(spark, rows), ~held).select("doc_id", "text", "lang_pred", "score").collect()
+    train = [(t, k) for i, t, k, _ in rows if k and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)]
+    counts = {k: collections.Counter(b for t, lang in train if lang == k for b in brute_buckets(t)) for k in sorted({k for _, k in train})}
+    sizes = collections.Counter(k for _, k in train)
+    for r in got:
+        s = {k: math.log(sizes[k] / len(train)) + sum(math.log((c[b] + 1) / (sum(c.values()) + langid.BUCKETS)) for b in brute_buckets(r.text)) for k, c in counts.items()}
+        best = max(s, key=s.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s.values()), rel=1e-6)
+
+
 def test_language_scores_against_brute_force():
     texts = ["abc", "", "ab ab", "zz"]
     rng = np.random.default_rng(0)
@@ -309,8 +383,10 @@ def test_quality_against_brute_force(spark):
     trusted = F.col("quality") == 1
     got = kneser_ney.classify(df, labels, trusted).collect()
     assert len(got) == len(rows)
-    roles = {r.id_: r.role_ for r in kneser_ney.trusted_sample(labels, trusted).collect()}
-    entropy = brute_kneser_ney([t for i, t, *_ in rows if roles.get(i) == "train"])
+    sides = {r.text: r.calibrates for r in kneser_ney.trusted_texts(df, labels, trusted, "doc_id", "text", "lang").collect()}
+    texts = {t: brute_smallest_shingle(t) % 4 == 0 for i, t, *_ in rows if i in range(40)}
+    assert sides == texts and 0 < sum(sides.values()) < len(sides)
+    entropy = brute_kneser_ney([t for t, calibrates in texts.items() if not calibrates])
     for r in got:
         if not r.text:
             assert r.perplexity is None and r.accepted is False
@@ -323,26 +399,80 @@ def test_quality_against_brute_force(spark):
     assert kneser_ney.classify(df.limit(0), labels, trusted).count() == 0
 
 
-def test_quality_uses_every_trusted_document(spark, monkeypatch):
-    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
-    roles = dict(kneser_ney.trusted_sample(labels, F.col("quality") == 1).groupBy("role_").count().collect())
-    assert sum(roles.values()) == 30_000
-    assert roles["calibrate"] == pytest.approx(7_500, rel=0.05)
+def brute_smallest_shingle(text):
+    raw = text.encode().ljust(40, b"\0")
+    stir = lambda h, w: (lambda x: x ^ x >> 29)((h ^ w) * 0x9E3779B97F4A7C15 % 2**64)
+    out = []
+    for i in range(len(raw) - 39):
+        h = 7
+        for at in range(0, 40, 8):
+            h = stir(h, int.from_bytes(raw[i + at:i + at + 8], "little"))
+        out.append(stir(h, 40))
+    return min(out)
+
+
+def test_sides_follow_texts_and_not_ids(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randint(0, 9999)) for _ in range(60)) for _ in range(2_000)] + ["é", "short"]
+    sides = [kneser_ney.smallest_shingle(t.encode()) for t in texts]
+    assert sides[:20] == [brute_smallest_shingle(t) for t in texts[:20]] and sides[-2:] == [brute_smallest_shingle(t) for t in texts[-2:]]
+    assert sum(x % 4 == 0 for x in sides) == pytest.approx(500, rel=0.15)
+    near = [kneser_ney.smallest_shingle((t + " end").encode()) for t in texts[:500]]
+    assert sum(a == b for a, b in zip(near, sides)) > 480
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 16)
+    assert [kneser_ney.smallest_shingle(t.encode()) for t in texts[:20]] == sides[:20]
+
+
+def test_quality_threshold_by_language_and_pooled(spark, monkeypatch):
     # few calibration documents of a language tell no quantile: it takes that of all
-    rows = [(i, f"the number {i * 7919 % 1000} is or was here", "en", "s") for i in range(1200)]
-    rows += [(2000 + i, f"un deux {i}", "fr", "s") for i in range(40)]
+    rng = random.Random(8)
+    rows = [(i, f"the number {rng.randint(0, 10**9)} is or was here", "en", "s") for i in range(1500)]
+    rows += [(2000 + i, f"un deux {i} et encore {rng.randint(0, 10**9)}", "fr", "s") for i in range(40)]
     labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
     run = lambda: kneser_ney.classify(docs_of(spark, rows), labels, F.col("quality") == 1).collect()
     got = run()
     bare = {lang: {round(math.log(r.threshold) - kneser_ney.SPREAD / math.sqrt(len(r.text.encode())), 9) for r in got if r.lang == lang} for lang in ("en", "fr")}
     assert len(bare["en"]) == len(bare["fr"]) == 1 and bare["en"] != bare["fr"]
-    by_id = {r.id_: r.role_ for r in kneser_ney.trusted_sample(labels, F.col("quality") == 1).collect()}
-    values = [math.log(r.perplexity) - kneser_ney.SPREAD / math.sqrt(len(r.text.encode())) for r in got if by_id[r.doc_id] == "calibrate"]
-    assert bare["fr"].pop() == pytest.approx(np.quantile(values, kneser_ney.QUANTILE), abs=1e-4)
-    monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", 10)
+    value = lambda r: math.log(r.perplexity) - kneser_ney.SPREAD / math.sqrt(len(r.text.encode()))
+    held = [r for r in got if brute_smallest_shingle(r.text) % 4 == 0]
+    assert bare["fr"].pop() == pytest.approx(np.quantile([value(r) for r in held], kneser_ney.QUANTILE), abs=1e-4)
+    assert bare["en"].pop() == pytest.approx(np.quantile([value(r) for r in held if r.lang == "en"], kneser_ney.QUANTILE), abs=1e-4)
+    # shards, answering groups and blocks change nothing
+    for name, size in (("SHARD_GRAMS", 300), ("GROUP_GRAMS", 100), ("BLOCK_BYTES", 4_000)):
+        monkeypatch.setattr(kneser_ney, name, size)
     key = lambda r: (r.doc_id, r.perplexity, r.threshold, r.accepted)
     again = {r.doc_id: key(r) for r in run()}
-    assert all(again[r.doc_id] == pytest.approx(key(r)) for r in got)
+    assert all(again[r.doc_id] == pytest.approx(key(r), rel=1e-5) for r in got)
+
+
+def test_copies_change_no_quality_decision(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality", "toxic")
+    times = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("copy")
+    many = docs.select("*", times).withColumn("doc_id", F.col("doc_id") + 1_000_000 * F.col("copy"))
+    labelled = labels.select("*", times).withColumn("doc_id", F.col("doc_id") + 1_000_000 * F.col("copy"))
+    trusted = "quality = 1 and coalesce(toxic, 0) = 0"
+    once = {r.doc_id: r.accepted for r in kneser_ney.classify(docs, labels, trusted).collect()}
+    four = [(r.doc_id, r.accepted) for r in kneser_ney.classify(many, labelled, trusted).collect()]
+    assert len(four) == 4 * len(once)
+    assert abs(sum(a for _, a in four) / len(four) - sum(once.values()) / len(once)) < 0.02
+    assert sum(once[i % 1_000_000] != a for i, a in four) < 0.02 * len(four)
+
+
+CLASHING = ("score", "lang_pred", "perplexity", "accepted", "threshold", "lang_", "best_", "lse_", "fit_", "id_", "role_", "mark_", "n_bytes_", "entropy_", "whole", "fit", "best", "lse", "node", "h", "s_")
+
+
+def test_pipeline_stages_give_back_columns_that_clash(spark):
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    before = {r.doc_id: r for r in more.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, more, sf)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert rows and all(r == before[r.doc_id] for r in rows), name
 
 
 # ---- near duplicates -------------------------------------------------------
