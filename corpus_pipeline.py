@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.llm.common import staged
-from stancelake.llm.kneser_ney import classify
+from stancelake.llm.kneser_ney import accepted_documents
 from stancelake.llm.langid import in_learned_language
 from stancelake.llm.mixing import mixed_documents
 from stancelake.llm.neardup_sets import one_of_each
@@ -26,7 +26,7 @@ LEAST_SCORE = 0.5               # posterior of the language below which a text h
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts; null and empty texts go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels, TRUSTED).filter("accepted").select(*docs.columns)
+    return accepted_documents(docs, labels, TRUSTED)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
