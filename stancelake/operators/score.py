@@ -235,9 +235,10 @@ def cosine_scores(vectors: DataFrame, protos: DataFrame, id_col: str = "vec_id",
     A blocked matrix product: a cell holds a block of vectors and one of prototypes.
     Null vectors take no part; vectors of fewer values than a prototype (or more) are 0 beyond their end.
     """
-    one = F.lit(0).alias("all_")
-    a = vectors.filter(F.col(vec_col).isNotNull()).select(one, F.col(id_col).alias("id_"), F.col(vec_col).cast("array<double>").alias("v_"))
-    b = protos.filter(F.col("p").isNotNull()).select(one, F.col("proto_label"), F.col("p").cast("array<double>").alias("p_"))
+    # one group, as a value of each row: a constant would make the join a nested loop
+    one = lambda c: F.pmod(F.xxhash64(c), F.lit(1)).cast("int").alias("all_")
+    a = vectors.filter(F.col(vec_col).isNotNull()).select(one(id_col), F.col(id_col).alias("id_"), F.col(vec_col).cast("array<double>").alias("v_"))
+    b = protos.filter(F.col("p").isNotNull()).select(one("proto_label"), F.col("proto_label"), F.col("p").cast("array<double>").alias("p_"))
     kinds = dict(a.dtypes) | dict(b.dtypes)
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
