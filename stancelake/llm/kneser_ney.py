@@ -45,6 +45,7 @@ SHARD_GRAMS = 1 << 19           # distinct n-grams of the model in a shard
 GROUP_GRAMS = 1 << 23           # requested n-grams that one group answers
 BLOCK_BYTES = 12 << 20
 PART_BYTES = 2 << 20            # n-grams of so many bytes at once
+BROADCAST_IDS = 2_000_000       # trusted ids (at most 16 MB as numbers) that are sent to every executor
 SHINGLE = 40                    # bytes of a shingle of the split between training and calibration
 CALIBRATION_FOLDS = 4           # one of so many calibrates
 QUANTILE = 0.995
@@ -351,10 +352,12 @@ def smallest_shingle(raw: bytes) -> int:
 def trusted_texts(docs: DataFrame, labels: DataFrame, trusted: Column | str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, text, calibrates) of every distinct trusted text that is not empty; of its languages, the first.
 
-    The ids are staged, so Spark knows their bytes and broadcasts them if they are few;
-    only trusted texts are shuffled, copies of a task combined before.
+    The ids are broadcast if they are at most BROADCAST_IDS, else the join shuffles the texts once;
+    of the texts, trusted ones are shuffled, copies of a task combined before.
     """
     ids = staged(labels.filter(trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "quality-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     once = texts.join(ids, "id").groupBy(F.xxhash64("text").alias("mark")).agg(F.min("lang").alias("lang"), F.any_value("text").alias("text"))
 
