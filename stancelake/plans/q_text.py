@@ -67,7 +67,7 @@ def c5_drop_empty(spark, sf):
     f"WHERE c <> '' AND {S.h17('c')} >= 4", "fx_tweets"))
 def c6_min_words(spark, sf):
     """Posts with at least 4 blank-separated words (P2 text)."""
-    t = _tweets(spark, sf).select("tweet_id", T.clean_p2("tweet").alias("c"))
+    t = T.once(_tweets(spark, sf).select("tweet_id", "tweet"), "c", T.clean_p2("tweet"))
     t = t.filter(F.col("c") != "").withColumn("n_words", T.word_count("c").cast("int"))
     return t.filter(F.col("n_words") >= T.MIN_NUM_WORDS).select("tweet_id", "n_words")
 

@@ -24,6 +24,9 @@ non-null inputs to ``concat``, no backslashes in literals, arithmetic only
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -154,7 +157,8 @@ VIEW_ORDER = list(VIEWS)
 EXCLUDED_PARTIES = ("src3", "src7")
 
 
-_REGISTERED: dict[str, str] = {}
+# Plain projections of a driver table: read through, never written, so that their texts are not copied.
+PROJECTIONS = ("fx_statements", "fx_topic_labels", "fx_tweets", "fx_topic_replies", "fx_stance_replies", "fx_odd_tweets", "fx_odd_replies")
 
 # Tables whose rows carry long texts or feed per-row heavy work.
 TEXT_TABLES = ("documents", "pages", "conversations", "fx_tweets", "fx_odd_tweets", "fx_scores", "fx_model_filtered")
@@ -176,41 +180,57 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str], dict[str, str]] = {}
+_REGISTERED: dict[str, tuple[str, set[str]]] = {}
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables and the fixture tables as temp views.
+def register(spark: SparkSession, sf_dir: str, names: Sequence[str] = tuple(VIEWS)) -> None:
+    """Register fixture tables, with the tables they are derived from, as temp views.
 
-    Each fixture is computed once from the driver tables and written as a
-    parquet table under the shared checkpoint folder (a stage output, like
-    the scored-posts table of a real run), then read back: every query scans
-    narrow columns of a materialized table instead of re-deriving it, and
-    the lineage is cut.  Idempotent per session and folder; switching back
-    to a folder seen before reuses its tables.
+    Only what is asked for is derived.  A projection of a driver table stays a view of it.  Any other
+    fixture is computed once and written as a parquet table under the shared
+    checkpoint folder (a stage output, like the scored-posts table of a real run), then
+    read back: every query scans narrow columns of a materialized table instead of
+    re-deriving it, and the lineage is cut.  Idempotent per session and folder;
+    switching back to a folder seen before reuses its tables.
     """
     from ..session import shared_path
     key = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
-    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("fx_odd_replies"):
-        return
-    for name in BASE_TABLES:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-    base = _WRITTEN.get((key, sf_dir))
-    fresh = base is None
-    if fresh:
-        base = shared_path(spark, "fixtures")
-    for name in VIEW_ORDER:
-        path = f"{base}/{name}"
-        if fresh:
-            spark.sql(VIEWS[name]).write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
-        (spread(df) if name in TEXT_TABLES else df).createOrReplaceTempView(name)
-    _WRITTEN[(key, sf_dir)] = base
-    _REGISTERED[key] = sf_dir
+    folder, done = _REGISTERED.get(key, ("", set()))
+    if folder != sf_dir:
+        done = set()
+        _REGISTERED[key] = (sf_dir, done)
+    written = _WRITTEN.setdefault((key, sf_dir), {})
+
+    def need(name: str) -> None:
+        if name in done and spark.catalog.tableExists(name):
+            return
+        if name not in VIEWS:
+            read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+        elif name in PROJECTIONS:
+            sources(name)
+            spark.sql(VIEWS[name]).createOrReplaceTempView(name)
+        else:
+            if name not in written:
+                sources(name)
+                path = shared_path(spark, name)
+                spark.sql(VIEWS[name]).write.parquet(path)
+                written[name] = path
+            df = spark.read.parquet(written[name])
+            (spread(df) if name in TEXT_TABLES else df).createOrReplaceTempView(name)
+        done.add(name)
+
+    def sources(name: str) -> None:
+        for other in (*BASE_TABLES, *VIEW_ORDER):
+            if re.search(rf"(FROM|JOIN) {other}\b", VIEWS[name]):
+                need(other)
+
+    for name in names:
+        need(name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
+    register(spark, sf_dir, [name])
     return spark.table(name)
 
 
