@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.labels import ALGORITHMS, algorithm_min_posts
 from ..operators import score, topics, translate
 from ..operators.joins import anti, exclude_parties, semi
+from ..session import shared_path
 from ..sources.fixtures import EXCLUDED_PARTIES, table, view, with_views
 from ..sources.languages import LANGUAGES
 from . import sqlkit as S
@@ -266,7 +267,9 @@ SELECT tweet_id FROM p WHERE NOT EXISTS
 def k1_resume_anti(spark, sf):
     """K1: resume by keys -- posts already scored by an earlier run (those
     before April) are skipped with an anti join on the output keys."""
-    p = T.clean_posts(view(spark, sf, "fx_tweets"), "P1")
+    path = shared_path(spark, "cleaned-keys")            # cleaned once, read as input and as what an earlier run scored
+    T.clean_posts(view(spark, sf, "fx_tweets"), "P1").select("tweet_id", "created_at").write.parquet(path)
+    p = spark.read.schema("tweet_id string, created_at timestamp").parquet(path)
     done = p.filter(F.col("created_at") < F.lit("2019-04-01 00:00:00").cast("timestamp")).select("tweet_id")
     return anti(p, done, ["tweet_id"]).select("tweet_id")
 
