@@ -53,7 +53,7 @@ def a2_scan_scores(spark, sf):
     score = F.when(F.col("tweet_id").cast("long") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("score_topic"))
     one = scores.select("tweet_id", "topic", score.alias("score_topic"), "score_sentence", "election", "dataset", F.lit("").alias("suffix"))
     models = F.explode(F.array(F.lit("bart-large-mnli"), F.lit("other-model")))
-    io.write_table(one.withColumn("model", models).withColumn("suffix", F.lit("plain")), path, ("election", "model", "dataset", "suffix"))
+    io.write_table(one.withColumn("model", models).withColumn("suffix", F.lit("plain")), path, ("election", "model", "dataset", "suffix"), balanced=True)
     back = io.load_scores(spark, path, model="bart-large-mnli", dataset="D3", suffix="plain")
     return back.select("tweet_id", "topic", F.round("score_topic", 6).alias("score_topic"), F.round("score_sentence", 6).alias("score_sentence"))
 

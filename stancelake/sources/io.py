@@ -88,8 +88,14 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_cols=(), fmt: str = "parquet",
-                mode: str = "overwrite") -> None:
-    """Stage outputs (parquet by default, CSV with header on request)."""
+                mode: str = "overwrite", balanced: bool = False) -> None:
+    """Stage outputs (parquet by default, CSV with header on request).
+
+    A writer sorts its task's rows by the partition columns.  ``balanced`` deals rows by these columns first, into
+    partitions of even size in bytes (a large folder is split), so that what a task
+    sorts is bounded however many rows a split of the source unpacks to."""
+    if balanced and partition_cols:
+        df = df.hint("rebalance", *(F.col(c) for c in partition_cols))
     w = df.write.mode(mode)
     if partition_cols:
         w = w.partitionBy(*partition_cols)
