@@ -33,7 +33,8 @@ def _p2_tweets(spark, sf, emoji=False):
 def _filtered_posts(spark, sf):
     """Model-filtered ids joined to the full (P2-cleaned) posts."""
     tw = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
-    return view(spark, sf, "fx_model_filtered").join(tw, "tweet_id")
+    # the ids pack into few bytes on disk but are many rows: a table of them in memory would grow with the input
+    return view(spark, sf, "fx_model_filtered").hint("merge").join(tw, "tweet_id")
 
 
 _P2 = (f"SELECT tweet_id, user_screen_name, election, created_at, tweet FROM "
