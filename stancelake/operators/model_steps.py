@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions.replies import stance_from_reply, topics_from_reply
 from ..functions.text import WS
-from ..session import shared_path
+from ..session import shared_path, stored
 from ..sources.ledger import Ledger
 from .joins import small, top_n_per_group
 
@@ -50,12 +50,6 @@ def recent_top_n(posts: DataFrame, n: int, group_cols=("election", "party", "top
     return top_n_per_group(posts, group_cols, recency_order(time_col, id_col), n, "recency_rank")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 AGE_BITS = 64           # of the age of a post, in microseconds
 STEP_BITS = 16          # a round tells 65,536 stretches apart
 
@@ -72,7 +66,7 @@ def budget_cutoff(costed: DataFrame, group_cols, limit_col: str) -> DataFrame:
     group = list(group_cols)
     edge = (costed.groupBy(*group).agg(F.sum("cost").alias("total"), F.max(limit_col).alias("budget"))
             .filter("total > budget").select(*group, "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("spent")))
-    edge = _stored(edge, "budget-edge")
+    edge = stored(edge, "budget-edge")
     if edge.isEmpty():
         return edge.select(*group, F.col("prefix").alias("from_age"), "spent", "budget")
     for shift in range(AGE_BITS - STEP_BITS, -1, -STEP_BITS):
@@ -82,7 +76,7 @@ def budget_cutoff(costed: DataFrame, group_cols, limit_col: str) -> DataFrame:
         w = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         upto = sums.withColumn("before", F.col("spent") + F.coalesce(F.sum("cost").over(w), F.lit(0)))
         first = upto.filter(F.col("before") + F.col("cost") > F.col("budget")).groupBy(*group, "budget").agg(F.min(F.struct("part", "before")).alias("x"))
-        edge = _stored(first.select(*group, "budget", F.col("x.part").alias("prefix"), F.col("x.before").alias("spent")), "budget-edge")
+        edge = stored(first.select(*group, "budget", F.col("x.part").alias("prefix"), F.col("x.before").alias("spent")), "budget-edge")
     return edge.select(*group, F.col("prefix").alias("from_age"), "spent", "budget")
 
 
@@ -106,7 +100,7 @@ def token_budget(posts: DataFrame, limit: int, overhead: Column,
     age = F.coalesce(F.lit(2**62) - F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(2**63 - 1))
     costed = posts.withColumns({"age__": age, "cost__": (n_tok + F.lit(sep)).cast("long"), "room__": (F.lit(limit + sep) - overhead).cast("long")})
     thin = costed.select(*group, id_col, F.col("age__").alias("age"), F.col("cost__").alias("cost"), F.col("room__").alias("room"))
-    thin = _stored(thin.dropDuplicates([*group, id_col]), "budget-costs")
+    thin = stored(thin.dropDuplicates([*group, id_col]), "budget-costs")
     edge = budget_cutoff(thin, group, "room")
     near = thin.join(edge, group, "left").filter(F.col("from_age").isNull() | (F.col("age") <= F.col("from_age")))
     kept = running_sum(near.select(*group, "age", id_col, "cost", "room"), group, ["age", id_col], "cost", "upto", exclusive=False)
@@ -151,7 +145,7 @@ def running_sum(df: DataFrame, group_cols, order_cols, value_col: str, out_col:
     A plain window would put a whole group in one task.  Instead rows are
     range-partitioned on (group, order) into balanced chunks (a hot group is
     split across many chunks), the narrow (keys, value, chunk) projection is
-    checkpointed to the shared folder so every branch sees the same chunks,
+    written to the shared folder so every branch sees the same chunks,
     chunk totals give per-chunk offsets, and a window inside each chunk adds
     the local running sum.
     """
@@ -161,7 +155,7 @@ def running_sum(df: DataFrame, group_cols, order_cols, value_col: str, out_col:
     narrow = (df.select(*group_cols, *order_names, value_col)
               .repartitionByRange(n, *group_cols, *order_names)
               .withColumn("__chunk", F.spark_partition_id()))
-    narrow = narrow.checkpoint(eager=True)
+    narrow = stored(narrow, "chunks")
     totals = narrow.groupBy(*group_cols, "__chunk").agg(F.sum(value_col).alias("__tot"))
     wo = Window.partitionBy(*group_cols).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(wo), F.lit(0))).drop("__tot")
@@ -183,7 +177,7 @@ def char_batches(posts: DataFrame, group_cols=("election", "party"), text_col: s
     Lossless: every post gets a batch."""
     sized = posts.select(*group_cols, time_col, id_col,
                          (F.length(text_col) + F.lit(len(P.SEPARATOR))).alias("chars"))
-    cum = running_sum(_stored(sized, "sized-chars"), group_cols, [time_col, id_col], "chars", "chars_before")
+    cum = running_sum(stored(sized, "sized-chars"), group_cols, [time_col, id_col], "chars", "chars_before")
     return cum.withColumn("batch_no", F.floor(F.col("chars_before") / F.lit(batch_chars)).cast("int"))
 
 
@@ -196,13 +190,15 @@ def replies_ledger(spark, path: str | None = None) -> Ledger:
 
 
 def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str = "prompt",
-                      done: DataFrame | None = None, ledger: Ledger | None = None, batches: int = 4) -> DataFrame:
+                      done: DataFrame | None = None, ledger: Ledger | None = None, batches: int = 4,
+                      copy: bool = True) -> DataFrame:
     """J6/J7 core: call the model once per distinct prompt not yet answered.
 
     Returns (prompt_md5, reply, seconds).  Replies are committed to ``ledger`` batch by batch
     and read from it; a ledger of earlier runs skips what it holds (K1), so does ``done``, a
     table of replies from elsewhere, whose rows are kept.  A null prompt is not asked.  ``seconds`` is
     the model time per prompt (batch time / batch size) for the progress report (E17, see ``call_stats``).
+    Prompts that are a written table need no ``copy``.
     """
     import time
     ledger = ledger or replies_ledger(prompts.sparkSession)
@@ -219,7 +215,12 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
             yield pd.DataFrame({"prompt_md5": pdf["prompt_md5"], "reply": list(replies),
                                 "seconds": [per] * len(pdf)})
 
-    ledger.advance(todo, lambda part: part.mapInPandas(run, REPLIES_SCHEMA), batches)
+    ledger.advance(todo, lambda part: part.mapInPandas(run, REPLIES_SCHEMA), batches, copy)
+    return replies_of(keyed, ledger, done)
+
+
+def replies_of(keyed: DataFrame, ledger: Ledger, done: DataFrame | None = None) -> DataFrame:
+    """(prompt_md5, reply, seconds) of the prompts in ``keyed``, and of all in ``done``."""
     told = ledger.read().join(keyed.select("prompt_md5").distinct(), "prompt_md5", "left_semi").select("prompt_md5", "reply", "seconds")
     if done is None:
         return told
@@ -246,8 +247,8 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     with_prompt = posts.join(small(ordered), "election").withColumn(
         "prompt", P.topic_prompt(F.col("block"), F.col("tweet")))
     # cleaned, built and hashed once, for the model and for the way back
-    prompted = _stored(with_prompt.select("election", "party", "tweet_id", "prompt", F.md5("prompt").alias("prompt_md5")), "topic-prompts")
-    replies = complete_distinct(prompted, complete, done=done, ledger=ledger)
+    prompted = stored(with_prompt.select("election", "party", "tweet_id", "prompt", F.md5("prompt").alias("prompt_md5")), "topic-prompts")
+    replies = complete_distinct(prompted, complete, done=done, ledger=ledger, copy=False)
     parsed = (prompted.select("election", "party", "tweet_id", "prompt_md5")
               .join(replies, "prompt_md5")
               .select("election", "party", "tweet_id", F.explode(topics_from_reply("reply")).alias("t")))
@@ -255,10 +256,17 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     return parsed.join(known, ["election", "t"]).select("election", "party", "topic", "tweet_id")
 
 
+def sized_posts(posts: DataFrame) -> DataFrame:
+    """(tweet_id, created_at, tweet, n_tok) of the posts with a text, cleaned and counted once: a written table for any number of runs."""
+    sized = posts.filter(F.col("tweet").isNotNull()).select("tweet_id", "created_at", "tweet", token_count("tweet").alias("n_tok"))
+    return stored(sized, "sized-posts")
+
+
 def split_posts(posts: DataFrame, most: int) -> DataFrame:
-    """(tweet_id, created_at, piece, tweet, n_tok): posts of more than ``most`` tokens cut into pieces of at most so many; a null text is no post."""
-    sized = posts.filter(F.col("tweet").isNotNull()).select("tweet_id", "created_at", F.lit(0).alias("piece"), "tweet", token_count("tweet").alias("n_tok"))
-    sized = _stored(sized, "sized-posts")               # read more than once, cleaned once
+    """(tweet_id, created_at, piece, tweet, n_tok): posts of more than ``most`` tokens cut into pieces of at most so many; a null text is no post.
+
+    ``posts`` may be a table of ``sized_posts``."""
+    sized = (posts if "n_tok" in posts.columns else sized_posts(posts)).select("tweet_id", "created_at", F.lit(0).alias("piece"), "tweet", "n_tok")
 
     def cut(batches):
         import regex
@@ -300,14 +308,14 @@ def prompt_batches(cand: DataFrame, limit: int, group_cols=("election", "party",
         *group_cols, "tweet_id", "piece", batch.cast("int").alias("batch_no"), "num_posts")
 
 
-def joined_batches(filtered: DataFrame, posts: DataFrame, statements: DataFrame, limit: int = CONTEXT_LIMITS["mixtral"],
-                   num_labels: int = 5) -> DataFrame:
-    """E13 for prompts: (election, party, topic, batch_no, group_posts, num_posts, posts_joined, sentence).
+SLICE_TOKENS = 1 << 24      # a slice of the prompts may hold so many tokens, or all posts once
 
-    filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet, created_at): every post of a group
-    is in one of its batches, and a batch is at most a prompt of ``limit`` tokens, so
-    a row is bounded whatever the group.  Tokens are counted once per post, and no text is carried through the prefix sum.
-    """
+
+def dealt_posts(filtered: DataFrame, posts: DataFrame, statements: DataFrame, limit: int, num_labels: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(members, pieces, statements, slices): which piece of a post stands in which prompt, without texts.
+
+    A post stands in the prompts of several statements, so all prompts are several times the posts; they hold
+    ``slices`` times the tokens of all posts, or of SLICE_TOKENS."""
     st = small(prompt_overhead(statements.select("election", "topic", "sentence"), num_labels))
     overhead = st.agg(F.max("overhead")).first()[0] or 0
     sep = len(token_count_py(P.SEPARATOR))
@@ -315,15 +323,33 @@ def joined_batches(filtered: DataFrame, posts: DataFrame, statements: DataFrame,
     cand = filtered.select("election", "party", "topic", "tweet_id") \
                    .join(pieces.select("tweet_id", "created_at", "piece", "n_tok"), "tweet_id") \
                    .join(st.select("election", "topic", "overhead"), ["election", "topic"])
-    cand = _stored(cand, "prompt-candidates")
-    texts = prompt_batches(cand, limit).join(pieces.select("tweet_id", "created_at", "piece", "tweet"), ["tweet_id", "piece"]) \
-                                       .withColumn("pid", F.struct("tweet_id", "piece"))
+    cand = stored(cand, "prompt-candidates")
+    most = max(pieces.agg(F.sum("n_tok")).first()[0] or 0, SLICE_TOKENS)
+    slices = max(1, -(-(cand.agg(F.sum("n_tok")).first()[0] or 0) // most))
+    return stored(prompt_batches(cand, limit), "prompt-members"), pieces, st, slices
+
+
+def join_dealt(members: DataFrame, pieces: DataFrame, st: DataFrame) -> DataFrame:
+    """E13 over dealt posts: the texts of every batch joined, with its sentence."""
+    texts = members.join(pieces.select("tweet_id", "created_at", "piece", "tweet"), ["tweet_id", "piece"]).withColumn("pid", F.struct("tweet_id", "piece"))
     batch_cols = ["election", "party", "topic", "batch_no", F.col("num_posts").alias("group_posts")]
     return join_posts(texts.select(*batch_cols, "pid", "created_at", "tweet"),
                       ["election", "party", "topic", "batch_no", "group_posts"], id_col="pid") \
         .join(st.select("election", "topic", "sentence"), ["election", "topic"])
 
 
+def joined_batches(filtered: DataFrame, posts: DataFrame, statements: DataFrame, limit: int = CONTEXT_LIMITS["mixtral"],
+                   num_labels: int = 5) -> DataFrame:
+    """E13 for prompts: (election, party, topic, batch_no, group_posts, num_posts, posts_joined, sentence).
+
+    filtered (election, party, topic, tweet_id) and posts (tweet_id, tweet, created_at): every post of a group
+    is in one of its batches, and a batch is at most a prompt of ``limit`` tokens, so
+    a row is bounded whatever the group.  Tokens are counted once per post, and no text is carried through the prefix sum.
+    """
+    members, pieces, st, _ = dealt_posts(filtered, posts, statements, limit, num_labels)
+    return join_dealt(members, pieces, st)
+
+
 def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, grid: DataFrame,
                complete: Completer, num_labels: int = 5, variant: str = "B",
                limit: int = CONTEXT_LIMITS["mixtral"], done: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
@@ -335,14 +361,24 @@ def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, g
     (H22); the stance of a group with several prompts is the mean of the
     parsed ones by posts, half-even; grid pairs without posts are neutral (I13).
     """
-    joined = joined_batches(filtered, posts, statements, limit, num_labels)
-    prompted = joined.withColumn("prompt", P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels))
-    # written, so the model call and the way back read the same prompts
-    prompted = _stored(prompted.select("election", "party", "topic", "group_posts", "num_posts", "prompt", F.md5("prompt").alias("prompt_md5")), "stance-prompts")
-    replies = complete_distinct(prompted, complete, done=done, ledger=ledger)
+    spark = posts.sparkSession
+    members, pieces, st, slices = dealt_posts(filtered, posts, statements, limit, num_labels)
+    ledger = ledger or replies_ledger(spark)
+    texts, keys = shared_path(spark, "stance-prompts"), shared_path(spark, "stance-prompt-keys")
+    for k in range(slices):
+        share = members.filter(F.pmod(F.xxhash64("election", "party", "topic", "batch_no"), F.lit(slices)) == k)
+        prompt = P.stance_prompt(F.col("posts_joined"), F.col("sentence"), num_labels)
+        prompted = join_dealt(share, pieces, st).withColumn("prompt", prompt)
+        # written, so the model call and the way back read the same prompts; the next slice takes the place of this one
+        prompted = stored(prompted.select("election", "party", "topic", "group_posts", "num_posts", "prompt", F.md5("prompt").alias("prompt_md5")), "", texts)
+        complete_distinct(prompted, complete, done=done, ledger=ledger, batches=max(1, 4 // slices), copy=False)
+        link = prompted.drop("prompt")
+        link.write.mode("append").parquet(keys)
+    prompted = spark.read.schema(link.schema).parquet(keys)
+    replies = replies_of(prompted, ledger, done)
     told = F.col("p.stance").isNotNull()
     weight = F.when(told, F.col("num_posts"))
-    parsed = (prompted.drop("prompt").join(replies, "prompt_md5")
+    parsed = (prompted.join(replies, "prompt_md5")
               .withColumn("p", stance_from_reply(F.col("reply"), variant))
               .groupBy("election", "party", "topic")
               .agg(F.max("group_posts").alias("num_posts"),

@@ -22,18 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import stored
 from .score import SENTENCE_TEMPLATE, hypothesis, template_for, tokens
 
 PREFIX_HITS = 3         # k: a longer prefix, but far fewer candidates
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def label_prefixes(held: DataFrame, labels: DataFrame, threshold: float, on: Sequence[str], label_keys: Sequence[str],
                    label_text: str, hits: int = PREFIX_HITS) -> DataFrame:
     """(on, label_keys, token, required): rarest tokens of every label, and how many of them a candidate holds.
@@ -64,7 +58,7 @@ def candidate_pairs(held: DataFrame, prefixes: DataFrame, on: Sequence[str], pos
 
 def held_tokens(posts: DataFrame, on: Sequence[str], post_keys: Sequence[str], text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """(on, post_keys, keep, tokens) of every post, written once and read by every step."""
-    return _stored(posts.select(*on, *post_keys, *keep, tokens(text_col).alias("tokens")), "post-tokens")
+    return stored(posts.select(*on, *post_keys, *keep, tokens(text_col).alias("tokens")), "post-tokens")
 
 
 def contained_labels(posts: DataFrame, labels: DataFrame, threshold: float, post_keys: Sequence[str], label_keys: Sequence[str],

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import three_calculated, three_derived
 from ..operators import agree, evaluate
+from ..operators import model_steps as ms
 from ..operators.joins import first_sentence_per_topic, small
-from ..session import shared_path
+from ..session import shared_path, stored
 from ..sources.fixtures import EXCLUDED_PARTIES, view, with_views
 from ..sources.ledger import Ledger
 from . import sqlkit as S
@@ -52,10 +53,9 @@ def hybrid_results(spark, sf):
                     F.col("stance").alias("Stance")))
 
 
-def stance_results(spark, sf, num_labels, variant):
-    from .q_models import j6_model_topics, model_stance_table, score_pairs
-    filtered = score_pairs(spark, sf) if variant == "B" else j6_model_topics(spark, sf)
-    t = model_stance_table(spark, sf, num_labels, variant, filtered)
+def stance_results(spark, sf, num_labels, variant, filtered, posts):
+    from .q_models import model_stance_table
+    t = model_stance_table(spark, sf, num_labels, variant, filtered, posts=posts)
     lookup = small(first_sentence_per_topic(view(spark, sf, "fx_statements")))
     return (t.join(lookup, ["election", "topic"])
             .select(F.col("election").alias("VAA"), F.col("party").alias("Party"),
@@ -71,6 +71,7 @@ def results_ledger(spark, sf) -> Ledger:
     """The stance results of every method, each appended once and read by every evaluation of the session.
 
     Sweep methods come out of one sweep; a model is asked once per distinct prompt, whatever reads its results."""
+    from .q_models import j6_model_topics, score_pairs, stance_posts
     key = (spark.sparkContext.applicationId, sf)
     path = _LEDGERS.setdefault(key, shared_path(spark, "results"))
     ledger = Ledger(spark, path, RESULTS_LEDGER, ["Method", "num_labels", "VAA", "Party", "Topic"])
@@ -82,11 +83,18 @@ def results_ledger(spark, sf) -> Ledger:
         ledger.commit(out.select(F.element_at(name, F.col("algorithm")).alias("Method"), F.lit(5).alias("num_labels"), F.col("election").alias("VAA"),
                                  F.col("screen_name").alias("Party"), F.col("topic").alias("Topic"), F.col("sentence").alias("Sentence"),
                                  F.col("agreement_level").alias("Stance")), "sweep")
-    for name, kind, how, labels in METHODS:
-        for k in labels if kind != "sweep" else ():
-            batch = f"{kind}-{how}-{k}"
-            if not ledger.committed(batch):
-                ledger.commit(named(hybrid_results(spark, sf) if kind == "hybrid" else stance_results(spark, sf, k, how), name, k), batch)
+    left = [(name, kind, how, k) for name, kind, how, labels in METHODS for k in labels if kind != "sweep" and not ledger.committed(f"{kind}-{how}-{k}")]
+    posts, pairs = None, {}
+    for name, kind, how, k in left:
+        if kind == "hybrid":
+            out = hybrid_results(spark, sf)
+        else:
+            # posts are cleaned once for all runs, and the pairs that a variant reads are found once for both numbers of labels
+            posts = ms.sized_posts(stance_posts(spark, sf)) if posts is None else posts
+            if how not in pairs:
+                pairs[how] = score_pairs(spark, sf) if how == "B" else stored(j6_model_topics(spark, sf), "picked-topics")
+            out = stance_results(spark, sf, k, how, pairs[how], posts)
+        ledger.commit(named(out, name, k), f"{kind}-{how}-{k}")
     return ledger
 
 

@@ -377,8 +377,13 @@ LEFT JOIN (SELECT election, party, topic, CAST(sum(num_posts) AS INTEGER) AS num
 """
 
 
-def model_stance_table(spark, sf, num_labels: int = 5, variant: str = "B", filtered=None, ledger=None):
-    posts = _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
+def stance_posts(spark, sf):
+    """The posts that a stance model reads."""
+    return _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
+
+
+def model_stance_table(spark, sf, num_labels: int = 5, variant: str = "B", filtered=None, ledger=None, posts=None):
+    posts = stance_posts(spark, sf) if posts is None else posts
     filtered = view(spark, sf, "fx_model_filtered") if filtered is None else filtered
     out = ms.model_stance(filtered, posts, view(spark, sf, "fx_statements"),
                           _grid(spark, sf), rule_stance_completer_for(num_labels), num_labels=num_labels,

@@ -12,8 +12,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins and coalesces/splits
 # partitions at run time; skew join splits hot partitions of a join side.
@@ -78,3 +80,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh location under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# A table that is written needs no shuffle file of its job any more; texts reach Python a few MB at a time.
+WRITING_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings for writing a table: its shuffle files go when it stands, a batch for Python is bounded in bytes."""
+    before = {k: spark.conf.get(k, None) for k in WRITING_CONF}
+    for k, v in WRITING_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written under the shared folder and read back; a ``path`` given is written anew."""
+    spark = df.sparkSession
+    path = path or shared_path(spark, name)
+    with writing(spark):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..session import shared_path
+from ..session import stored, writing
 
 MANIFEST = "batch string, n_rows long, committed_at timestamp"
 
@@ -68,7 +68,8 @@ class Ledger:
         if self.committed(batch):
             return batch
         part = f"{self.path}/data/batch={batch}"
-        rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).write.mode("overwrite").parquet(part)
+        with writing(self.spark):
+            rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).write.mode("overwrite").parquet(part)
         n = self.spark.read.schema(self.schema).parquet(part).count()
         entry = self.spark.range(1).select(F.lit(n).cast("long").alias("n_rows"), F.current_timestamp().alias("committed_at"))
         entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch}")
@@ -78,18 +79,18 @@ class Ledger:
         """Inputs whose keys no finished row has (a null key is never finished)."""
         return inputs.join(self.rows().filter(self.finished).select(*self.keys).distinct(), self.keys, "left_anti")
 
-    def advance(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int = 8) -> None:
+    def advance(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int = 8, copy: bool = True) -> None:
         """Apply ``work`` to the unfinished inputs, a committed batch at a time.
 
         ``work`` returns rows with the keys of its input.  Finished keys are skipped before
         any work; what a killed run had committed is not done again.  Inputs are dealt
-        by a hash of their keys, so a batch is an even share, whatever the keys.
+        by a hash of their keys, so a batch is an even share, whatever the keys.  Inputs
+        that are a written table already need no ``copy``: a batch finishes no key of another.
         """
-        path = shared_path(self.spark, "ledger-todo")
-        left = self.todo(inputs).withColumn("bucket__", F.pmod(F.xxhash64(*self.keys), F.lit(batches)).cast("int"))
-        left.write.parquet(path)
-        left = self.spark.read.schema(left.schema).parquet(path)
+        deal = lambda df: df.withColumn("bucket__", F.pmod(F.xxhash64(*self.keys), F.lit(batches)).cast("int"))
+        left = stored(deal(self.todo(inputs)), "ledger-todo") if copy else deal(inputs)
         for b in range(batches):
             part = left.filter(F.col("bucket__") == b).drop("bucket__")
-            if not part.isEmpty():
+            part = part if copy else self.todo(part)
+            if not part.select(*self.keys).isEmpty():
                 self.commit(work(part))
