@@ -34,11 +34,15 @@ TEMPLATE_OTHER = "This example is {}."
 SENTENCE_TEMPLATE = "{}"
 
 
+def words(c) -> Column:
+    """Lower-cased pieces of a text between its separators, repeats and empty ones included."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.split(F.lower(c), TOKEN_SPLIT)
+
+
 def tokens(c) -> Column:
     """Distinct lower-cased word tokens of a text."""
-    c = F.col(c) if isinstance(c, str) else c
-    parts = F.split(F.lower(c), TOKEN_SPLIT)
-    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+    return F.array_distinct(F.array_remove(words(c), ""))
 
 
 def template_for(model_col) -> Column:                      # H24

@@ -20,19 +20,25 @@ PAIRS = [(m, x) for m in MODELS for x in SUFFIXES if x == "" or "covid" in m]
 KEYS = ("model", "suffix", "dataset", "election", "screen_name", "topic")
 
 
+def _variants(spark, sf):
+    """Posts in both cleaning variants, without and with tags and emoji; a text that has neither is cleaned once and is of both."""
+    tw = view(spark, sf, "fx_tweets").select("election", F.col("user_screen_name").alias("screen_name"), "tweet_id", "user_id", "created_at", "tweet")
+    tw = T.once(tw, "marked", F.coalesce(T.has_tags_or_emoji("tweet"), F.lit(False)))
+    plain, kept = (F.array(*(F.lit(x) for x in SUFFIXES if (x == "") == tags)) for tags in (True, False))
+    first = F.struct(F.when(F.col("marked"), plain).otherwise(F.concat(plain, kept)).alias("suffixes"),
+                     F.when(F.col("marked"), T.clean_p1("tweet")).otherwise(T.clean_p1("tweet", False)).alias("tweet"))
+    second = F.struct(F.when(F.col("marked"), kept).alias("suffixes"), F.when(F.col("marked"), T.clean_p1("tweet", False)).alias("tweet"))
+    return (tw.select("election", "screen_name", "tweet_id", "user_id", "created_at", F.inline(F.array(first, second)))
+            .filter(F.col("tweet") != "").filter(T.word_count("tweet") >= T.MIN_NUM_WORDS))
+
+
 def _posts(spark, sf):
-    """Posts in both cleaning variants: without and with tags and emoji."""
-    tw = view(spark, sf, "fx_tweets")
-    out = None
-    for suffix in SUFFIXES:
-        part = T.clean_posts(tw, "P1", remove_tags_and_emoji=suffix == "").select(
-            "election", F.lit(suffix).alias("suffix"), F.col("user_screen_name").alias("screen_name"), "tweet_id", "user_id", "created_at", "tweet")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``_variants`` with a row for each variant."""
+    return _variants(spark, sf).select("election", F.explode("suffixes").alias("suffix"), "screen_name", "tweet_id", "user_id", "created_at", "tweet")
 
 
-def _table(spark, sf):
-    return textjoin.score_table(_posts(spark, sf), view(spark, sf, "fx_topic_labels"), PAIRS, LOWEST)
+def _held(spark, sf):
+    return textjoin.scored_posts(_variants(spark, sf), view(spark, sf, "fx_topic_labels"), PAIRS)
 
 
 def _posts_sql() -> str:
@@ -64,7 +70,7 @@ SELECT election, model, suffix, screen_name, tweet_id, user_id, topic, round(sco
 def t6_scores_from_text(spark, sf):
     """Raw posts -> both cleaning variants -> every (post, topic, model) whose topic score
     reaches the lowest threshold, by the rare-token join, with the sentence's score."""
-    out = _table(spark, sf)
+    out = textjoin.score_table(_held(spark, sf), view(spark, sf, "fx_topic_labels"), PAIRS, LOWEST)
     return out.select("election", "model", "suffix", "screen_name", "tweet_id", "user_id", "topic", F.round("score_topic", 6).alias("score_topic"),
                       "sentence", F.round("score_sentence", 6).alias("score_sentence"))
 
@@ -99,7 +105,8 @@ def e16_sweep_from_text(spark, sf):
     none left by the filter stay, by the dense grid."""
     calendar = view(spark, sf, "fx_calendar")
     labels = view(spark, sf, "fx_topic_labels")
-    scores = topics.dataset_windows(_table(spark, sf), calendar)
+    held = _held(spark, sf)
+    scores = topics.dataset_windows(textjoin.score_table(held, labels, PAIRS, LOWEST), calendar)
     valid = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(x).alias("valid")) for m, x in PAIRS))
     parties = topics.dataset_windows(_posts(spark, sf), calendar).select("dataset", "suffix", "election", "screen_name").distinct()
     grid = (parties.select("*", F.inline(valid)).filter("suffix = valid").drop("valid")
