@@ -108,7 +108,7 @@ def e16_sweep_from_text(spark, sf):
     held = _held(spark, sf)
     scores = topics.dataset_windows(textjoin.score_table(held, labels, PAIRS, LOWEST), calendar)
     valid = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(x).alias("valid")) for m, x in PAIRS))
-    parties = topics.dataset_windows(_posts(spark, sf), calendar).select("dataset", "suffix", "election", "screen_name").distinct()
+    parties = topics.dataset_windows(held, calendar).select("dataset", "suffix", "election", "screen_name").distinct()
     grid = (parties.select("*", F.inline(valid)).filter("suffix = valid").drop("valid")
             .join(labels.select("election", "topic"), "election"))
     totals = agree.threshold_counts(scores, KEYS, TOPIC_THRESHOLDS, grid)
