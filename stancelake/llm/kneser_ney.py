@@ -349,24 +349,29 @@ def smallest_shingle(raw: bytes) -> int:
     return int(low)
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, trusted: Column | str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text, calibrates) of every distinct trusted text that is not empty; of its languages, the first.
-
-    The ids are broadcast if they are at most BROADCAST_IDS, else the join shuffles the texts once;
-    of the texts, trusted ones are shuffled, copies of a task combined before.
+def trusted_texts(docs: DataFrame, labels: DataFrame, trusted: Column | str, id_col: str, text_col: str, lang_col: str,
+                  side: bool | None = None) -> DataFrame:
+    """(lang, text, calibrates) of every distinct trusted text that is not empty, or of those of one ``side``; of its languages, the first.
+
+    The side is told before anything is shuffled, so that each side can be read by its only
+    consumer and no trusted text need be written.  The ids are broadcast if they are at most
+    BROADCAST_IDS, else the join shuffles the texts; of the texts, trusted ones are shuffled,
+    copies of a task combined before.
     """
     ids = staged(labels.filter(trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "quality-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    once = texts.join(ids, "id").groupBy(F.xxhash64("text").alias("mark")).agg(F.min("lang").alias("lang"), F.any_value("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            side = [smallest_shingle(x.as_py()) % CALIBRATION_FOLDS == 0 for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(side, pa.bool_())], names=["lang", "text", "calibrates"])
+            calibrates = pa.array([smallest_shingle(x.as_py()) % CALIBRATION_FOLDS == 0 for x in b.column(1).cast(pa.binary())], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), calibrates], names=["lang", "text", "calibrates"])
+            yield out if side is None else out.filter(pc.equal(calibrates, side))
 
-    return once.select("lang", "text").mapInArrow(run, "lang string, text string, calibrates boolean")
+    texts = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sides = texts.join(ids, "id").select("lang", "text").mapInArrow(run, "lang string, text string, calibrates boolean")
+    return (sides.groupBy(F.xxhash64("text").alias("mark")).agg(F.min("lang").alias("lang"), F.any_value("text").alias("text"), F.any_value("calibrates").alias("calibrates"))
+            .drop("mark"))
 
 
 def adjusted(entropy: Column, n_bytes: Column) -> Column:
@@ -380,9 +385,9 @@ SPREAD = 2.0
 def judged(docs: DataFrame, labels: DataFrame, trusted: Column | str, quantile: float = QUANTILE,
            id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(whole, perplexity, threshold, accepted) of every row, whole being the row itself; see ``classify``."""
-    known = staged(trusted_texts(docs, labels, trusted, id_col, text_col, lang_col), "quality-trusted")
-    scorer = Scorer(known.filter("not calibrates").select("text"))
-    calibration = scorer.scored(known.filter("calibrates").select(F.struct("lang", "text").alias("whole")), "text")
+    scorer = Scorer(trusted_texts(docs, labels, trusted, id_col, text_col, lang_col, side=False).select("text"))
+    held_back = trusted_texts(docs, labels, trusted, id_col, text_col, lang_col, side=True)
+    calibration = scorer.scored(held_back.select(F.struct("lang", "text").alias("whole")), "text")
     calibration = staged(calibration.select(F.col("whole.lang").alias("lang"), "entropy", "n_bytes"), "quality-calibration")
     # rounded, so that the aggregate holds a bounded number of distinct values
     value = F.percentile(F.round(adjusted(F.col("entropy"), F.col("n_bytes")), 5), F.lit(quantile)).alias("limit")

@@ -399,6 +399,20 @@ def test_quality_against_brute_force(spark):
     assert kneser_ney.classify(df.limit(0), labels, trusted).count() == 0
 
 
+def test_quality_writes_no_trusted_text(spark, monkeypatch):
+    """Each side is read by its only consumer: the two sides are all trusted texts, and the only texts that are written are those in blocks."""
+    df = spark.createDataFrame([(i, "en", f"words number {i // 2} of a text that is long enough to have shingles") for i in range(60)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, i < 40) for i in range(60)], "doc_id long, good boolean")
+    both = {(r.text, r.calibrates) for r in kneser_ney.trusted_texts(df, labels, "good", "doc_id", "text", "lang").collect()}
+    sides = [[(r.text, r.calibrates) for r in kneser_ney.trusted_texts(df, labels, "good", "doc_id", "text", "lang", side).collect()] for side in (False, True)]
+    assert sorted(sides[0] + sides[1]) == sorted(both) and len(both) == 20
+    assert all(c is side for side, found in zip((False, True), sides) for _, c in found) and all(sides)
+    written, real = [], kneser_ney.staged
+    monkeypatch.setattr(kneser_ney, "staged", lambda t, name: written.append((name, t.columns)) or real(t, name))
+    assert kneser_ney.classify(df, labels, "good").count() == 60
+    assert written and not [name for name, columns in written if "text" in columns]
+
+
 def brute_smallest_shingle(text):
     raw = text.encode().ljust(40, b"\0")
     stir = lambda h, w: (lambda x: x ^ x >> 29)((h ^ w) * 0x9E3779B97F4A7C15 % 2**64)
