@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancelake.session import shared_path
+from stancelake.session import settings, shared_path
+
+# Texts reach Python so many bytes at a time, not 10,000 rows of any length.
+BATCH_BYTES = 2 << 20
 
 # Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +25,8 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     """
     path = shared_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -87,10 +87,10 @@ WRITING_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true
 
 
 @contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    """Settings for writing a table: its shuffle files go when it stands, a batch for Python is bounded in bytes."""
-    before = {k: spark.conf.get(k, None) for k in WRITING_CONF}
-    for k, v in WRITING_CONF.items():
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """``conf`` for what runs inside; the values before come back."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -99,6 +99,11 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def writing(spark: SparkSession):
+    """Settings for writing a table: its shuffle files go when it stands, a batch for Python is bounded in bytes."""
+    return settings(spark, WRITING_CONF)
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written under the shared folder and read back; a ``path`` given is written anew."""
     spark = df.sparkSession

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -567,3 +568,17 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     kept = collections.Counter(r.doc_id for r in neardup_sets.one_of_each(more).collect())
     assert kept == collections.Counter([*{low[i] for i, _ in rows}, None, None])
     assert neardup_sets.similar_documents(df.limit(0)).count() == 0
+
+
+def test_staged_tables_reach_python_in_bounded_batches(spark):
+    """Long texts are handed to Python a few MB at a time, and the session's setting comes back."""
+    from stancelake.llm.common import BATCH_BYTES, staged
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    found = staged(spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("long text "), 1000).alias("t")).mapInArrow(sizes, "rows long, bytes long"), "batches").collect()
+    assert sum(r.rows for r in found) == 3000 and max(r.bytes for r in found) < 2 * BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
