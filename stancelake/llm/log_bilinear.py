@@ -54,6 +54,7 @@ PIECE = 1 << 22         # bytes of a text tokenised at once
 SLICE_BYTES = 1 << 22   # bytes of texts trained on or scored at once: contexts they share are summed once
 COUNTED_BYTES = 1 << 24
 LONG_WORD = 40
+WIDEST = 60.0           # a product of exponentials that spans more powers of e may leave single precision
 END = b""
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -108,8 +109,9 @@ class Slice:
         piece = np.repeat(np.arange(len(parts)), np.diff(split.offsets.to_numpy()))[told]
         found = flat.filter(pa.array(told)).dictionary_encode()
         keys = found.dictionary.cast(pa.binary())
-        if len(keys) and pc.max(pc.binary_length(keys)).as_py() > LONG_WORD:
-            keys = pa.array([key_of(w) for w in keys.to_pylist()], pa.binary())
+        far = pc.greater(pc.binary_length(keys), LONG_WORD)
+        if far.true_count:
+            keys = pc.replace_with_mask(keys, far, pa.array([key_of(w) for w in keys.filter(far).to_pylist()], pa.binary()))
         self.keys = pa.concat_arrays([keys, pa.array([END], pa.binary())])
         sizes = np.bincount(piece, minlength=len(parts))
         ends = np.cumsum(sizes)
@@ -311,41 +313,59 @@ class LogBilinear:
             a += size
 
     def scorer(self) -> None:
-        """Tables of context vectors, with a last value of 1 in all that meets the bias in one product."""
+        """Tables of context vectors, with a last value of 1 in all that meets the bias in one product; and for each place
+        the exponentials of what a context word there adds to the score of every class, over the largest of them."""
         self.tables = [np.column_stack([self.r @ self.c[j], np.full(CONTEXTS, j == 0)]).astype(np.float32) for j in range(PLACES)]
         self.all_q = np.ascontiguousarray(np.vstack([self.q.T, self.b]))
-        self.ones = np.ones(CLASSES, dtype=np.float32)
-        self.longest = float(np.sqrt((self.q.astype(np.float64) ** 2).sum(axis=1).max()))
-
-    def log10_all(self, before: np.ndarray, target: np.ndarray, size: int = 512) -> np.ndarray:
-        """log10 of the normalised probability of each target class.
-
-        Classes are summed once for each distinct context, in batches of ``size`` that stay in the cache.
+        self.tops, self.spans, self.factors = [], [], []
+        for table in self.tables:
+            added = table.astype(np.float64) @ self.all_q
+            top = added.max(axis=1)
+            self.tops.append(top)
+            self.spans.append(top - added.min(axis=1))
+            self.factors.append(np.exp(added - top[:, None]).astype(np.float32))
+
+    def log_sums(self, before: np.ndarray, size: int = 256) -> np.ndarray:
+        """log of the sum over all classes of the exponentials of their scores, for contexts in columns.
+
+        The exponential of a sum is the product of the places' exponentials, so that a context costs no product with the
+        classes and no exponential; batches of ``size`` stay in the cache.  Where the product of a context may leave the range
+        of single precision, its scores are summed as they are.
         """
+        out = sum(top.take(words) for top, words in zip(self.tops, before))
+        far = sum(span.take(words) for span, words in zip(self.spans, before)) > WIDEST
+        held = np.empty((2, size, CLASSES), dtype=np.float32)
+        for a in range(0, before.shape[1], size):
+            at = before[:, a:a + size]
+            product, other = held[:, :at.shape[1]]
+            self.factors[0].take(at[0], axis=0, out=product, mode="clip")
+            for j in range(1, PLACES - 1):
+                product *= self.factors[j].take(at[j], axis=0, out=other, mode="clip")
+            self.factors[-1].take(at[-1], axis=0, out=other, mode="clip")
+            sums = np.einsum("ij,ij->i", product, other)
+            out[a:a + size] += np.log(np.maximum(sums, np.finfo(np.float32).tiny).astype(np.float64))
+        rest = np.flatnonzero(far)
+        for a in range(0, len(rest), size):
+            at = rest[a:a + size]
+            scores = sum(table.take(words[at], axis=0).astype(np.float64) for table, words in zip(self.tables, before)) @ self.all_q
+            top = scores.max(axis=1)
+            out[at] = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+        return out
+
+    def log10_all(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 of the normalised probability of each target class; classes are summed once for each distinct context."""
         key = before[:, 0]
         for j in range(1, PLACES):
             key = key * CONTEXTS + before[:, j]
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        before = np.ascontiguousarray(before[first].T)
-        logs, context = np.empty(len(first)), np.empty((len(first), WIDTH + 1), dtype=np.float32)
-        s = np.empty((size, CLASSES), dtype=np.float32)
-        for a in range(0, len(first), size):
-            h = context[a:a + size]
-            h[:] = self.tables[0].take(before[0][a:a + size], axis=0)
-            for j in range(1, PLACES):
-                h += self.tables[j].take(before[j][a:a + size], axis=0)
-            part = np.dot(h, self.all_q, out=s[:len(h)])
-            top = 0.0
-            if math.sqrt(float(np.einsum("ij,ij->i", h, h).max())) * self.longest > 40:     # may leave the range of exp
-                top = part.max(axis=1).astype(np.float64)
-                part -= top[:, None].astype(np.float32)
-            np.exp(part, out=part)
-            logs[a:a + size] = np.log((part @ self.ones).astype(np.float64)) + top
+        distinct = np.ascontiguousarray(before[first].T)
+        logs = self.log_sums(distinct)
         out = np.empty(len(target))
         rows = np.ascontiguousarray(self.all_q.T)
-        for a in range(0, len(target), 1 << 15):
-            at = of[a:a + (1 << 15)]
-            out[a:a + (1 << 15)] = np.einsum("ij,ij->i", context.take(at, axis=0), rows.take(target[a:a + (1 << 15)], axis=0)) - logs[at]
+        for a in range(0, len(target), 1 << 13):
+            at = of[a:a + (1 << 13)]
+            context = sum(table.take(words.take(at), axis=0) for table, words in zip(self.tables, distinct))
+            out[a:a + (1 << 13)] = np.einsum("ij,ij->i", context, rows.take(target[a:a + (1 << 13)], axis=0)) - logs[at]
         return out / math.log(10)
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,27 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     print("held out, log10 a token: score, base", r[0] / r[2], r[1] / r[2], "share of texts", r[3])
     assert r[0] > r[1]
     assert out.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+
+
+@pytest.mark.parametrize("scale", [0.1, 4.0, 40.0])
+def test_sums_over_classes_without_an_exponential_a_context(scale, monkeypatch):
+    """Exact for narrow scores, which take no exponential a context, and for those that leave single precision."""
+    rng = np.random.default_rng(3)
+    values = lb.LogBilinear.initial(rng.dirichlet(np.ones(lb.CLASSES)))
+    net = lb.LogBilinear(values * np.float32(scale))
+    net.scorer()
+    before = rng.integers(0, lb.CONTEXTS, (lb.PLACES, 700))
+    scores = sum(t[w].astype(np.float64) for t, w in zip(net.tables, before)) @ net.all_q
+    top = scores.max(axis=1)
+    want = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+    assert np.allclose(net.log_sums(before), want, rtol=1e-5, atol=1e-5)
+    if scale == 0.1:
+        monkeypatch.setattr(lb.np, "exp", None)
+        assert np.allclose(net.log_sums(before), want, rtol=1e-5, atol=1e-5)
+
+
+def test_only_long_words_become_digests():
+    long_ = "x" * (lb.LONG_WORD + 1)
+    t = next(lb.slices(pa.array([f"b {long_} A {long_} b", None, long_]), 1 << 20))
+    assert t.keys.to_pylist() == [b"b", lb.key_of(long_.encode()), b"a", lb.END]
+    assert t.code.tolist() == [0, 1, 2, 1, 0, 3, 3, 1, 3]
