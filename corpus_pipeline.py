@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.llm.common import staged
+from stancelake.llm.common import small_batches, staged
 from stancelake.llm.kneser_ney import accepted_documents
 from stancelake.llm.langid import in_learned_language
 from stancelake.llm.mixing import mixed_documents
@@ -25,12 +25,14 @@ LEAST_SCORE = 0.5               # posterior of the language below which a text h
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts; null and empty texts go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return accepted_documents(docs, labels, TRUSTED)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a score of LEAST_SCORE or more and fits its n-grams; if no document has a language, all."""
+    small_batches(spark)
     if docs.filter("lang is not null and text is not null").isEmpty():
         return docs
     return in_learned_language(docs, F.col("lang").isNotNull(), LEAST_SCORE)
@@ -38,6 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates (5-word shingles, Jaccard 0.75)."""
+    small_batches(spark)
     return one_of_each(docs).select(*docs.columns)
 
 
@@ -48,6 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their place in a sequence."""
+    small_batches(spark)
     return pack_documents(docs, **tokenizer_files(), capacity=1024)
 
 

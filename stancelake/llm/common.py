@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.session import settings, shared_path
@@ -30,6 +30,14 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts reach Python BATCH_BYTES at a time in this session.
+
+    For operators whose result the caller writes: what holds while they are called does not hold while they run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

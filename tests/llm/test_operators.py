@@ -582,3 +582,20 @@ def test_staged_tables_reach_python_in_bounded_batches(spark):
     found = staged(spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("long text "), 1000).alias("t")).mapInArrow(sizes, "rows long, bytes long"), "batches").collect()
     assert sum(r.rows for r in found) == 3000 and max(r.bytes for r in found) < 2 * BATCH_BYTES
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_pipeline_stages_take_texts_in_bounded_batches(spark):
+    """A stage's result is written by the caller, whose batches for Python are bounded too."""
+    import corpus_pipeline
+    from stancelake.llm.common import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit(None).cast("string").alias("lang"))
+    try:
+        for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.packing):
+            spark.conf.set(key, "64m")
+            stage(spark, docs, "").collect()
+            assert int(spark.conf.get(key)) == BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
