@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.text import clean_posts
-from ..session import shared_path
+from ..session import settings, shared_path
 from ..sources.ledger import Ledger
 
 POST_SCHEMA = ("tweet_id string, user_id string, user_screen_name string, election string, lang string, "
@@ -61,13 +61,29 @@ def cleaned_post_stream(spark: SparkSession, landing: str, schema: str = POST_SC
     return cleaned.dropDuplicates(["tweet_id"])
 
 
+def keyed_state(spark: SparkSession):
+    """Settings to start a stream of keyed state under: RocksDB, and as many stores as cores.
+
+    Every micro-batch opens and commits every store and writes a file for it.  Both the micro-batches and the
+    session's shuffle partitions grow with the input, so a store for each of those would make their product of commits.
+    A store is read row by row: fewer of them hold no more in memory.  A checkpoint keeps the number it began with.
+    """
+    stores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return settings(spark, {
+        "spark.sql.shuffle.partitions": str(stores),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"})
+
+
 def run_clean_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
                      profile: str = "P1", max_files: int = 64) -> dict:
     """K2 + G2: process every file in ``landing`` once, append to ``out``."""
-    q = (cleaned_post_stream(spark, landing, profile=profile, max_files=max_files)
-         .writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+    writer = (cleaned_post_stream(spark, landing, profile=profile, max_files=max_files)
+              .writeStream.format("parquet").option("path", out)
+              .option("checkpointLocation", checkpoint)
+              .outputMode("append").trigger(availableNow=True))
+    with keyed_state(spark):
+        q = writer.start()
     q.awaitTermination()
     progress = q.lastProgress or {}
     return {"batches": len(q.recentProgress), "observed": progress.get("observedMetrics", {})}
@@ -105,8 +121,10 @@ def run_party_counts(spark: SparkSession, landing: str, out: str, checkpoint: st
     counts = (cleaned_post_stream(spark, landing, profile=profile)
               .groupBy("election", F.col("user_screen_name").alias("party"))
               .agg(F.count(F.lit(1)).alias("num_posts")))
-    q = (counts.writeStream.outputMode("complete").foreachBatch(lambda batch, epoch: ledger.commit(batch, f"epoch-{epoch:012d}") and None)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    writer = (counts.writeStream.outputMode("complete").foreachBatch(lambda batch, epoch: ledger.commit(batch, f"epoch-{epoch:012d}") and None)
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    with keyed_state(spark):
+        q = writer.start()
     q.awaitTermination()
     return ledger
 
@@ -153,9 +171,11 @@ def run_clean_stream_observed(spark: SparkSession, landing: str, out: str, check
     listener = ProgressListener(spark, progress)
     spark.streams.addListener(listener)
     try:
-        q = (cleaned_post_stream(spark, landing, profile=profile, max_files=max_files)
-             .writeStream.queryName(name).format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
+        writer = (cleaned_post_stream(spark, landing, profile=profile, max_files=max_files)
+                  .writeStream.queryName(name).format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+                  .outputMode("append").trigger(availableNow=True))
+        with keyed_state(spark):
+            q = writer.start()
         q.awaitTermination()
         # events reach a listener after the query has ended; every micro-batch has one
         expected = sum(1 for p in q.recentProgress if "incoming" in p.observedMetrics)

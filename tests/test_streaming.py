@@ -47,3 +47,19 @@ def test_counts_are_read_whole_while_versions_come(spark):
     K.land_posts(posts, loc["landing"], [~early, early])
     K.run_party_counts(spark, loc["landing"], loc["out"], loc["checkpoint"])
     assert some < first.latest().agg(F.sum("num_posts")).first()[0] == clean_posts(posts, "P1").count()
+
+
+def test_state_has_no_store_for_each_shuffle_partition(spark):
+    """Stores are opened and committed in every micro-batch: no more of them than cores, and the session's setting stays."""
+    import os
+    loc = K.stream_folder(spark, "test-stores")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    K.land_posts(view(spark, SF_SMALL, "fx_tweets"), loc["landing"])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        K.run_clean_stream(spark, loc["landing"], loc["out"], loc["checkpoint"])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [x for x in os.listdir(f"{loc['checkpoint']}/state/0".removeprefix("file:")) if x.isdigit()]
+    assert 0 < len(stores) <= spark.sparkContext.defaultParallelism < 40
