@@ -10,11 +10,13 @@ each set in any order that all sets share; rare tokens come first here.
    verified links make groups.  A document meets the one it shares most lists
    with first, and others only where that did not make them one group.  A crowd of near copies becomes one group for a few
    pairs per member, not all pairs.
-2. The matrix stores each group's token union: distinct (token, group).  For
-   each query document and other group it is counted how many of the query's
-   first tokens the union holds, which bounds the overlap with any member:
-   overlap <= count + ceil(t |q|) - 1.  Groups whose bound or sizes rule out a
-   link stay closed.
+2. A pair's overlap is at most what each set holds from their first shared token
+   on, so a token's place in a set bounds the sizes it can link with (``reach``).
+   The matrix stores, by token and size class, the groups with a member that
+   reaches this class from its own size up; only the first seventh of a set's
+   tokens (at 75 %) reach that far.  Each document asks with its own size for
+   members no larger than itself.  Texts that share a passage too small for a
+   link, however many they are, do not meet.
 3. Qualifying groups are opened layer by layer (8 members, then 8 times as many,
    and so on), until a link makes two groups one or all members were compared.
    Links of both steps together give the components.
@@ -43,6 +45,7 @@ PERCENT = 75                    # similarity
 BITS = 22                       # of the frequency table: 4 MB, whatever the data
 SEGMENT = 2_000_000             # shingles among which repeats are counted
 HOT_LEVEL = 12                  # lists of tokens from 2^12 counted repeats on are split
+SIZE_STEP = 1.15                # a size class holds sizes up to so many times its least
 BITMAP_BITS = 24
 MARK_BITS = 1024
 CHUNK = 512                     # members, and queries, that one task compares at once
@@ -152,16 +155,17 @@ def levels(measured: DataFrame) -> np.ndarray:
 
 
 def token_rows(rows: DataFrame, frequency: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, part, node, n, central) for the first tokens of every distinct text.
+    """(node, central, part, token, place) for the first tokens of every distinct text.
 
-    ``part`` splits the lists of frequent tokens; ``central`` is the mean frequency class of the whole set, in hundredths.
+    ``part`` splits the lists of frequent tokens; ``central`` is the mean frequency class of the whole set, in hundredths;
+    ``place`` is the number of the set's tokens before this one.  What a text's rows share comes first, as it packs best.
     """
     shared = rows.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for b in batches:
-            tokens, parts, nodes, sizes, central = [], [], [], [], []
+            nodes, central, parts, tokens, places = [], [], [], [], []
             for node, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if node in seen:
                     continue
@@ -176,13 +180,33 @@ def token_rows(rows: DataFrame, frequency: np.ndarray, words: int, percent: int)
                 spread = np.left_shift(np.int64(1), np.maximum(level[order].astype(np.int64) - HOT_LEVEL + 1, 0))
                 parts.append(np.where(spread > 1, node % spread, -1))
                 nodes.append(np.full(len(order), node))
-                sizes.append(np.full(len(order), len(s)))
+                places.append(np.arange(len(order)))
                 central.append(np.full(len(order), 100 * level.sum(dtype=np.int64) // len(s)))
             if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), *(np.concatenate(x).astype(np.int64) for x in (parts, nodes, sizes)), np.concatenate(central).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "part", "node", "n", "central"])
+                cols = [np.concatenate(nodes), np.concatenate(central).astype(np.int16), np.concatenate(parts), np.concatenate(tokens).view(np.int64),
+                        np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "central", "part", "token", "place"])
 
-    return rows.mapInArrow(run, "token long, part long, node long, n long, central short")
+    return rows.mapInArrow(run, "node long, central short, part long, token long, place int")
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
+def asked_groups(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct (node, n, group, layer, other): the other groups that may hold a text that links with this one and comes before it.
+
+    Texts come by size, equal sizes by group.  ``placed`` holds (token, node, n, reach, group, layer); ``reach`` is the
+    largest size of a set that can link if this token is the first of both.
+    """
+    classes = F.sequence(size_class(F.col("n")), size_class(F.col("reach")))
+    matrix = (placed.filter("reach >= n").select("token", F.explode(classes).alias("class"), F.col("group").alias("other"), F.col("n").alias("size"), F.col("reach").alias("most"))
+              .groupBy("token", "class", "other").agg(F.min("size").alias("least"), F.max("most").alias("most")))
+    asks = placed.withColumn("class", size_class(F.col("n")))
+    # some member's size allows it on either side, and comes before
+    meet = "group <> other and n <= most and least <= reach and (least < n or (least = n and other < group))"
+    return asks.join(matrix, ["token", "class"]).filter(meet).select("node", "n", "group", "layer", "other").distinct()
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -263,7 +287,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     lists = (tokens.withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
              .withColumn("hub", F.max(F.struct("central", "node")).over(by_list).getField("node"))
              .filter("low < high or part >= 0"))
-    lists = staged(lists.select("token", "part", "node", "n", "hub"), "jaccard-lists")
+    lists = staged(lists.select("token", "part", "node", "place", "hub"), "jaccard-lists")
     nodes = staged(measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"),
                                                                F.first("signature").alias("signature")), "jaccard-nodes")
     # parts of a split list hang on one of their hubs
@@ -285,21 +309,21 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     group = components(links, "jaccard-groups")
 
     # token-group matrix: a document without links is a group of its own
-    members = lists.select("node", "n").distinct().join(group, "node", "left").select("node", "n", F.coalesce("component", "node").alias("group"))
+    members = (lists.select("node").distinct().join(nodes.select("node", "n"), "node").join(group, "node", "left")
+               .select("node", "n", F.coalesce("component", "node").alias("group")))
     members = staged(members, "jaccard-members")
     counts = members.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     counts = counts.withColumn("depth", _layer(F.col("members") - 1))
     place = F.floor(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) / (1 << 20) * F.col("members"))
     members = staged(members.join(counts, "group").withColumn("layer", _layer(place)), "jaccard-layers")
-    placed = lists.select("token", "node").join(members.select("node", "n", "group", "layer"), "node")
-    split = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
+    placed = (lists.select("token", "node", "place").join(members.select("node", "n", "group", "layer"), "node")
+              .withColumn("reach", F.expr(f"({100 + percent} * (n - place)) div {percent} - n")).drop("place"))
+    split = (placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max(F.expr("reach >= n")).alias("reaches"))
+             .filter("low < high and reaches").select("token"))
     placed = staged(placed.join(split, "token").distinct(), "jaccard-placed")
-    matrix = placed.select("token", F.col("group").alias("other")).distinct()
-    overlap = placed.join(matrix, "token").filter("group > other").groupBy("node", "n", "group", "layer", "other").agg(F.count(F.lit(1)).alias("found"))
     bounds = counts.select(F.col("group").alias("other"), "least_n", "most_n", "depth")
-    # found > 0, so the bound on the overlap, found + ceil(t |q|) - 1, is met; sizes may still rule a group out
-    left = (overlap.join(bounds, "other")
-            .filter((F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least_n") * percent))
+    left = (asked_groups(placed, percent).join(bounds, "other")
+            .filter((F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") >= F.col("least_n")))
             .select(F.col("node").alias("b"), "n", "group", F.col("layer").alias("layer_b"), "other", F.greatest("layer", "depth").alias("depth")))
     left = staged(left, "jaccard-open-0")
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -320,7 +344,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
                   .select("other", "queries", "members").mapInArrow(_compare(percent), "a long, b long, group long, other long"))
         opened = staged(opened.join(tried, ["a", "b"], "left_anti"), "jaccard-opened")
         more.append(staged(verified(opened, texts, words, percent), "jaccard-more-links"))
-        done = opened.join(more[-1], ["a", "b"]).select("group", "other").distinct()
+        done = opened.join(more[-1], ["a", "b"]).select(F.explode(F.array(F.struct("group", "other"), F.struct(F.col("other").alias("group"), F.col("group").alias("other")))))
+        done = done.select("col.*").distinct()
         layer += 1
         left = staged(left.filter(F.col("depth") >= layer).join(done, ["group", "other"], "left_anti"), "jaccard-left")
     known_links = group.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -353,7 +378,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
 
 
 def _compare(percent: int):
-    """Queries against members of a group: (a, b, group, other) of the pairs that sizes and signatures allow; as ``possible``."""
+    """Queries against members of a group that come before them: (a, b, group, other) of the pairs that sizes and signatures allow; as ``possible``."""
     def columns(rows: pa.Scalar) -> list:
         ids, n, mark, *rest = rows.values.flatten()
         return [np.asarray(ids), np.asarray(n), np.asarray(mark.flatten()).view(np.uint64).reshape(len(ids), -1), *map(np.asarray, rest)]
@@ -366,8 +391,8 @@ def _compare(percent: int):
                 found = []
                 for i in range(len(b)):
                     apart = np.bitwise_count(marks ^ mark[i]).sum(axis=1, dtype=np.int64)
-                    ok = (apart * (100 + percent) <= (size + n[i]) * (100 - percent)) & (
-                        np.minimum(size, n[i]) * 100 >= np.maximum(size, n[i]) * percent)
+                    before = size <= n[i] if other.as_py() < group[i] else size < n[i]
+                    ok = before & (apart * (100 + percent) <= (size + n[i]) * (100 - percent)) & (size * 100 >= n[i] * percent)
                     found.append(np.flatnonzero(ok))
                 at = np.repeat(np.arange(len(b)), [len(f) for f in found])
                 to = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)

@@ -570,6 +570,50 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert neardup_sets.similar_documents(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_sets_of_unequal_sizes(spark, monkeypatch):
+    """Cut, lengthened and edited copies: links between sizes up to the limit, also of texts that come late in the order."""
+    monkeypatch.setattr(neardup_sets, "HOT_LEVEL", 3)
+    monkeypatch.setattr(neardup_sets, "LAYER", 2)
+    monkeypatch.setattr(neardup_sets, "CHUNK", 4)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    rows = []
+    for _ in range(5):
+        base = [word() for _ in range(rng.choice([30, 90, 150]))]
+        for _ in range(40):
+            t = base[rng.randint(0, len(base) // 6):len(base) - rng.randint(0, len(base) // 6)] + [word() for _ in range(rng.choice([0, 0, 3, len(base) // 6]))]
+            for _ in range(rng.randint(0, max(1, len(t) // 40))):
+                t[rng.randrange(len(t))] = word()
+            rows.append((len(rows), " ".join(t)))
+    sizes, low = brute_sets(rows)
+    assert 20 < len(set(low.values())) < len(rows) - 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup_sets.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {i: (sizes[i], low[i]) for i, _ in rows}
+
+
+def test_jaccard_texts_that_share_too_little_do_not_meet(spark, monkeypatch):
+    """Copies with too many edits, and a passage in texts of many lengths: no links, and no rows for all pairs of them."""
+    met, plain = [], neardup_sets.staged
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        if name == "jaccard-open-0":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup_sets, "staged", counted)
+    base = [f"b{i}" for i in range(150)]
+    far = [[f"x{d}_{i}" if i % 28 == 5 + d % 5 else w for i, w in enumerate(base)] for d in range(60)]      # 6 edits: 0.66 with the text itself
+    passage = [f"p{i}" for i in range(124)]
+    longer = [passage + [f"y{d}_{i}" for i in range(22 + d % 16)] for d in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(far + longer)]
+    sizes, low = brute_sets(rows)
+    assert all(low[i] == i for i, _ in rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup_sets.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {i: (sizes[i], low[i]) for i, _ in rows}
+    assert len(met) == 1 and met[0] < len(rows), met        # 2,820 when any token of the first quarter counted
+
+
 def test_staged_tables_reach_python_in_bounded_batches(spark):
     """Long texts are handed to Python a few MB at a time, and the session's setting comes back."""
     from stancelake.llm.common import BATCH_BYTES, staged
