@@ -100,11 +100,15 @@ def topic_prompt(topics_block: Column, text) -> Column:              # H27
                     post_for_topic_prompt(text), F.lit(TOPIC_PROMPT_TAIL))
 
 
-def stance_prompt(posts_joined, sentence, num_labels: int = 5) -> Column:   # H28
+def stance_frame(num_labels: int = 5) -> tuple[str, str, str]:
+    """The stance prompt before its posts, between them and the sentence, and after that."""
     word, labels = STANCE_LABELS_5 if num_labels == 5 else STANCE_LABELS_3
-    return F.concat(F.lit(STANCE_PROMPT_INTRO), _c(posts_joined), F.lit(STANCE_PROMPT_AFTER_TWEETS),
-                    _c(sentence), F.lit(STANCE_PROMPT_AFTER_STATEMENT),
-                    F.lit(f"{word} values: {labels}"), F.lit(STANCE_PROMPT_TAIL))
+    return STANCE_PROMPT_INTRO, STANCE_PROMPT_AFTER_TWEETS, f"{STANCE_PROMPT_AFTER_STATEMENT}{word} values: {labels}{STANCE_PROMPT_TAIL}"
+
+
+def stance_prompt(posts_joined, sentence, num_labels: int = 5) -> Column:   # H28
+    before, between, after = stance_frame(num_labels)
+    return F.concat(F.lit(before), _c(posts_joined), F.lit(between), _c(sentence), F.lit(after))
 
 
 def stance_prompt_overhead(sentence, num_labels: int = 5) -> Column:

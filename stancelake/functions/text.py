@@ -140,8 +140,13 @@ def has_tags_or_emoji(c) -> Column:
     return lower(c).rlike(rf"[#@{FAST_EMOJI}]")
 
 
+def lowered_p2(c) -> Column:
+    """P2 as far as it goes whether or not emoji are removed."""
+    return lower(decode_entities_p2(strip_urls(strip_isolates(strip_rt_header(c)))))
+
+
 def clean_p2(c, remove_emoji: bool = False) -> Column:
-    out = lower(decode_entities_p2(strip_urls(strip_isolates(strip_rt_header(c)))))
+    out = lowered_p2(c)
     if remove_emoji:
         out = strip_emoji(out)
     return squeeze_whitespace(out)
@@ -167,6 +172,13 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select(*cols)
 
 
+def clean_p2_twice(df: DataFrame, text_col: str = "tweet", bare_col: str = "bare") -> DataFrame:
+    """Q1 for both language models: the text column by P2, C5 applied, and ``bare_col``, P2 without emoji where that is another text, else null."""
+    low = once(df, "low__", lowered_p2(text_col))
+    bare = F.when(F.col("low__").rlike(FAST_EMOJI), squeeze_whitespace(strip_emoji("low__")))
+    return once(low, text_col, squeeze_whitespace("low__")).filter(F.col(text_col) != "").withColumn(bare_col, bare).drop("low__")
+
+
 def clean_posts(df: DataFrame, profile: str = "P1", text_col: str = "tweet",
                 remove_tags_and_emoji: bool | None = None,
                 min_words: int = MIN_NUM_WORDS) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import three_calculated, three_derived
 from ..operators import agree, evaluate
-from ..operators import model_steps as ms
 from ..operators.joins import first_sentence_per_topic, small
 from ..session import shared_path, stored
 from ..sources.fixtures import EXCLUDED_PARTIES, view, with_views
@@ -71,7 +70,7 @@ def results_ledger(spark, sf) -> Ledger:
     """The stance results of every method, each appended once and read by every evaluation of the session.
 
     Sweep methods come out of one sweep; a model is asked once per distinct prompt, whatever reads its results."""
-    from .q_models import j6_model_topics, score_pairs, stance_posts
+    from .q_models import j6_model_topics, model_posts, score_pairs
     key = (spark.sparkContext.applicationId, sf)
     path = _LEDGERS.setdefault(key, shared_path(spark, "results"))
     ledger = Ledger(spark, path, RESULTS_LEDGER, ["Method", "num_labels", "VAA", "Party", "Topic"])
@@ -90,9 +89,9 @@ def results_ledger(spark, sf) -> Ledger:
             out = hybrid_results(spark, sf)
         else:
             # posts are cleaned once for all runs, and the pairs that a variant reads are found once for both numbers of labels
-            posts = ms.sized_posts(stance_posts(spark, sf)) if posts is None else posts
+            posts = model_posts(spark, sf) if posts is None else posts
             if how not in pairs:
-                pairs[how] = score_pairs(spark, sf) if how == "B" else stored(j6_model_topics(spark, sf), "picked-topics")
+                pairs[how] = score_pairs(spark, sf) if how == "B" else stored(j6_model_topics(spark, sf, posts), "picked-topics")
             out = stance_results(spark, sf, k, how, pairs[how], posts)
         ledger.commit(named(out, name, k), f"{kind}-{how}-{k}")
     return ledger

@@ -382,6 +382,12 @@ def stance_posts(spark, sf):
     return _p2_tweets(spark, sf).select("tweet_id", "tweet", "created_at")
 
 
+def model_posts(spark, sf):
+    """The posts as both models read them, cleaned and counted once: ``tweet`` (P2), and ``bare`` where emoji make a difference."""
+    posts = T.clean_p2_twice(view(spark, sf, "fx_tweets"))
+    return ms.sized_posts(posts.select("election", F.col("user_screen_name").alias("party"), "tweet_id", "created_at", "tweet", "bare"))
+
+
 def model_stance_table(spark, sf, num_labels: int = 5, variant: str = "B", filtered=None, ledger=None, posts=None):
     posts = stance_posts(spark, sf) if posts is None else posts
     filtered = view(spark, sf, "fx_model_filtered") if filtered is None else filtered
@@ -417,18 +423,21 @@ JOIN fx_statements k ON k.election = picked.election AND lower(k.topic) = picked
 
 
 @query("j6_model_topics", with_views(j6_body(), "fx_tweets", "fx_statements"))
-def j6_model_topics(spark, sf):
+def j6_model_topics(spark, sf, posts=None):
     """Topic prompt per post -> model (distinct prompts) -> reply parsing
-    -> topics the statement list knows (C8)."""
-    tw = _p2_tweets(spark, sf, emoji=True).select("election", F.col("user_screen_name").alias("party"),
-                                                  "tweet_id", "tweet")
-    return ms.model_topics(tw, view(spark, sf, "fx_statements"), rule_topic_completer)
+    -> topics the statement list knows (C8).  ``posts`` may be those of ``model_posts``."""
+    if posts is None:
+        posts = _p2_tweets(spark, sf, emoji=True).withColumnRenamed("user_screen_name", "party")
+    else:
+        posts = posts.withColumn("tweet", F.coalesce("bare", "tweet")).filter(F.col("tweet") != "")             # C5
+    return ms.model_topics(posts.select("election", "party", "tweet_id", "tweet"), view(spark, sf, "fx_statements"), rule_topic_completer)
 
 
 @query("j7_model_stance_a", with_views(j7_body(5, "A", j6_body()), "fx_tweets", "fx_statements"))
 def j7_model_stance_a(spark, sf):
     """J6 into J7, variant A: the posts a topic model picked -> stance model -> stance per (party, statement)."""
-    return model_stance_table(spark, sf, 5, "A", j6_model_topics(spark, sf))
+    posts = model_posts(spark, sf)
+    return model_stance_table(spark, sf, 5, "A", j6_model_topics(spark, sf, posts), posts=posts)
 
 
 @query("g2_replies", with_views(f"""

@@ -104,10 +104,10 @@ def writing(spark: SparkSession):
     return settings(spark, WRITING_CONF)
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written under the shared folder and read back; a ``path`` given is written anew."""
+def stored(df: DataFrame, name: str, path: str | None = None, by: str | None = None, **options) -> DataFrame:
+    """``df`` written under the shared folder, with a folder for each value of ``by``, and read back; a ``path`` given is written anew."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
     with writing(spark):
-        df.write.mode("overwrite").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).options(**options).mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.joins import small
 from ..session import stored, writing
 
 MANIFEST = "batch string, n_rows long, committed_at timestamp"
@@ -64,8 +65,9 @@ class Ledger:
 
     def commit(self, rows: DataFrame, batch: str | None = None) -> str:
         """Write a batch, then its entry in the manifest; a committed id is left as it is."""
-        batch = batch or f"b{uuid.uuid4().hex}"
-        if self.committed(batch):
+        if batch is None:
+            batch = f"b{uuid.uuid4().hex}"
+        elif self.committed(batch):
             return batch
         part = f"{self.path}/data/batch={batch}"
         with writing(self.spark):
@@ -79,18 +81,18 @@ class Ledger:
         """Inputs whose keys no finished row has (a null key is never finished)."""
         return inputs.join(self.rows().filter(self.finished).select(*self.keys).distinct(), self.keys, "left_anti")
 
-    def advance(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int = 8, copy: bool = True) -> None:
+    def advance(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int = 8, copy: bool = True, row: str | None = None) -> None:
         """Apply ``work`` to the unfinished inputs, a committed batch at a time.
 
         ``work`` returns rows with the keys of its input.  Finished keys are skipped before
         any work; what a killed run had committed is not done again.  Inputs are dealt
         by a hash of their keys, so a batch is an even share, whatever the keys.  Inputs
-        that are a written table already need no ``copy``: a batch finishes no key of another.
+        that are a written table already need no ``copy``: what is left is found from their keys alone, and the rows
+        themselves are read once, where they lie.  ``row`` numbers such a table's rows; of equal keys the first is taken.
         """
         deal = lambda df: df.withColumn("bucket__", F.pmod(F.xxhash64(*self.keys), F.lit(batches)).cast("int"))
-        left = stored(deal(self.todo(inputs)), "ledger-todo") if copy else deal(inputs)
-        for b in range(batches):
+        keys = inputs if copy else inputs.groupBy(*self.keys).agg(F.min(row).alias(row)) if row else inputs.select(*self.keys).distinct()
+        left = stored(deal(self.todo(keys)), "ledger-todo" if copy else "ledger-keys")
+        for b in sorted(r[0] for r in left.select("bucket__").distinct().collect()):            # at most one row a batch
             part = left.filter(F.col("bucket__") == b).drop("bucket__")
-            part = part if copy else self.todo(part)
-            if not part.select(*self.keys).isEmpty():
-                self.commit(work(part))
+            self.commit(work(part if copy else inputs.join(small(part), part.columns)))
