@@ -180,10 +180,16 @@ def prompt_homes(dealt: DataFrame, prompts: DataFrame, num_labels: int) -> DataF
     def gather(key, posts, prompts):
         import hashlib
         import pyarrow as pa
+
+        def digest(members, sentence):
+            out = hashlib.md5(before, usedforsecurity=False)
+            out.update(joined(texts, members))
+            out.update(between + sentence.encode() + after)
+            return out.hexdigest()
+
         texts, told = prompts_at_home(posts, prompts)
         rows = [{"topic": topic, "batch_no": batch, "sentence": sentence, "group_posts": size, "num_posts": len(members), "members": members.astype("int32"),
-                 "prompt_md5": hashlib.md5(b"".join((before, joined(texts, members), between, sentence.encode(), after)), usedforsecurity=False).hexdigest()}
-                for topic, batch, sentence, size, members in told]
+                 "prompt_md5": digest(members, sentence)} for topic, batch, sentence, size, members in told]
         kind = pa.struct([("topic", pa.string()), ("batch_no", pa.int32()), ("sentence", pa.string()), ("group_posts", pa.int64()), ("num_posts", pa.int32()),
                           ("prompt_md5", pa.string()), ("members", pa.list_(pa.int32()))])
         return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip(HOME, key)}, "texts": pa.array([texts], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
@@ -290,7 +296,7 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
     and read from it; a ledger of earlier runs skips what it holds (K1), so does ``done``, a
     table of replies from elsewhere, whose rows are kept.  A null prompt is not asked.  ``seconds`` is
     the model time per prompt (batch time / batch size) for the progress report (E17, see ``call_stats``).
-    Prompts that are a written table of ``numbered`` prompts need no ``copy``: which to ask is found without their texts.
+    Prompts that are a table of ``numbered`` (with these ``batches``) need no ``copy``: which to ask is found without their texts.
     """
     import time
     ledger = ledger or replies_ledger(prompts.sparkSession)
@@ -299,7 +305,7 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
         keyed = told.select(F.md5(F.col(prompt_col)).alias("prompt_md5"), F.col(prompt_col).alias("prompt"))
         todo = keyed.dropDuplicates(["prompt_md5"])
     else:
-        todo = keyed = told.select("prompt_md5", "prompt_row", F.col(prompt_col).alias("prompt"))
+        todo = keyed = told.select("prompt_md5", "prompt_row", F.col(prompt_col).alias("prompt"), "bucket__")
     if done is not None:
         todo = todo.join(done.select("prompt_md5"), "prompt_md5", "left_anti")
 
@@ -315,9 +321,10 @@ def complete_distinct(prompts: DataFrame, complete: Completer, prompt_col: str =
     return replies_of(keyed, ledger, done)
 
 
-def numbered(prompts: DataFrame, *cols: str) -> DataFrame:
-    """(cols, prompt, prompt_md5, prompt_row): prompts to be written, with their digest and a number of their own in the table."""
-    return prompts.select(*cols, "prompt", F.md5("prompt").alias("prompt_md5"), F.monotonically_increasing_id().alias("prompt_row"))
+def numbered(prompts: DataFrame, ledger: Ledger, batches: int, name: str) -> DataFrame:
+    """``prompts`` written with their digest (prompt_md5) and a number of their own (prompt_row), in a folder for each batch that will be asked."""
+    keyed = prompts.withColumn("prompt_md5", F.md5("prompt")).withColumn("prompt_row", F.monotonically_increasing_id())
+    return stored(keyed.select("*", ledger.bucket(batches)), name, by="bucket__")
 
 
 def replies_of(keyed: DataFrame, ledger: Ledger, done: DataFrame | None = None) -> DataFrame:
@@ -337,6 +344,9 @@ def call_stats(replies: DataFrame) -> DataFrame:
                        F.avg("seconds").alias("avg_seconds"))
 
 
+TOPIC_BATCHES = 4       # in which a run of the topic model is committed
+
+
 def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
                done: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Topic filtering.  posts (election, party, tweet_id, tweet) ->
@@ -348,8 +358,9 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     with_prompt = posts.join(small(ordered), "election").withColumn(
         "prompt", P.topic_prompt(F.col("block"), F.col("tweet")))
     # cleaned, built and hashed once, for the model and for the way back
-    prompted = stored(numbered(with_prompt, "election", "party", "tweet_id"), "topic-prompts")
-    replies = complete_distinct(prompted, complete, done=done, ledger=ledger, copy=False)
+    ledger = ledger or replies_ledger(posts.sparkSession)
+    prompted = numbered(with_prompt.select("election", "party", "tweet_id", "prompt"), ledger, TOPIC_BATCHES, "topic-prompts")
+    replies = complete_distinct(prompted, complete, done=done, ledger=ledger, batches=TOPIC_BATCHES, copy=False)
     parsed = (prompted.select("election", "party", "tweet_id", "prompt_md5")
               .join(replies, "prompt_md5")
               .select("election", "party", "tweet_id", F.explode(topics_from_reply("reply")).alias("t")))
@@ -357,10 +368,15 @@ def model_topics(posts: DataFrame, statements: DataFrame, complete: Completer,
     return parsed.join(known, ["election", "t"]).select("election", "party", "topic", "tweet_id")
 
 
+LONG_TOKENS = 1 << 13
+
+
 def sized_posts(posts: DataFrame) -> DataFrame:
-    """The posts with a text, with n_tok and n_bytes, cleaned and counted once: a written table for any number of runs."""
-    sized = posts.filter(F.col("tweet").isNotNull()).select("*", *_sizes())
-    return stored(sized, "sized-posts")
+    """The posts with a text, with n_tok and n_bytes, cleaned and counted once: a written table for any number of runs.
+
+    Posts that some prompt may not hold whole are in a folder of their own (``long``)."""
+    sized = posts.filter(F.col("tweet").isNotNull()).select("*", *_sizes()).withColumn("long", (F.col("n_tok") > LONG_TOKENS).cast("int"))
+    return stored(sized, "sized-posts", by="long")
 
 
 def _sizes():
@@ -371,7 +387,9 @@ def split_posts(posts: DataFrame, most: int) -> DataFrame:
     """(tweet_id, created_at, piece, tweet, n_tok, n_bytes): posts of more than ``most`` tokens cut into pieces of at most so many; a null text is no post.
 
     ``posts`` may be a table of ``sized_posts``."""
-    sized = (posts if "n_tok" in posts.columns else sized_posts(posts)).select("tweet_id", "created_at", F.lit(0).alias("piece"), "tweet", "n_tok", "n_bytes")
+    sized = posts if "n_tok" in posts.columns else sized_posts(posts)
+    over = F.col("n_tok") > most if most < LONG_TOKENS or "long" not in sized.columns else (F.col("long") == 1) & (F.col("n_tok") > most)
+    columns = ["tweet_id", "created_at", F.lit(0).alias("piece"), "tweet"]
 
     def cut(batches):
         import regex
@@ -385,12 +403,11 @@ def split_posts(posts: DataFrame, most: int) -> DataFrame:
                     rows.append((r.tweet_id, r.created_at, k, r.tweet[0 if k == 0 else lo:hi].strip()))
             yield pd.DataFrame(rows, columns=["tweet_id", "created_at", "piece", "tweet"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("tweet_id", "created_at", "piece", "tweet"))
-    # found and cut once, for all that read the pieces; no task of Python for each split of all posts
-    long = stored(sized.filter(F.col("n_tok") > most).select("tweet_id", "created_at", "piece", "tweet"), "long-posts")
+    # cut once, for all that read the pieces
+    long = sized.filter(over).select(*columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema.fields)
     pieces = stored(long.mapInPandas(cut, schema).select("*", *_sizes()), "long-post-pieces")
-    return sized.filter(F.coalesce(F.col("n_tok") <= most, F.lit(True))).unionByName(pieces)
+    return sized.filter(F.coalesce(F.col("n_tok") <= most, F.lit(True))).select(*columns, "n_tok", "n_bytes").unionByName(pieces)
 
 
 HOME_PROMPTS = 12       # a party's posts are dealt into stretches as long as so many prompts

@@ -81,6 +81,10 @@ class Ledger:
         """Inputs whose keys no finished row has (a null key is never finished)."""
         return inputs.join(self.rows().filter(self.finished).select(*self.keys).distinct(), self.keys, "left_anti")
 
+    def bucket(self, batches: int):
+        """An even share of the keys, whatever they are."""
+        return F.pmod(F.xxhash64(*self.keys), F.lit(batches)).cast("int").alias("bucket__")
+
     def advance(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int = 8, copy: bool = True, row: str | None = None) -> None:
         """Apply ``work`` to the unfinished inputs, a committed batch at a time.
 
@@ -88,11 +92,15 @@ class Ledger:
         any work; what a killed run had committed is not done again.  Inputs are dealt
         by a hash of their keys, so a batch is an even share, whatever the keys.  Inputs
         that are a written table already need no ``copy``: what is left is found from their keys alone, and the rows
-        themselves are read once, where they lie.  ``row`` numbers such a table's rows; of equal keys the first is taken.
+        themselves are read where they lie (once, if the table has a folder for each ``bucket``).  ``row`` numbers such a table's rows; of equal
+        keys the first is taken.
         """
-        deal = lambda df: df.withColumn("bucket__", F.pmod(F.xxhash64(*self.keys), F.lit(batches)).cast("int"))
         keys = inputs if copy else inputs.groupBy(*self.keys).agg(F.min(row).alias(row)) if row else inputs.select(*self.keys).distinct()
-        left = stored(deal(self.todo(keys)), "ledger-todo" if copy else "ledger-keys")
+        left = stored(self.todo(keys).select("*", self.bucket(batches)), "ledger-todo" if copy else "ledger-keys")
+        names = [row] if row else self.keys
         for b in sorted(r[0] for r in left.select("bucket__").distinct().collect()):            # at most one row a batch
-            part = left.filter(F.col("bucket__") == b).drop("bucket__")
-            self.commit(work(part if copy else inputs.join(small(part), part.columns)))
+            part = left.filter(F.col("bucket__") == b)
+            if not copy:
+                dealt = inputs.filter(F.col("bucket__") == b) if "bucket__" in inputs.columns else inputs
+                part = dealt.join(small(part.select(*names)), names)
+            self.commit(work(part.drop("bucket__")))
