@@ -500,7 +500,7 @@ def model_stance(filtered: DataFrame, posts: DataFrame, statements: DataFrame, g
     ledger = ledger or replies_ledger(spark)
     homes = prompt_homes(dealt, prompts, num_labels).withColumn("slice", F.pmod(F.xxhash64(*HOME), F.lit(slices)).cast("int"))
     # written, so the model call and the way back read the same prompts; a home is a long row, so few are read at once
-    homes = stored(homes, "stance-prompts", by="slice", **{"parquet.block.size": 16 << 20})
+    homes = stored(homes, "stance-prompts", by="slice", **{"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4})
     told = homes.select(*HOME, "slice", F.posexplode("prompts").alias("place", "p"))
     prompted = stored(told.select(*HOME, "slice", "place", "p.topic", "p.group_posts", "p.num_posts", "p.prompt_md5"), "stance-prompt-keys")
     first = prompted.groupBy("prompt_md5").agg(F.min(F.struct("slice", *HOME, "place")).alias("at")).select("prompt_md5", "at.*")
